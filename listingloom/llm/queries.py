@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import decontaminate, exact, shards, simhash
+from listingloom.llm import decontaminate, exact, langid, pieces, quality, shards, simhash
 from listingloom.llm.common import table
 
 
@@ -14,6 +14,33 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def piece_model_path() -> str:
+    """The SentencePiece model file of the installed tokenizer package; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = piece_model_path()
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), path)
+    told = encoded.select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint").alias("source_bytes"),
+    )
+    decoded = pieces.decode_documents(told, path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "source_bytes")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -53,6 +80,9 @@ group by d.id, z.item_id, z.n having count(*) * 5 >= z.n * 4
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op4_language_id": op4_language_id,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
