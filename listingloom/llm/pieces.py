@@ -8,7 +8,6 @@ byte span of the source text. Decoding undoes pieces, byte pieces and the dummy
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,11 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listingloom.llm.bpe import Cache, merge
+
 MARK = "▁"
-#: Entries of a generation of each per-worker cache.
-CACHE = 250_000
-#: Symbols up to which a fragment is merged by rescanning; longer ones use a heap.
-SHORT = 48
 #: Tokens of one output batch.
 BATCH_TOKENS = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -85,23 +82,6 @@ class CharMap:
         return found[0], self.pool[found[1] : end]
 
 
-class _Cache(dict):
-    """Values of ``make``, in two generations: a full one replaces the older, so what is still in use stays."""
-
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        self[key] = out
-        return out
-
-
 class PieceModel:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -133,8 +113,8 @@ class PieceModel:
         self.is_byte = np.array([k == BYTE for k in kinds])
         self.is_control = np.array([k == CONTROL for k in kinds])
         self.source_len = np.array([1 if k == BYTE else len(plain[i]) for i, k in enumerate(kinds)], np.int32)
-        self.fragments = _Cache(self._merge)
-        self.words = _Cache(lambda w: self._fragment_ids(MARK + w))
+        self.fragments = Cache(self._merge)
+        self.words = Cache(lambda w: self._fragment_ids(MARK + w))
 
     # -- encoding
 
@@ -178,22 +158,8 @@ class PieceModel:
 
     def _merge(self, fragment: str) -> tuple[int, ...]:
         """Ids of a fragment: the best-scored pair is merged first, the leftmost among equals."""
-        s = list(fragment)
-        if len(s) <= SHORT:
-            rank, none = self.rank.get, float("inf")
-            ranks = [rank(a + b, none) for a, b in zip(s, s[1:])]
-            while ranks and (best := min(ranks)) != none:
-                i = ranks.index(best)
-                s[i] = both = s[i] + s.pop(i + 1)
-                del ranks[i]
-                if i < len(ranks):
-                    ranks[i] = rank(both + s[i + 1], none)
-                if i:
-                    ranks[i - 1] = rank(s[i - 1] + both, none)
-        else:
-            s = self._merge_long(s)
         ids: list[int] = []
-        for piece in s:
+        for piece in merge(list(fragment), self.rank.get):
             got = self.id.get(piece)
             if got is not None:
                 ids.append(got)
@@ -203,25 +169,6 @@ class PieceModel:
                 ids.extend(self.byte[b] for b in piece.encode())
         return tuple(ids)
 
-    def _merge_long(self, s: list) -> list[str]:
-        n, rank = len(s), self.rank.get
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, s[i] + s[i + 1]) for i in range(n - 1) if (r := rank(s[i] + s[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if s[i] is None or j < 0 or s[i] + s[j] != both:
-                continue
-            s[i], s[j] = both, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := rank(s[a] + s[b])) is not None:
-                    heapq.heappush(heap, (r, a, s[a] + s[b]))
-        return [x for x in s if x is not None]
-
     def _fragment_ids(self, fragment: str) -> tuple[int, ...]:
         """Ids of a fragment, cut further between characters that no piece has side by side."""
         if fragment[1:].isalpha():

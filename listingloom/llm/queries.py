@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import decontaminate, exact, langid, pieces, quality, shards, simhash
+from listingloom.llm import chat, decontaminate, exact, html, langid, pieces, quality, shards, simhash, tokencounts
 from listingloom.llm.common import table
 
 
@@ -33,10 +33,24 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "source_bytes")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+#: The extra conversation of the query: both texts look like the template's own marks.
+MARKED_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", MARKED_TEXT), (-7, 1, "assistant", MARKED_TEXT)], turns.schema)
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +59,31 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def vocabulary_path() -> str:
+    """The byte-level vocabulary of the installed tokenizer package; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def example_edits(doc_id: Column, text: Column, source: Column) -> Column:
+    """Three edits of a document, fixed by its columns: an insertion, a deletion and a replacement."""
+    n, k = F.length(text), F.pmod(doc_id, F.lit(11))
+    edits = [
+        (F.floor(n / 2) + k, F.lit(0), F.concat(F.lit(" "), source, F.lit(" "))),
+        (F.floor(n / 4), F.lit(12) + k, F.lit("")),
+        (F.floor(n * 3 / 4), k, F.concat(F.lit("'re "), source)),
+    ]
+    return F.array(*(F.struct(p.cast("bigint").alias("pos"), d.cast("bigint").alias("deleted"), i.alias("inserted")) for p, d, i in edits))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    edits = example_edits(F.col("doc_id"), F.col("text"), F.coalesce("source", F.lit("")))
+    counted = docs.select("doc_id", tokencounts.count_under_edits(F.col("text"), edits, vocabulary_path()).alias("c"))
+    return counted.select("doc_id", "c.*")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -81,9 +120,12 @@ group by d.id, z.item_id, z.n having count(*) * 5 >= z.n * 4
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
 }
