@@ -22,7 +22,7 @@ from listingloom.llm.bpe import Cache, merge
 
 MARK = "▁"
 #: Tokens of one output batch.
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
