@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +112,8 @@ class PieceModel:
         self.is_byte = np.array([k == BYTE for k in kinds])
         self.is_control = np.array([k == CONTROL for k in kinds])
         self.source_len = np.array([1 if k == BYTE else len(plain[i]) for i, k in enumerate(kinds)], np.int32)
+        #: Cached ids are packed; bytes are smaller than tuples and join fast.
+        self.packed = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
         self.fragments = Cache(self._merge)
         self.words = Cache(lambda w: self._fragment_ids(MARK + w))
 
@@ -156,8 +157,8 @@ class PieceModel:
                 at = source.pop()
         return "".join(out), np.array([*source, at], np.int64)
 
-    def _merge(self, fragment: str) -> tuple[int, ...]:
-        """Ids of a fragment: the best-scored pair is merged first, the leftmost among equals."""
+    def _merge(self, fragment: str) -> bytes:
+        """Packed ids of a fragment: the best-scored pair is merged first, the leftmost among equals."""
         ids: list[int] = []
         for piece in merge(list(fragment), self.rank.get):
             got = self.id.get(piece)
@@ -167,16 +168,16 @@ class PieceModel:
                 ids.append(self.unk)
             else:
                 ids.extend(self.byte[b] for b in piece.encode())
-        return tuple(ids)
+        return np.array(ids, self.packed).tobytes()
 
-    def _fragment_ids(self, fragment: str) -> tuple[int, ...]:
-        """Ids of a fragment, cut further between characters that no piece has side by side."""
+    def _fragment_ids(self, fragment: str) -> bytes:
+        """Packed ids of a fragment, cut further between characters that no piece has side by side."""
         if fragment[1:].isalpha():
             return self._merge(fragment)
         cuts = [i for i in range(1, len(fragment)) if fragment[i - 1 : i + 1] not in self.joins]
         if not cuts:
             return self.fragments[fragment]
-        return tuple(chain.from_iterable(self.fragments[fragment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(fragment)])))
+        return b"".join(self.fragments[fragment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(fragment)]))
 
     def _ids(self, norm: str) -> np.ndarray:
         if not self.cuts:
@@ -185,7 +186,7 @@ class PieceModel:
             parts = map(self.words.__getitem__, norm[1:].split(MARK))
         else:
             parts = map(self._fragment_ids, re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", norm))
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        return np.frombuffer(b"".join(parts), self.packed).astype(np.int32)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends): each piece and the source bytes it covers."""
