@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listingloom.plans import search_queries  # noqa: F401
+from listingloom.plans import dedup_queries, search_queries  # noqa: F401
 from listingloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "top01_search_cheapest"
