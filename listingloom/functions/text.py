@@ -10,6 +10,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Phone numbers: nine digits, or twelve with the country code (fixed pattern).
 PHONE = r"(?<!\d)(?:\+?998)?[\s()-]*(?:\d[\s()-]*){9,12}(?!\d)"
@@ -28,18 +29,18 @@ def normalised_text(text: str | None) -> str:
     return " ".join("".join(c if c.isalnum() or c in "$+" else " " for c in folded).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_listing_text(text: pd.Series) -> pd.Series:
     return text.map(normalised_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_label(text: pd.Series) -> pd.Series:
     """Compatibility form, case-folded, white space collapsed."""
     return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility_form(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -150,7 +151,7 @@ def parsed_callback(text: Column) -> Column:
     return F.when(good, F.struct(parts[2].alias("action"), parts[3].alias("id")))
 
 
-@F.pandas_udf("struct<name:string,ratio:double>")
+@F.pandas_udf(StructType([StructField("name", StringType()), StructField("ratio", DoubleType())]))
 def closest_name(text: pd.Series, names: pd.Series) -> pd.DataFrame:
     """The name most alike by matching blocks, and how alike; the first of equals."""
     out = []
@@ -163,7 +164,7 @@ def closest_name(text: pd.Series, names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["name", "ratio"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def uuid_of(key: pd.Series) -> pd.Series:
     """Name-based identifier of a key in the URL namespace."""
     return key.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
