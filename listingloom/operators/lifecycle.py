@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +48,27 @@ def remapped(values: Column, old: str, new: str) -> Column:
 def compare_and_set(flags: DataFrame, requests: DataFrame) -> DataFrame:
     """(flag_name, version, enabled, applied) after requests (flag_name, expected_version, enabled, seq).
 
-    In order of seq a request applies if it expects the current version; every applied one adds one to it.
-    So among requests that expect the same version only the first applies, and each applies only if the one
-    for the version before did: the applied ones are the unbroken run that starts at the stored version.
+    In order of seq a request applies if it expects the current version, and adds one to it. What applies
+    depends on what applied before, so each flag's requests stream in order through a fold whose state is
+    one version number.
     """
-    first = requests.groupBy("flag_name", "expected_version").agg(F.min_by(F.struct("seq", "enabled"), "seq").alias("r"))
-    steps = flags.join(first, "flag_name").where(F.col("expected_version") >= F.col("version"))
-    w = Window.partitionBy("flag_name").orderBy("expected_version")
-    run = steps.withColumn("_k", F.row_number().over(w)).withColumn("_seen", F.lag(F.col("r.seq"), 1, -1).over(w))
-    # A break is a missing version, or a request that came before the one it builds on.
-    broken = F.max(F.when((F.col("expected_version") - F.col("version") + 1 != F.col("_k")) | (F.col("r.seq") < F.col("_seen")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    good = run.withColumn("_b", broken).where("_b = 0")
-    done = good.groupBy("flag_name").agg(F.count("*").alias("applied"), F.max_by("r.enabled", "expected_version").alias("_e"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, version = None, 0
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                if r.flag_name != name:
+                    name, version = r.flag_name, r.version
+                if r.expected_version == version:
+                    version += 1
+                    out.append((name, version, bool(r.wanted)))
+            yield pd.DataFrame(out, columns=["flag_name", "version", "wanted"])
+
+    asked = requests.select("flag_name", "expected_version", F.col("enabled").alias("wanted"), "seq").join(flags.select("flag_name", "version"), "flag_name")
+    dealt = asked.repartition("flag_name").sortWithinPartitions("flag_name", "seq")
+    steps = dealt.mapInPandas(fold, "flag_name string, version int, wanted boolean")
+    done = steps.groupBy("flag_name").agg(F.count("*").alias("applied"), F.max_by("wanted", "version").alias("_e"))
     out = flags.join(done, "flag_name", "left")
     applied = F.coalesce("applied", F.lit(0))
     return out.select("flag_name", (F.col("version") + applied).alias("version"), F.coalesce("_e", "enabled").alias("enabled"), applied.alias("applied"))

@@ -191,7 +191,7 @@ def test_metrics_goldens(spark):
     rows = [
         (1, "user_registered", 1, None, AT), (2, "user_registered", 2, None, AT), (3, "user_registered", 3, None, AT), (4, "search_completed", 1, None, AT + day),
         (5, "search_completed", 9, None, AT), (6, "search_completed", 2, None, AT - day), (7, "saved_filter_created", 1, None, AT + 7 * day + dt.timedelta(hours=1)),
-        (8, "saved_filter_created", 2, None, AT + 8 * day + dt.timedelta(hours=2)),
+        (8, "notification_action_open", 2, None, AT + 8 * day + dt.timedelta(hours=2)),
     ]
     df = spark.createDataFrame(rows, EVENT)
     assert tuple(metrics.activation(df, "2026-09-01").first())[:2] == (1, 3)
