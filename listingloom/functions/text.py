@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 import unicodedata
 import uuid
@@ -96,11 +97,43 @@ def first_integer(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "([0-9]{1,9})", 1), F.lit("")).cast("int")
 
 
+#: Bot tokens and API keys (fixed patterns), and words of keys whose values are secret (fixed values).
+TOKENS = (r"\b\d{7,12}:[A-Za-z0-9_-]{25,}\b", r"(?i)\b(?:sk|or|r2)_[A-Za-z0-9_-]{16,}\b", PHONE)
+SENSITIVE = (
+    "api_key", "api_hash", "announcement_text", "authorization", "bot_token", "message_text", "password", "raw_announcement", "raw_text", "secret", "session", "token",
+)
+REDACTED = "[REDACTED]"
+
+
 def redacted(text: Column) -> Column:
-    """Bot tokens, API keys and phone numbers replaced by marks."""
-    out = F.regexp_replace(text, r"\b\d{8,10}:[A-Za-z0-9_-]{30,}\b", "[token]")
-    out = F.regexp_replace(out, r"(?i)\b(?:sk|key|token|secret)[-_=: \"']{1,4}[A-Za-z0-9_-]{12,}", "[key]")
-    return F.regexp_replace(out, PHONE, "[phone]")
+    """Bot tokens, API keys and phone numbers replaced by a mark."""
+    for pattern in TOKENS:
+        text = F.regexp_replace(text, pattern, REDACTED)
+    return text
+
+
+def _redacted_value(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: REDACTED if any(w in k.lower() for w in SENSITIVE) else _redacted_value(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_redacted_value(v) for v in value]
+    if isinstance(value, str):
+        for pattern in TOKENS:
+            value = re.sub(pattern, REDACTED, value)
+    return value
+
+
+@F.pandas_udf(StringType())
+def redacted_json(text: pd.Series) -> pd.Series:
+    """A JSON text with secret keys' values and secret texts masked at any depth; what is no JSON is null."""
+
+    def one(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(_redacted_value(json.loads(value)), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return text.map(one)
 
 
 def message_url(username: Column, message_id: Column) -> Column:

@@ -24,6 +24,7 @@ SIGNALS = {
 }
 #: Weights of the signals in hundredths, on top of five (fixed values).
 WEIGHTS = {"has_text": 20, "has_phone": 20, "has_price": 20, "has_rooms": 10, "has_real_estate_terms": 15, "has_media": 5}
+#: The start of a numbered item, and older names of recipes (fixed values).
 NUMBERED = r"^\s*#?\d{1,3}[.)]\s+"
 ALIASES = {
     "passthrough": "generic.single_listing", "caption_first": "generic.album_caption", "album_text_merge": "generic.album_caption",
@@ -69,6 +70,7 @@ def check_pattern(pattern: str) -> None:
         raise ValueError(f"nested repeat in {pattern!r}")
 
 
+#: The built-in recipes; their patterns are fixed values.
 RECIPES = {
     r.key: r
     for r in (

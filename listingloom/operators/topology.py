@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 #: Allowed health transitions; banned is final (fixed values).
 TRANSITIONS = {
-    "unknown": ("online", "degraded", "flood_wait", "offline", "banned"), "online": ("degraded", "flood_wait", "offline", "banned"),
-    "degraded": ("online", "flood_wait", "offline", "banned"), "flood_wait": ("online", "degraded", "offline", "banned"),
-    "offline": ("online", "degraded", "banned"), "banned": (),
-}
+    "online": ("online", "reconnecting", "flood_wait", "disabled", "banned"),
+    "reconnecting": ("online", "reconnecting", "flood_wait", "disabled", "banned"),
+    "flood_wait": ("online", "reconnecting", "flood_wait", "disabled", "banned"),
+    "disabled": ("online", "disabled"),
+    "banned": ("banned",),
+}
 
 
 def active_sources(sources: DataFrame) -> DataFrame:
@@ -75,10 +77,10 @@ def assign_least_loaded(sources: DataFrame, accounts: DataFrame) -> DataFrame:
 def reconciled(assignments: DataFrame, sources: DataFrame, accounts: DataFrame) -> DataFrame:
     """assignments with ``reason`` set where they must be released: source disabled, account missing or unhealthy."""
     rows = assignments.join(sources.select("source_id", "enabled"), "source_id", "left").join(accounts.select("account_key", "health"), "account_key", "left")
-    reason = F.when(~F.coalesce("enabled", F.lit(False)), "source_disabled").when(F.col("health").isNull(), "account_missing").when(F.col("health").isin("banned", "offline"), "account_unhealthy")
+    reason = F.when(~F.coalesce("enabled", F.lit(False)), "source_disabled").when(F.col("health").isNull(), "account_missing").when(F.col("health").isin("banned", "disabled"), "account_unhealthy")
     return rows.select("source_id", "account_key", reason.alias("reason"))
 
 
 def transition_allowed(before, after):
     pairs = [f"{a}>{b}" for a, bs in TRANSITIONS.items() for b in bs]
-    return (before == after) | F.concat(before, F.lit(">"), after).isin(pairs)
+    return F.concat(before, F.lit(">"), after).isin(pairs)

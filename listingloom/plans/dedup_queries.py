@@ -58,7 +58,7 @@ def _scored(spark, d):
     return dedup.score(dedup.candidate_pairs(rows, dedup.listing_keys()), rows)
 
 
-@query("join02_blocking_pairs", SCORED + "select incoming, count(*) as n, sum(candidate) as checksum from pairs group by 1")
+@query("join02_blocking_pairs", SCORED + "select incoming, count(*) as n, sum(candidate)::bigint as checksum from pairs group by 1")
 def join02(spark, d):
     rows = t.listings(spark, d).where("status = 'active' and parent_id is null")
     pairs = dedup.candidate_pairs(rows, dedup.listing_keys())
@@ -68,7 +68,7 @@ def join02(spark, d):
 SIGNALS = ("source_url", "same_image", "district", "rooms", "area", "price", "floor", "similar_address", "similar_description", "phone")
 
 
-@query("ded03_signal_matchers", SCORED + "select " + ", ".join(f"count(*) filter ({s}) as {s}" for s in SIGNALS) + ", count(*) as pairs, sum(score) as total_score from scored")
+@query("ded03_signal_matchers", SCORED + "select " + ", ".join(f"count(*) filter ({s}) as {s}" for s in SIGNALS) + ", count(*) as pairs, sum(score)::bigint as total_score from scored")
 def ded03(spark, d):
     scored = _scored(spark, d)
     return scored.agg(*(F.count_if(s).alias(s) for s in SIGNALS), F.count("*").alias("pairs"), F.sum("score").alias("total_score"))

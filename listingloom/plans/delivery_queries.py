@@ -142,7 +142,7 @@ def ladder(spark, d):
 
 
 SOURCES_SQL = """srcs as (select 'src' || s_suppkey as source_id, s_suppkey % 7 <> 0 as enabled, case when s_suppkey % 10 = 9 then 1 end as deleted_at, 'ad' || (s_suppkey % 2) as adapter, 'ses' || (s_suppkey % 3) as session, 'p' || (s_suppkey % 4) as parser_key, 'pr' || (s_suppkey % 2) as profile from supplier),
-  accounts as (select 'acc' || s_suppkey as account_key, 'ad' || (s_suppkey % 2) as adapter, case s_suppkey % 4 when 0 then 'banned' when 1 then 'offline' else 'online' end as health, s_suppkey % 3 as load from supplier where s_suppkey % 2 = 0 or s_suppkey % 5 = 0),
+  accounts as (select 'acc' || s_suppkey as account_key, 'ad' || (s_suppkey % 2) as adapter, case s_suppkey % 4 when 0 then 'banned' when 1 then 'disabled' else 'online' end as health, s_suppkey % 3 as load from supplier where s_suppkey % 2 = 0 or s_suppkey % 5 = 0),
   assigned as (select 'src' || s_suppkey as source_id, 'acc' || (s_suppkey * 2) as account_key, s_suppkey % 3 <> 0 as active from supplier)"""
 
 
@@ -155,7 +155,7 @@ def _sources(spark, d):
 def _accounts(spark, d):
     k = F.col("s_suppkey")
     rows = t.table(spark, d, "supplier").where((k % 2 == 0) | (k % 5 == 0))
-    return rows.select(F.concat(F.lit("acc"), k.cast("string")).alias("account_key"), F.concat(F.lit("ad"), (k % 2).cast("string")).alias("adapter"), F.when(k % 4 == 0, "banned").when(k % 4 == 1, "offline").otherwise("online").alias("health"), (k % 3).alias("load"))
+    return rows.select(F.concat(F.lit("acc"), k.cast("string")).alias("account_key"), F.concat(F.lit("ad"), (k % 2).cast("string")).alias("adapter"), F.when(k % 4 == 0, "banned").when(k % 4 == 1, "disabled").otherwise("online").alias("health"), (k % 3).alias("load"))
 
 
 def _assigned(spark, d):
@@ -194,7 +194,7 @@ def bindings(spark, d):
     return _sources(spark, d).groupBy("session").agg(F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("sources"))
 
 
-@query("dml23_reconcile", f"with {SOURCES_SQL} select a.source_id, a.account_key, case when not coalesce(s.enabled, false) then 'source_disabled' when c.health is null then 'account_missing' when c.health in ('banned', 'offline') then 'account_unhealthy' end as reason from assigned a left join srcs s on s.source_id = a.source_id left join accounts c on c.account_key = a.account_key")
+@query("dml23_reconcile", f"with {SOURCES_SQL} select a.source_id, a.account_key, case when not coalesce(s.enabled, false) then 'source_disabled' when c.health is null then 'account_missing' when c.health in ('banned', 'disabled') then 'account_unhealthy' end as reason from assigned a left join srcs s on s.source_id = a.source_id left join accounts c on c.account_key = a.account_key")
 def reconcile(spark, d):
     return topology.reconciled(_assigned(spark, d), _sources(spark, d), _accounts(spark, d))
 
@@ -204,10 +204,10 @@ def least_loaded(spark, d):
     return topology.assign_least_loaded(_sources(spark, d), _accounts(spark, d).where("health = 'online' or adapter = 'ad1'"))
 
 
-@query("dml24_health_transitions", "select event_id, a, b, a = b or (a = 'online' and b in ('degraded', 'flood_wait', 'offline', 'banned')) or (a = 'offline' and b in ('online', 'degraded', 'banned')) as allowed from (select event_id, case event_id % 3 when 0 then 'online' when 1 then 'offline' else 'banned' end as a, case event_id % 4 when 0 then 'online' when 1 then 'degraded' when 2 then 'flood_wait' else 'banned' end as b from events)")
+@query("dml24_health_transitions", "select event_id, a, b, a = 'online' and b in ('online', 'reconnecting', 'flood_wait', 'banned') or a = 'disabled' and b = 'online' or a = 'banned' and b = 'banned' as allowed from (select event_id, case event_id % 3 when 0 then 'online' when 1 then 'disabled' else 'banned' end as a, case event_id % 4 when 0 then 'online' when 1 then 'reconnecting' when 2 then 'flood_wait' else 'banned' end as b from events)")
 def health(spark, d):
     k = F.col("event_id")
-    rows = t.table(spark, d, "events").select("event_id", F.when(k % 3 == 0, "online").when(k % 3 == 1, "offline").otherwise("banned").alias("a"), F.when(k % 4 == 0, "online").when(k % 4 == 1, "degraded").when(k % 4 == 2, "flood_wait").otherwise("banned").alias("b"))
+    rows = t.table(spark, d, "events").select("event_id", F.when(k % 3 == 0, "online").when(k % 3 == 1, "disabled").otherwise("banned").alias("a"), F.when(k % 4 == 0, "online").when(k % 4 == 1, "reconnecting").when(k % 4 == 2, "flood_wait").otherwise("banned").alias("b"))
     return rows.withColumn("allowed", topology.transition_allowed(F.col("a"), F.col("b")))
 
 

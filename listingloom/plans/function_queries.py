@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listingloom.functions import labels, text
+from listingloom.operators import extraction
 from listingloom.plans.registry import query
 from listingloom.sources import tables as t
 
@@ -34,7 +35,7 @@ projection("str08_currency", "part", "p_partkey", "value", lambda: labels.curren
 projection("str09_alias_passthrough", "region", "r_regionkey", "value", lambda: labels.canonical(c("r_name"), {"asia": "Asia and Pacific", "africa": "Africa"}), "case lower(r_name) when 'asia' then 'Asia and Pacific' when 'africa' then 'Africa' else r_name end")
 projection("str10_alias_or_null", "region", "r_regionkey", "value", lambda: labels.mapped(c("r_name"), {"asia": "Asia and Pacific", "africa": "Africa"}), "case lower(r_name) when 'asia' then 'Asia and Pacific' when 'africa' then 'Africa' end")
 projection("str11_tag_key", "part", "p_partkey", "value", lambda: text.tag_key(F.concat(F.lit(" "), c("p_type"), F.lit("--"), c("p_brand"))), "trim(regexp_replace(lower(trim(p_type || '--' || p_brand)), '[^a-z0-9]+', '_', 'g'), '_')")
-projection("str13_typed_price", "part", "p_partkey", "value", lambda: text.parsed_price(F.concat(c("p_size").cast("string"), F.lit(" 000,5"))).cast("double"), "p_size * 1000 + 0.5")
+projection("str13_typed_price", "part", "p_partkey", "value", lambda: text.parsed_price(F.concat(c("p_size").cast("string"), F.lit(" 000,5"))).cast("double"), "cast(p_size * 1000 + 0.5 as double)")
 projection("str14_name_list", "part", "p_partkey", "value", lambda: F.array_join(text.listed_names(F.concat_ws(", ", "p_name", F.concat(c("p_brand"), F.lit(" va "), c("p_type")), "p_type")), "|"), "array_to_string([p_name, p_brand, p_type], '|')")
 projection("str15_first_integer", "part", "p_partkey", "value", lambda: text.first_integer(c("p_brand")), "cast(regexp_extract(p_brand, '([0-9]+)', 1) as integer)")
 projection("str17_message_url", "nation", "n_nationkey", "value", lambda: text.message_url(F.concat(F.lit("@"), c("n_name")), c("n_nationkey")), "'https://t.me/' || n_name || '/' || n_nationkey")
@@ -60,25 +61,69 @@ projection("str04_word_tokens", "documents", "doc_id", "n", lambda: F.size(text.
 projection("str16_redacted", "documents", "doc_id", "hash", lambda: F.sha2(text.redacted(c("text")), 256), None)
 projection("str32_label_normalised", "nation", "n_nationkey", "value", lambda: text.normalise_label("n_name"), "lower(n_name)")
 projection("str12_fuzzy_tag", "part", "p_partkey", "value", lambda: F.when(text.closest_name(F.concat(F.lower("p_type"), F.lit("s")), F.array(*map(F.lit, ("economy", "promo", "standard", "large", "small", "medium"))))["ratio"] >= 0.82, text.closest_name(F.concat(F.lower("p_type"), F.lit("s")), F.array(*map(F.lit, ("economy", "promo", "standard", "large", "small", "medium"))))["name"]), "lower(p_type)")
-projection("mat05_fit_dimensions", "part", "p_partkey", "value", lambda: F.bround(c("p_size") * 37 * F.least(F.lit(1.0), F.lit(800) / (c("p_size") * 37)), 0).cast("int"), "cast(least(p_size * 37, 800) as integer)")
 projection("mat06_half_even", "part", "p_partkey", "value", lambda: F.bround(c("p_size").cast("decimal(12,4)") / 2, 0).cast("int"), "cast(case when p_size % 2 = 0 then p_size // 2 when (p_size // 2) % 2 = 0 then p_size // 2 else p_size // 2 + 1 end as integer)")
 projection("mat03_hash_strength", "events", "event_id", "value", lambda: 1 - (c("user_id") % 9) / 64, "1 - (user_id % 9)::double / 64")
-projection("fil18_marker_matches", "documents", "doc_id", "value", lambda: F.size(F.filter(F.array(*map(F.lit, ("(?i)(?:^|\\P{L})the(?:$|\\P{L})", "(?i)(?:^|\\P{L})der(?:$|\\P{L})", "(?i)(?:^|\\P{L})que(?:$|\\P{L})"))), lambda p: F.rlike("text", p))).cast("bigint"), "regexp_matches(text, '(?i)(?:^|\\P{L})the(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})der(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})que(?:$|\\P{L})')::int")
+projection("fil18_marker_matches", "documents", "doc_id", "value", lambda: F.size(F.filter(F.array(*map(F.lit, ("(?i)(?:^|\\P{L})the(?:$|\\P{L})", "(?i)(?:^|\\P{L})der(?:$|\\P{L})", "(?i)(?:^|\\P{L})que(?:$|\\P{L})"))), lambda p: F.rlike("text", p))).cast("bigint"), "cast(regexp_matches(text, '(?i)(?:^|\\P{L})the(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})der(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})que(?:$|\\P{L})')::int as bigint)")
 projection("fil21_media_supported", "part", "p_partkey", "value", lambda: (c("p_type") == "PROMO") | (c("p_type").isin("LARGE", "SMALL") & c("p_brand").startswith("Brand#2")), "p_type = 'PROMO' or (p_type in ('LARGE', 'SMALL') and p_brand like 'Brand#2%')")
 projection("fil20_required_fields", "listings", "announcement_id", "missing", lambda: F.array_join(F.array_compact(F.array(*(F.when(c(x).isNull(), F.lit(x)) for x in ("price", "renovation", "source_url")))), ","), "array_to_string(list_filter([case when price is null then 'price' end, case when renovation is null then 'renovation' end, case when source_url is null then 'source_url' end], lambda x: x is not null), ',')")
-projection("fil19_quality_gate", "events", "event_id", "status", lambda: F.when(c("value") < 40, "failed").when(c("value") < 60, "manual_review").when(c("event_type") == "error", "manual_review").otherwise("succeeded"), "case when value < 40 then 'failed' when value < 60 or event_type = 'error' then 'manual_review' else 'succeeded' end")
 projection("fil23_cohort_policy", "customer", "c_custkey", "allowed", lambda: F.when(c("c_mktsegment") == "BUILDING", "allowed").when(c("c_custkey").isin(3, 6, 9), "listed").otherwise("closed"), "case when c_mktsegment = 'BUILDING' then 'allowed' when c_custkey in (3, 6, 9) then 'listed' else 'closed' end")
 projection("set08_replace_distinct", "part", "p_partkey", "value", lambda: F.array_join(F.array_distinct(F.transform(F.split("p_name", " "), lambda x: F.when(x == "large", "big").otherwise(x))), " "), "replace(p_name, 'large', 'big')")
 projection("set10_first_spelling", "part", "p_partkey", "value", lambda: F.array_join(F.aggregate(F.array("p_type", F.lower("p_type"), "p_brand"), F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x))), ","), "p_type || ',' || p_brand")
 projection("jsn02_tolerant_json", "events", "event_id", "k", lambda: F.coalesce(F.from_json(F.when(c("event_id") % 3 == 0, F.lit("{bad")).otherwise(c("props")), "k int")["k"], F.lit(-1)), "case when event_id % 3 = 0 then -1 else cast(json_extract_string(props, '$.k') as integer) end")
 projection("jsn03_path_read", "events", "event_id", "k", lambda: F.variant_get(F.parse_json("props"), "$.k", "int"), "cast(json_extract_string(props, '$.k') as integer)")
 projection("fil14_json_path_equality", "events", "event_id", "hit", lambda: F.get_json_object("props", "$.k") == "7", "json_extract_string(props, '$.k') = '7'")
-projection("src13_json_specs", "events", "event_id", "n", lambda: F.size(F.from_json(F.concat(F.lit("["), c("props"), F.lit(","), c("props"), F.lit("]")), "array<struct<k:int>>")).cast("bigint"), "2")
+projection("src13_json_specs", "events", "event_id", "n", lambda: F.size(F.from_json(F.concat(F.lit("["), c("props"), F.lit(","), c("props"), F.lit("]")), "array<struct<k:int>>")).cast("bigint"), "cast(2 as bigint)")
 projection("jsn01_breakdown_round_trip", "listings", "announcement_id", "value", lambda: F.from_json(F.to_json(F.struct(F.lit("rooms").alias("name"), c("rooms").alias("weight"))), "name string, weight int")["weight"], "rooms")
 projection("src05_message_encode", "posts", "post_id", "value", lambda: F.to_json(F.struct("post_id", "source_id")), "'{\"post_id\":' || post_id || ',\"source_id\":\"' || source_id || '\"}'")
 projection("arr01_sorted_union", "part", "p_partkey", "value", lambda: F.array_join(F.array_sort(F.array_union(F.split("p_name", " "), F.array("p_type"))), ","), "array_to_string(list_sort(list_distinct(string_split(p_name, ' ') || [p_type])), ',')")
 projection("str23_notification_text", "listings", "announcement_id", "value", lambda: F.concat_ws("\n", F.array_compact(F.array(c("district"), labels.rooms_label(c("rooms")), F.when(c("source_url").isNotNull(), text.safe_url(c("source_url")))))), "concat_ws(chr(10), district, case when rooms = 1 then '1 room' else rooms || ' rooms' end, source_url)")
 projection("str25_card", "listings", "announcement_id", "value", lambda: F.substring(F.concat_ws(" - ", "district", "description"), 1, 30), "(district || ' - ' || description)[1:30]")
-projection("nrm01_listing_defaults", "listings", "announcement_id", "value", lambda: F.concat_ws("/", F.coalesce("renovation", F.lit("unknown")), F.coalesce(c("price").cast("double").cast("string"), F.lit("unpriced")).substr(1, 0), F.coalesce("currency", F.lit("USD"))), "coalesce(renovation, 'unknown') || '//' || currency")
-projection("nrm07_identifier", "nation", "n_nationkey", "value", lambda: F.length(text.uuid_of("n_name")).cast("bigint"), "36")
+projection("nrm07_identifier", "nation", "n_nationkey", "value", lambda: F.length(text.uuid_of("n_name")).cast("bigint"), "cast(36 as bigint)")
 projection("ded06_district_folded", "nation", "n_nationkey", "value", lambda: F.lower(F.trim(F.concat(F.lit(" "), c("n_name")))), "lower(n_name)")
+projection("mat05_fit_dimensions", "part", "p_partkey", "value", lambda: extraction.fitted(c("p_size") * 37, c("p_size") * 10)[0], "cast(least(p_size * 37, 800) as integer)")
+projection("prj05_redacted_summary", "events", "event_id", "value", lambda: F.get_json_object(text.redacted_json(F.to_json(F.struct(c("event_type").alias("name"), c("props").alias("raw_text")))), "$.raw_text"), "'[REDACTED]'")
+
+
+def raw_fields(spark, d):
+    """Model-like fields of the listings: some lack period, basis or price, some contradict themselves."""
+    k = c("announcement_id")
+    return t.listings(spark, d).select(
+        "announcement_id", F.when(k % 6 != 0, c("price")).alias("price"), c("currency"), F.when(k % 4 != 0, c("price_period")).alias("price_period"), F.when(k % 5 != 0, c("price_basis")).alias("price_basis"),
+        F.when(k % 9 == 0, "sale").when(k % 9 < 5, "rent").alias("listing_type"), F.when(k % 6 != 0, c("rooms")).alias("rooms"), F.when(k % 12 != 0, c("district")).alias("district"),
+        c("address"), F.array().cast("array<string>").alias("phone_numbers"), F.lit(None).cast("string").alias("owner_type"), F.when(k % 15 == 0, "Hi").otherwise(c("description")).alias("description"),
+        ((k % 100) / 100).alias("confidence"), F.when(k % 7 == 0, False).when(k % 7 < 4, True).alias("is_rental"), F.when(k % 8 == 0, 0.3).alias("rental_confidence"), F.lit("").alias("source_text"),
+    )
+
+
+RAW_SQL = """raw as (select announcement_id, case when k % 6 <> 0 then price end as price, case when k % 4 <> 0 then price_period end as price_period, case when k % 5 <> 0 then price_basis end as price_basis,
+  case when k % 9 = 0 then 'sale' when k % 9 < 5 then 'rent' end as listing_type, case when k % 6 <> 0 then rooms end as rooms, case when k % 12 <> 0 then district end as district,
+  case when k % 15 = 0 then 'Hi' else description end as description, (k % 100)::double / 100 as confidence, case when k % 7 = 0 then false when k % 7 < 4 then true end as is_rental,
+  case when k % 8 = 0 then 0.3::double end as rental_confidence from (select *, announcement_id as k from listings)), flags as (select *,
+  coalesce(is_rental and listing_type = 'sale' or not is_rental and listing_type = 'rent', false) as conflict, coalesce(is_rental, coalesce(listing_type <> 'sale', true)) as rental,
+  price is not null or rooms is not null or district is not null as essential from raw), gate as (select *, length(description) < 5 or not essential as junk from flags)"""
+
+
+@query("nrm01_normalise_listing", f"""with {RAW_SQL} select announcement_id, coalesce(price_period, 'monthly') as price_period, coalesce(price_basis, 'total') as price_basis,
+  cast(case coalesce(price_period, 'monthly') when 'daily' then price * 30 when 'monthly' then price end as double) as monthly,
+  concat_ws(',', case when price_period is null then 'price_period_defaulted_monthly' end, case when price_basis is null then 'price_basis_defaulted_total' end) as assumptions from raw""")
+def normalise_listing(spark, d):
+    rows = extraction.normalised(raw_fields(spark, d))
+    return rows.select("announcement_id", "price_period", "price_basis", c("monthly").cast("double").alias("monthly"), F.array_join("assumptions", ",").alias("assumptions"))
+
+
+@query("fil19_quality_gate", f"""with {RAW_SQL} select announcement_id, case when conflict or not rental or coalesce(rental_confidence, confidence) <= 0.5 or confidence < 0.4 or junk and confidence < 0.6 then 'failed'
+    when price is null or junk or confidence < 0.7 then 'manual_review' else 'succeeded' end as status,
+  case when conflict then 'contradictory_rental_classification' when not rental then 'not_a_rental_announcement' when coalesce(rental_confidence, confidence) <= 0.5 then 'rental_confidence_below_threshold'
+    when (confidence < 0.4 or junk and confidence < 0.6) and not essential then 'rejected_not_real_estate_listing' when confidence < 0.4 or junk and confidence < 0.6 then 'low_relevance_score'
+    when price is null then 'source_required_fields_missing:price' when junk then 'missing_essential_fields' when confidence < 0.7 then 'low_confidence' end as reason from gate""")
+def quality_gate(spark, d):
+    return extraction.gated(extraction.normalised(raw_fields(spark, d)), 0.7, ("price",)).select("announcement_id", "status", "reason")
+
+
+@query("jsn05_strict_answers", "select announcement_id, announcement_id % 5 not in (0, 1) as valid, case when announcement_id % 5 not in (0, 1) then rooms end as rooms from listings")
+def strict_answers(spark, d):
+    k = c("announcement_id")
+    good = F.to_json(F.struct("rooms", "district"))
+    payload = F.when(k % 5 == 0, F.lit("{broken")).when(k % 5 == 1, F.lit('{"rooms":1,"mood":"good"}')).otherwise(good)
+    rows = extraction.parsed(t.listings(spark, d).select("announcement_id", payload.alias("payload")))
+    return rows.select("announcement_id", "valid", F.when(c("valid"), c("rooms")).alias("rooms"))
