@@ -8,7 +8,7 @@ from collections.abc import Callable
 #: Symbols up to which merging rescans the list; longer inputs use a heap.
 SHORT = 48
 #: Entries of a generation of each cache.
-CACHE = 130_000
+CACHE = 220_000
 
 
 class Cache(dict):
@@ -21,10 +21,7 @@ class Cache(dict):
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        self[key] = out
+        out = self[key] = self.old.get(key) or self.make(key)
         return out
 
 
@@ -35,13 +32,14 @@ def merge(s: list, rank: Callable) -> list:
     """
     if len(s) > SHORT:
         return _merge_long(s, rank)
-    none = float("inf")
+    none = 1e18
     ranks = [rank(a + b, none) for a, b in zip(s, s[1:])]
-    while ranks and (best := min(ranks)) != none:
+    ranks.append(none)  # of the last symbol, which has no right neighbour
+    while (best := min(ranks)) != none:
         i = ranks.index(best)
         s[i] = both = s[i] + s.pop(i + 1)
         del ranks[i]
-        if i < len(ranks):
+        if i < len(ranks) - 1:
             ranks[i] = rank(both + s[i + 1], none)
         if i:
             ranks[i - 1] = rank(s[i - 1] + both, none)

@@ -9,8 +9,10 @@ byte span of the source text. Decoding undoes pieces, byte pieces and the dummy
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +115,7 @@ class PieceModel:
         self.is_control = np.array([k == CONTROL for k in kinds])
         self.source_len = np.array([1 if k == BYTE else len(plain[i]) for i, k in enumerate(kinds)], np.int32)
         #: Cached ids are packed; bytes are smaller than tuples and join fast.
-        self.packed = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
+        self.packed = "H" if len(pieces) <= 1 << 16 else "I"
         self.fragments = Cache(self._merge)
         self.words = Cache(lambda w: self._fragment_ids(MARK + w))
 
@@ -159,16 +161,16 @@ class PieceModel:
 
     def _merge(self, fragment: str) -> bytes:
         """Packed ids of a fragment: the best-scored pair is merged first, the leftmost among equals."""
-        ids: list[int] = []
-        for piece in merge(list(fragment), self.rank.get):
-            got = self.id.get(piece)
-            if got is not None:
-                ids.append(got)
-            elif self.byte is None:
-                ids.append(self.unk)
-            else:
-                ids.extend(self.byte[b] for b in piece.encode())
-        return np.array(ids, self.packed).tobytes()
+        pieces = merge(list(fragment), self.rank.get)
+        try:
+            return array(self.packed, map(self.id.__getitem__, pieces)).tobytes()
+        except KeyError:  # a character that is no piece
+            ids = (self.byte_ids(p) if p not in self.id else (self.id[p],) for p in pieces)
+            return array(self.packed, chain.from_iterable(ids)).tobytes()
+
+    def byte_ids(self, char: str) -> tuple[int, ...]:
+        """The byte pieces of a character, or the unknown piece where the model has none."""
+        return (self.unk,) if self.byte is None else tuple(self.byte[b] for b in char.encode())
 
     def _fragment_ids(self, fragment: str) -> bytes:
         """Packed ids of a fragment, cut further between characters that no piece has side by side."""
