@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, the one with the least doc_id stays."""
-    groups = simhash.near_duplicate_groups(docs)
+    """Of documents about 0.8 alike in five-word shingles, by SimHash, the one with the least doc_id stays."""
+    groups = simhash.wide_groups(docs)
     leave = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     return docs.join(leave, "doc_id", "left_anti").select(*docs.columns)
 

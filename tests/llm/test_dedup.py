@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -78,6 +79,35 @@ def test_hot_buckets_are_cut_into_cells(spark, monkeypatch):
     assert all(((r["u"] ^ r["v"]) & (2**64 - 1)).bit_count() >= 0 for r in found)
 
 
+def test_wide_groups(spark):
+    rng = random.Random(7)
+    texts = list(ODD_TEXTS)
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        edited = list(base)
+        for k in rng.sample(range(200), 2):
+            edited[k] = "changed"
+        texts += [" ".join(base), "\n".join(edited)]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(None, texts[-1], 5)], "doc_id bigint, text string, x bigint")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.wide_groups(docs).collect()}
+    first = len(ODD_TEXTS)
+    pairs = {i: first + (i - first) // 2 * 2 for i in range(first, len(texts))}
+    assert {i: got.get(i) for i in pairs} == pairs
+    assert {i: c for i, c in got.items() if i < first} == {4: 4, 5: 4, 6: 6, 9: 6, 10: 6}
+    assert simhash.wide_groups(docs.limit(0)).count() == 0
+
+
+def test_counters_pass_any_radius():
+    rng = random.Random(8)
+    fps = np.array([[rng.getrandbits(64), rng.getrandbits(64)] for _ in range(40)], np.uint64)
+    fps[20:] = fps[:20] ^ np.array([[(1 << rng.randrange(40)) - 1, 3] for _ in range(20)], np.uint64)
+    for radius in (0, 1, 3, 7, 10, 24, 60):
+        u, v = simhash.forest(np.zeros(40, np.int64), fps, np.arange(40), radius)
+        apart = lambda a, b: int(np.bitwise_count(fps[a] ^ fps[b]).sum())
+        want = roots(range(40), [(a, b) for a in range(40) for b in range(a) if apart(a, b) <= radius])
+        assert roots(range(40), list(zip(u.tolist(), v.tolist()))) == want
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + k) for k in range(1, 20)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}

@@ -3,8 +3,16 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from tests.llm.test_dedup import contained, fingerprint, roots
+from listingloom.llm import simhash
+from tests.llm.test_dedup import contained, roots
+
+
+def similarity(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / max(1, len(x | y))
 
 
 def corpus():
@@ -44,9 +52,13 @@ def test_stages(spark, tmp_path):
                 first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", now[i]), i)
             keep = set(first.values())
         elif name == "near_dedup":
-            prints = {i: fingerprint(t) for i, t in now.items()}
-            found = roots(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
-            keep = {i for i in now if found[i] == i}
+            keep = {r["doc_id"] for r in docs.select("doc_id").collect()}
+            bits = {i: simhash.wide_bits(t, 5) for i, t in now.items()}
+            apart = lambda a, b: int(np.bitwise_count(bits[a] ^ bits[b]).sum())
+            found = roots(now, [(a, b) for a in now for b in now if a < b and apart(a, b) <= simhash.WIDE_RADIUS])
+            assert {i for i in now if found[i] == i} <= keep
+            alike = [(a, b) for a in now for b in now if a < b and similarity(now[a], now[b]) >= 0.8]
+            assert len(alike) > 10 and not [p for p in alike if p[0] in keep and p[1] in keep]
         else:
             keep = set(now) - {d for d, _ in contained(now.items(), items)}
         assert {r["doc_id"] for r in docs.select("doc_id").collect()} == keep and len(keep) <= len(now)
