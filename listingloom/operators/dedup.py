@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from listingloom.functions.similarity import hash_bands, jaccard, least_hamming
 from listingloom.operators.predicates import area_close, price_close, user_facing
+from listingloom.sources.tables import checkpointed
 
 
 @dataclass(frozen=True)
@@ -201,7 +202,7 @@ def group_roots(links: DataFrame, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         up = now.select(F.col("child").alias("_c"), F.col("root").alias("_r"))
         stepped = now.join(up, F.col("root") == F.col("_c"), "left")
-        told = stepped.select("child", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")).checkpoint()
+        told = checkpointed(stepped.select("child", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
         now = told.select("child", "root")
         if not told.where("moved").take(1):
             return now

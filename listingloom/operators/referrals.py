@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingloom.sources.tables import checkpointed
+
 MILESTONE, AWARD_DAYS = 5, 7
 
 
@@ -18,7 +20,7 @@ def ancestors(edges: DataFrame, rounds: int = 8) -> DataFrame:
         longest = paths.agg(F.max("depth")).first()[0]
         tail = paths.where(F.col("depth") == longest).select("user_id", F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
         more = tail.join(paths.select(F.col("user_id").alias("_a"), "ancestor", "depth"), "_a").select("user_id", "ancestor", (F.col("_d") + F.col("depth")).alias("depth"))
-        grown = paths.unionByName(more).groupBy("user_id", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
+        grown = checkpointed(paths.unionByName(more).groupBy("user_id", "ancestor").agg(F.min("depth").alias("depth")))
         if longest is None or grown.agg(F.max("depth")).first()[0] == longest:
             return grown
         paths = grown
