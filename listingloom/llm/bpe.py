@@ -8,7 +8,7 @@ from collections.abc import Callable
 #: Symbols up to which merging rescans the list; longer inputs use a heap.
 SHORT = 48
 #: Entries of a generation of each cache.
-CACHE = 220_000
+CACHE = 140_000
 
 
 class Cache(dict):

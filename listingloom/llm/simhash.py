@@ -26,7 +26,7 @@ RADIUS = 3
 #: Rows of a bucket that are compared in one piece.
 CELL_ROWS = 2048
 #: Rows gathered before a bit-sliced pass over whole cells; (query, block) items in one pass.
-BATCH_ROWS, PASS_ITEMS = 1 << 16, 1 << 16
+BATCH_ROWS, PASS_ITEMS = 1 << 14, 1 << 15
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 VOTE_ROWS = 1 << 14
 
