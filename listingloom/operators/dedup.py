@@ -104,10 +104,67 @@ def candidate_pairs(listings: DataFrame, keys: Mapping[str, Column], scoring: Sc
 
 
 def listing_keys() -> dict[str, Column]:
-    """Blocking keys of the listings view."""
+    """Three of the blocking keys, to which the SQL of the scored queries holds; ``all_candidates`` has all."""
     return {"url": F.col("source_url"), "phone": F.col("phone"), "place": F.concat_ws("/", "district", F.col("rooms").cast("string"))}
 
 
+#: Width of an area cell and of a cell of ln(price), each at least the reach of its range; seconds of a time cell.
+AREA_CELL, PRICE_CELL, TIME_CELL = 3, 0.06, 86_400
+
+
+def _range_pairs(rows: DataFrame, floors: DataFrame, scoring: Scoring) -> DataFrame:
+    """(incoming, candidate, candidate_at) with close area or price, not before the incoming's floor (``since``).
+
+    Both ranges are refined exactly before any limit. A pair is met in one cell of time only, and in the
+    cells of the range that lie at the incoming's or beside it.
+    """
+    second = F.unix_seconds(F.col("created_at").cast("timestamp"))
+    told = rows.select("announcement_id", "created_at", second.alias("second"), "area", "monthly", "price_period", "price_basis", "currency")
+    kinds = {
+        "area": (F.floor(F.col("area") / AREA_CELL), F.col("c_area").between(F.col("area") - 3, F.col("area") + 3), []),
+        "price": (
+            F.floor(F.ln(F.when(F.col("monthly") > 0, F.col("monthly")).cast("double")) / PRICE_CELL),
+            (F.col("c_monthly") * 100).between(F.col("monthly") * 95, F.col("monthly") * 105), ["price_period", "price_basis", "currency"],
+        ),
+    }
+    found = []
+    for cell, close, same in kinds.values():
+        placed = told.withColumn("cell", cell).where(F.col("cell").isNotNull())
+        stored = placed.select(
+            "cell", F.floor(F.col("second") / TIME_CELL).alias("day"), *same, F.col("announcement_id").alias("candidate"), F.col("created_at").alias("candidate_at"),
+            F.col("second").alias("c_second"), F.col("area").alias("c_area"), F.col("monthly").alias("c_monthly"),
+        )
+        days = F.sequence(F.floor(F.col("since") / TIME_CELL), F.floor(F.col("second") / TIME_CELL))
+        probes = placed.join(floors, "announcement_id").withColumn("cell", F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1))))).withColumn("day", F.explode(days))
+        earlier = (F.col("candidate_at") < F.col("created_at")) | ((F.col("candidate_at") == F.col("created_at")) & (F.col("candidate") < F.col("announcement_id")))
+        met = probes.join(stored, ["cell", "day", *same]).where(close & earlier & (F.col("c_second") >= F.col("since")))
+        found.append(met.select(F.col("announcement_id").alias("incoming"), "candidate", "candidate_at"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def all_candidates(rows: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
+    """(incoming, candidate, candidate_at) by url, forward origin, district, rooms, image hash, area range or price range.
+
+    ``rows`` are ``prepared``. Of the earlier listings that meet any of them, the newest ``scoring.candidates``
+    within the look-back stay. Where the equal keys alone fill that number, a range match older than the
+    last of theirs can't be among them, so ranges are searched back to there only.
+    """
+    names = ["source_url", "forward_key", "district", "rooms"]
+    keys = {k: F.col(k).cast("string") for k in names if k in rows.columns}
+    hashed = rows.select("announcement_id", "created_at", F.explode("hashes").alias("hash"))
+    plain = rows.select("announcement_id", "created_at", F.lit(None).cast("string").alias("hash"), *keys.values())
+    both = plain.unionByName(hashed, allowMissingColumns=True)
+    equal = checkpointed(candidate_pairs(both, {**keys, "hash": F.col("hash")}, scoring))
+    n, reach = scoring.candidates, scoring.lookback_days * 86_400
+    full = equal.groupBy("incoming").agg(F.count("*").alias("n"), F.min("candidate_at").alias("last")).where(F.col("n") >= n)
+    second = F.unix_seconds(F.col("created_at").cast("timestamp"))
+    last = F.unix_seconds(F.col("last").cast("timestamp"))
+    floors = rows.join(full, F.col("announcement_id") == F.col("incoming"), "left").select("announcement_id", F.coalesce(last, second - reach).alias("since"))
+    near = equal.unionByName(_range_pairs(rows, floors, scoring)).distinct()
+    newest = Window.partitionBy("incoming").orderBy(F.col("candidate_at").desc(), F.col("candidate").desc())
+    return near.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).drop("place")
+
+
 def score(pairs: DataFrame, rows: DataFrame, scoring: Scoring = Scoring(), matchers: Mapping[str, Matcher] | None = None) -> DataFrame:
     """pairs with a boolean for every matcher and the sum of the matched weights."""
     matchers = matchers or {k: m for k, m in MATCHERS.items() if k != "forward_origin" or "forward_key" in rows.columns}
@@ -149,10 +206,17 @@ def best_candidates(scored: DataFrame) -> DataFrame:
     return best.select("incoming", "b.*")
 
 
-def evaluate(listings: DataFrame, media: DataFrame | None = None, scoring: Scoring = Scoring()) -> DataFrame:
-    """(incoming, candidate, score, decision, matched) for every active parent; no candidate means new with score 0."""
+def evaluate(listings: DataFrame, media: DataFrame | None = None, scoring: Scoring = Scoring(), keys: Mapping[str, Column] | None = None) -> DataFrame:
+    """(incoming, candidate, score, decision, matched) for every active parent; no candidate means new with score 0.
+
+    Candidates are ``all_candidates`` and the newest of the same phone, or those of ``keys`` where given.
+    """
     rows = prepared(listings.where(user_facing()), media)
-    scored = score(candidate_pairs(rows, listing_keys(), scoring), rows, scoring)
+    if keys is None:
+        pairs = all_candidates(rows, scoring).unionByName(candidate_pairs(rows, {"phone": F.col("phone")}, scoring)).distinct()
+    else:
+        pairs = candidate_pairs(rows, keys, scoring)
+    scored = score(pairs, rows, scoring)
     signals = [c for c in scored.columns if c in scoring.weights]
     best = best_candidates(scored).withColumn("decision", decision(set(signals), scoring))
     names = F.array_join(F.array_compact(F.array(*(F.when(F.col(s), F.lit(s)) for s in signals))), ",")

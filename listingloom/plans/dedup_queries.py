@@ -65,6 +65,20 @@ def join02(spark, d):
     return pairs.groupBy("incoming").agg(F.count("*").alias("n"), F.sum("candidate").alias("checksum"))
 
 
+@query("join02_all_keys", """with p as (select * from listings where status = 'active' and parent_id is null), near as (
+  select a.announcement_id as incoming, b.announcement_id as candidate, b.created_at as candidate_at from p a join p b
+    on (b.created_at < a.created_at or b.created_at = a.created_at and b.announcement_id < a.announcement_id)
+    and floor(epoch(a.created_at)) - floor(epoch(b.created_at)) <= 90 * 86400
+    and (a.source_url = b.source_url or a.district = b.district or a.rooms = b.rooms or b.area between a.area - 3 and a.area + 3
+      or a.price_period = b.price_period and a.price_basis = b.price_basis and a.currency = b.currency and b.monthly * 100 between a.monthly * 95 and a.monthly * 105
+      or exists (select 1 from media x join media y on x.phash = y.phash where x.announcement_id = a.announcement_id and y.announcement_id = b.announcement_id))
+), pairs as (select *, row_number() over (partition by incoming order by candidate_at desc, candidate desc) as place from near)
+select incoming, count(*) as n, sum(candidate)::bigint as checksum from pairs where place <= 50 group by 1""")
+def join02_all(spark, d):
+    rows = dedup.prepared(t.listings(spark, d).where("status = 'active' and parent_id is null"), t.media(spark, d))
+    return dedup.all_candidates(rows).groupBy("incoming").agg(F.count("*").alias("n"), F.sum("candidate").alias("checksum"))
+
+
 SIGNALS = ("source_url", "same_image", "district", "rooms", "area", "price", "floor", "similar_address", "similar_description", "phone")
 
 
@@ -78,7 +92,7 @@ def ded03(spark, d):
   coalesce(array_to_string(list_filter([""" + ", ".join(f"case when b.{s} then '{s}' end" for s in SIGNALS) + """], lambda x: x is not null), ','), '') as matched
   from p left join decided b on b.incoming = p.announcement_id""")
 def ded14(spark, d):
-    return dedup.evaluate(t.listings(spark, d), t.media(spark, d))
+    return dedup.evaluate(t.listings(spark, d), t.media(spark, d), keys=dedup.listing_keys())
 
 
 @query("win03_best_candidate", SCORED + "select incoming, candidate, score from best")

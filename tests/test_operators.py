@@ -85,6 +85,34 @@ def test_candidates_are_newest_earlier_within_lookback(spark):
     assert {r["candidate"] for r in few.where("incoming = 79").collect()} == {74, 75, 76, 77, 78}
 
 
+def test_candidates_meet_by_every_key(spark):
+    """Same image but another phone, url, district and rooms; close area only; close price only; nothing at all."""
+    away = dict(area=Decimal(500), monthly=Decimal(9000), price_period="daily")
+    rows = [
+        listing(1, district="North", rooms=7, area=Decimal(90), monthly=Decimal(5000)), listing(2, district="South", rooms=8, **away),
+        listing(3, district="East", rooms=9, area=Decimal(93), monthly=Decimal(1)), listing(4, district="West", rooms=1, area=Decimal(1), monthly=Decimal(5250)),
+        listing(5, district="Centre", rooms=3, area=Decimal("93.01"), monthly=Decimal("5250.01"), currency="UZS"),
+    ]
+    media = spark.createDataFrame([(1, 1, "00000000000000ff"), (2, 1, "00000000000000ff")], "announcement_id bigint, media_id int, phash string")
+    df = spark.createDataFrame(rows, LISTING)
+    got = {(r["incoming"], r["candidate"]) for r in dedup.all_candidates(dedup.prepared(df, media)).collect()}
+    assert got == {(2, 1), (3, 1), (4, 1), (5, 3)}
+    told = {r["incoming"]: r for r in dedup.evaluate(df, media).collect()}
+    assert told[2]["decision"] == "possible_duplicate" and told[2]["matched"] == "same_image,floor"
+
+
+def test_range_candidates_are_cut_after_the_ranges(spark):
+    """Sixty rows of one area among others: the newest fifty of close area, also where equal keys fill the number."""
+    for few in (False, True):
+        rows = [listing(i, district=f"d{i % 3 if few else i}", rooms=i, monthly=None, area=Decimal(50 if i % 2 else 200), created_at=AT + dt.timedelta(hours=i)) for i in range(180)]
+        df = dedup.prepared(spark.createDataFrame(rows, LISTING))
+        got = {}
+        for r in dedup.all_candidates(df).collect():
+            got.setdefault(r["incoming"], set()).add(r["candidate"])
+        for i in range(1, 180):
+            assert got.get(i, set()) == set([j for j in range(i) if (j - i) % 2 == 0 or (few and (j - i) % 3 == 0)][-50:])
+
+
 def test_merge_keeps_parent_and_lists_conflicts(spark):
     rows = spark.createDataFrame([((1, 500, None), (2, 650, "Main st"))], "parent struct<announcement_id:int,price:int,address:string>, child struct<announcement_id:int,price:int,address:string>")
     got = dedup.merge_parent(rows, ["price", "address"]).first()
