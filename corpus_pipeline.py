@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import decontaminate, exact, langid, pieces, simhash
+from listingloom.llm import decontaminate, exact, langid, near, pieces
 from listingloom.llm.common import table, written
 from listingloom.llm.queries import piece_model_path
 
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents about 0.8 alike in five-word shingles, by SimHash, the one with the least doc_id stays."""
-    groups = simhash.wide_groups(docs)
+    """Of documents linked by a similarity of 0.8 or more in five-word shingles, the one with the least doc_id stays."""
+    groups = near.near_groups(docs)
     leave = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     return docs.join(leave, "doc_id", "left_anti").select(*docs.columns)
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 import corpus_pipeline
-from listingloom.llm import simhash
+from listingloom.llm import near, simhash
 from tests.llm.test_dedup import contained, roots
 
 
@@ -66,3 +66,37 @@ def test_stages(spark, tmp_path):
         now = {i: now[i] for i in keep}
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in last} == set(now) and all(r["n_tokens"] == len(r["ids"]) for r in last)
+
+
+def edited_pairs():
+    """Pairs of texts from about 0.5 to 0.95 alike, and one group of 90 copies that differ from a base in places of their own."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(240):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for _ in range(1 + k % 14):
+            other[rng.randrange(200)] = f"e{rng.randrange(5000)}"
+        texts += [" ".join(base), " ".join(other)]
+    base = [f"h{i}" for i in range(200)]
+    for _ in range(90):
+        other = list(base)
+        for _ in range(rng.randrange(6)):
+            other[rng.randrange(200)] = f"e{rng.randrange(5000)}"
+        texts.append(" ".join(other))
+    return dict(enumerate(texts))
+
+
+def test_near_dedup_groups_are_those_of_the_exact_similarity(spark):
+    texts = edited_pairs()
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in texts for b in texts if a < b and sets[a] & sets[b]}
+    for low, high in ((0.58, 0.65), (0.68, 0.75), (0.75, 0.8), (0.8, 0.82), (0.83, 0.88)):
+        assert sum(low <= s < high for s in alike.values()) > 5
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    want = roots(texts, [p for p, s in alike.items() if s >= near.LEAST])
+    got = {r["doc_id"]: r["component_id"] for r in near.near_groups(docs).collect()}
+    assert {i: got.get(i, i) for i in texts} == want
+    keep = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert keep == {i for i in texts if want[i] == i}
+    assert near.near_groups(docs.limit(0)).count() == 0
