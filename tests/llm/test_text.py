@@ -188,6 +188,16 @@ def test_page_parts():
     assert html.page_lines("just <b>text") == [(html.PLAIN, "just text")]
 
 
+def test_hidden_elements_end_where_they_end():
+    def text(body):
+        return html.main_text(html.page_lines(f"<article>{body}</article>"), None)[0]
+
+    assert text('<p>one <svg class="i"/> two</p><p>three</p>') == "one two\nthree"
+    assert text("<p>one <math/> two</p>") == "one two" and text("<p>one <svg><path d='M0'/></svg> two</p>") == "one two"
+    assert text('<p>a</p><audio-player src="x"></audio-player><object-list>b</object-list><p>c</p>') == "a\nb\nc"
+    assert text("<p>a</p><canvas><p>b</p>") == "a\nb" and text("<p>a</p><script>var x = 1;") == "a"
+
+
 def test_pages_without_article_lose_lines_shared_with_the_nearest_page(spark):
     def page(body):
         return f"<body><div>Welcome</div><p>{body}</p><p>All rights</p></body>"
