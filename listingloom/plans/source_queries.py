@@ -155,7 +155,7 @@ def album_events(spark, d):
 @query("stm02_album_merge", """with f as (select conv_id, role, min(turn) as first_turn from conversations where turn < 40 group by 1, 2)
   select conv_id as album, (select count(*) from conversations x where x.conv_id = f.conv_id and x.turn < 40) as n, string_agg(trim(role), chr(10) || chr(10) order by first_turn) as text from f group by 1""")
 def album_merge(spark, d):
-    merged = jobs.albums(album_events(spark, d).where(c("message_id").cast("int") < 40))
+    merged = jobs.albums(album_events(spark, d))
     return merged.select("album", F.size("message_ids").cast("bigint").alias("n"), "text")
 
 

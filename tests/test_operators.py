@@ -310,3 +310,12 @@ def test_decode_survives_anything(spark):
     got = messages.decode(spark.createDataFrame(rows, "payload string")).collect()
     assert [r["malformed"] for r in got] == [True, True, True, False]
     assert got[3]["event_type"] == "created" and got[3]["occurred_at"] is None
+
+
+def test_long_albums_merge_whole(spark, tmp_path):
+    from listingloom.queries import QUERIES
+
+    rows = [(k, i, f"r{i}", "t") for k in (1, 2) for i in range(130)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["album"]: (r["n"], r["text"]) for r in QUERIES["stm02_album_merge"](spark, str(tmp_path)).collect()}
+    assert got == {k: (130, "\n\n".join(f"r{i}" for i in range(130))) for k in (1, 2)}
