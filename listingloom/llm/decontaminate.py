@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import text_or_empty, written
+from listingloom.llm.common import quoted, text_or_empty, without, written
 
 WORDS = 5
 #: Least containment as a fraction.
@@ -88,7 +88,7 @@ def document_hits(docs: DataFrame, shingles: DataFrame, id_col: str, text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.binary()).cast(pa.string())], ["id", "shingle"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     return narrow.mapInArrow(run, f"id {kind}, shingle string")
 
 
@@ -100,15 +100,18 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     unique: rows of one id count as one document; rows of a null id are left out; empty tables give no rows.
     """
     shingles = written(item_shingles(items))
-    hits = written(document_hits(docs.where(F.col(id_col).isNotNull()), shingles, id_col, text_col)).distinct()
-    shared = hits.join(shingles, "shingle").groupBy("id", "item_id", "n").agg(F.count("*").alias("n_shared"), F.max("in_sketch").alias("met"))
-    enough = shared.where(F.col("met") & (F.col("n_shared") * F.lit(OF) >= F.col("n") * F.lit(SHARE)))
+    hits = written(document_hits(docs.where(quoted(id_col).isNotNull()), shingles, id_col, text_col).distinct())
+    # Sketch shingles first: only a document and an item that met in one are candidates, and only their shingles are counted.
+    met = written(hits.join(shingles.where("in_sketch").select("shingle", "item_id"), "shingle").select("id", "item_id").distinct())
+    held = hits.groupBy("id").agg(F.count("*").alias("n_hits"))
+    sizes = shingles.groupBy("item_id").agg(F.first("n").alias("n"))
+    # A document with fewer hits than four fifths of an item's shingles can't contain it.
+    asked = written(met.join(held, "id").join(sizes, "item_id").where(F.col("n_hits") * F.lit(OF) >= F.col("n") * F.lit(SHARE)).select("id", "item_id", "n"))
+    counted = asked.join(shingles.select("item_id", "shingle"), "item_id").join(hits, ["id", "shingle"]).groupBy("id", "item_id", "n").agg(F.count("*").alias("n_shared"))
+    enough = counted.where(F.col("n_shared") * F.lit(OF) >= F.col("n") * F.lit(SHARE))
     return enough.select(F.col("id").alias(id_col), "item_id", "n_shared", F.col("n").alias("n_shingles"), (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all columns; rows with a null id stay."""
-    found = written(contained_items(docs, items, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct())
-    return docs.join(found, F.col(id_col) == F.col("_bad"), "left_anti")
-
-
+    """The rows of ``docs`` that contain no item, with all columns, whatever their names; rows with a null id stay."""
+    return without(docs, [quoted(id_col)], written(contained_items(docs, items, id_col, text_col).select(quoted(id_col)).distinct()))

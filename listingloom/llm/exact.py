@@ -1,57 +1,45 @@
 """Exact dedup with two Bloom passes, in DataFrame functions only.
 
-Pass 1 adds every row's hash to a Bloom filter that counts to two: a bit stays set where two rows
-met. Pass 2 looks each row up. A row whose bits are not all set has no equal and passes straight
-through; only possibly repeated rows are shuffled to find their groups.
+Pass 1 adds every row's hash to a counting Bloom filter: a slot number is all that a row sends, combined within
+tasks, and only slots that two rows met are kept. Pass 2 folds those slots into bitmaps that every task gets and
+looks each row up. A row whose bit isn't set has no equal and passes straight through; only possibly repeated rows
+are shuffled to find their groups. Whole documents are shuffled only where they are, or look like, copies that go
+(``common.without``).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import text_or_empty, written
+from listingloom.llm.common import CHUNK_BITS, in_filter, key_filter, quoted, text_or_empty, whole_row, without, written
 
-#: Slots of the filter for each row; two of them are set. A false positive only costs a shuffled row.
-SLOTS_PER_ROW = 16
-#: 64-bit words of the filter that may be broadcast (16 MB of bits); a larger filter is joined by shuffle.
-BROADCAST_WORDS = 1 << 21
+#: Slots of the counting filter for each row. Two different texts meet in one by chance with probability 1 in this; that costs a shuffled row.
+SLOTS_PER_ROW = 32
 #: Every run of white space that is not one space already.
 RUNS = "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+"
 
 
-def normalised(text) -> F.Column:
+def normalised(text: Column) -> Column:
     return F.regexp_replace(text_or_empty(text), RUNS, " ")
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with the columns _sha (hex) and _h (bigint) of the normalised text."""
-    return docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_h", F.xxhash64("_sha"))
-
-
-def _slots(n: int) -> list[F.Column]:
-    mask = max(1 << 10, 1 << (SLOTS_PER_ROW * max(n, 1) - 1).bit_length()) - 1
-    return [F.col("_h").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("_h", 32).bitwiseAND(F.lit(mask))]
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows with the columns _sha (hex) and _h (bigint) of the normalised ``_text``, which goes."""
+    return rows.withColumn("_text", normalised(F.col("_text"))).withColumn("_sha", F.sha2("_text", 256)).withColumn("_h", F.xxhash64("_text")).drop("_text")
 
 
-def repeat_filter(hashes: DataFrame, n: int) -> DataFrame:
-    """(word, bits): the slots of ``_h`` that two rows or more have set."""
-    met = hashes.select(F.explode(F.array_distinct(F.array(*_slots(n)))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    packed = met.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
-    return packed.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def met_slots(hashes: DataFrame, n: int) -> DataFrame:
+    """(slot): the slots of the counting filter that two rows of ``_h`` or more fall into."""
+    mask = (1 << max(CHUNK_BITS, (SLOTS_PER_ROW * max(n, 1) - 1).bit_length())) - 1
+    return hashes.groupBy(F.col("_h").bitwiseAND(F.lit(mask)).alias("slot")).agg(F.count("*").alias("n")).where("n > 1").select("slot")
 
 
-def flag_repeats(rows: DataFrame, bloom: DataFrame, n: int) -> DataFrame:
-    """rows with ``_maybe``: true where all slots of ``_h`` are set in the filter."""
-    small = bloom.count() <= BROADCAST_WORDS
-    for i, slot in enumerate(_slots(n)):
-        side = bloom.select(F.col("word").alias(f"_w{i}"), F.col("bits").alias(f"_b{i}"))
-        rows = rows.withColumn(f"_s{i}", slot).withColumn(f"_w{i}", F.shiftright(f"_s{i}", 6))
-        rows = rows.join(F.broadcast(side) if small else side, f"_w{i}", "left")
-    sets = [F.coalesce(F.expr(f"getbit(_b{i}, cast(_s{i} & 63 as int)) = 1"), F.lit(False)) for i in range(2)]
-    return rows.withColumn("_maybe", reduce(lambda a, b: a & b, sets)).drop(*(f"_{c}{i}" for c in "swb" for i in range(2)))
+def flag_repeats(keys: DataFrame) -> DataFrame:
+    """keys with ``_maybe``: false only for rows whose ``_h`` is certainly the only one of its value."""
+    met = written(met_slots(keys.select("_h"), keys.count()))
+    found, bits = key_filter(met, met.count())
+    return in_filter(keys, "_h", written(found), bits, "_maybe")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,9 +50,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (id, text) row counts in group_size and is kept with its id. Other columns are not read; an empty
     table gives no rows.
     """
-    keys = written(_keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "_sha", "_h"))
-    n = keys.count()
-    flagged = flag_repeats(keys, written(repeat_filter(keys, n)), n)
+    flagged = flag_repeats(written(_keyed(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")))))
     alone = flagged.where("not _maybe").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "_sha")
     maybe = flagged.where("_maybe").select("_id", "_sha")
     groups = written(maybe.groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size")))
@@ -74,13 +60,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns; unrepeated rows are not shuffled."""
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    keys = written(_keyed(narrow, "_text").select("_id", "_sha", "_h"))
-    n = keys.count()
-    bloom = written(repeat_filter(keys, n))
-    keep = written(flag_repeats(keys, bloom, n).where("_maybe").groupBy("_sha").agg(F.min("_id").alias("_keep")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    flagged = flag_repeats(_keyed(rows, "_text").drop("_text"), bloom, n)
-    stay = flagged.where("_maybe").join(keep, "_sha").where(F.col("_id").eqNullSafe(F.col("_keep")))
-    return flagged.where("not _maybe").select("_row.*").unionByName(stay.select("_row.*"))
+    """One row of each text of ``docs`` with all its columns: a row of the id that ``exact_groups`` keeps.
+
+    Of several rows of that id and text one stays (any, where their other columns differ). Rows whose text has no
+    copy are not shuffled, and of the others only their text's hash decides. Columns may have any names; an
+    empty table stays empty.
+    """
+    keys = written(_keyed(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text"))))
+    each = written(flag_repeats(keys).where("_maybe").groupBy("_sha", "_h", "_id").agg(F.count("*").alias("rows")))
+    keep = each.groupBy("_sha").agg(F.min("_id").alias("_keep"), F.sum("rows").alias("n")).where("n > 1")
+    told = written(each.join(written(keep), "_sha").select("_h", "_id", "rows", F.col("_id").eqNullSafe(F.col("_keep")).alias("stays")))
+    key = [F.xxhash64(normalised(quoted(text_col))), quoted(id_col)]
+    left = without(docs, key, written(told.where("not stays").select("_h", "_id")))
+    again = written(told.where("stays and rows > 1").select("_h", "_id"))
+    if again.isEmpty():
+        return left
+    repeated = left.select(whole_row(left).alias("_row"), *(k.alias(f"_k{i}") for i, k in enumerate(key)))
+    again = again.select(F.col("_h").alias("_k0"), F.col("_id").alias("_id"))
+    one = repeated.join(again, (repeated["_k0"] == again["_k0"]) & repeated["_k1"].eqNullSafe(again["_id"]), "left_semi").dropDuplicates(["_k0", "_k1"])
+    return without(left, key, again).unionByName(one.select("_row.*"))

@@ -132,8 +132,8 @@ def _join_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         label[:] = new
 
 
-def forest(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by cell, fp (rows, words) uint64. Edges (u, v) of nodes: a forest whose trees are the cells' components within ``radius``."""
+def cell_pairs(cell: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by cell, fp (rows, words) uint64 -> row numbers (i, j) of all pairs of a cell within ``radius``, some at a time."""
     n = len(fp)
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     size = np.diff(np.r_[first, n])
@@ -148,7 +148,6 @@ def forest(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RAD
     filled = np.zeros(blocks.sum(), np.uint64)
     np.bitwise_or.at(filled, row_block, np.uint64(1) << row_lane.astype(np.uint64))
     planes = np.concatenate([bit_planes(x) for x in lanes])
-    label = np.arange(n)
     items = begin[which] + blocks[which] - row_block  # each row meets its own block and the later ones of its cell
     ends = np.cumsum(items)
     a = 0
@@ -166,9 +165,16 @@ def forest(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RAD
         if len(at):
             hit = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             item, lane = np.nonzero(hit)
-            _join_labels(label, row[at[item]], row_of[block[at[item]], lane])
+            yield row[at[item]], row_of[block[at[item]], lane]
         a = b
-    linked = np.flatnonzero(label != np.arange(n))
+
+
+def forest(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by cell, fp (rows, words) uint64. Edges (u, v) of nodes: a forest whose trees are the cells' components within ``radius``."""
+    label = np.arange(len(fp))
+    for i, j in cell_pairs(cell, fp, radius):
+        _join_labels(label, i, j)
+    linked = np.flatnonzero(label != np.arange(len(fp)))
     return node[linked], node[label[linked]]
 
 
@@ -239,59 +245,3 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-#: The wide search: 128-bit fingerprints of five-word shingles. Two texts of similarity s differ in about
-#: 128 * acos(2 s / (1 + s)) / pi bits: 19 at 0.8, 12 at 0.9, 35 at 0.5, 64 if unrelated.
-WIDE_WORDS, WIDE_RADIUS, WIDE_KEYS, WIDE_KEY_BITS = 5, 24, 48, 16
-
-
-def wide_bits(text: str, words: int) -> np.ndarray:
-    """(2,) uint64: bits set in over half of the 128-bit hashes of a text's distinct shingles; zero for no word."""
-    parts = text.encode().lower().split()
-    if not parts:
-        return np.zeros(2, np.uint64)
-    runs = {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
-    votes = np.zeros(128, np.int64)
-    digests = b"".join(map(xxhash.xxh3_128_digest, runs))
-    for i in range(0, len(digests), 16 * VOTE_ROWS):
-        part = np.frombuffer(digests[i : i + 16 * VOTE_ROWS], np.uint8).reshape(-1, 16)
-        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(runs)).view("<u8").astype(np.uint64)
-
-
-def wide_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(id_col bigint, component_id) of documents whose 128-bit fingerprints link within ``radius`` bits, directly or through others.
-
-    Only documents with a partner are returned. Each fingerprint has WIDE_KEYS keys of WIDE_KEY_BITS of its
-    bits, chosen by a fixed seed; a pair that differs in 19 bits shares a key with probability 0.97, one in 12
-    bits with 0.999. Texts without a word, null and empty ones included, link with nothing. Ids must be unique
-    bigints; rows of a null id are left out. Other columns are not read; an empty table gives no rows.
-    """
-    rng = np.random.default_rng(20)
-    chosen = np.stack([rng.choice(128, WIDE_KEY_BITS, replace=False) for _ in range(WIDE_KEYS)])
-
-    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = np.array([wide_bits(t.as_py() or "", words) for t in b.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["id", "x", "y"])
-
-    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
-            for i in range(0, b.num_rows, 1 << 12):
-                node, x, y = (c[i : i + (1 << 12)] for c in cols)
-                bits = np.unpackbits(np.stack([x, y], axis=1).view(np.uint8), axis=1, bitorder="little")
-                key = (bits[:, chosen].astype(np.int64) << np.arange(WIDE_KEY_BITS)).sum(axis=2) + (np.arange(WIDE_KEYS) << WIDE_KEY_BITS)
-                out = [key.ravel(), *(np.repeat(c, WIDE_KEYS) for c in (node, x, y))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["key", "node", "x", "y"])
-
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    prints = written(narrow.mapInArrow(to_bits, "id bigint, x bigint, y bigint").where("x <> 0 or y <> 0"))
-    each = written(prints.groupBy("x", "y").agg(F.min("id").alias("node")))
-    banded = written(each.select("node", "x", "y").mapInArrow(to_keys, "key bigint, node bigint, x bigint, y bigint"))
-    linked = connected_components(bucket_links(banded, ["x", "y"], radius))
-    named = written(each.join(linked, "node", "left").select("x", "y", F.coalesce("component", "node").alias("component_id")))
-    grouped = prints.join(named, ["x", "y"]).select(F.col("id").alias(id_col), "component_id")
-    alone = written(grouped.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"))
-    return grouped.join(alone, "component_id").select(id_col, "component_id")
