@@ -15,31 +15,46 @@ from listingloom.llm.queries import piece_model_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows of ``docs``; documents of undetermined language go."""
+    """Learns from the labelled rows of ``docs``; documents of undetermined language go.
+
+    Those are the null and empty texts and the ones without a letter. Repeated rows fare alike, other columns may
+    have any names, and an empty table (or one that teaches nothing, where every language is undetermined) gives no rows.
+    """
     model = langid.train(docs)
-    told = docs.withColumn("_lang", langid.language_of(model, F.col("text"))["lang"])
-    return told.where(F.col("_lang") != langid.UNDETERMINED).drop("_lang")
+    return docs.where(langid.language_of(model, F.col("text"))["lang"] != langid.UNDETERMINED)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal up to white space, the one with the least doc_id stays."""
+    """Of texts equal up to white space, null counting as empty, one row with the least doc_id stays.
+
+    A null doc_id stays only where its text has no other. Other columns may have any names; an empty table stays empty.
+    """
     return exact.drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more in five-word shingles, the one with the least doc_id stays."""
-    groups = near.near_groups(docs)
-    leave = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    return docs.join(leave, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by a similarity of 0.8 or more in five-word shingles, the one with the least doc_id stays.
+
+    Texts without a word link with nothing and stay. Rows of a repeated doc_id are told apart by their texts. Other
+    columns may have any names; an empty table stays empty.
+    """
+    return near.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go: all rows of their doc_id.
+
+    Null and empty texts contain nothing, and rows with a null doc_id stay. Other columns may have any names; an
+    empty table stays empty, an empty benchmark removes nothing.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, begins, ends) of every document left."""
+    """(doc_id, n_tokens, ids, begins, ends) of every document left, a row for each row.
+
+    Null and empty texts have no ids; other columns are not read; an empty table gives no rows.
+    """
     encoded = pieces.encode_documents(docs, piece_model_path())
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "begins", "ends")
 
