@@ -163,6 +163,33 @@ def test_shards_are_even_and_slots_gapless(spark, monkeypatch):
     assert len(few) == 3
 
 
+def test_a_hot_text_is_spread_over_pieces(spark, monkeypatch):
+    """One short text as nine tenths of the rows, among it rows of equal and of null ids: pieces stay small, the group stays whole."""
+    monkeypatch.setattr(shards, "RANGE_ROWS", 50)
+    rng = random.Random(2)
+    rows = [(i if i % 5 else None if i % 2 else 7, None if i % 3 else "") for i in range(1800)] + [(5000 + i, "y" * rng.randrange(3000, 4000)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    pieces = shards._pieces
+
+    def spy(ranged, shape):
+        out, cut = pieces(ranged, shape)
+        seen.extend(r["count"] for r in out.groupBy("range", "piece").count().collect())
+        return out, cut
+
+    monkeypatch.setattr(shards, "_pieces", spy)
+    got = shards.shard_by_bytes(docs).collect()
+    assert max(seen) <= 4 * shards.RANGE_ROWS and sum(seen) == len(got) == 2000
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert len({r["shard"] for r in got if r["size"] == 8}) <= 2
+    by_shard = defaultdict(list)
+    for r in got:
+        by_shard[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in by_shard.values())
+    sizes = [sum(r["size"] for r in rs) for rs in by_shard.values()]
+    assert max(sizes) - min(sizes) <= 2 * 4008 + 1800 * 8
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, "t" * i) for i in range(50)], "doc_id bigint, text string")
     shards.write_shards(docs, shards.shard_by_bytes(docs, shards=3), str(tmp_path / "out"))
@@ -197,6 +224,16 @@ def test_contained_items_equal_brute_force(spark):
     assert decontaminate.contained_items(df.limit(0), bench).count() == decontaminate.contained_items(df, bench.limit(0)).count() == 0
 
 
+def test_a_shingle_of_every_item_makes_no_rows_of_all_pairs(spark):
+    """Documents hold a run that all items have; only items whose sketch they meet and could contain are counted."""
+    common_run = "one two three four five six"
+    items = [(i, f"{common_run} " + " ".join(f"i{i}w{k}" for k in range(40))) for i in range(30)]
+    docs = [(d, f"a b {common_run} c{d}") for d in range(50)] + [(99, items[4][1]), (98, items[5][1] + " " + items[6][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(df, bench).collect()}
+    assert found == contained(docs, items) == {(99, 4), (98, 5), (98, 6)}
+
+
 @pytest.mark.parametrize("n", [1, 4, 5, 8, 15, 16, 31, 64, 100])
 def test_sketch_is_long_enough(spark, n):
     """Any 80 % of an item's shingles meet its sketch."""
