@@ -36,6 +36,11 @@ def hash_bands(hex16: Column) -> Column:
     return F.array(*out)
 
 
+def hash_strength(distance: Column) -> Column:
+    """How strong a match of two 64-bit hashes is: 1 for equal ones."""
+    return 1 - distance / 64
+
+
 def least_hamming(a: Column, b: Column) -> Column:
     """Least distance between any hash of one array and any of the other; null if either is empty."""
     return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: hamming(x, y)))))

@@ -6,7 +6,6 @@ import difflib
 import json
 import re
 import unicodedata
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +15,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 #: Phone numbers: nine digits, or twelve with the country code (fixed pattern).
 PHONE = r"(?<!\d)(?:\+?998)?[\s()-]*(?:\d[\s()-]*){9,12}(?!\d)"
 _PHONE, _HASHTAG = re.compile(PHONE), re.compile(r"(?<!\w)#\w+")
+_OTHER = re.compile(r"[^\w$+]+|_+")
 
 
 def _phone(match: re.Match) -> str:
@@ -27,7 +27,7 @@ def _phone(match: re.Match) -> str:
 def normalised_text(text: str | None) -> str:
     """Compatibility form, case-folded, phones in one shape, no hashtags, only letters, digits, $ and +."""
     folded = _HASHTAG.sub(" ", _PHONE.sub(_phone, unicodedata.normalize("NFKC", text or "").casefold()))
-    return " ".join("".join(c if c.isalnum() or c in "$+" else " " for c in folded).split())
+    return " ".join(_OTHER.sub(" ", folded).split())
 
 
 @F.pandas_udf(StringType())
@@ -59,9 +59,13 @@ def word_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)([\w$]+)"), 1))
 
 
+def collapsed_text(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "\\s+", " "))
+
+
 def collapsed(text: Column) -> Column:
     """White space collapsed and trimmed; blank is null."""
-    return F.nullif(F.trim(F.regexp_replace(text, "\\s+", " ")), F.lit(""))
+    return F.nullif(collapsed_text(text), F.lit(""))
 
 
 def shortened(name: str, limit: int) -> Column:
@@ -195,11 +199,3 @@ def closest_name(text: pd.Series, names: pd.Series) -> pd.DataFrame:
             best = (option, ratio) if ratio > best[1] else best
         out.append(best)
     return pd.DataFrame(out, columns=["name", "ratio"])
-
-
-@F.pandas_udf(StringType())
-def uuid_of(key: pd.Series) -> pd.Series:
-    """Name-based identifier of a key in the URL namespace."""
-    return key.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listingloom.functions.text import collapsed_text, redacted
 from listingloom.operators.predicates import user_facing
 
 
@@ -49,14 +50,11 @@ def due_posts(days: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("post_key", F.concat_ws(":", F.lit("day"), F.col("day").cast("string"), "kind"))
 
 
-def stats_post(row: DataFrame) -> DataFrame:
-    """A daily statistics text from the row of ``daily_stats``; an unknown average has no line."""
-    lines = [
-        F.concat(F.lit("Active listings: "), F.col("active_count").cast("string")),
-        F.concat(F.lit("New today: "), F.col("day_total").cast("string")),
-        F.concat(F.lit("Duplicates merged: "), F.col("day_duplicates").cast("string")),
-        F.concat(F.lit("Average monthly price: "), F.bround("average_price", 0).cast("bigint").cast("string"), F.lit(" USD")),
-    ]
-    return row.select(F.concat_ws("\n", F.array_compact(F.array(*lines))).alias("post"))
-
-
+def admin_summary(listings: DataFrame, limit: int = 420) -> DataFrame:
+    """Listings as the administration shows them: amounts as texts, the description collapsed, redacted and shortened."""
+    whole = collapsed_text(redacted(F.coalesce("description", F.lit(""))))
+    short = F.when(F.length(whole) <= limit, whole).otherwise(F.concat(F.rtrim(F.substring(whole, 1, limit - 1)), F.lit("...")))
+    return listings.select(
+        "announcement_id", F.col("price").cast("string").alias("price"), "currency", "district", "rooms", F.col("area").cast("string").alias("area_sqm"), "floor",
+        F.array_compact(F.array("phone")).alias("phone_numbers"), short.alias("description"), "source_url", "created_at",
+    )

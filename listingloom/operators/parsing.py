@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingloom.functions.text import PHONE, candidate_id, compatibility_form
+from listingloom.operators.settings import check_pattern
 
 #: Default splits of a digest: before numbered items and at ruled lines (fixed values).
 DIGEST_SPLITS = (r"(?m)(?=^\s*#?\d{1,3}[.)]\s+)", r"(?m)^\s*[-=_━]{3,}\s*$")
@@ -59,17 +60,6 @@ class Recipe:
             check_pattern(pattern)
 
 
-def check_pattern(pattern: str) -> None:
-    """Refuses patterns that may backtrack without bound: look-around but at the start, back-references, nested repeats."""
-    re.compile(pattern)
-    if re.search(r"\\[1-9]|\(\?P=", pattern):
-        raise ValueError(f"back-reference in {pattern!r}")
-    if re.search(r"\(\?<?[=!]", re.sub(r"^(?:\(\?[a-z]+\))?\(\?=", "", pattern)):
-        raise ValueError(f"look-around in {pattern!r}")
-    if re.search(r"\([^()]*[+*][^()]*\)\s*[+*]", pattern):
-        raise ValueError(f"nested repeat in {pattern!r}")
-
-
 #: The built-in recipes; their patterns are fixed values.
 RECIPES = {
     r.key: r
@@ -205,3 +195,52 @@ def merged_binding(old_key: Column, old_config: Column, new_key: Column, new_con
     key = F.coalesce(new_key, old_key)
     kept = F.when(F.coalesce(new_key, old_key).eqNullSafe(old_key), old_config)
     return key, F.coalesce(new_config, kept)
+
+
+#: Fields of a parser binding in events and payloads; the mark between a message id and a candidate's place (fixed values).
+BINDING = ("parser_key", "parser_version", "parser_config", "parser_mode")
+FANOUT = "::estateflow-candidate::"
+
+
+def metadata(event: Mapping[str, Column], payload: Column) -> Column:
+    """Struct of BINDING: of an event's columns, its JSON payload and the payload's ``source_parser``, the last that is not empty."""
+
+    def given(value: Column) -> Column:
+        return F.nullif(F.nullif(value, F.lit("")), F.lit("{}"))
+
+    def one(name: str) -> Column:
+        own = given(event[name]) if name in event else F.lit(None).cast("string")
+        return F.coalesce(given(F.get_json_object(payload, f"$.source_parser.{name}")), given(F.get_json_object(payload, f"$.{name}")), own)
+
+    return F.struct(*(one(name).alias(name) for name in BINDING))
+
+
+def family_shortcut(family: Column) -> Column:
+    """(decision, reasons) of the families that no recipe parses; null for the others."""
+    told = lambda decision, *reasons: F.struct(F.lit(decision).alias("decision"), F.array(*map(F.lit, reasons)).alias("reasons"))
+    buffered = told("buffer", "stateful_buffer_required", "buffer_not_configured")
+    return F.when(family == "buffered_thread", buffered).when(family == "custom", told("quarantine", "custom_parser_plugin_required"))
+
+
+def candidate_key(raw: Column, candidate: Column, preserve_raw: Column) -> Column:
+    """The idempotency key of a candidate: its event's own where that is preserved."""
+    return F.when(preserve_raw, raw).otherwise(F.concat(raw, F.lit(":candidate:"), candidate))
+
+
+def fanout_message_id(raw: Column, index: Column) -> Column:
+    """The message id of one candidate of a digest; null for a negative place."""
+    return F.when(index >= 0, F.concat(raw, F.lit(FANOUT), index.cast("string")))
+
+
+def by_mode(posts: DataFrame, recipe: Recipe) -> DataFrame:
+    """posts (post_id, text, has_media, mode) -> (post_id, kind, index, text).
+
+    active: the emitted candidates. shadow: the post as it is, and an audit row for each parsed segment. disabled,
+    and families that need a buffer: the post as it is, so nothing is lost.
+    """
+    buffered = recipe.family == "buffered_thread"
+    parsed = parse(posts.where(F.col("mode").isin("active", "shadow")), recipe).join(posts.select("post_id", "mode"), "post_id")
+    kind = F.when((F.col("mode") == "active") & F.lit(not buffered), F.when(F.col("policy") == "emit", "candidate")).when(F.col("mode") == "shadow", "audit")
+    told = parsed.select("post_id", kind.alias("kind"), "index", F.col("segment").alias("text")).where("kind is not null")
+    whole = posts.where(F.lit(buffered) | ~F.col("mode").eqNullSafe("active")).select("post_id", F.lit("passthrough").alias("kind"), F.lit(0).alias("index"), "text")
+    return told.unionByName(whole)

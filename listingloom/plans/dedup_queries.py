@@ -118,14 +118,15 @@ def join03(spark, d):
     return pairs.where((F.col("l.announcement_id") < F.col("r.announcement_id")) & ratio).select(F.col("l.announcement_id").alias("a"), F.col("r.announcement_id").alias("b"))
 
 
-@query("join04_unnested_hashes", """select distinct a.announcement_id as a, b.announcement_id as b from media a join media b on a.phash = b.phash where a.announcement_id = 32 and b.announcement_id <> 32""")
+@query("join04_unnested_hashes", """with f as (select phash, min(announcement_id) as one from media group by 1)
+  select announcement_id, count(distinct phash) as shared, min(one) as earlier from media join f using (phash) where one < announcement_id group by 1""")
 def join04(spark, d):
-    from pyspark.sql.functions import broadcast
-
+    """The hashes of every listing's pictures looked up among all media: how many an earlier listing has, and the first such listing."""
     media = t.media(spark, d)
-    probe = media.where("announcement_id = 32").groupBy("announcement_id").agg(F.collect_set("phash").alias("hashes"))
-    wanted = probe.select(F.col("announcement_id").alias("a"), F.explode("hashes").alias("phash"))
-    return media.where("announcement_id <> 32").join(broadcast(wanted), "phash").select("a", F.col("announcement_id").alias("b")).distinct()
+    wanted = media.groupBy("announcement_id").agg(F.collect_set("phash").alias("hashes")).select("announcement_id", F.explode("hashes").alias("phash"))
+    first = media.groupBy("phash").agg(F.min("announcement_id").alias("one"))
+    met = wanted.join(first, "phash").where("one < announcement_id")
+    return met.groupBy("announcement_id").agg(F.count("*").alias("shared"), F.min("one").alias("earlier"))
 
 
 @query("mat02_hamming", """select a.media_id || '-' || b.media_id as pair, a.announcement_id, cast(bit_count(xor(('0x' || a.phash)::ubigint, ('0x' || b.phash)::ubigint)) as integer) as distance

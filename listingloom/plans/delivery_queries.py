@@ -253,18 +253,21 @@ def remap(spark, d):
     return t.listings(spark, d).where("tag in ('1', '2')").select("announcement_id", F.array_join(lifecycle.remapped(tags, "1", "2"), ",").alias("tags"))
 
 
-@query("dml22_filter_cap", "select filter_id from (select filter_id, district, row_number() over (partition by district order by filter_id) as n from saved_filters where filter_id % 2 = 0) b left join (select district, count(*) as have from saved_filters where filter_id % 2 = 1 and filter_id < 60 group by 1) s using (district) where n + coalesce(have, 0) <= 10")
+@query("dml22_filter_cap", """with f as (select *, filter_id // 16 as owner from saved_filters), s as (select owner, count(*) as have from f where rooms is not null group by 1)
+  select filter_id from (select *, row_number() over (partition by owner order by filter_id) as n from f where rooms is null) b left join s using (owner) where n + coalesce(have, 0) <= 10""")
 def filter_cap(spark, d):
-    f = t.saved_filters(spark, d)
-    return lifecycle.capped_insert(f.where("filter_id % 2 = 1 and filter_id < 60"), f.where("filter_id % 2 = 0"), "district", "filter_id", 10).select("filter_id")
+    """Sixteen filters an owner: those with rooms are stored, the others come in while there are at most ten."""
+    f = t.saved_filters(spark, d).withColumn("owner", F.floor(F.col("filter_id") / 16))
+    return lifecycle.capped_insert(f.where("rooms is not null"), f.where("rooms is null"), "owner", "filter_id", 10).select("filter_id")
 
 
-@query("dml21_upsert", "select coalesce(b.p_brand, s.p_brand) as brand, case when b.p_brand is not null then b.size else s.size end as size from (select p_brand, max(p_size) as size from part where p_partkey % 3 = 0 group by 1) s full join (select p_brand, max_by(p_size, p_partkey) as size from part where p_partkey % 3 = 1 and p_size > 10 group by 1) b using (p_brand)")
+@query("dml21_upsert", """select coalesce(b.p_brand, s.p_brand) as brand, coalesce(b.p_type, s.p_type) as kind, case when b.p_brand is not null then b.size else s.size end as size
+  from (select p_brand, p_type, max(p_size) as size from part where p_size > 10 group by 1, 2) s full join (select p_brand, p_type, max_by(p_size, p_partkey) as size from part where p_size <= 10 group by 1, 2) b using (p_brand, p_type)""")
 def upserted(spark, d):
-    part = t.table(spark, d, "part")
-    stored = part.where("p_partkey % 3 = 0").groupBy(F.col("p_brand").alias("brand")).agg(F.max("p_size").alias("size"))
-    batch = part.where("p_partkey % 3 = 1 and p_size > 10").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), "p_partkey")
-    return lifecycle.upsert(stored, batch, ["brand"], F.col("p_partkey"))
+    """Parts over size 10 are stored, the smaller ones a batch; the last of each brand and type counts."""
+    part = t.table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), "p_partkey")
+    stored = part.where("size > 10").groupBy("brand", "kind").agg(F.max("size").alias("size"))
+    return lifecycle.upsert(stored, part.where("size <= 10"), ["brand", "kind"], F.col("p_partkey"))
 
 
 @query("dml25_flag_compare_and_set")

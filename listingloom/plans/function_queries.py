@@ -41,7 +41,6 @@ projection("str15_first_integer", "part", "p_partkey", "value", lambda: text.fir
 projection("str17_message_url", "nation", "n_nationkey", "value", lambda: text.message_url(F.concat(F.lit("@"), c("n_name")), c("n_nationkey")), "'https://t.me/' || n_name || '/' || n_nationkey")
 projection("str18_event_key", "posts", "post_id", "value", lambda: text.event_key(F.lit("created"), c("channel_id"), c("message_id")), "'post:created:' || channel_id || ':' || message_id")
 projection("str19_callback", "nation", "n_nationkey", "value", lambda: text.parsed_callback(text.action_callback("v1", F.lit("open"), F.concat_ws(":", "n_name", c("n_nationkey").cast("string"))))["id"], "n_name || ':' || n_nationkey")
-projection("str20_source_identifier", "part", "p_partkey", "value", lambda: F.when(F.regexp_replace(F.lower("p_name"), "[^a-z0-9_]", "_").rlike("^[a-z][a-z0-9_]{4,31}$"), F.concat(F.lit("@"), F.regexp_replace(F.lower("p_name"), "[^a-z0-9_]", "_"))), "case when regexp_matches(regexp_replace(lower(p_name), '[^a-z0-9_]', '_', 'g'), '^[a-z][a-z0-9_]{4,31}$') then '@' || regexp_replace(lower(p_name), '[^a-z0-9_]', '_', 'g') end")
 projection("str21_referral_code_valid", "users", "user_id", "value", lambda: c("referral_code").rlike("^[A-Za-z0-9_-]{4,64}$"), "regexp_matches(referral_code, '^[A-Za-z0-9_-]{4,64}$')")
 projection("str22_price_label", "listings", "announcement_id", "value", lambda: labels.price_label(c("price"), c("currency"), c("price_period")), "case when price is null then 'Price on request' else regexp_replace(printf('%.2f', cast(price as double)), '\\.00$', '') || ' ' || currency || case price_period when 'monthly' then ' / month' when 'daily' then ' / day' else '' end end")
 projection("str22_rooms_label", "listings", "announcement_id", "value", lambda: labels.rooms_label(c("rooms")), "case when rooms = 1 then '1 room' else rooms || ' rooms' end")
@@ -53,8 +52,6 @@ projection("str30_media_reference_hash", "part", "p_partkey", "value", lambda: t
 projection("str31_query_length_valid", "documents", "doc_id", "value", lambda: F.length(F.trim("text")).between(1, 140), "length(trim(text)) between 1 and 140")
 projection("str33_source_key", "part", "p_partkey", "value", lambda: text.source_key(F.concat(c("p_name"), F.lit("!"))), "trim(regexp_replace(lower(p_name), '[^a-z0-9]', '-', 'g'), '-')")
 projection("str34_criteria_key", "saved_filters", "filter_id", "value", lambda: F.sha2(F.to_json(F.struct("district", "rooms")), 256), "sha256(case when rooms is null then '{\"district\":\"' || district || '\"}' else '{\"district\":\"' || district || '\",\"rooms\":' || rooms || '}' end)")
-projection("str35_audit_line", "part", "p_partkey", "value", lambda: F.split(F.concat_ws("|", c("p_partkey").cast("string"), "p_brand", "p_type"), "\\|")[1], "p_brand")
-projection("str36_reason_field", "events", "event_id", "value", lambda: F.regexp_extract(F.concat(F.lit("event type="), c("event_type"), F.lit(" user="), c("user_id").cast("string")), "user=([^ ]+)", 1), "cast(user_id as varchar)")
 projection("str01_normalised_text", "documents", "doc_id", "hash", lambda: F.sha2(text.normalise_listing_text("text"), 256), None)
 projection("str03_phone_numbers", "documents", "doc_id", "phones", lambda: F.array_join(text.phone_numbers(c("text")), ","), None)
 projection("str04_word_tokens", "documents", "doc_id", "n", lambda: F.size(text.word_tokens(F.lower("text"))).cast("bigint"), "len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_$]+')))")
@@ -62,26 +59,16 @@ projection("str16_redacted", "documents", "doc_id", "hash", lambda: F.sha2(text.
 projection("str32_label_normalised", "nation", "n_nationkey", "value", lambda: text.normalise_label("n_name"), "lower(n_name)")
 projection("str12_fuzzy_tag", "part", "p_partkey", "value", lambda: F.when(text.closest_name(F.concat(F.lower("p_type"), F.lit("s")), F.array(*map(F.lit, ("economy", "promo", "standard", "large", "small", "medium"))))["ratio"] >= 0.82, text.closest_name(F.concat(F.lower("p_type"), F.lit("s")), F.array(*map(F.lit, ("economy", "promo", "standard", "large", "small", "medium"))))["name"]), "lower(p_type)")
 projection("mat06_half_even", "part", "p_partkey", "value", lambda: F.bround(c("p_size").cast("decimal(12,4)") / 2, 0).cast("int"), "cast(case when p_size % 2 = 0 then p_size // 2 when (p_size // 2) % 2 = 0 then p_size // 2 else p_size // 2 + 1 end as integer)")
-projection("mat03_hash_strength", "events", "event_id", "value", lambda: 1 - (c("user_id") % 9) / 64, "1 - (user_id % 9)::double / 64")
 projection("fil18_marker_matches", "documents", "doc_id", "value", lambda: F.size(F.filter(F.array(*map(F.lit, ("(?i)(?:^|\\P{L})the(?:$|\\P{L})", "(?i)(?:^|\\P{L})der(?:$|\\P{L})", "(?i)(?:^|\\P{L})que(?:$|\\P{L})"))), lambda p: F.rlike("text", p))).cast("bigint"), "cast(regexp_matches(text, '(?i)(?:^|\\P{L})the(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})der(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})que(?:$|\\P{L})')::int as bigint)")
-projection("fil21_media_supported", "part", "p_partkey", "value", lambda: (c("p_type") == "PROMO") | (c("p_type").isin("LARGE", "SMALL") & c("p_brand").startswith("Brand#2")), "p_type = 'PROMO' or (p_type in ('LARGE', 'SMALL') and p_brand like 'Brand#2%')")
 projection("fil20_required_fields", "listings", "announcement_id", "missing", lambda: F.array_join(F.array_compact(F.array(*(F.when(c(x).isNull(), F.lit(x)) for x in ("price", "renovation", "source_url")))), ","), "array_to_string(list_filter([case when price is null then 'price' end, case when renovation is null then 'renovation' end, case when source_url is null then 'source_url' end], lambda x: x is not null), ',')")
-projection("fil23_cohort_policy", "customer", "c_custkey", "allowed", lambda: F.when(c("c_mktsegment") == "BUILDING", "allowed").when(c("c_custkey").isin(3, 6, 9), "listed").otherwise("closed"), "case when c_mktsegment = 'BUILDING' then 'allowed' when c_custkey in (3, 6, 9) then 'listed' else 'closed' end")
 projection("set08_replace_distinct", "part", "p_partkey", "value", lambda: F.array_join(F.array_distinct(F.transform(F.split("p_name", " "), lambda x: F.when(x == "large", "big").otherwise(x))), " "), "replace(p_name, 'large', 'big')")
 projection("set10_first_spelling", "part", "p_partkey", "value", lambda: F.array_join(F.aggregate(F.array("p_type", F.lower("p_type"), "p_brand"), F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x))), ","), "p_type || ',' || p_brand")
 projection("jsn02_tolerant_json", "events", "event_id", "k", lambda: F.coalesce(F.from_json(F.when(c("event_id") % 3 == 0, F.lit("{bad")).otherwise(c("props")), "k int")["k"], F.lit(-1)), "case when event_id % 3 = 0 then -1 else cast(json_extract_string(props, '$.k') as integer) end")
 projection("jsn03_path_read", "events", "event_id", "k", lambda: F.variant_get(F.parse_json("props"), "$.k", "int"), "cast(json_extract_string(props, '$.k') as integer)")
 projection("fil14_json_path_equality", "events", "event_id", "hit", lambda: F.get_json_object("props", "$.k") == "7", "json_extract_string(props, '$.k') = '7'")
-projection("src13_json_specs", "events", "event_id", "n", lambda: F.size(F.from_json(F.concat(F.lit("["), c("props"), F.lit(","), c("props"), F.lit("]")), "array<struct<k:int>>")).cast("bigint"), "cast(2 as bigint)")
-projection("jsn01_breakdown_round_trip", "listings", "announcement_id", "value", lambda: F.from_json(F.to_json(F.struct(F.lit("rooms").alias("name"), c("rooms").alias("weight"))), "name string, weight int")["weight"], "rooms")
-projection("src05_message_encode", "posts", "post_id", "value", lambda: F.to_json(F.struct("post_id", "source_id")), "'{\"post_id\":' || post_id || ',\"source_id\":\"' || source_id || '\"}'")
 projection("arr01_sorted_union", "part", "p_partkey", "value", lambda: F.array_join(F.array_sort(F.array_union(F.split("p_name", " "), F.array("p_type"))), ","), "array_to_string(list_sort(list_distinct(string_split(p_name, ' ') || [p_type])), ',')")
-projection("str23_notification_text", "listings", "announcement_id", "value", lambda: F.concat_ws("\n", F.array_compact(F.array(c("district"), labels.rooms_label(c("rooms")), F.when(c("source_url").isNotNull(), text.safe_url(c("source_url")))))), "concat_ws(chr(10), district, case when rooms = 1 then '1 room' else rooms || ' rooms' end, source_url)")
-projection("str25_card", "listings", "announcement_id", "value", lambda: F.substring(F.concat_ws(" - ", "district", "description"), 1, 30), "(district || ' - ' || description)[1:30]")
-projection("nrm07_identifier", "nation", "n_nationkey", "value", lambda: F.length(text.uuid_of("n_name")).cast("bigint"), "cast(36 as bigint)")
 projection("ded06_district_folded", "nation", "n_nationkey", "value", lambda: F.lower(F.trim(F.concat(F.lit(" "), c("n_name")))), "lower(n_name)")
 projection("mat05_fit_dimensions", "part", "p_partkey", "value", lambda: extraction.fitted(c("p_size") * 37, c("p_size") * 10)[0], "cast(least(p_size * 37, 800) as integer)")
-projection("prj05_redacted_summary", "events", "event_id", "value", lambda: F.get_json_object(text.redacted_json(F.to_json(F.struct(c("event_type").alias("name"), c("props").alias("raw_text")))), "$.raw_text"), "'[REDACTED]'")
 
 
 def raw_fields(spark, d):

@@ -134,12 +134,15 @@ def first_touch(spark, d):
     return t.product_events(spark, d).where("user_id is not null").groupBy("user_id").agg(F.min("occurred_at").alias("registered_at"))
 
 
-@query("dml30_search_event_once", "select user_id, k, min(event_id) as event_id from product_events where event_name = 'search_completed' group by 1, 2")
+@query("dml30_search_event_once", """with e as (select * from product_events where event_name = 'search_completed'), s as (select distinct user_id, k from e where occurred_at < timestamp '2024-01-15')
+  select user_id, k, min(event_id) as event_id from e anti join s using (user_id, k) where occurred_at >= timestamp '2024-01-15' group by 1, 2""")
 def search_once(spark, d):
+    """Searches since mid-month, once for each user and criteria that no earlier search had."""
     from listingloom.operators.lifecycle import absent_rows
 
     e = t.product_events(spark, d).where("event_name = 'search_completed'").withColumn("criteria", F.sha2(F.to_json(F.struct("k")), 256))
-    return absent_rows(e.limit(0), e, ["user_id", "criteria"], F.col("event_id")).select("user_id", "k", "event_id")
+    stored = F.col("occurred_at") < F.lit("2024-01-15").cast("timestamp_ntz")
+    return absent_rows(e.where(stored), e.where(~stored), ["user_id", "criteria"], F.col("event_id")).select("user_id", "k", "event_id")
 
 
 @query("agg20_usage_counts", "select tag, count(*) as usage from listings where excluded_tag is null group by 1")

@@ -91,30 +91,11 @@ def routing(spark, d):
     return t.table(spark, d, "events").select("event_id", parsing.resolve_recipe(asked, bound).alias("recipe"))
 
 
-@query("par02_metadata_precedence", "select event_id, case when event_id % 2 = 0 then 'payload' when event_id % 3 = 0 then 'event' end as source from events")
-def precedence(spark, d):
-    k = F.col("event_id")
-    return t.table(spark, d, "events").select("event_id", F.coalesce(F.nullif(F.when(k % 2 == 0, "payload").otherwise(""), F.lit("")), F.when(k % 3 == 0, "event")).alias("source"))
-
-
 @query("par04_cleanup", "select doc_id, length(trim(regexp_replace(regexp_replace(text, '[ \\t\\f\\v]+', ' ', 'g'), '\\n\\s*\\n(?:\\s*\\n)+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))) as n from documents")
 def cleanup(spark, d):
     return t.table(spark, d, "documents").select("doc_id", F.length(parsing.cleaned(F.col("text"), parsing.RECIPES["generic.single_listing"])).cast("bigint").alias("n"))
 
 
-@query("par15_candidate_key", "select post_id, case when post_id % 2 = 0 then 'post:' || post_id else 'post:' || post_id || ':spc_' || post_id end as key from posts")
-def candidate_key(spark, d):
-    raw = F.concat(F.lit("post:"), F.col("post_id").cast("string"))
-    return t.posts(spark, d).select("post_id", F.when(F.col("post_id") % 2 == 0, raw).otherwise(F.concat_ws(":", raw, F.concat(F.lit("spc_"), F.col("post_id").cast("string")))).alias("key"))
-
-
-@query("par16_modes", "select post_id, case post_id % 3 when 0 then 'parsed' when 1 then 'passthrough_audited' else 'passthrough' end as route from posts")
-def modes(spark, d):
-    mode = F.when(F.col("post_id") % 3 == 0, "active").when(F.col("post_id") % 3 == 1, "shadow").otherwise("disabled")
-    names = F.create_map(*(F.lit(x) for x in ("active", "parsed", "shadow", "passthrough_audited", "disabled", "passthrough")))
-    return t.posts(spark, d).select("post_id", names[mode].alias("route"))
-
-
 EVAL = """l as (select doc_id as case_id, quality, toxic from labels), e as (select case_id, quality as x, count(*) as e from l group by 1, 2), a as (select case_id, toxic as x, count(*) as a from l group by 1, 2),
   b as (select coalesce(e, 0) as e, coalesce(a, 0) as a from e full join a on e.case_id = a.case_id and e.x = a.x)"""
 

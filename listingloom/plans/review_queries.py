@@ -79,9 +79,9 @@ def comparable(spark, d):
     return pairs.select(c("l.announcement_id").alias("a"), prices_comparable().alias("comparable"))
 
 
-@query("prj02_nested_record", "select announcement_id, cast(price as double) as price, rooms, district from listings where rooms = 4")
+@query("prj02_nested_record", "select announcement_id, cast(price as double) as price, rooms, district from listings")
 def nested(spark, d):
-    rows = t.listings(spark, d).where("rooms = 4").select("announcement_id", F.struct(c("price").cast("double").alias("price"), "rooms", "district").alias("canonical"))
+    rows = t.listings(spark, d).select("announcement_id", F.struct(c("price").cast("double").alias("price"), "rooms", "district").alias("canonical"))
     return rows.select("announcement_id", "canonical.*")
 
 
@@ -118,18 +118,15 @@ def minimum_score(spark, d):
     return parsing.parse(digests(spark, d), strict).select("post_id", "index", "policy")
 
 
-@query("par13_family_shortcuts", "select event_id, case event_id % 3 when 0 then 'buffer' when 1 then 'quarantine' else 'parse' end as route from events")
-def families(spark, d):
-    family = F.when(c("event_id") % 3 == 0, "buffered_thread").when(c("event_id") % 3 == 1, "custom").otherwise("single_listing")
-    routes_ = F.when(family == "buffered_thread", "buffer").when(family == "custom", "quarantine").otherwise("parse")
-    return t.table(spark, d, "events").select("event_id", routes_.alias("route"))
-
-
-@query("set02_phone_intersection", "select a.announcement_id as a, b.announcement_id as b from listings a join listings b on a.phone = b.phone and a.announcement_id < b.announcement_id and a.rooms = 1")
+@query("set02_phone_intersection", """with p as (select announcement_id, unnest([phone, '+998' || lpad(cast(announcement_id % 500 as varchar), 9, '8')]) as phone from listings),
+  f as (select phone, min(announcement_id) as one from p group by 1)
+  select announcement_id, min(one) as earlier, count(*) as shared from p join f using (phone) where one < announcement_id group by 1""")
 def phones(spark, d):
-    rows = t.listings(spark, d).select("announcement_id", "rooms", F.explode(F.array("phone")).alias("phone"))
-    pairs = rows.where("rooms = 1").alias("a").join(rows.alias("b"), (c("a.phone") == c("b.phone")) & (c("a.announcement_id") < c("b.announcement_id")))
-    return pairs.select(c("a.announcement_id").alias("a"), c("b.announcement_id").alias("b"))
+    """Every listing with two phones: the first earlier listing that has any of them, and how many of its phones an earlier one has."""
+    second = F.concat(F.lit("+998"), F.lpad((c("announcement_id") % 500).cast("string"), 9, "8"))
+    rows = t.listings(spark, d).select("announcement_id", F.explode(F.array("phone", second)).alias("phone"))
+    first = rows.groupBy("phone").agg(F.min("announcement_id").alias("one"))
+    return rows.join(first, "phone").where("one < announcement_id").groupBy("announcement_id").agg(F.min("one").alias("earlier"), F.count("*").alias("shared"))
 
 
 @query("set03_tokens_without_phones", "select announcement_id, len(list_distinct(string_split(description, ' '))) as n from listings")
@@ -143,10 +140,12 @@ def ordered_distinct(spark, d):
     return t.table(spark, d, "part").select("p_partkey", F.array_join(F.array_distinct(F.array("p_brand", "p_type", "p_brand")), ",").alias("names"))
 
 
-@query("dml02_save_parent", "select announcement_id from (select *, row_number() over (partition by source_id, district order by announcement_id) as n from listings where announcement_id % 2 = 1) b where n = 1 and not exists (select 1 from listings s where s.announcement_id % 40 = 0 and s.source_id = b.source_id and s.district = b.district)")
+@query("dml02_save_parent", """select announcement_id from (select *, row_number() over (partition by source_id, district, floor order by announcement_id) as n from listings where created_at >= timestamp '1998-01-01') b
+  where n = 1 and not exists (select 1 from listings s where s.created_at < timestamp '1998-01-01' and s.source_id = b.source_id and s.district = b.district and s.floor = b.floor)""")
 def save_parent(spark, d):
-    rows = t.listings(spark, d).select("announcement_id", "source_id", "district")
-    return lifecycle.absent_rows(rows.where("announcement_id % 40 = 0"), rows.where("announcement_id % 2 = 1"), ["source_id", "district"], c("announcement_id")).select("announcement_id")
+    """Listings since 1998 come in; the earlier ones are stored."""
+    rows = t.listings(spark, d).select("announcement_id", "source_id", "district", "floor", (c("created_at") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("stored"))
+    return lifecycle.absent_rows(rows.where("stored"), rows.where("not stored"), ["source_id", "district", "floor"], c("announcement_id")).select("announcement_id")
 
 
 @query("dml03_link_children", """with every as (select announcement_id, source_id, created_at from listings where parent_id is null union all
@@ -265,12 +264,6 @@ def distinct_media(spark, d):
     return rows.select("announcement_id", F.size(F.array_distinct("m")).cast("bigint").alias("n"))
 
 
-@query("jsn06_provider_answer", "select event_id, event_type as answer from events")
-def provider_answer(spark, d):
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(c("event_type").alias("content")).alias("message"))).alias("choices")))
-    return t.table(spark, d, "events").select("event_id", F.get_json_object(body, "$.choices[0].message.content").alias("answer"))
-
-
 @query("nrm02_search_extraction", "select filter_id, case when filter_id % 5 = 0 then null else lower(district) end as district, case when filter_id % 5 = 0 then 0 else 1 end + case when rooms is not null then 1 else 0 end as applied from saved_filters")
 def search_extraction(spark, d):
     district = F.nullif(F.lower(F.trim(F.when(c("filter_id") % 5 == 0, "  ").otherwise(c("district")))), F.lit(""))
@@ -323,12 +316,6 @@ def parser_plugin(spark, d):
     return spark.sql("select p_partkey, cast(w.index as bigint) as index, w.segment from plugin_input, lateral words_plugin(p_name) w")
 
 
-@query("ext06_profile_strategies", "select p_partkey, case p_type when 'PROMO' then upper(p_name) when 'LARGE' then p_name[1:4] else p_name end as text from part")
-def strategies(spark, d):
-    chosen = plugins.by_profile(c("p_type"), {"PROMO": F.upper("p_name"), "LARGE": F.substring("p_name", 1, 4)}, c("p_name"))
-    return t.table(spark, d, "part").select("p_partkey", chosen.alias("text"))
-
-
 @query("src02_update_projection", "select doc_id, 'post:created:' || source || ':' || doc_id as idempotency_key, length(text) as n from documents where trim(text) <> ''")
 def update_projection(spark, d):
     docs = t.table(spark, d, "documents").where(F.trim("text") != "")

@@ -157,9 +157,9 @@ def agg02(spark, d):
 
 
 @query("agg03_media_json", """select announcement_id, coalesce((select string_agg(media_id || ':' || phash, ',' order by media_id) from media m where m.announcement_id = l.announcement_id), '') as media
-  from listings l where rooms = 1""")
+  from listings l""")
 def agg03(spark, d):
-    rows = search.with_media(t.listings(spark, d).where("rooms = 1").select("announcement_id"), t.media(spark, d))
+    rows = search.with_media(t.listings(spark, d).select("announcement_id"), t.media(spark, d))
     return rows.select("announcement_id", F.array_join(F.transform("media", lambda m: F.concat_ws(":", m["media_id"].cast("string"), m["phash"])), ",").alias("media"))
 
 

@@ -68,7 +68,7 @@ def blank(spark, d):
 
 @query("src19_bulk_deletions", "select user_id, event_id as message_id from events where event_type = 'error'")
 def deletions(spark, d):
-    gone = t.table(spark, d, "events").where("event_type = 'error'").groupBy(c("user_id").alias("channel_id")).agg(F.collect_list("event_id").alias("deleted_ids"))
+    gone = t.table(spark, d, "events").where("event_type = 'error'").select(c("user_id").alias("channel_id"), F.array("event_id").alias("deleted_ids"))
     return messages.deletions(gone).select(c("channel_id").alias("user_id"), "message_id")
 
 
@@ -84,19 +84,6 @@ def schedule(spark, d):
     return content.due_posts(t.table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct(), ("stats", "top_offers"))
 
 
-@query("src23_job_payload", "select o_orderkey, o_custkey as user_id from orders")
-def job_payload(spark, d):
-    job = F.to_json(F.struct("o_orderkey", "o_custkey"))
-    return t.table(spark, d, "orders").select(F.from_json(job, "o_orderkey bigint, o_custkey bigint").alias("j")).select("j.o_orderkey", c("j.o_custkey").alias("user_id"))
-
-
-@query("str24_stats_post", """select concat_ws(chr(10), 'Active listings: ' || count(*) filter (status = 'active' and parent_id is null), 'New today: ' || count(*) filter (cast(created_at as date) = date '2024-01-15'),
-  'Duplicates merged: ' || count(*) filter (cast(created_at as date) = date '2024-01-15' and parent_id is not null),
-  'Average monthly price: ' || cast(round(avg(cast(monthly as double)) filter (status = 'active' and parent_id is null and price_basis = 'total' and currency = 'USD'), 0) as bigint) || ' USD') as post from listings""")
-def stats_post(spark, d):
-    return content.stats_post(content.daily_stats(t.listings(spark, d), "2024-01-15"))
-
-
 FORWARD = """k as (select post_id, forward_key, parent_ref from posts where forward_key is not null),
   r as (select a.post_id, min(b.post_id) as forward_ref from k a join k b on a.forward_key = b.forward_key and b.post_id < a.post_id
     and not (a.parent_ref is not null and b.parent_ref is not null and a.parent_ref = b.parent_ref) group by 1)"""
@@ -122,11 +109,6 @@ def image_hash(spark, d):
     return prededup.image_matches(t.posts(spark, d))
 
 
-@query("join15_phone_overlap")
-def phone_overlap(spark, d):
-    return prededup.phone_matches(prededup.signals(t.posts(spark, d)))
-
-
 @query("ded01_post_signals")
 def post_signals(spark, d):
     return prededup.signals(t.posts(spark, d)).select("post_id", "forward_key", "text_hash", F.size("tokens").alias("n_tokens"), F.array_join("phones", ",").alias("phones"), "phash")
@@ -152,8 +134,8 @@ def album_events(spark, d):
     )
 
 
-@query("stm02_album_merge", """with f as (select conv_id, role, min(turn) as first_turn from conversations where turn < 40 group by 1, 2)
-  select conv_id as album, (select count(*) from conversations x where x.conv_id = f.conv_id and x.turn < 40) as n, string_agg(trim(role), chr(10) || chr(10) order by first_turn) as text from f group by 1""")
+@query("stm02_album_merge", """with f as (select conv_id, role, min(turn) as first_turn from conversations group by 1, 2)
+  select conv_id as album, (select count(*) from conversations x where x.conv_id = f.conv_id) as n, string_agg(trim(role), chr(10) || chr(10) order by first_turn) as text from f group by 1""")
 def album_merge(spark, d):
     merged = jobs.albums(album_events(spark, d))
     return merged.select("album", F.size("message_ids").cast("bigint").alias("n"), "text")
@@ -203,12 +185,6 @@ def failures(spark, d):
     return jobs.bulk_failures(rows, "batch")
 
 
-@query("stm15_config_fingerprint", "select sha256(string_agg(n_nationkey || ':' || n_name, ',' order by n_nationkey)) as fingerprint from nation")
-def fingerprint(spark, d):
-    rows = t.table(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
-    return rows.select(F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["n_nationkey"].cast("string"), x["n_name"])), ","), 256).alias("fingerprint"))
-
-
 @query("agg21_best_response", "select user_id, max_by(event_id, (value, -event_id)) as best from events group by 1")
 def best_response(spark, d):
     return t.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", (-c("event_id")).alias("first"))).alias("best"))

@@ -31,7 +31,10 @@ def decode(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def encode(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct("*")).alias("payload"))
+    """(payload): raw events with all their fields as JSON, nulls written out, times as ISO texts."""
+    from listingloom.operators.envelopes import encoded
+
+    return encoded(rows).select("payload")
 
 
 def with_content(updates: DataFrame) -> DataFrame:
