@@ -1,10 +1,12 @@
-"""Byte-pair merging shared by the tokenizers, and a bounded cache for its results."""
+"""Byte-pair merging shared by the tokenizers, one input at a time or many at once, and a bounded cache for its results."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
 
+import numpy as np
+
 #: Symbols up to which merging rescans the list; longer inputs use a heap.
 SHORT = 48
 #: Entries of a generation of each cache.
@@ -64,3 +66,72 @@ def _merge_long(s: list, rank: Callable) -> list:
             if a >= 0 and b >= 0 and (r := rank(s[a] + s[b])) is not None:
                 heapq.heappush(heap, (r, a, s[a] + s[b]))
     return [x for x in s if x is not None]
+
+
+class PairTable:
+    """Merges of many inputs at once: symbols are numbers, and a sorted table has the pairs that join.
+
+    pieces: every string that may come out of a merge, with its rank (the least first; equal ranks leftmost first).
+    Symbols are the pieces and the characters in them.
+    """
+
+    def __init__(self, rank: dict[str, float]):
+        self.symbols = list(dict.fromkeys([*rank, *(c for p in rank for c in p)]))
+        number = {s: i for i, s in enumerate(self.symbols)}
+        order = {r: i for i, r in enumerate(sorted(set(rank.values())))}
+        pairs = sorted((number[a] * len(self.symbols) + number[b], order[r], number[p]) for p, r in rank.items() for i in range(1, len(p)) if (a := p[:i]) in number and (b := p[i:]) in number)
+        self.keys, self.order, self.joined = (np.array(x, t) for x, t in zip(zip(*pairs) if pairs else ((), (), ()), (np.int64, np.int32, np.int32)))
+        single = {c: number[c] for c in self.symbols if len(c) == 1}
+        self.known = np.array(sorted(map(ord, single)), np.uint32)
+        self.of_known = np.array([single[chr(c)] for c in self.known.tolist()], np.int32)
+
+    NONE = np.iinfo(np.int32).max
+
+    def _look_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair, NONE where it doesn't join, and the place of its entry."""
+        if not len(self.keys):
+            return np.full(a.shape, self.NONE, np.int32), np.zeros(a.shape, np.int64)
+        key = a.astype(np.int64) * len(self.symbols) + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.order[at], self.NONE), at
+
+    def split(self, text: np.ndarray) -> np.ndarray:
+        """Symbols of code points; -1 for those in no piece."""
+        at = np.minimum(np.searchsorted(self.known, text), len(self.known) - 1)
+        return np.where(self.known[at] == text, self.of_known[at], -1)
+
+    def merge(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs, width) symbols padded with -1 -> the merged symbols, padded likewise, and how many each input has."""
+        out, count = s.copy(), (s >= 0).sum(axis=1)
+        rank, entry = self._look_up(s[:, :-1], s[:, 1:])
+        row, place = np.arange(len(s)), np.arange(s.shape[1])
+        while len(row) and s.shape[1] > 1:
+            j = rank.argmin(axis=1)
+            here = np.arange(len(row))
+            live = rank[here, j] != self.NONE
+            if not live.all():
+                done = ~live
+                out[row[done], : s.shape[1]] = s[done]
+                row, s, rank, entry, j = row[live], s[live], rank[live], entry[live], j[live]
+                here = np.arange(len(row))
+            if not len(row):
+                break
+            s[here, j] = self.joined[entry[here, j]]
+            count[row] -= 1
+            # One symbol fewer: what stands behind the merged pair moves up, and the pairs on its two sides are new.
+            width = int(count[row].max())
+            s = np.take_along_axis(s, np.minimum(place[:width] + (place[:width] > j[:, None]), s.shape[1] - 1), axis=1)
+            s[place[:width] >= count[row][:, None]] = -1
+            if width < 2:
+                out[row, :1] = s
+                out[row, 1:] = -1
+                break
+            moved = np.minimum(place[: width - 1] + (place[: width - 1] >= j[:, None]), rank.shape[1] - 1)
+            rank, entry = np.take_along_axis(rank, moved, axis=1), np.take_along_axis(entry, moved, axis=1)
+            for at in (j - 1, j):
+                use = (at >= 0) & (at < width - 1)
+                r, k = here[use], at[use]
+                rank[r, k], entry[r, k] = self._look_up(s[r, k], s[r, k + 1])
+            rank[place[: width - 1] >= count[row][:, None] - 1] = self.NONE
+        out[np.arange(out.shape[1]) >= count[:, None]] = -1
+        return out, count

@@ -18,12 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from listingloom.llm.bpe import Cache, merge
+from listingloom.llm.bpe import CACHE, SHORT, Cache, PairTable, merge
+from listingloom.llm.common import quoted, whole_row
 
 MARK = "▁"
 #: Tokens of one output batch.
 BATCH_TOKENS = 1 << 18
+#: Characters of texts whose fragments are resolved together, and fragments merged together.
+CHARS_AT_ONCE, MERGED_AT_ONCE = 1 << 21, 1 << 12
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -117,7 +121,11 @@ class PieceModel:
         #: Cached ids are packed; bytes are smaller than tuples and join fast.
         self.packed = "H" if len(pieces) <= 1 << 16 else "I"
         self.fragments = Cache(self._merge)
-        self.words = Cache(lambda w: self._fragment_ids(MARK + w))
+        #: Ids of words with the mark in front, in two generations: a full one replaces the older.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs = PairTable(self.rank)
+        self.id_of_symbol = np.array([self.id.get(x, -1) for x in self.pairs.symbols], np.int64)
 
     # -- encoding
 
@@ -182,27 +190,80 @@ class PieceModel:
         return b"".join(self.fragments[fragment[a:b]] for a, b in zip([0, *cuts], [*cuts, len(fragment)]))
 
     def _ids(self, norm: str) -> np.ndarray:
-        if not self.cuts:
-            parts = [self._fragment_ids(norm)]
-        elif norm[:1] == MARK and norm[-1:] != MARK and MARK * 2 not in norm:
-            parts = map(self.words.__getitem__, norm[1:].split(MARK))
-        else:
-            parts = map(self._fragment_ids, re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", norm))
-        return np.frombuffer(b"".join(parts), self.packed).astype(np.int32)
+        """Ids of a normalised text; it is cut before marks where no piece can cross them."""
+        parts = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", norm) if self.cuts else [norm]
+        return np.frombuffer(b"".join(map(self._fragment_ids, parts)), self.packed).astype(np.int32)
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of all ``words``, each after a mark, into the cache; new ones of similar length are merged together."""
+        missing = words.difference(self.words)
+        if len(self.words) + len(missing) > CACHE and missing:
+            self.older, self.words, missing = self.words, {}, words
+        new = []
+        for w in missing:
+            ids = self.older.get(w)
+            if ids is not None:
+                self.words[w] = ids
+            elif len(w) < SHORT:
+                new.append(w)
+            else:
+                self.words[w] = self._fragment_ids(MARK + w)
+        new.sort(key=len)
+        for a in range(0, len(new), MERGED_AT_ONCE):
+            part = new[a : a + MERGED_AT_ONCE]
+            sizes = np.array([len(w) + 1 for w in part])
+            filled = np.arange(sizes.max()) < sizes[:, None]
+            symbols = np.full(filled.shape, -1, np.int32)
+            symbols[filled] = self.pairs.split(np.frombuffer((MARK + MARK.join(part)).encode("utf-32-le"), "<u4"))
+            odd = (filled & (symbols < 0)).any(axis=1)  # a character in no piece: byte pieces
+            symbols[odd] = -1
+            merged, count = self.pairs.merge(symbols)
+            ids = self.id_of_symbol[np.maximum(merged, 0)]
+            odd |= ((ids < 0) & (np.arange(ids.shape[1]) < count[:, None])).any(axis=1)
+            wide = array(self.packed).itemsize
+            raw, width = ids.astype(f"<u{wide}").tobytes(), ids.shape[1] * wide
+            for w, at, n, one in zip(part, range(0, len(raw), width), (count * wide).tolist(), odd.tolist()):
+                self.words[w] = self._fragment_ids(MARK + w) if one else raw[at : at + n]
+
+    def _plain_words(self, text: str) -> list[str] | None:
+        """The words of a text whose normalised form has one mark before each and is otherwise equal, or None."""
+        if self.charmap is not None or self.squeeze or not self.dummy or not self.cuts or self.byte is None or MARK in text:
+            return None
+        words = text.split(" ")
+        return None if "" in words else words
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of every text, some at a time: their distinct words are looked up or merged once."""
+        at = 0
+        while at < len(texts):
+            cut, own, chars = [], set(), 0
+            while at < len(texts) and chars < CHARS_AT_ONCE:
+                words = self._plain_words(texts[at])
+                own.update(words or ())
+                cut.append((texts[at], words))
+                chars += len(texts[at])
+                at += 1
+            self.learn(own)
+            for text, words in cut:
+                if words is None:
+                    yield self.encode(text)
+                else:
+                    yield self._spans(np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.packed).astype(np.int32))
+
+    def _spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, ends) of a plain text: each piece covers its own bytes, the mark put in front none."""
+        ends = np.cumsum(self.source_len[ids], dtype=np.int32)
+        if self.dummy:
+            ends -= 1
+        return ids, np.r_[np.int32(0), ends[:-1]], ends
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends): each piece and the source bytes it covers."""
         if not text:
             none = np.empty(0, np.int32)
             return none, none, none
-        if self.charmap is None and not self.squeeze and MARK not in text:
-            ids = self._ids((MARK if self.dummy else "") + text.replace(" ", MARK))
-            ends = np.cumsum(self.source_len[ids], dtype=np.int32)
-            if self.dummy:
-                ends -= 1
-            begins = np.r_[np.int32(0), ends[:-1]]
-            if self.byte is not None:
-                return ids, begins, ends
+        if self.charmap is None and not self.squeeze and self.byte is not None and MARK not in text:
+            return self._spans(self._ids((MARK if self.dummy else "") + text.replace(" ", MARK)))
         norm, source = self.normalise(text)
         ids = self._ids(norm)
         # Positions in the normalised text, in bytes, then the source bytes of those positions.
@@ -276,41 +337,49 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.int32)))
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, begins, ends array<int>) for every row; spans are UTF-8 byte offsets of the source text.
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, ids, begins, ends array<int>) for every row, with ``decoded`` also the text that the ids decode to.
 
-    No begin or end ids. A null or empty text has empty arrays; rows stay one to one, repeated and null
-    ids too; other columns are not read.
+    Spans are UTF-8 byte offsets of the source text. No begin or end ids. A null or empty text has empty arrays and
+    decodes to an empty text; rows stay one to one, repeated and null ids too; other columns are not read; an empty
+    table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for b in batches:
             held, tokens, first = [], 0, 0
-            for i, t in enumerate(b.column(1)):
-                held.append(model.encode(t.as_py() or ""))
-                tokens += len(held[-1][0])
+            for i, found in enumerate(model.encode_all([t.as_py() or "" for t in b.column(1)])):
+                held.append(found)
+                tokens += len(found[0])
                 if tokens >= BATCH_TOKENS or i == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), *map(_lists, zip(*held))], ["id", "ids", "begins", "ends"])
+                    text = [pa.array([model.decode(x[0]) for x in held], pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), *map(_lists, zip(*held)), *text], names)
                     held, tokens, first = [], 0, i + 1
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>").withColumnRenamed("id", id_col)
+    narrow = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    names = ["id", "ids", "begins", "ends", *["decoded"] * decoded]
+    out = narrow.mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids; null ids give an empty text."""
+    """``encoded`` with the text of its ids as ``text_col``; null ids count as none and give an empty text.
+
+    A column that is named ``text_col`` already is replaced; others may have any names. Repeated rows stay; an empty
+    table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for b in batches:
-            col = b.column(at)
+            col = b.column(0)
             flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
             text = [model.decode(flat[x:y]) for x, y in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], ["ids", "row", "decoded"])
 
-    at = encoded.columns.index(ids_col)
-    filled = encoded.withColumn(ids_col, F.coalesce(ids_col, F.array().cast("array<int>")))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in filled.schema]
-    return filled.mapInArrow(run, ", ".join([*fields, f"`{text_col}` string"]))
+    rest = [c for c in encoded.columns if c.lower() != text_col.lower()]
+    packed = encoded.select(F.coalesce(quoted(ids_col), F.array().cast("array<int>")).alias("ids"), whole_row(encoded.select(*map(quoted, rest))).alias("row"))
+    told = packed.mapInArrow(run, StructType([*packed.schema, StructField("decoded", StringType())]))
+    return told.select("row.*", F.col("decoded").alias(text_col))

@@ -22,15 +22,12 @@ def piece_model_path() -> str:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = piece_model_path()
-    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), path)
-    told = encoded.select(
-        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model_path(), decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint").alias("source_bytes"),
     )
-    decoded = pieces.decode_documents(told, path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "source_bytes")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
