@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -37,6 +38,25 @@ def test_pieces_equal_the_library():
         assert model.decode(np.array(ids, np.int32)) == library.decode(ids)
 
 
+def test_many_texts_at_once_equal_one_by_one(monkeypatch):
+    """Words merged together, words looked up, and a cache that is full again and again."""
+    import sentencepiece
+
+    library, model, rng = sentencepiece.SentencePieceProcessor(model_file=piece_model_path()), pieces.PieceModel(piece_model_path()), random.Random(12)
+    parts = ["a", "b", "t", "he", "ing", "ation", "é", "漢", ",", ".", "\n", "0", "R"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(900)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [random_text(rng) for _ in range(200)] + ["", " a", "a  b", "x" * 500]
+    monkeypatch.setattr(pieces, "CACHE", 300)
+    monkeypatch.setattr(pieces, "CHARS_AT_ONCE", 4000)
+    monkeypatch.setattr(pieces, "MERGED_AT_ONCE", 64)
+    for _ in range(2):
+        got = list(model.encode_all(texts))
+        assert [x[0].tolist() for x in got] == [library.encode(t) for t in texts]
+        for text, (ids, begins, ends) in zip(texts, got):
+            one = model.encode(text)
+            assert all((x == y).all() for x, y in zip(one, (ids, begins, ends)))
+
+
 def double_array(entries):
     """A compiled map of bytes -> replacement, laid out by brute force."""
     pool, units, taken = b"", {0: [0, None, False]}, {0}
@@ -86,7 +106,12 @@ def test_encode_and_decode_rows(spark):
     encoded = pieces.encode_documents(docs, piece_model_path())
     got = pieces.decode_documents(encoded, piece_model_path()).collect()
     assert sorted((str(r["doc_id"]), r["decoded"]) for r in got) == [("1", "Hello  world"), ("2", ""), ("3", ""), ("3", "é\n"), ("None", "x")]
-    assert pieces.encode_documents(docs.limit(0), piece_model_path()).count() == 0
+    once = pieces.encode_documents(docs, piece_model_path(), decoded=True)
+    assert sorted((str(r["doc_id"]), r["decoded"], r["ids"]) for r in once.collect()) == sorted((str(r["doc_id"]), r["decoded"], r["ids"]) for r in got)
+    assert pieces.encode_documents(docs.limit(0), piece_model_path()).count() == pieces.decode_documents(encoded.limit(0), piece_model_path()).count() == 0
+    clash = spark.createDataFrame([([5, 6], "old", 1, 2)], "`i.ds` array<int>, decoded string, ids int, `row` int")
+    again = pieces.decode_documents(clash, piece_model_path(), ids_col="i.ds").first()
+    assert (again["row"], again["ids"], again["i.ds"]) == (2, 1, [5, 6]) and again["decoded"] != "old"
     assert pieces.decode_documents(spark.createDataFrame([(1, None)], "a int, ids array<int>"), piece_model_path()).first()["decoded"] == ""
 
 
@@ -183,14 +208,14 @@ def test_page_parts():
         "<div class='ad'>buy</div><article><header><h1>Head  line</h1></header><p><b>Fat &amp; <i>thin</i>\n text<br>more<p>next<aside>side</aside>"
         "<div class='comments'><p>me first</div><form><p>mail</form><p hidden>gone</p><ul><li>one<li>two</ul>tail</article><footer>&copy; x</footer>"
     )
-    assert html.main_text(html.page_lines(page), None)[0] == "Head line\nFat & thin text more\nnext\none\ntwo\ntail"
-    assert html.page_lines("") == [] and html.main_text([], None) == ("", 0)
+    assert html.main_text(html.page_lines(page), [])[0] == "Head line\nFat & thin text more\nnext\none\ntwo\ntail"
+    assert html.page_lines("") == [] and html.main_text([], []) == ("", 0)
     assert html.page_lines("just <b>text") == [(html.PLAIN, "just text")]
 
 
 def test_hidden_elements_end_where_they_end():
     def text(body):
-        return html.main_text(html.page_lines(f"<article>{body}</article>"), None)[0]
+        return html.main_text(html.page_lines(f"<article>{body}</article>"), [])[0]
 
     assert text('<p>one <svg class="i"/> two</p><p>three</p>') == "one two\nthree"
     assert text("<p>one <math/> two</p>") == "one two" and text("<p>one <svg><path d='M0'/></svg> two</p>") == "one two"
@@ -198,23 +223,69 @@ def test_hidden_elements_end_where_they_end():
     assert text("<p>a</p><canvas><p>b</p>") == "a\nb" and text("<p>a</p><script>var x = 1;") == "a"
 
 
-def test_pages_without_article_lose_lines_shared_with_the_nearest_page(spark):
-    def page(body):
-        return f"<body><div>Welcome</div><p>{body}</p><p>All rights</p></body>"
-
-    rows = [
-        (1, "http://h.x/a/1", page("one")), (2, "http://h.x/a/2", page("two")), (3, "http://h.x/b", page("three")), (4, "http://lone.x/", page("four")),
-        (5, None, None), (6, "", ""), (7, "http://c.x/1", "<article><p>copy</p></article>"), (8, "http://c.x/2", "<article><p>copy</p></article>"),
-    ]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(0))
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract_pages(df.coalesce(1)).collect()}
-    assert len(got) == 8
-    assert got[4][0] == "Welcome\nfour\nAll rights" and got[5] == got[6] == ("", 0) and got[7] == got[8] == ("copy", 4)
-    few = {r["page_id"]: r["text"] for r in html.extract_pages(df.where("page_id <= 3").coalesce(1)).collect()}
-    assert set(few) == {1, 2, 3} and all(few[i].count("\n") in (0, 2) for i in few)
+def test_names_that_mark_a_part():
+    def kept(attributes):
+        return html.page_lines(f"<div {attributes}><p>x</p></div>")[0][0] == html.PLAIN
+
+    for away in ("class='ad'", 'id="site-footer"', "class=cookie-banner", "class='x ad-slot-3'", "hidden", "style='display: none'", 'aria-hidden="true"'):
+        assert not kept(away), away
+    for plain in ("class='social-science'", "data-class='ad'", "title='hidden class ad'", "class='shadow'", "data-hidden='1'", "id=adder"):
+        assert kept(plain), plain
+
+
+def plain_page(*lines):
+    return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+
+
+def expected_pages(rows):
+    """Brute force for small hosts: a page without article loses the lines of an LCS with the next page on each side that has other lines."""
+    out = {}
+    lines = {i: re.findall("<div>(.*?)</div>", h or "") for i, _, h in rows}
+    key = {i: re.fullmatch("(?:https?://([^/]*))?(.*)", u or "").groups(default="") for i, u, _ in rows}
+    for i, _, _ in rows:
+        order = sorted((j for j in lines if key[j][0] == key[i][0]), key=lambda j: (key[j][1], j))
+        at = order.index(i)
+        ahead = [x for k, j in enumerate(reversed(order[:at])) if (x := lines[j]) != lines[i]]
+        behind = [x for j in order[at + 1 :] if (x := lines[j]) != lines[i]]
+        differ = lambda xs: [x for k, x in enumerate(xs) if k == 0 or x != xs[k - 1]]
+        near = ahead[:1] + behind[:1] if ahead and behind else differ(ahead)[:2] + differ(behind)[:2]
+        shared = set(range(len(lines[i])))
+        for other in near:
+            shared &= html.shared_lines(lines[i], other)
+        out[i] = "\n".join(x for k, x in enumerate(lines[i]) if not near or k not in shared)
+    return out
+
+
+def test_pages_without_article_lose_lines_shared_with_their_nearest_pages(spark):
+    rng, rows = random.Random(6), []
+    for host in range(6):
+        for k in range(rng.choice([1, 2, 3, 9])):
+            body = [f"host {host}", *(f"t{rng.randrange(99)}" for _ in range(rng.randrange(4))), rng.choice(["quoted", "rare"]), f"foot {host}"]
+            rows.append((len(rows), f"http://h{host}.x/{rng.choice('ab')}/{k}", plain_page(*body)))
+    same = plain_page("mirror", "of one page")
+    rows += [(100 + k, "http://m.x/p", same) for k in range(5)] + [(110 + k, f"http://m.x/p/{k}", same) for k in range(5)]
+    rows += [(120, None, None), (121, "", ""), (122, "http://two.x/1", plain_page("top", "one", "end")), (123, "http://two.x/2", plain_page("top", "two", "end"))]
+    want = expected_pages(rows)
+    assert want[100] == want[114] == "mirror\nof one page" and (want[122], want[123]) == ("one", "two") and want[120] == ""
+    rows += [(130 + k, f"http://c.x/{k}", "<div>top</div><article><p>copy</p><p>of a passage</p></article>") for k in range(3)]
+    want |= {130 + k: "copy\nof a passage" for k in range(3)}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(0)).withColumn("host", F.lit("x")).withColumn("lines", F.lit(1))
+    for parts in (1, 7):
+        got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract_pages(df.repartition(parts)).collect()}
+        assert got == {i: (t, len(t)) for i, t in want.items()}
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_large_hosts_and_folders_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(html, "GROUP_PAGES", 8)
+    rows = [(k, f"http://big.x/{'one' if k % 3 else k % 50}/{k}", plain_page("top", f"body {k}", "end")) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    groups = html._grouped(df).groupBy("host", "part").count().collect()
+    assert max(r["count"] for r in groups) < 40 and len(groups) > 20
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(df).collect()}
+    assert len(got) == 300 and sum(got[k] == f"body {k}" for k in got) > 285
+
+
 def toy_documents(spark):
     rng, rows = random.Random(3), []
     parts = {"aa": ["ba", "na", "ka"], "bb": ["xu", "zö", "qué"], "cc": ["мир", "да", "нет"]}
