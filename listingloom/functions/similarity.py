@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
+def alike(a: Column, b: Column, least: float) -> Column:
+    """Whether two arrays of distinct values have a Jaccard of ``least`` or more; empty ones never do.
+
+    Where the sizes alone rule it out the arrays aren't compared, and the union follows from sizes and intersection.
+    """
+    m, n = F.size(a), F.size(b)
+    both = F.size(F.array_intersect(a, b))
+    able = (m > 0) & (n > 0) & (F.least(m, n) >= F.greatest(m, n) * F.lit(least) - F.lit(1e-9))
+    return F.when(able, both / (m + n - both) >= least).otherwise(False)
+
+
 def half(hex16: Column, n: int) -> Column:
     """One 32-bit half of sixteen hex digits, as a number."""
     return F.conv(F.substring(hex16, 1 + 8 * n, 8), 16, 10).cast("bigint")
@@ -22,18 +35,31 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(half(a, 0).bitwiseXOR(half(b, 0))).cast("int") + F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))).cast("int")
 
 
-#: Widths of nine blocks of 64 bits: two hashes at most eight bits apart agree on one block at least.
-BLOCKS = (8, 7, 7, 7, 7, 7, 7, 7, 7)
+def bits64(hex16: Column) -> Column:
+    """A 64-bit hash of sixteen hex digits as one number."""
+    return F.shiftleft(half(hex16, 0), 32).bitwiseOR(half(hex16, 1))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """Differing bits of two hashes as numbers."""
+    return F.bit_count(a.bitwiseXOR(b)).cast("int")
+
 
+def block_keys(bits: Column, blocks: int, most: int) -> Column:
+    """array<bigint>: for every choice of ``blocks - most`` of the blocks of a 64-bit number, their bits under the choice's number.
 
-def hash_bands(hex16: Column) -> Column:
-    """array<string> of the nine numbered blocks of a 64-bit hash."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring(hex16, 1 + 4 * i, 4), 16, 2), 16, "0") for i in range(4)))
-    at, out = 1, []
-    for i, width in enumerate(BLOCKS):
-        out.append(F.concat(F.lit(f"{i}:"), F.substring(bits, at, width)))
-        at += width
-    return F.array(*out)
+    Two numbers at most ``most`` bits apart agree on that many blocks at least, so they share a key.
+    """
+    widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    starts = [sum(widths[:i]) for i in range(blocks)]
+    block = [F.shiftrightunsigned(bits, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, widths)]
+    keys = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - most)):
+        key = F.lit(n).cast("bigint")
+        for i in chosen:
+            key = F.shiftleft(key, widths[i]).bitwiseOR(block[i])
+        keys.append(key)
+    return F.array(*keys)
 
 
 def hash_strength(distance: Column) -> Column:
@@ -41,6 +67,6 @@ def hash_strength(distance: Column) -> Column:
     return 1 - distance / 64
 
 
-def least_hamming(a: Column, b: Column) -> Column:
-    """Least distance between any hash of one array and any of the other; null if either is empty."""
-    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: hamming(x, y)))))
+def least_apart(a: Column, b: Column) -> Column:
+    """Least distance between any number of one array and any of the other; null if either is empty."""
+    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: apart(x, y)))))

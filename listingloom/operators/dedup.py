@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingloom.functions.similarity import hash_bands, jaccard, least_hamming
+from listingloom.functions.similarity import alike, apart, bits64
 from listingloom.operators.predicates import area_close, price_close, user_facing
 from listingloom.sources.tables import checkpointed
 
@@ -43,14 +43,13 @@ def text_tokens(name: str) -> Column:
 
 
 def prepared(listings: DataFrame, media: DataFrame | None = None) -> DataFrame:
-    """listings with token arrays, image hashes and their bands, ready to be matched."""
+    """listings with token arrays and image hashes as numbers, ready to be matched."""
     rows = listings.withColumn("address_tokens", text_tokens("address")).withColumn("description_tokens", text_tokens("description"))
     if media is None:
-        hashes = F.array().cast("array<string>")
-        return rows.withColumn("hashes", hashes).withColumn("bands", hashes)
-    lists = media.groupBy("announcement_id").agg(F.array_sort(F.collect_set("phash")).alias("hashes"))
-    rows = rows.join(lists, "announcement_id", "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
-    return rows.withColumn("bands", F.array_distinct(F.flatten(F.transform("hashes", hash_bands))))
+        return rows.withColumn("hashes", F.array().cast("array<bigint>"))
+    lists = media.groupBy("announcement_id").agg(F.array_sort(F.collect_set(bits64(F.col("phash")))).alias("hashes"))
+    rows = rows.join(lists, "announcement_id", "left")
+    return rows.withColumn("hashes", F.coalesce("hashes", F.array().cast("array<bigint>")))
 
 
 def _same(name: str) -> Column:
@@ -58,8 +57,7 @@ def _same(name: str) -> Column:
 
 
 def _alike(name: str, least: float) -> Column:
-    a, b = F.col(f"l.{name}"), F.col(f"r.{name}")
-    return (F.size(a) > 0) & (F.size(b) > 0) & (jaccard(a, b) >= least)
+    return alike(F.col(f"l.{name}"), F.col(f"r.{name}"), least)
 
 
 Matcher = Callable[[Scoring], Column]
@@ -67,7 +65,7 @@ Matcher = Callable[[Scoring], Column]
 MATCHERS: dict[str, Matcher] = {
     "source_url": lambda s: _same("source_url"),
     "forward_origin": lambda s: _same("forward_key"),
-    "same_image": lambda s: F.arrays_overlap("l.bands", "r.bands") & F.coalesce(least_hamming(F.col("l.hashes"), F.col("r.hashes")) <= s.hamming, F.lit(False)),
+    "same_image": lambda s: F.exists("l.hashes", lambda x: F.exists("r.hashes", lambda y: apart(x, y) <= s.hamming)),
     "district": lambda s: F.coalesce(F.lower(F.trim("l.district")) == F.lower(F.trim("r.district")), F.lit(False)),
     "rooms": lambda s: _same("rooms"),
     "area": lambda s: area_close(),
@@ -166,7 +164,10 @@ def all_candidates(rows: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
 
 
 def score(pairs: DataFrame, rows: DataFrame, scoring: Scoring = Scoring(), matchers: Mapping[str, Matcher] | None = None) -> DataFrame:
-    """pairs with a boolean for every matcher and the sum of the matched weights."""
+    """pairs with a boolean for every matcher and the sum of the matched weights.
+
+    ``rows`` are ``prepared``; only the columns that the matchers read are joined to a pair.
+    """
     matchers = matchers or {k: m for k, m in MATCHERS.items() if k != "forward_origin" or "forward_key" in rows.columns}
     joined = (
         pairs.join(rows.alias("l"), F.col("l.announcement_id") == F.col("incoming"))
@@ -177,6 +178,19 @@ def score(pairs: DataFrame, rows: DataFrame, scoring: Scoring = Scoring(), match
     return joined.withColumn("score", total)
 
 
+#: Columns that the matchers read.
+MATCHED = (
+    "announcement_id", "created_at", "source_url", "forward_key", "district", "rooms", "area", "floor", "monthly", "price_period", "price_basis", "currency", "phone",
+    "hashes", "address_tokens", "description_tokens",
+)
+
+
+def ready(listings: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """``prepared`` rows with the columns of MATCHED, written once for the keys and both sides of the pairs."""
+    rows = prepared(listings, media)
+    return checkpointed(rows.select(*(n for n in MATCHED if n in rows.columns)))
+
+
 def decision(signals: set[str], scoring: Scoring = Scoring()) -> Column:
     """The ladder over the booleans of a scored pair; signals the pair lacks are false."""
 
@@ -211,7 +225,7 @@ def evaluate(listings: DataFrame, media: DataFrame | None = None, scoring: Scori
 
     Candidates are ``all_candidates`` and the newest of the same phone, or those of ``keys`` where given.
     """
-    rows = prepared(listings.where(user_facing()), media)
+    rows = ready(listings.where(user_facing()), media)
     if keys is None:
         pairs = all_candidates(rows, scoring).unionByName(candidate_pairs(rows, {"phone": F.col("phone")}, scoring)).distinct()
     else:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listingloom.functions.similarity import apart, bits64, block_keys
+from listingloom.sources.tables import checkpointed
+
 
 def band_join(left: DataFrame, right: DataFrame, on: list[str], column: str, width: float) -> DataFrame:
     """Pairs (aliases ``l`` and ``r``) with equal ``on`` and |l.column - r.column| <= width, as an equi-join.
@@ -43,13 +48,26 @@ def token_join(rows: DataFrame, id_col: str, tokens_col: str, least: float) -> D
     return verified.select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def _blocks(n: int, most: int) -> int:
+    """Blocks that make the fewest rows and pairs for ``n`` evenly spread hashes: more blocks are more keys, each of more bits."""
+
+    def cost(blocks: int) -> float:
+        keys = comb(blocks, most)
+        return n * keys + n * n * keys / 2 ** (1 + 64 * (blocks - most) / blocks)
+
+    return min(range(most + 1, most + 4), key=cost)
+
+
 def hash_join(rows: DataFrame, id_col: str, hash_col: str, most: int = 8) -> DataFrame:
-    """(a, b, distance) with a < b: distinct 64-bit hashes at most ``most`` (up to eight) bits apart, by shared bands."""
-    from listingloom.functions.similarity import hamming, hash_bands
+    """(a, b, distance) with a < b: distinct 64-bit hashes at most ``most`` (up to eight) bits apart.
 
-    banded = rows.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.explode(hash_bands(F.col(hash_col))).alias("band"))
-    pairs = banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")))
-    told = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
+    Candidates share a key of several blocks of bits. The number of blocks grows with the rows, so that keys stay
+    rare: pairs grow far slower than with one block a key. No candidate is dropped.
+    """
+    hashed = rows.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), bits64(F.col(hash_col)).alias("h"))
+    keyed = checkpointed(hashed.select("id", "h", F.explode(block_keys(F.col("h"), _blocks(hashed.count(), most), most)).alias("key")))
+    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    told = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart(F.col("a.h"), F.col("b.h")).alias("distance"))
     return told.where(F.col("distance") <= most).distinct()
 
 

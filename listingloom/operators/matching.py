@@ -11,19 +11,19 @@ from listingloom.operators.predicates import rentable, user_facing
 def match_filters(listings: DataFrame, filters: DataFrame, users: DataFrame) -> DataFrame:
     """(announcement_id, filter_id, user_id, outcome) for every match of an enabled filter with a user-facing listing.
 
-    Filters without a district would need a theta join; those with one join on it first, so the predicate runs
-    only within a district, and the two kinds are united. Outcome: matched, no_user or inactive_user.
+    A filter is joined on its district and rooms, or on a mark where it wants any; a listing looks under its own
+    values and under the marks. So every pair that meets already agrees on both, and only price and basis are left
+    to check. Outcome: matched, no_user or inactive_user.
     """
-    wanted = listings.where(user_facing() & rentable()).alias("a")
-    on = filters.where("enabled")
-    price = F.col("f.max_price").isNull() | (F.col("a.monthly") <= F.col("f.max_price"))
-    rooms = F.col("f.rooms").isNull() | (F.col("a.rooms") == F.col("f.rooms"))
-    basis = F.col("f.include_per_person") | (F.col("a.price_basis") != "per_person")
-    local, anywhere = on.where("district is not null").alias("f"), on.where("district is null").alias("f")
-    keys = [F.col("a.announcement_id"), F.col("f.filter_id"), F.col("f.user_id")]
-    both = wanted.join(local, F.lower("a.district") == F.lower("f.district")).where(price & rooms & basis).select(*keys)
-    rest = wanted.join(anywhere, price & rooms & basis).select(*keys)
-    seen = both.unionByName(rest).join(users.select("user_id", "status", "notifications_enabled"), "user_id", "left")
+    key = lambda district, rooms: F.concat_ws("|", district, rooms)
+    any_ = F.lit("\0")
+    district, rooms = F.coalesce(F.lower("district"), any_), F.coalesce(F.col("rooms").cast("string"), any_)
+    looks = F.array_distinct(F.array(key(district, rooms), key(district, any_), key(any_, rooms), key(any_, any_)))
+    wanted = listings.where(user_facing() & rentable()).select("announcement_id", "monthly", "price_basis", F.explode(looks).alias("key"))
+    on = filters.where("enabled").select("filter_id", "user_id", "max_price", "include_per_person", key(district, rooms).alias("key"))
+    price = F.col("max_price").isNull() | (F.col("monthly") <= F.col("max_price"))
+    basis = F.col("include_per_person") | (F.col("price_basis") != "per_person")
+    seen = wanted.join(on, "key").where(price & basis).select("announcement_id", "filter_id", "user_id").join(users.select("user_id", "status", "notifications_enabled"), "user_id", "left")
     outcome = F.when(F.col("status").isNull(), "no_user").when((F.col("status") != "active") | ~F.col("notifications_enabled"), "inactive_user").otherwise("matched")
     return seen.select("announcement_id", "filter_id", "user_id", outcome.alias("outcome"))
 

@@ -10,21 +10,21 @@ from listingloom.sources.tables import checkpointed
 MILESTONE, AWARD_DAYS = 5, 7
 
 
-def ancestors(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(user_id, ancestor, depth): the whole chain of referrers, by doubling paths; depths to 2**rounds.
+def ancestors(edges: DataFrame, rounds: int = 24) -> DataFrame:
+    """(user_id, ancestor, depth): the whole chain of referrers, by doubling paths until none grows.
 
-    edges: (user_id, referrer_id), one row a user. Each round joins paths with paths and stops when none grew.
+    edges: (user_id, referrer_id), one row a user. Raises RuntimeError for chains longer than 2**rounds. On a cycle
+    every member is an ancestor of all, itself included.
     """
     paths = edges.where("referrer_id is not null").select("user_id", F.col("referrer_id").alias("ancestor"), F.lit(1).alias("depth"))
     for _ in range(rounds):
         longest = paths.agg(F.max("depth")).first()[0]
         tail = paths.where(F.col("depth") == longest).select("user_id", F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
         more = tail.join(paths.select(F.col("user_id").alias("_a"), "ancestor", "depth"), "_a").select("user_id", "ancestor", (F.col("_d") + F.col("depth")).alias("depth"))
-        grown = checkpointed(paths.unionByName(more).groupBy("user_id", "ancestor").agg(F.min("depth").alias("depth")))
-        if longest is None or grown.agg(F.max("depth")).first()[0] == longest:
-            return grown
-        paths = grown
-    return paths
+        paths = checkpointed(paths.unionByName(more).groupBy("user_id", "ancestor").agg(F.min("depth").alias("depth")))
+        if longest is None or paths.agg(F.max("depth")).first()[0] == longest:
+            return paths
+    raise RuntimeError("ancestors: a chain is too long")
 
 
 def makes_cycle(requests: DataFrame, chains: DataFrame) -> DataFrame:

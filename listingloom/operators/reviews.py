@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +18,15 @@ def applied_actions(actions: DataFrame, table: Mapping[tuple[str, str], str], st
 
     In order of seq: a key seen before is a replay, an expected status other than the current one a conflict,
     an action the table lacks refused; else applied. An entity's actions stream in order through a fold whose
-    state is its status and its keys.
+    state is its status and its keys; null entities are one.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, status, seen = object(), start, set()
         for b in batches:
             results, states = [], []
-            for e, action, key, expected in zip(b[entity], b["action"], b["idempotency_key"], b["expected_status"]):
-                if e != current:
+            for e, action, key, expected in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if current is None and e is not None or e != current:
                     current, status, seen = e, start, set()
                 if key in seen:
                     result = "replayed"
@@ -39,11 +39,11 @@ def applied_actions(actions: DataFrame, table: Mapping[tuple[str, str], str], st
                     seen.add(key)
                 results.append(result)
                 states.append(status)
-            yield b.assign(result=results, status=states)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(results, pa.string()), pa.array(states, pa.string())], [*b.schema.names, "result", "status"])
 
     rows = actions.select(entity, "seq", "action", "idempotency_key", "expected_status")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition(entity).sortWithinPartitions(entity, "seq").mapInPandas(fold, f"{shape}, result string, status string")
+    return rows.repartition(entity).sortWithinPartitions(entity, "seq").mapInArrow(fold, f"{shape}, result string, status string")
 
 
 def final_status(applied: DataFrame, entity: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingloom.sources.tables import checkpointed
+
 #: Allowed health transitions; banned is final (fixed values).
 TRANSITIONS = {
     "online": ("online", "reconnecting", "flood_wait", "disabled", "banned"),
@@ -47,31 +45,35 @@ def session_inventory(files: DataFrame, bindings: DataFrame) -> DataFrame:
     return both.select("session", F.coalesce("has_file", F.lit(False)).alias("has_file"), F.coalesce("bindings", F.lit(0)).alias("bindings"))
 
 
+def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with ``n``: their place from 0 within ``key`` by ``order``. Ranges are sorted in parallel, then shifted by the counts before them."""
+    dealt = checkpointed(rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    counts = dealt.groupBy(key, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(key).alias("_k"), "_p", "_first", before.alias("_before"))
+    placed = dealt.join(starts, dealt[key].eqNullSafe(starts["_k"]) & (dealt["_p"] == starts["_p"]))
+    return placed.select(*(dealt[c] for c in rows.columns), (F.col("_before") + F.col("_i") - F.col("_first")).alias("n"))
+
+
 def assign_least_loaded(sources: DataFrame, accounts: DataFrame) -> DataFrame:
     """(source_id, account_key): unassigned sources in order to the least loaded account, ties by key, per adapter.
 
-    Each choice changes the loads, so it is a fold; an adapter's accounts are few and its sources stream in
-    order through one group of rows, with a heap of loads as state.
+    Filling the least loaded account again and again fills places in the order (load, key), so the n-th source has
+    the n-th place. Loads end at the least level that has as many places as sources; an account's places up to it are
+    its rows, and their number follows from the other accounts' loads. Accounts of an adapter are one list (they
+    are few); sources are spread. A source whose adapter has no account is left out.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heap, adapter = [], None
-        for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                if r.adapter != adapter:
-                    adapter = r.adapter
-                    heap = [(int(x["load"]), x["account_key"]) for x in r.accounts]
-                    heapq.heapify(heap)
-                if heap:
-                    load, key = heap[0]
-                    heapq.heapreplace(heap, (load + 1, key))
-                    out.append((r.source_id, key))
-            yield pd.DataFrame(out, columns=["source_id", "account_key"])
-
-    lists = accounts.groupBy("adapter").agg(F.collect_list(F.struct("load", "account_key")).alias("accounts"))
-    rows = sources.join(F.broadcast(lists), "adapter").select("adapter", "source_id", "accounts")
-    return rows.repartition("adapter").sortWithinPartitions("adapter", "source_id").mapInPandas(fold, "source_id string, account_key string")
+    wanted = sources.groupBy("adapter").agg(F.count("*").alias("wanted"))
+    lists = accounts.groupBy("adapter").agg(F.array_sort(F.collect_list(F.struct(F.col("load").cast("bigint").alias("load"), "account_key"))).alias("a")).join(wanted, "adapter")
+    sums = F.aggregate("a", F.array(F.lit(0).cast("bigint")), lambda s, x: F.array_append(s, F.element_at(s, -1) + x["load"]))
+    levels = F.transform(F.sequence(F.lit(1), F.size("a")), lambda k: F.ceil((F.col("wanted") + F.get(F.col("sums"), k)) / k))
+    full = lists.withColumn("sums", sums).withColumn("level", F.array_min(levels))
+    each = full.select("adapter", "a", "level", "wanted", F.explode("a").alias("x")).where("x.load < level")
+    place = each.select("adapter", "a", "wanted", "x", F.explode(F.sequence(F.col("x.load"), F.col("level") - 1)).alias("l"))
+    below = F.aggregate(F.transform("a", lambda y: F.greatest(F.lit(0).cast("bigint"), F.col("l") - y["load"])), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    beside = F.size(F.filter("a", lambda y: (y["load"] <= F.col("l")) & (y["account_key"] < F.col("x.account_key"))))
+    places = place.select("adapter", (below + beside).alias("n"), F.col("x.account_key").alias("account_key"), "wanted").where("n < wanted")
+    return numbered(sources.select("adapter", "source_id"), "adapter", "source_id").join(places, ["adapter", "n"]).select("source_id", "account_key")
 
 
 def reconciled(assignments: DataFrame, sources: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ SCORED = """with p as (
 
 
 def _scored(spark, d):
-    rows = dedup.prepared(t.listings(spark, d).where("status = 'active' and parent_id is null"), t.media(spark, d))
+    rows = dedup.ready(t.listings(spark, d).where("status = 'active' and parent_id is null"), t.media(spark, d))
     return dedup.score(dedup.candidate_pairs(rows, dedup.listing_keys()), rows)
 
 
@@ -75,7 +75,7 @@ def join02(spark, d):
 ), pairs as (select *, row_number() over (partition by incoming order by candidate_at desc, candidate desc) as place from near)
 select incoming, count(*) as n, sum(candidate)::bigint as checksum from pairs where place <= 50 group by 1""")
 def join02_all(spark, d):
-    rows = dedup.prepared(t.listings(spark, d).where("status = 'active' and parent_id is null"), t.media(spark, d))
+    rows = dedup.ready(t.listings(spark, d).where("status = 'active' and parent_id is null"), t.media(spark, d))
     return dedup.all_candidates(rows).groupBy("incoming").agg(F.count("*").alias("n"), F.sum("candidate").alias("checksum"))
 
 

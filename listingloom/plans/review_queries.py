@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingloom.functions import text
-from listingloom.functions.similarity import least_hamming
+from listingloom.functions.similarity import bits64, least_apart
 from listingloom.operators import dedup, joins, lifecycle, parsing, reviews
 from listingloom.plans.dedup_queries import SCORED, _scored
 from listingloom.plans.parsing_queries import SEGMENTS, digests
@@ -249,7 +249,7 @@ def naive(spark, d):
 def any_pair(spark, d):
     lists = t.media(spark, d).groupBy("announcement_id").agg(F.collect_list("phash").alias("h"))
     pairs = lists.alias("l").join(lists.alias("r"), c("r.announcement_id") == c("l.announcement_id") + 1)
-    return pairs.select(c("l.announcement_id").alias("announcement_id"), least_hamming(c("l.h"), c("r.h")).alias("distance"))
+    return pairs.select(c("l.announcement_id").alias("announcement_id"), least_apart(F.transform("l.h", bits64), F.transform("r.h", bits64)).alias("distance"))
 
 
 @query("arr03_first_media", "select announcement_id, min_by(phash, media_id) as first_hash, count(*) as n from media group by 1")

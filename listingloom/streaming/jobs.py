@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from listingloom.sources import messages
 
@@ -59,34 +60,36 @@ def replayed(dead: DataFrame) -> DataFrame:
     return dead.where("not malformed").select(F.to_json(F.struct("event_type", "source_id", "source_channel_id", "source_message_id", "text", F.lit(0).alias("attempts"))).alias("payload"))
 
 
-def _folded(rows: DataFrame, key: str, order: list[str], at: str, new_state, schema: str) -> DataFrame:
-    """A fold over each key's rows in order, streaming through sorted partitions; state is one key's only."""
+def _folded(rows: DataFrame, key: str, order: list[str], at: str, new_state) -> DataFrame:
+    """rows with ``allowed`` by a fold over each key's rows in order, streaming through sorted partitions.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The state is one key's only; null keys are one key. Values pass through Arrow as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, step = object(), None
         for b in batches:
             out = []
-            for value, moment in zip(b[key], b[at]):
-                if value != current:
+            for value, moment in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if current is None and value is not None or value != current:
                     current, step = value, new_state()
-                out.append(step(pd.Timestamp(moment).timestamp()))
-            yield b.assign(allowed=out)
-
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
+                out.append(step(moment))
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.bool_())], ["row", "allowed"])
 
-def _schema(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", allowed boolean"
+    packed = rows.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.struct("*").alias("row"))
+    dealt = packed.repartition("key").sortWithinPartitions("key", *(f"row.{o}" for o in order))
+    told = dealt.mapInArrow(run, StructType([packed.schema["row"], StructField("allowed", BooleanType())]))
+    return told.select("row.*", "allowed")
 
 
 def rate_limited(rows: DataFrame, key: str, order: list[str], at: str, most: int = 20, seconds: float = 60) -> DataFrame:
     """rows with ``allowed``: at most ``most`` allowed rows of a key in any ``seconds``; refused ones don't count."""
 
     def new_state():
-        recent: deque[float] = deque()
+        recent: deque[int] = deque()
 
-        def step(now: float) -> bool:
-            while recent and recent[0] <= now - seconds:
+        def step(now: int) -> bool:
+            while recent and recent[0] <= now - seconds * 1_000_000:
                 recent.popleft()
             if len(recent) >= most:
                 return False
@@ -95,24 +98,24 @@ def rate_limited(rows: DataFrame, key: str, order: list[str], at: str, most: int
 
         return step
 
-    return _folded(rows, key, order, at, new_state, _schema(rows))
+    return _folded(rows, key, order, at, new_state)
 
 
 def suppressed(rows: DataFrame, key: str, order: list[str], at: str, seconds: float = 300) -> DataFrame:
     """rows with ``allowed``: a row passes if ``seconds`` went by since the last one of its key that passed."""
 
     def new_state():
-        last: list[float] = []
+        last: list[int] = []
 
-        def step(now: float) -> bool:
-            if last and now - last[0] < seconds:
+        def step(now: int) -> bool:
+            if last and now - last[0] < seconds * 1_000_000:
                 return False
             last[:] = [now]
             return True
 
         return step
 
-    return _folded(rows, key, order, at, new_state, _schema(rows))
+    return _folded(rows, key, order, at, new_state)
 
 
 def bulk_failures(attempts: DataFrame, batch: str, least: int = 5) -> DataFrame:
