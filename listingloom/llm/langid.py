@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import crc_fold
+from listingloom.llm.common import crc_fold, quoted
 
 #: Character classes: 0 for anything but letters, a-z, and hashed classes for all other letters.
 CLASSES = 64
 GRAMS = CLASSES + CLASSES**2 + CLASSES**3
 #: Expected training rows of a language, and landmarks among them: the bound of what training collects.
 ROWS_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 48
+#: Languages that are learnt: those with the most rows. It bounds the model where ``lang`` holds junk.
+MOST_LANGUAGES = 256
 RIDGE = 1e-3
 #: Steepness of the softmax that turns regression outputs into a confidence.
 SHARPNESS = 6.0
@@ -84,10 +86,10 @@ class LanguageModel:
 
 
 def _sampled(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> DataFrame:
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = F.lit(1.0)
-    for r in known.groupBy("lang").count().collect():
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, ROWS_PER_LANGUAGE / r["count"]))).otherwise(share)
+    known = docs.where(quoted(lang_col).isNotNull() & quoted(text_col).rlike("\\p{L}")).select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, ROWS_PER_LANGUAGE / r["count"])))) if counts else F.create_map().cast("map<string,double>")
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     drawn = F.pmod(F.xxhash64(F.lit(977), "id", "text"), F.lit(1 << 30)) < share * F.lit(1 << 30)
     return known.where(drawn)
 
@@ -95,8 +97,9 @@ def _sampled(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> Data
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Learns from text and lang of the rows given; ids only seed the bounded sample.
 
-    About ROWS_PER_LANGUAGE rows of each language are drawn by hash; their gram lists reach the driver.
-    Rows with null lang or without a letter teach nothing; without any row every text is undetermined.
+    About ROWS_PER_LANGUAGE rows of each of the MOST_LANGUAGES commonest languages are drawn by hash; their gram
+    lists reach the driver. Rows with null lang or without a letter teach nothing, repeated rows count as often as
+    they stand there; without any row (an empty table) every text is undetermined. Other columns may have any names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +158,7 @@ def identify_held_out(docs: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row; learnt from folds other than 0 only.
 
     Null or letterless texts give ``und`` and 0. Repeated rows each get their prediction; ids, lang and
-    source are no inputs of it; an empty table gives no rows.
+    source are no inputs of it; an empty table gives no rows. Other columns are not read, whatever their names.
     """
     held = crc_fold(F.col("doc_id"), folds) == 0
     model = train(docs.where(~F.coalesce(held, F.lit(False))))

@@ -180,7 +180,8 @@ def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
     """(doc_id, held_out, score, predicted) for every row; labels of the held-out fold are never read.
 
     Repeated rows each get their score; a document's labels, lang, source and id are no inputs of it;
-    an empty table gives no rows.
+    an empty table gives no rows. Other columns are not read, whatever their names; several labels of an id
+    each teach.
     """
     out = F.coalesce(crc_fold(F.col("doc_id"), folds) == held, F.lit(False))
     model = train(docs.where(~out), labels.where(~out))

@@ -177,7 +177,8 @@ def count_under_edits(text: Column, edits: Column, path: str) -> Column:
 
     edits: array<struct<pos, deleted, inserted>> in order, in code points of the text as it then is.
     A null text is empty; null or empty arrays change nothing; an edit with a null pos is skipped, null
-    deleted and inserted mean none; positions beyond the text are clipped.
+    deleted and inserted mean none; positions beyond the text are clipped. It is a column function: repeated
+    rows are counted each, an empty table gives no rows, and other columns stay as they are.
     """
     fields = ["n_pretokens", "n_tokens", "recounted", "edited_chars", "edited_tokens"]
 
@@ -200,7 +201,11 @@ def count_under_edits(text: Column, edits: Column, path: str) -> Column:
 
 
 def gathered_edits(edits: DataFrame) -> DataFrame:
-    """Rows (doc_id, seq, pos, deleted, inserted) -> (doc_id, edits) in order of seq; a document's edits are one value."""
+    """Rows (doc_id, seq, pos, deleted, inserted) -> (doc_id, edits) in order of seq; a document's edits are one value.
+
+    Rows of a null doc_id are one document; repeated rows are repeated edits; an empty table gives no rows; other
+    columns are not read.
+    """
     return edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "deleted", "inserted"))).alias("e")).select(
         "doc_id", F.transform("e", lambda x: F.struct(x["pos"].alias("pos"), x["deleted"].alias("deleted"), x["inserted"].alias("inserted"))).alias("edits")
     )

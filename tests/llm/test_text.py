@@ -335,3 +335,76 @@ def test_quality_held_out_accuracy(spark):
     assert quality.score_held_out(df.limit(0), marks).count() == 0
     flat = quality.train(df, marks.limit(0))
     assert flat.score(np.zeros((2, len(quality.FEATURES)))).tolist() == [0.5, 0.5]
+
+
+def test_language_scores_equal_kernel_ridge_by_hand(spark, monkeypatch):
+    """The collapsed product gives what kernels with the landmarks, Nyström features and a weighted ridge give when written out."""
+    monkeypatch.setattr(langid, "LANDMARKS_PER_LANGUAGE", 12)
+    docs = toy_documents(spark).where("doc_id < 150")
+    model = langid.train(docs)
+    alphabet = langid._class_of()
+
+    def grams(text):
+        c = [int(alphabet[ord(x)]) for x in text.lower()]
+        return {(x,) for x in c} | set(zip(c, c[1:])) | set(zip(c, c[1:], c[2:]))
+
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    rows = docs.select("text", "lang", F.xxhash64("text").alias("k")).toPandas().sort_values(["lang", "k"], kind="stable")
+    sets, langs = [grams(t) for t in rows["text"]], rows["lang"].tolist()
+    marks = [i for lang in model.languages for i in [j for j, x in enumerate(langs) if x == lang][:12]]
+    k = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    values, vectors = np.linalg.eigh(k[marks])
+    use = values > values.max() * 1e-6
+    root = vectors[:, use] / np.sqrt(values[use])
+    phi = k @ root
+    asked = ["bana kaba nanaka", "xuzö quéxu", "мир да нет мир", "ba xu мир"]
+    seen = np.array([[kernel(grams(t), sets[m]) for m in marks] for t in asked]) @ root
+    out = []
+    for lang in model.languages:
+        y = np.array([1.0 if x == lang else -1.0 for x in langs])
+        w = np.array([len(langs) / len(model.languages) / langs.count(x) for x in langs])
+        mean, target = (w[:, None] * phi).sum(axis=0) / w.sum(), (w * y).sum() / w.sum()
+        centred = phi - mean
+        beta = np.linalg.solve((centred.T * w) @ centred + langid.RIDGE * len(langs) * np.eye(phi.shape[1]), (centred.T * w) @ (y - target))
+        out.append((seen - mean) @ beta + target)
+    f = np.stack(out, axis=1)
+    p = np.exp(langid.SHARPNESS * f) / np.exp(langid.SHARPNESS * f).sum(axis=1, keepdims=True)
+    told, score = model.predict(asked)
+    assert told == [model.languages[i] for i in f.argmax(axis=1)] and told[:3] == ["aa", "bb", "cc"]
+    assert np.allclose(score, p.max(axis=1), atol=2e-3)
+
+
+def test_only_the_commonest_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, f"word{'a' * (i % 7)} text", ["x", "y", "z"][min(2, i % 5 // 2)]) for i in range(100)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).languages == ("x", "y")
+
+
+def test_quality_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.6)).astype(float)
+    model = quality.fit(x, y)
+    assert len(model.pairs) == quality.PAIRS
+    for row, score in zip(x[:60], model.score(x[:60])):
+        bins = [sum(e <= v for e in edges) for v, edges in zip(row, model.edges)]
+        f = model.bias + sum(t[b] for t, b in zip(model.tables, bins))
+        f += sum(g[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for (i, j), g in zip(model.pairs, model.grids))
+        assert abs(score - 1 / (1 + np.exp(-f))) < 1e-12
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_operators_pass_by_other_columns(spark):
+    """Columns named as the operators' own, dotted names, repeated rows and empty tables."""
+    shape = "doc_id bigint, text string, lang string, quality int, id string, row string, `a.b` int, c string, score double, prediction string"
+    docs = spark.createDataFrame([(i, f"plain words {'xyz'[i % 3]} and more", "en", 1, "i", "r", 3, "c", 0.1, "p") for i in (1, 1, 2, 3, 4, 5, 6)], shape)
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    path = vocabulary_path()
+    no_edits = F.array().cast("array<struct<pos:bigint,deleted:bigint,inserted:string>>")
+    for rows in (docs, docs.limit(0)):
+        n = rows.count()
+        assert langid.identify_held_out(rows).count() == quality.score_held_out(rows, marks).count() == n
+        assert pieces.encode_documents(rows, piece_model_path(), decoded=True).count() == n
+        counted = rows.withColumn("n", tokencounts.count_under_edits(F.col("text"), no_edits, path)["n_tokens"])
+        assert counted.columns == [*rows.columns, "n"] and counted.count() == n
+    assert tokencounts.gathered_edits(spark.createDataFrame([], "doc_id bigint, seq int, pos bigint, deleted bigint, inserted string")).count() == 0
