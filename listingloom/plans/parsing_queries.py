@@ -63,6 +63,24 @@ def policies(spark, d):
     return _parsed(spark, d).select("post_id", "index", "policy", "reason")
 
 
+@query("par08_policy_reasons", """with m as (select p_partkey as post_id, case p_partkey % 7 when 0 then '' when 1 then 'reklama kvartira ijara ' || p_name when 2 then p_name when 3 then 'kvartira ' || p_name else 'kvartira ijara ' || p_name end as text, p_size % 2 = 0 as media from part),
+  l as (select post_id, count(*) as k from digest_lines group by 1)
+  select post_id, 'feed' as kind, case when text = '' and not media then 'empty_text' when text = '' then 'below_minimum_parser_score' when post_id % 7 = 1 then 'exclude_marker_matched' when post_id % 7 = 2 then 'include_marker_missing'
+      when post_id % 7 = 3 and not media then 'below_minimum_parser_score' else 'candidate_accepted' end as reason,
+    case when text = '' and not media or post_id % 7 = 1 then 'drop' when text = '' or post_id % 7 = 2 or post_id % 7 = 3 and not media then 'quarantine' else 'emit' end as policy from m
+  union all select post_id, 'digest', 'candidate_limit_exceeded', 'quarantine' from l where k > 3""")
+def policy_reasons(spark, d):
+    """Six reasons: a mixed feed with a minimum score, and digests with more blocks than allowed."""
+    import dataclasses
+
+    k = F.col("p_partkey")
+    text = F.when(k % 7 == 0, "").when(k % 7 == 1, F.concat(F.lit("reklama kvartira ijara "), "p_name")).when(k % 7 == 2, F.col("p_name")).when(k % 7 == 3, F.concat(F.lit("kvartira "), "p_name"))
+    posts = t.table(spark, d, "part").select(k.alias("post_id"), F.coalesce(text, F.concat(F.lit("kvartira ijara "), "p_name")).alias("text"), (F.col("p_size") % 2 == 0).alias("has_media"))
+    feed = parsing.parse(posts, dataclasses.replace(parsing.RECIPES["generic.mixed_feed"], min_score=55))
+    short = parsing.parse(digests(spark, d), dataclasses.replace(parsing.RECIPES["generic.digest_blocks"], max_candidates=3)).where("reason = 'candidate_limit_exceeded'")
+    return feed.select("post_id", F.lit("feed").alias("kind"), "reason", "policy").unionByName(short.select("post_id", F.lit("digest").alias("kind"), "reason", "policy"))
+
+
 @query("par11_media_policy", f"with {SEGMENTS} select post_id, index, media and k = 1 as with_media from told")
 def media_policy(spark, d):
     return _parsed(spark, d).select("post_id", "index", "with_media")
@@ -96,14 +114,21 @@ def cleanup(spark, d):
     return t.table(spark, d, "documents").select("doc_id", F.length(parsing.cleaned(F.col("text"), parsing.RECIPES["generic.single_listing"])).cast("bigint").alias("n"))
 
 
-EVAL = """l as (select doc_id as case_id, quality, toxic from labels), e as (select case_id, quality as x, count(*) as e from l group by 1, 2), a as (select case_id, toxic as x, count(*) as a from l group by 1, 2),
+EVAL = f"""{SEGMENTS}, e as (select post_id as case_id, segment as x, count(*) as e from told where policy = 'emit' group by 1, 2),
+  a as (select post_id as case_id, segment as x, count(*) as a from told where policy = 'emit' and score >= 60 or policy <> 'emit' and post_id % 5 = 0 group by 1, 2),
   b as (select coalesce(e, 0) as e, coalesce(a, 0) as a from e full join a on e.case_id = a.case_id and e.x = a.x)"""
 
 
+def replays(spark, d):
+    """(case_id, text) of what the recipe emits, and of what a stricter one does that also emits a fifth of the unmatched blocks."""
+    rows = parsing.parse(digests(spark, d), parsing.RECIPES["generic.digest_blocks"])
+    told = lambda x: x.select(F.col("post_id").alias("case_id"), F.col("segment").alias("text"))
+    return told(rows.where("policy = 'emit'")), told(rows.where("policy = 'emit' and score >= 60 or policy <> 'emit' and post_id % 5 = 0"))
+
+
 @query("par20_replay_evaluation", f"with {EVAL}, s as (select sum(least(e, a)) as tp, sum(greatest(a - e, 0)) as fp, sum(greatest(e - a, 0)) as fn from b) select cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, tp::double / (tp + fp) as precision, tp::double / (tp + fn) as recall from s")
 def evaluation(spark, d):
-    labels = t.table(spark, d, "labels")
-    return parsing.evaluate(labels.select(F.col("doc_id").alias("case_id"), F.col("quality").alias("text")), labels.select(F.col("doc_id").alias("case_id"), F.col("toxic").alias("text")))
+    return parsing.evaluate(*replays(spark, d))
 
 
 @query("par21_threshold_gate", f"with {EVAL}, s as (select sum(least(e, a))::double / sum(a) as precision, sum(least(e, a))::double / sum(e) as recall from b) select metric, value, 0.95::double as floor from (select 'precision' as metric, precision as value from s union all select 'recall', recall from s) where value is null or value < 0.95")
@@ -120,17 +145,20 @@ def binding(spark, d):
 
 @query("set06_multiset_intersection", f"with {EVAL} select sum(least(e, a))::bigint as shared from b")
 def multiset(spark, d):
-    labels = t.table(spark, d, "labels")
-    return labels.select("doc_id", "quality").intersectAll(labels.select("doc_id", "toxic")).agg(F.count("*").alias("shared"))
+    expected, actual = replays(spark, d)
+    return expected.intersectAll(actual).agg(F.count("*").alias("shared"))
 
 
-@query("fil16_fanout_siblings", "select a.post_id as a, b.post_id as b from posts a join posts b on a.parent_ref = b.parent_ref and a.post_id < b.post_id")
+@query("fil16_fanout_siblings", """with f as (select parent_ref, min(post_id) as first, count(*) as posts from posts where parent_ref is not null group by 1)
+  select post_id, "first" as sibling, posts from posts join f using (parent_ref) where "first" < post_id""")
 def siblings(spark, d):
+    """Posts of one parent event: the first of them and how many there are."""
     from listingloom.operators.predicates import fanout_siblings
 
     p = t.posts(spark, d).where("parent_ref is not null").select("post_id", "parent_ref")
-    pairs = p.alias("l").join(p.alias("r"), F.col("l.parent_ref") == F.col("r.parent_ref"))
-    return pairs.where(fanout_siblings("parent_ref", "post_id") & (F.col("l.post_id") < F.col("r.post_id"))).select(F.col("l.post_id").alias("a"), F.col("r.post_id").alias("b"))
+    first = p.groupBy("parent_ref").agg(F.min("post_id").alias("post_id"), F.count("*").alias("posts"))
+    pairs = p.alias("l").join(first.alias("r"), F.col("l.parent_ref") == F.col("r.parent_ref"))
+    return pairs.where(fanout_siblings("parent_ref", "post_id") & (F.col("r.post_id") < F.col("l.post_id"))).select("l.post_id", F.col("r.post_id").alias("sibling"), "r.posts")
 
 
 @query("fil17_fanout_message_id", "select post_id, message_id as raw, cast(post_id % 3 as integer) as n from posts")

@@ -29,11 +29,14 @@ for _number, _name in ((5, "same_image"), (7, "rooms"), (8, "area"), (9, "price"
     signal(_number, _name)
 
 
-@query("ded04_forward_origin_pairs", "select a.post_id as incoming, b.post_id as candidate from posts a join posts b on a.forward_key = b.forward_key and b.post_id < a.post_id")
-def forward_pairs(spark, d):
+@query("ded04_forward_origin_classes", """with k as (select forward_key, min(post_id) as candidate, count(*) as posts from posts where forward_key is not null group by 1)
+  select post_id as incoming, candidate, posts from posts join k using (forward_key) where candidate < post_id""")
+def forward_classes(spark, d):
+    """Posts whose forward origin an earlier post has: the first of the class, and how many posts the class has. Pairs follow from the class."""
     p = t.posts(spark, d).where("forward_key is not null").select("post_id", "forward_key")
-    pairs = p.alias("l").join(p.alias("r"), dedup.MATCHERS["forward_origin"](dedup.Scoring()) & (c("l.forward_key") == c("r.forward_key")) & (c("r.post_id") < c("l.post_id")))
-    return pairs.select(c("l.post_id").alias("incoming"), c("r.post_id").alias("candidate"))
+    first = p.groupBy("forward_key").agg(F.min("post_id").alias("candidate"), F.count("*").alias("posts"))
+    rows = p.alias("l").join(first.withColumnRenamed("candidate", "post_id").alias("r"), dedup.MATCHERS["forward_origin"](dedup.Scoring()) & (c("l.forward_key") == c("r.forward_key")))
+    return rows.where("r.post_id < l.post_id").select(c("l.post_id").alias("incoming"), c("r.post_id").alias("candidate"), "r.posts")
 
 
 @query("agg14_weighted_score", SCORED + "select incoming, candidate, score from scored")

@@ -13,12 +13,15 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from listingloom.sources import messages
 
 
-def albums(events: DataFrame, gap: str = "1.5 seconds", watermark: str | None = "10 minutes") -> DataFrame:
+def albums(events: DataFrame, gap: str = "1.5 seconds", watermark: str | None = None) -> DataFrame:
     """Events (channel, album, event_type, at, message_id, media_id, text) merged by session of one album.
 
     An event within ``gap`` of the last one extends its album. The result has the least time, message ids in
     numeric order, distinct media and distinct texts (first occurrence) joined by a blank line. Only created
     events with an album are merged; pass others around this job. An album is one output row.
+
+    No late event is dropped: on a stream without ``watermark`` every album stays open (write in complete mode),
+    and with one, albums end when it passes them and the state stays bounded, at the price of events later than it.
     """
     rows = events.where((F.col("event_type") == "created") & F.col("album").isNotNull())
     rows = rows.withWatermark("at", watermark) if watermark and events.isStreaming else rows

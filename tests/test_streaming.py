@@ -36,8 +36,11 @@ def test_album_sessions(spark, tmp_path):
     assert len(want) == 2
     first = jobs.albums(batch).where("channel = 'c'").orderBy("at").first()
     assert first["message_ids"] == ["2", "10", "11"] and first["media"] == ["m1", "m2"] and first["text"] == "first number\n\nlate number"
-    got = drained(spark, jobs.albums(source(spark, batch, tmp_path)), tmp_path, "albums").where("channel = 'c'").collect()
+    got = drained(spark, jobs.albums(source(spark, batch, tmp_path), watermark="10 minutes"), tmp_path, "albums").where("channel = 'c'").collect()
     assert {tuple(map(str, r)) for r in got} == want
+    late = jobs.albums(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    late.writeStream.format("memory").queryName("open_albums").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck-open")).trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(map(str, r)) for r in spark.table("open_albums").where("channel = 'c'").collect()} == want
 
 
 def test_publish_once(spark, tmp_path):
