@@ -199,7 +199,9 @@ def reconcile(spark, d):
     return topology.reconciled(_assigned(spark, d), _sources(spark, d), _accounts(spark, d))
 
 
-@query("top09_least_loaded")
+@query("top09_least_loaded", f"""with {SOURCES_SQL}, a as (select * from accounts where health = 'online' or adapter = 'ad1'),
+  places as (select adapter, account_key, row_number() over (partition by adapter order by load + g, account_key) as n from a, range((select count(*) from srcs)) t(g)),
+  s as (select *, row_number() over (partition by adapter order by source_id) as n from srcs) select source_id, account_key from s join places using (adapter, n)""")
 def least_loaded(spark, d):
     return topology.assign_least_loaded(_sources(spark, d), _accounts(spark, d).where("health = 'online' or adapter = 'ad1'"))
 
@@ -270,7 +272,11 @@ def upserted(spark, d):
     return lifecycle.upsert(stored, part.where("size <= 10"), ["brand", "kind"], F.col("p_partkey"))
 
 
-@query("dml25_flag_compare_and_set")
+@query("dml25_flag_compare_and_set", """with recursive o as (select p_brand as flag_name, p_partkey % 5 as expected, p_partkey % 2 = 0 as wanted, row_number() over (partition by p_brand order by p_partkey) as n from part),
+  r as (select distinct flag_name, 0::bigint as n, 1 as version, false as enabled, 0::bigint as applied from o
+    union all select o.flag_name, o.n, case when expected = version then version + 1 else version end, case when expected = version then wanted else enabled end, case when expected = version then applied + 1 else applied end
+    from r join o on o.flag_name = r.flag_name and o.n = r.n + 1)
+  select flag_name, max_by(version, n)::bigint as version, max_by(enabled, n) as enabled, max_by(applied, n) as applied from r group by 1""")
 def flags(spark, d):
     k = F.col("p_partkey")
     part = t.table(spark, d, "part")

@@ -44,7 +44,7 @@ projection("str19_callback", "nation", "n_nationkey", "value", lambda: text.pars
 projection("str21_referral_code_valid", "users", "user_id", "value", lambda: c("referral_code").rlike("^[A-Za-z0-9_-]{4,64}$"), "regexp_matches(referral_code, '^[A-Za-z0-9_-]{4,64}$')")
 projection("str22_price_label", "listings", "announcement_id", "value", lambda: labels.price_label(c("price"), c("currency"), c("price_period")), "case when price is null then 'Price on request' else regexp_replace(printf('%.2f', cast(price as double)), '\\.00$', '') || ' ' || currency || case price_period when 'monthly' then ' / month' when 'daily' then ' / day' else '' end end")
 projection("str22_rooms_label", "listings", "announcement_id", "value", lambda: labels.rooms_label(c("rooms")), "case when rooms = 1 then '1 room' else rooms || ' rooms' end")
-projection("str26_channel_text", "documents", "doc_id", "value", lambda: F.length(text.channel_text(c("text"), 500)).cast("bigint"), None)
+projection("str26_channel_text", "documents", "doc_id", "value", lambda: F.length(text.channel_text(c("text"), 500)).cast("bigint"), "(select case when length(t) > 500 then length(rtrim(t[1:499])) + 1 else length(t) end from (select regexp_replace(text, '(?m)[ \\t]+$', '', 'g') as t))")
 projection("str27_safe_url", "pages", "page_id", "value", lambda: text.safe_url(c("url")), "case when url like 'https://%' or url like 'http://%' then url else '' end")
 projection("str28_object_key", "part", "p_partkey", "value", lambda: text.object_key(c("p_brand"), c("p_type"), c("p_size"), F.sha2("p_name", 256)), "'media/' || sha256(p_brand)[1:16] || '/' || lpad(cast(p_size as varchar), 3, '0') || '-' || sha256(p_type)[1:12] || '-' || sha256(p_name)[1:16]")
 projection("str29_content_phash", "part", "p_partkey", "value", lambda: F.substring(F.sha2(F.concat(F.encode("p_name", "UTF-8"), F.encode(c("p_size").cast("string"), "UTF-8")), 256), 1, 16), "sha256(p_name || p_size)[1:16]")

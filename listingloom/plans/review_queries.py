@@ -184,12 +184,23 @@ def _actions(spark, d):
     return t.table(spark, d, "events").select(c("user_id").alias("review_id"), k.alias("seq"), names[c("event_type")].alias("action"), (k % 50).cast("string").alias("idempotency_key"), F.when(k % 4 == 0, "pending").alias("expected_status"))
 
 
-@query("dml08_review_actions")
+@query("dml08_review_actions", """with recursive o as (select user_id, event_id % 50 as k, event_id % 4 = 0 as pending_only, case event_type when 'click' then 'approve' when 'purchase' then 'reject' when 'error' then 'merge' else 'update' end as action,
+    row_number() over (partition by user_id order by event_id) as n from events),
+  r as (select distinct user_id, 0::bigint as n, 'pending' as status, 0::bigint as applied, []::bigint[] as seen from o
+    union all select x.user_id, x.n, coalesce(x.next, x.status), x.applied + (x.next is not null)::int, case when x.next is null then x.seen else list_append(x.seen, x.k) end
+    from (select o.user_id, o.n, o.k, r.status, r.applied, r.seen, case when not list_contains(r.seen, o.k) and r.status = 'pending' then case o.action when 'update' then 'pending' when 'approve' then 'approved' when 'merge' then 'merged' else 'rejected' end end as next
+      from r join o on o.user_id = r.user_id and o.n = r.n + 1) x)
+  select user_id as review_id, max_by(status, n) as status, max_by(applied, n) as applied from r group by 1""")
 def review_actions(spark, d):
     return reviews.final_status(reviews.applied_actions(_actions(spark, d), reviews.REVIEW, "pending", "review_id"), "review_id")
 
 
-@query("dml18_suggestions")
+@query("dml18_suggestions", """with recursive o as (select user_id, case event_type when 'click' then 'approve' when 'purchase' then 'reject' else 'submit' end as action, row_number() over (partition by user_id order by event_id) as n from events),
+  r as (select distinct user_id, 0::bigint as n, 'new' as status, 0::bigint as applied from o
+    union all select x.user_id, x.n, coalesce(x.next, x.status), x.applied + (x.next is not null)::int from (select o.user_id, o.n, r.status, r.applied,
+      case when r.status in ('new', 'rejected') and o.action = 'submit' then 'pending' when r.status = 'pending' and o.action = 'approve' then 'approved' when r.status = 'pending' and o.action = 'reject' then 'rejected' end as next
+      from r join o on o.user_id = r.user_id and o.n = r.n + 1) x)
+  select user_id as suggestion, max_by(status, n) as status, max_by(applied, n) as applied from r group by 1""")
 def suggestions(spark, d):
     names = F.create_map(*(F.lit(x) for x in ("view", "submit", "click", "approve", "purchase", "reject", "error", "submit", "signup", "submit")))
     rows = t.table(spark, d, "events").select(c("user_id").alias("suggestion"), c("event_id").alias("seq"), names[c("event_type")].alias("action"), c("event_id").cast("string").alias("idempotency_key"), F.lit(None).cast("string").alias("expected_status"))

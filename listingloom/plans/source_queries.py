@@ -161,19 +161,35 @@ def history(spark, d):
     return jobs.against_history(e.where("event_type = 'view'"), e.where("event_type = 'signup'"), "user_id").select("event_id", "seen")
 
 
-@query("win07_rate_limit")
+#: Every event's place among those of its key; then, one by one, the times of the allowed ones that still count.
+RATE_SQL = """with recursive o as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events),
+  r as (select user_id, n, event_id, ts, true as allowed, [ts] as recent from o where n = 1
+    union all select x.user_id, x.n, x.event_id, x.ts, len(x.kept) < 3, case when len(x.kept) < 3 then list_append(x.kept, x.ts) else x.kept end
+    from (select o.*, list_filter(r.recent, lambda t: t > o.ts - interval 1 day) as kept from r join o on o.user_id = r.user_id and o.n = r.n + 1) x)
+  select event_id, user_id, ts, allowed from r"""
+
+
+def passed_sql(key: str, seconds: int) -> str:
+    """Chains of the first event of a key and, each time, the first one ``seconds`` later."""
+    return f"""with recursive o as (select event_id, {key}, ts, row_number() over (partition by {key} order by ts, event_id) as n from events),
+  later as (select {key}, n, min(n) over (partition by {key} order by ts range between interval {seconds} seconds following and unbounded following) as next from o),
+  r as (select {key}, n from o where n = 1 union all select later.{key}, later.next from r join later on later.{key} = r.{key} and later.n = r.n where later.next is not null)
+  select event_id, o.{key}, ts, r.n is not null as allowed from o left join r on r.{key} = o.{key} and r.n = o.n"""
+
+
+@query("win07_rate_limit", RATE_SQL)
 def rate_limit(spark, d):
     rows = t.table(spark, d, "events").select("event_id", "user_id", "ts")
     return jobs.rate_limited(rows, "user_id", ["ts", "event_id"], "ts", most=3, seconds=86_400)
 
 
-@query("win08_alert_suppression")
+@query("win08_alert_suppression", passed_sql("event_type", 3_600))
 def suppression(spark, d):
     rows = t.table(spark, d, "events").select("event_id", "event_type", "ts")
     return jobs.suppressed(rows, "event_type", ["ts", "event_id"], "ts", seconds=3_600)
 
 
-@query("win09_send_interval")
+@query("win09_send_interval", passed_sql("user_id", 600))
 def send_interval(spark, d):
     rows = t.table(spark, d, "events").select("event_id", "user_id", "ts")
     return jobs.suppressed(rows, "user_id", ["ts", "event_id"], "ts", seconds=600)
