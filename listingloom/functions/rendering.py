@@ -95,11 +95,11 @@ def whole_price(value: Column) -> Column:
     return F.bround(value.cast("decimal(38,4)"), 0).cast("bigint").cast("string")
 
 
-def stats_post(day: Column, checked: Column, duplicates: Column, active: Column, average: Column) -> Column:
-    """The daily statistics and the transparency report."""
+def stats_post(day: Column, checked: Column, duplicates: Column, active: Column, average: Column, brand: str = "Listingloom") -> Column:
+    """The daily statistics and the transparency report, under the name of the service."""
     mean = F.coalesce(F.concat(whole_price(average), F.lit(" USD")), F.lit("narx yetarli emas"))
     return _lines(
-        F.lit("EstateFlow kunlik shaffoflik hisoboti"), _line("Sana: ", day), _line("Tekshirilgan e'lonlar: ", checked),
+        F.lit(f"{brand} kunlik shaffoflik hisoboti"), _line("Sana: ", day), _line("Tekshirilgan e'lonlar: ", checked),
         _line("Dublikatlar: ", duplicates), _line("Faol e'lonlar: ", active), _line("O'rtacha oylik narx: ", mean),
     )
 
@@ -123,7 +123,7 @@ def offer_post(district: Column, rooms: Column, monthly: Column, currency: Colum
         F.lit("Bugungi konservativ top taklif"), _line("Tuman: ", F.coalesce(F.nullif(district, F.lit("")), F.lit("nomalum"))),
         _line("Xona: ", F.coalesce(rooms.cast("string"), F.lit("nomalum"))), _line("Oylik narx: ", price),
         F.lit("Ranking sababi: umumiy oylik narxi aniq, active canonical e'lonlar ichida arzon kandidat."),
-        F.lit("Eslatma: bu kafolat yoki tavsiya emas; ma'lumotni manbadan tekshiring."), _line("Manba: ", safe_url(F.nullif(source_url, F.lit("")))),
+        F.lit("Eslatma: bu kafolat yoki tavsiya emas; ma'lumotni manbadan tekshiring."), _line("Manba: ", F.when(F.coalesce(source_url, F.lit("")) != "", safe_url(source_url))),
     )
 
 

@@ -197,9 +197,9 @@ def merged_binding(old_key: Column, old_config: Column, new_key: Column, new_con
     return key, F.coalesce(new_config, kept)
 
 
-#: Fields of a parser binding in events and payloads; the mark between a message id and a candidate's place (fixed values).
+#: Fields of a parser binding in events and payloads; the mark between a message id and a candidate's place.
 BINDING = ("parser_key", "parser_version", "parser_config", "parser_mode")
-FANOUT = "::estateflow-candidate::"
+FANOUT = "::candidate::"
 
 
 def metadata(event: Mapping[str, Column], payload: Column) -> Column:

@@ -65,7 +65,7 @@ def notifications(spark, d):
     return rows.withColumn("description", said).select("announcement_id", rendering.notification(F.struct("*")).alias("value"))
 
 
-@query("str24_stats_post", """select concat_ws(chr(10), 'EstateFlow kunlik shaffoflik hisoboti', 'Sana: 1996-01-15', 'Tekshirilgan e''lonlar: ' || count(*) filter (cast(created_at as date) = date '1996-01-15'),
+@query("str24_stats_post", """select concat_ws(chr(10), 'Listingloom kunlik shaffoflik hisoboti', 'Sana: 1996-01-15', 'Tekshirilgan e''lonlar: ' || count(*) filter (cast(created_at as date) = date '1996-01-15'),
   'Dublikatlar: ' || count(*) filter (cast(created_at as date) = date '1996-01-15' and parent_id is not null), 'Faol e''lonlar: ' || count(*) filter (status = 'active' and parent_id is null),
   'O''rtacha oylik narx: ' || coalesce(cast(round(avg(cast(monthly as double)) filter (status = 'active' and parent_id is null and price_basis = 'total' and currency = 'USD'), 0) as bigint) || ' USD', 'narx yetarli emas')) as post from listings""")
 def stats_post(spark, d):
@@ -328,7 +328,7 @@ def families(spark, d):
     return told.select("event_id", "s.decision", F.array_join("s.reasons", ",").alias("reasons"))
 
 
-@query("par15_candidate_key", f"""with {SEGMENTS} select post_id, index, case when k = 1 then 'post:' || post_id else 'post:' || post_id || ':candidate:c' || index end as key, 'm' || post_id || '::estateflow-candidate::' || index as message_id from told where policy = 'emit'""")
+@query("par15_candidate_key", f"""with {SEGMENTS} select post_id, index, case when k = 1 then 'post:' || post_id else 'post:' || post_id || ':candidate:c' || index end as key, 'm' || post_id || '::candidate::' || index as message_id from told where policy = 'emit'""")
 def candidate_keys(spark, d):
     rows = parsing.parse(digests(spark, d), parsing.RECIPES["generic.digest_blocks"])
     counted = rows.join(rows.groupBy("post_id").agg(F.count("*").alias("k")), "post_id").where("policy = 'emit'")
