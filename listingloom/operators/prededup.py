@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from listingloom.functions.text import normalise_listing_text, phone_numbers, word_tokens
 from listingloom.operators.joins import hash_join, token_join
+from listingloom.sources.tables import checkpointed
 
 NEAR_TEXT, HAMMING = 0.88, 8
 
@@ -56,8 +57,8 @@ def near_text_matches(rows: DataFrame, least: float = NEAR_TEXT) -> DataFrame:
 
     Posts with one token set are one class; classes are joined, then posts look up their class.
     """
-    keyed = rows.where(F.size("tokens") > 0).select("post_id", F.array_sort("tokens").alias("tokens"))
-    classes = _classes(keyed, "tokens")
+    keyed = checkpointed(rows.where(F.size("tokens") > 0).select("post_id", F.array_sort("tokens").alias("tokens")))
+    classes = checkpointed(_classes(keyed, "tokens"))
     pairs = token_join(classes.withColumnRenamed("tokens", "t"), "rep", "t", least)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     members = keyed.join(classes, "tokens").select("post_id", "rep")
@@ -88,9 +89,9 @@ def phone_matches(rows: DataFrame) -> DataFrame:
 
 def decide(posts: DataFrame) -> DataFrame:
     """(post_id, decision, reasons, reference) for every post."""
-    rows = signals(posts)
+    rows = checkpointed(signals(posts))
     exact = rows.select("post_id").join(forward_matches(rows), "post_id", "left").join(hash_matches(rows), "post_id", "left")
-    open_ = rows.join(exact.where("forward_ref is null and hash_ref is null").select("post_id"), "post_id", "left_semi")
+    open_ = checkpointed(rows.join(exact.where("forward_ref is null and hash_ref is null").select("post_id"), "post_id", "left_semi"))
     told = exact
     for found in (near_text_matches(open_), image_matches(open_), phone_matches(open_)):
         told = told.join(found, "post_id", "left")
