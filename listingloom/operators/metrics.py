@@ -25,6 +25,11 @@ def checked_window(start: str, end: str, hours: int) -> None:
         raise ValueError("end after start, and a window of 1 to 72 hours")
 
 
+def window_valid(start: Column, end: Column, hours: Column) -> Column:
+    """``checked_window`` for rows: whether the end is after the start and the window has 1 to 72 hours; false for nulls."""
+    return F.coalesce((end > start) & hours.between(1, 72), F.lit(False))
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Null where the denominator is zero."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listingloom.functions.text import collapsed_text
+
 SORTS = ("newest", "cheapest", "price_desc")
 
 
@@ -41,6 +43,20 @@ class Criteria:
         return replace(self, districts=tuple(seen.values()), tag=(self.tag or "").strip().lower() or None)
 
 
+def checked_requests(requests: DataFrame) -> DataFrame:
+    """Stored requests (min_price, max_price, districts, tag, sort, limit, offset) normalised as ``Criteria.checked`` does, with ``problem``.
+
+    Districts are collapsed, blank ones dropped, the first spelling of each kept; problem is null for a valid request.
+    """
+    clean = F.filter(F.transform("districts", collapsed_text), lambda d: d != "")
+    once = F.aggregate(clean, F.array().cast("array<string>"), lambda a, d: F.when(F.exists(a, lambda x: F.lower(x) == F.lower(d)), a).otherwise(F.array_append(a, d)))
+    problem = (
+        F.when(F.col("min_price") > F.col("max_price"), "min_price is above max_price").when(~F.col("limit").between(1, 50) | (F.col("offset") < 0), "limit is 1 to 50, offset 0 or more")
+        .when(~F.col("sort").isin(*SORTS), "unknown sort")
+    )
+    return requests.withColumn("districts", F.coalesce(once, F.array().cast("array<string>"))).withColumn("tag", F.nullif(F.lower(F.trim("tag")), F.lit(""))).withColumn("problem", problem)
+
+
 def user_facing() -> Column:
     """Active announcements that are their own parent."""
     return (F.col("status") == "active") & F.col("parent_id").isNull()

@@ -189,9 +189,9 @@ def inventory(spark, d):
     return topology.session_inventory(files, _sources(spark, d))
 
 
-@query("agg19_session_bindings", f"with {SOURCES_SQL} select session, string_agg(source_id, ',' order by source_id) as sources from srcs group by 1")
+@query("agg19_session_bindings", f"with {SOURCES_SQL} select session, count(*) as sources, count(*) filter (enabled) as enabled, min(source_id) as first, max(source_id) as last from srcs group by 1")
 def bindings(spark, d):
-    return _sources(spark, d).groupBy("session").agg(F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("sources"))
+    return _sources(spark, d).groupBy("session").agg(F.count("*").alias("sources"), F.count_if("enabled").alias("enabled"), F.min("source_id").alias("first"), F.max("source_id").alias("last"))
 
 
 @query("dml23_reconcile", f"with {SOURCES_SQL} select a.source_id, a.account_key, case when not coalesce(s.enabled, false) then 'source_disabled' when c.health is null then 'account_missing' when c.health in ('banned', 'disabled') then 'account_unhealthy' end as reason from assigned a left join srcs s on s.source_id = a.source_id left join accounts c on c.account_key = a.account_key")

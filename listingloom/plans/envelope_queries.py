@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listingloom.functions import rendering, similarity
-from listingloom.operators import content, envelopes, parsing, prededup, settings
+from listingloom.operators import content, dedup, envelopes, metrics, parsing, predicates, prededup, settings
 from listingloom.plans.parsing_queries import SEGMENTS, digests
 from listingloom.plans.registry import query
-from listingloom.sources import messages, plugins
+from listingloom.sources import messages, plugins, web
 from listingloom.sources import tables as t
 
 c = F.col
@@ -387,3 +389,61 @@ def phone_overlap(spark, d):
         c("announcement_id").alias("post_id"), F.concat_ws(", tel ", "description", "phone").alias("text"), none.alias("forward_key"), F.lit(None).cast("bigint").alias("parent_ref"), none.alias("phash")
     )
     return prededup.phone_matches(prededup.signals(posts))
+
+
+@query("dat06_valid_windows", """select event_id, case event_id % 3 when 0 then ts - interval 1 hour else ts + to_hours((event_id % 80)::int) end > ts and event_id % 80 between 1 and 72 as valid from events""")
+def valid_windows(spark, d):
+    k = c("event_id")
+    end = F.when(k % 3 == 0, c("ts") - F.expr("interval 1 hour")).otherwise(c("ts") + F.make_dt_interval(hours=(k % 80).cast("int")))
+    return t.table(spark, d, "events").select("event_id", metrics.window_valid(c("ts"), end, k % 80).alias("valid"))
+
+
+@query("nrm03_checked_requests", """select c_custkey, case when c_custkey % 4 = 0 then 'North side' else c_mktsegment end || case when c_custkey % 3 = 0 then '|south' else '' end as districts, case when c_custkey % 5 <> 0 then 'family' end as tag,
+  case when c_custkey % 7 = 0 then 'min_price is above max_price' when c_custkey % 60 = 0 or c_custkey % 60 > 50 then 'limit is 1 to 50, offset 0 or more' when c_custkey % 11 = 0 then 'unknown sort' end as problem from customer""")
+def checked_requests(spark, d):
+    """Requests with repeated and blank districts, odd prices, limits and sorts."""
+    k = c("c_custkey")
+    name = F.when(k % 4 == 0, "North  side").otherwise(c("c_mktsegment"))
+    given = F.when(k % 3 == 0, F.array(name, F.lit(" "), F.lit(" south"), F.upper(name))).otherwise(F.array(name, F.lower(name)))
+    rows = t.table(spark, d, "customer").select(
+        "c_custkey", given.alias("districts"), F.when(k % 7 == 0, 10).alias("min_price"), F.lit(5).alias("max_price"), F.when(k % 5 == 0, "  ").otherwise(" Family ").alias("tag"),
+        (k % 60).alias("limit"), F.lit(0).alias("offset"), F.when(k % 11 == 0, "oldest").otherwise("newest").alias("sort"),
+    )
+    return predicates.checked_requests(rows).select("c_custkey", F.array_join("districts", "|").alias("districts"), "tag", "problem")
+
+
+@query("nrm05_image_headers", """select p_partkey, case p_partkey % 3 when 0 then 'image/png' when 1 then 'image/webp' end as mime_type, case when p_partkey % 3 < 2 then p_size end as width, case when p_partkey % 3 < 2 then p_size + 300 end as height from part""")
+def image_headers(spark, d):
+    """First bytes of pictures of known sizes: PNG, extended WebP, and something else."""
+    w, h = c("p_size"), c("p_size") + 300
+    four = lambda x: F.lpad(F.hex(x.cast("bigint")), 8, "0")
+    three = lambda x: F.concat(*(F.lpad(F.hex(F.shiftright(x - 1, s).bitwiseAND(F.lit(255)).cast("bigint")), 2, "0") for s in (0, 8, 16)))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(w), four(h), F.lit("0806000000"))
+    webp = F.concat(F.lit("5249464600000000" + "57454250" + "56503858" + "0A000000" + "00000000"), three(w), three(h))
+    raw = F.unhex(F.when(c("p_partkey") % 3 == 0, png).when(c("p_partkey") % 3 == 1, webp).otherwise(F.lit("00FF00FF")))
+    rows = t.table(spark, d, "part").select("p_partkey", web.image_info(raw).alias("i"))
+    return rows.select("p_partkey", "i.mime_type", "i.width", "i.height")
+
+
+@query("ext02_own_matcher", """select l.announcement_id as incoming, coalesce(l.renovation = r.renovation, false) as renovation, l.floor = r.floor as floor,
+  coalesce(l.renovation = r.renovation, false)::int * 7 + (l.floor = r.floor)::int * 5 as score from listings l join listings r on l.parent_id = r.announcement_id""")
+def own_matcher(spark, d):
+    """A matcher of one's own, with its own weight, beside a built-in one, on pairs of child and parent."""
+    rows = t.listings(spark, d)
+    pairs = rows.where("parent_id is not null").select(c("announcement_id").alias("incoming"), c("parent_id").alias("candidate"), c("created_at").alias("candidate_at"))
+    own = {"renovation": lambda s: F.coalesce(c("l.renovation") == c("r.renovation"), F.lit(False)), "floor": dedup.MATCHERS["floor"]}
+    scored = dedup.score(pairs, rows, dedup.Scoring(weights={"renovation": 7, "floor": 5}), own)
+    return scored.select("incoming", "renovation", "floor", "score")
+
+
+def answered(text: str) -> str:
+    """Stands in for a model call: the number of words as JSON; refuses texts that are too short."""
+    if len(text) < 5:
+        raise ValueError("too short")
+    return json.dumps({"words": len(text.split(" "))})
+
+
+@query("ext05_injected_transport", "select p_partkey, case when length(p_name) >= 12 then len(string_split(p_name, ' ')) end::int as words from part")
+def injected(spark, d):
+    rows = t.table(spark, d, "part").select("p_partkey", F.when(F.length("p_name") >= 12, c("p_name")).otherwise(F.lit("no")).alias("text"))
+    return web.extract_with(rows, answered).select("p_partkey", F.get_json_object("response", "$.words").cast("int").alias("words"))
