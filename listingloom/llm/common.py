@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Start of the names of written tables.
+WRITTEN = "listingloom-"
 #: Rows of a narrow table that may be broadcast whole.
 BROADCAST_ROWS = 1 << 18
 #: Bits of a key filter for each key, and log2 of the most it may have (64 MB, whatever the input).
@@ -44,15 +46,17 @@ def written(df: DataFrame) -> DataFrame:
     use computes ``df`` again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/listingloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{WRITTEN}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` once everything that reads them is written itself."""
+    """Deletes tables made by ``written`` once everything that reads them is written itself; other files are let be."""
     for df in tables:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if not folder.rpartition("/")[2].startswith(WRITTEN):
+                continue
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

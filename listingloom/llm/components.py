@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.common import written
+from listingloom.llm.common import forget, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -25,7 +25,9 @@ def _star(rows: DataFrame, keep_larger_only: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return written(out.where("u <> v").distinct())
+    done = written(out.where("u <> v").distinct())
+    forget(least)
+    return done
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -42,7 +44,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before[0] == 0:
             break
         both = written(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        now = _star(_star(both, True), False)
+        large = _star(both, True)
+        last, now = now, _star(large, False)
+        forget(last, both, large)
         after = _signature(now)
         if after == before:
             break

@@ -1,5 +1,6 @@
 """Every stage of the pipeline against brute force on a small corpus."""
 
+import os
 import random
 import re
 
@@ -179,3 +180,11 @@ def test_a_cluster_session_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session)
+
+
+def test_only_written_tables_are_deleted(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "own"))
+    own, made, empty = spark.read.parquet(str(tmp_path / "own")), common.written(spark.range(3)), common.written(spark.range(0))
+    folder = made.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    common.forget(own, made, empty)
+    assert own.count() == 5 and not os.path.exists(folder)
