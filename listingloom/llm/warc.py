@@ -99,9 +99,6 @@ class _Plain:
             self._buffer, self._at = b"", self._at + ahead
             self._file.seek(self._at)
 
-    def begin_record(self) -> None:
-        pass
-
 
 class _Gzipped(_Plain):
     """Bytes of a file of gzip members; a record that is one member of known length is skipped without inflating it."""
@@ -147,11 +144,9 @@ class _Gzipped(_Plain):
                 self._buffer += out
                 return True
 
-    def begin_record(self) -> None:
-        if not self._buffer and self._inflate is None:
-            self._open()
-        elif self._buffer:
-            self._next = None  # records share a member: inflate through
+    def at_end(self) -> bool:
+        self._next = None  # known again if the next record begins a member; records that share one are inflated
+        return super().at_end()
 
     def skip_record(self, n: int) -> None:
         if self._next is not None and self._next <= self._size:
@@ -285,7 +280,6 @@ class WarcReader(DataSourceReader):
         source = (_Gzipped if path.endswith(".gz") else _Plain)(file)
         try:
             while not source.at_end():
-                source.begin_record()
                 row = self._record(source, path)
                 if row is not None:
                     yield row
@@ -367,9 +361,14 @@ class WarcWriter(DataSourceArrowWriter):
                     if size >= self.file_bytes:
                         out.close()
                         out = None
-        finally:
+        except BaseException:
             if out is not None:
                 out.close()
+            for name in names:
+                store.delete_file(f"{folder}/{name}")
+            raise
+        if out is not None:
+            out.close()
         return Written(names)
 
     def _about(self, name: str) -> bytes:
