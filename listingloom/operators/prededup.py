@@ -1,12 +1,12 @@
 """Duplicate signals of raw posts before any expensive step: exact keys first, then similarity among what is left.
 
-Posts are in order of id. Exact matches point to the first post of their key. Only posts without an exact
-match feed the similarity joins, in one pass.
+Posts are in order of id. A post that repeats an exact signal of an earlier kept one is skipped and leaves no
+signals behind; ``kept_in_order`` finds the kept ones in rounds. Kept posts alone feed the similarity joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingloom.functions.text import normalise_listing_text, phone_numbers, word_tokens
@@ -16,28 +16,82 @@ from listingloom.sources.tables import checkpointed
 NEAR_TEXT, HAMMING = 0.88, 8
 
 
-def signals(posts: DataFrame) -> DataFrame:
-    """posts (post_id, text, forward_key, parent_ref, phash) with text_hash, tokens and phones."""
+def signals(posts: DataFrame, *others: str) -> DataFrame:
+    """posts (post_id, text, forward_key, parent_ref, phash) with text_hash, tokens and phones, and the columns ``others``."""
     normal = posts.withColumn("normal", normalise_listing_text(F.coalesce("text", F.lit(""))))
     return normal.select(
-        "post_id", "forward_key", "parent_ref", "phash", F.when(F.col("normal") != "", F.sha2("normal", 256)).alias("text_hash"),
+        *others, "post_id", "forward_key", "parent_ref", "phash", F.when(F.col("normal") != "", F.sha2("normal", 256)).alias("text_hash"),
         word_tokens(F.col("normal")).alias("tokens"), phone_numbers(F.coalesce("text", F.lit(""))).alias("phones"),
     )
 
 
+def _apart(a: str, b: str) -> Column:
+    """Whether two posts are no siblings: without a parent in common."""
+    return F.col(a).isNull() | F.col(b).isNull() | (F.col(a) != F.col(b))
+
+
+def _forward_leaders(known: DataFrame, name: str) -> DataFrame:
+    """(forward_key, name_first struct, name_other): a key's first post, and the first that is no sibling of that one."""
+    known = known.where("forward_key is not null").select("post_id", "forward_key", "parent_ref")
+    first = known.groupBy("forward_key").agg(F.min(F.struct("post_id", "parent_ref")).alias(f"{name}_first"))
+    others = known.join(first, "forward_key").where(_apart("parent_ref", f"{name}_first.parent_ref") & (F.col("post_id") != F.col(f"{name}_first.post_id")))
+    return first.join(others.groupBy("forward_key").agg(F.min("post_id").alias(f"{name}_other")), "forward_key", "left")
+
+
+def _forward_ref(name: str) -> Column:
+    """The earlier post of ``_forward_leaders`` that a row of its key repeats, null where there is none."""
+    ref = F.when(_apart("parent_ref", f"{name}_first.parent_ref"), F.col(f"{name}_first.post_id")).otherwise(F.col(f"{name}_other"))
+    return F.when(ref < F.col("post_id"), ref)
+
+
 def forward_matches(posts: DataFrame) -> DataFrame:
     """(post_id, forward_ref): the first earlier post of the same forward key that is no sibling of the same parent.
 
     Per key two posts decide it: the first, and the first of another parent.
     """
     known = posts.where("forward_key is not null").select("post_id", "forward_key", "parent_ref")
-    first = known.groupBy("forward_key").agg(F.min(F.struct("post_id", "parent_ref")).alias("first"))
-    marked = known.join(first, "forward_key")
-    apart = F.col("parent_ref").isNull() | F.col("first.parent_ref").isNull() | (F.col("parent_ref") != F.col("first.parent_ref"))
-    second = marked.where(apart & (F.col("post_id") != F.col("first.post_id"))).groupBy("forward_key").agg(F.min("post_id").alias("other"))
-    rows = marked.join(second, "forward_key", "left")
-    ref = F.when(apart, F.col("first.post_id")).otherwise(F.col("other"))
-    return rows.select("post_id", F.when(ref < F.col("post_id"), ref).alias("forward_ref")).where("forward_ref is not null")
+    rows = known.join(_forward_leaders(known, "all"), "forward_key")
+    return rows.select("post_id", _forward_ref("all").alias("forward_ref")).where("forward_ref is not null")
+
+
+EXACT = ["post_id", "forward_key", "parent_ref", "text_hash"]
+
+
+def _first_hashes(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where("text_hash is not null").groupBy("text_hash").agg(F.min("post_id").alias(f"{name}_hash"))
+
+
+def _marked(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    """rows with name_forward and name_same: the earlier posts of ``others`` whose forward key or text they repeat."""
+    told = rows.join(_forward_leaders(others, name), "forward_key", "left").join(_first_hashes(others, name), "text_hash", "left")
+    same = F.when(F.col(f"{name}_hash") < F.col("post_id"), F.col(f"{name}_hash"))
+    return told.withColumn(f"{name}_forward", _forward_ref(name)).withColumn(f"{name}_same", same).drop(f"{name}_first", f"{name}_other", f"{name}_hash")
+
+
+def kept_in_order(posts: DataFrame) -> DataFrame:
+    """(post_id, kept, forward_ref, hash_ref) as if posts (EXACT columns, distinct ids) came one by one.
+
+    A post is skipped if an earlier kept one has its forward key (and is no sibling) or its text hash; the refs are the
+    first such posts. Skipped posts block nobody, so a post is decided as soon as an earlier kept one blocks it, or
+    no earlier undecided one could: each round decides all such posts at once, from the least ids of every key, and only
+    undecided posts go on. Rounds follow the longest chain of posts that block each other by turns.
+    """
+    rows = open_ = checkpointed(posts.select(*EXACT))
+    kept = None
+    while kept is None or not open_.isEmpty():
+        told = _marked(open_, open_, "open")
+        free = F.col("open_forward").isNull() & F.col("open_same").isNull()
+        if kept is None:
+            told = told.select(*EXACT, free.alias("stays"), F.lit(False).alias("goes"))
+        else:
+            blocked = F.coalesce("kept_forward", "kept_same").isNotNull()
+            told = _marked(told, kept, "kept").select(*EXACT, (free & ~blocked).alias("stays"), blocked.alias("goes"))
+        told = checkpointed(told)
+        more = told.where("stays").select(*EXACT)
+        kept = more if kept is None else kept.unionByName(more)
+        open_ = told.where("not stays and not goes").select(*EXACT)
+    refs = _marked(rows, kept, "kept").select("post_id", F.col("kept_forward").alias("forward_ref"), F.col("kept_same").alias("hash_ref"))
+    return refs.select("post_id", F.coalesce("forward_ref", "hash_ref").isNull().alias("kept"), "forward_ref", "hash_ref")
 
 
 def hash_matches(signals_: DataFrame) -> DataFrame:
@@ -88,10 +142,10 @@ def phone_matches(rows: DataFrame) -> DataFrame:
 
 
 def decide(posts: DataFrame) -> DataFrame:
-    """(post_id, decision, reasons, reference) for every post."""
+    """(post_id, decision, reasons, reference) for every post, as if they came one by one."""
     rows = checkpointed(signals(posts))
-    exact = rows.select("post_id").join(forward_matches(rows), "post_id", "left").join(hash_matches(rows), "post_id", "left")
-    open_ = checkpointed(rows.join(exact.where("forward_ref is null and hash_ref is null").select("post_id"), "post_id", "left_semi"))
+    exact = checkpointed(kept_in_order(rows))
+    open_ = checkpointed(rows.join(exact.where("kept").select("post_id"), "post_id", "left_semi"))
     told = exact
     for found in (near_text_matches(open_), image_matches(open_), phone_matches(open_)):
         told = told.join(found, "post_id", "left")
