@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from listingloom.functions import similarity
-from listingloom.operators import dedup
+from listingloom.operators import dedup, linking
 from listingloom.plans.registry import query
 from listingloom.sources import tables as t
 
@@ -180,3 +180,54 @@ def dml04(spark, d):
     pairs = rows.select(both.alias("parent")).join(children, F.col("parent.announcement_id") == F.col("_p"))
     merged = dedup.merge_parent(pairs, FIELDS)
     return merged.withColumn("conflicts", F.array_join(F.transform("conflicts", lambda c: c["field"]), ",")).withColumn("price", F.col("price").cast("double"))
+
+
+#: The first listing of a phone and room number is the parent of the others; blank fields as a feed has them; every seventh is linked already.
+LINK_SQL = """with recursive base as (
+  select announcement_id, source_id, phone, rooms, price, currency, case when announcement_id % 4 = 1 then '' else renovation end as renovation, source_url, excluded_tag, tag from listings
+), g as (
+  select *, min(announcement_id) over (partition by phone, rooms) as p from base
+), o as (
+  select *, announcement_id <> p and announcement_id % 7 = 0 as old, sum(case when announcement_id = p or announcement_id % 7 <> 0 then 1 else 0 end) over (partition by p order by announcement_id) - 1 as n from g
+), r as (
+  select p, n, announcement_id, source_id, FIELDS, ''::varchar as conflicts from o where announcement_id = p
+  union all
+  select r.p, o.n, o.announcement_id, o.source_id, MERGED, array_to_string(list_filter([CONFLICTS], lambda x: x is not null), ',')
+  from r join o on o.p = r.p and o.n = r.n + 1 and not o.old
+), sizes as (
+  select p, count(*) as source_count, count(*) filter (not old) as members from o group by p
+)
+"""
+LINKED = [f for f in FIELDS if f != "rooms"]
+_EMPTY = "({0}.{1} is null or cast({0}.{1} as varchar) = '')"
+LINK_SQL = LINK_SQL.replace("FIELDS", ", ".join(LINKED)).replace("MERGED", ", ".join(f"case when {_EMPTY.format('r', f)} and not {_EMPTY.format('o', f)} then o.{f} else r.{f} end" for f in LINKED)).replace(
+    "CONFLICTS", ", ".join(f"case when not {_EMPTY.format('r', f)} and not {_EMPTY.format('o', f)} and r.{f} <> o.{f} then '{f}:' || r.{f} || '/' || o.{f} end" for f in LINKED)
+)
+
+
+def _linked(spark, d):
+    blank = F.when(F.col("announcement_id") % 4 == 1, "").otherwise(F.col("renovation"))
+    rows = t.listings(spark, d).withColumn("renovation", blank)
+    parents = rows.groupBy("phone", "rooms").agg(F.min("announcement_id").alias("p"))
+    both = rows.drop("parent_id").join(parents, ["phone", "rooms"])
+    old = (F.col("announcement_id") != F.col("p")) & (F.col("announcement_id") % 7 == 0)
+    listings = both.select("announcement_id", F.when(old, F.col("p")).alias("parent_id"), "source_id", *LINKED)
+    links = both.where("announcement_id <> p").select(F.col("announcement_id").alias("child_id"), F.col("p").alias("parent_id"), F.col("announcement_id").alias("seq"))
+    return linking.link_children(listings, links, LINKED)
+
+
+@query("dml04_ordered_survivorship", LINK_SQL + "select r.p as announcement_id, " + ", ".join(f"r.{f}" for f in LINKED if f != "price") + """, cast(r.price as double) as price, z.source_count, r.source_id as latest_source_id
+  from r join sizes z on z.p = r.p and r.n = z.members - 1 where z.members > 1""")
+def ordered_survivorship(spark, d):
+    return _linked(spark, d).parents.withColumn("price", F.col("price").cast("double"))
+
+
+@query("dml03_merge_audit", LINK_SQL + "select p as parent_id, announcement_id as child_id, 'merge_parent_fields' as merge_policy, conflicts from r where n > 0")
+def merge_audit(spark, d):
+    told = F.transform("conflicts", lambda x: F.concat(x["field"], F.lit(":"), x["parent"], F.lit("/"), x["child"]))
+    return _linked(spark, d).audit.withColumn("conflicts", F.array_join(told, ","))
+
+
+@query("dml03_linked_children", LINK_SQL + "select announcement_id, p as parent_id, 'active' as status, 1::bigint as source_count, source_id as latest_source_id from o where announcement_id <> p and not old")
+def linked_children(spark, d):
+    return _linked(spark, d).children.select("announcement_id", "parent_id", "status", "source_count", "latest_source_id")

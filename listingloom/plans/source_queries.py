@@ -119,6 +119,23 @@ def post_decisions(spark, d):
     return prededup.decide(t.posts(spark, d))
 
 
+@query("stm06_sequential_history", """with recursive k as (
+  select post_id, forward_key, parent_ref, case when text <> '' then sha256(text) end as h, row_number() over (order by post_id) as n from posts
+), r as (
+  select 0::bigint as n, null::bigint as post_id, null::bigint as forward_ref, null::bigint as hash_ref, []::struct(id bigint, f varchar, p bigint, h varchar)[] as kept
+  union all
+  select n, post_id, forward_ref, hash_ref, case when forward_ref is null and hash_ref is null then list_append(kept, {'id': post_id, 'f': forward_key, 'p': parent_ref, 'h': h}) else kept end
+  from (
+    select k.*, r.kept, list_filter(r.kept, lambda x: x.f = k.forward_key and (x.p is null or k.parent_ref is null or x.p <> k.parent_ref))[1].id as forward_ref,
+      list_filter(r.kept, lambda x: x.h = k.h)[1].id as hash_ref
+    from r join k on k.n = r.n + 1
+  )
+) select post_id, forward_ref is null and hash_ref is null as kept, forward_ref, hash_ref from r where n > 0""")
+def sequential_history(spark, d):
+    rows = t.posts(spark, d).withColumn("text_hash", F.when(c("text") != "", F.sha2("text", 256)))
+    return prededup.kept_in_order(rows)
+
+
 @query("win06_greedy_images", "select announcement_id, count(distinct phash) as kept from media group by 1")
 def greedy(spark, d):
     lists = t.media(spark, d).groupBy("announcement_id").agg(F.array_sort(F.collect_list(F.struct("media_id", "phash"))).alias("m"))
