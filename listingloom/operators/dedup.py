@@ -77,90 +77,91 @@ MATCHERS: dict[str, Matcher] = {
 }
 
 
-def candidate_pairs(listings: DataFrame, keys: Mapping[str, Column], scoring: Scoring = Scoring()) -> DataFrame:
+#: Width of an area cell and of a cell of ln(price), each at least the reach of its range.
+AREA_CELL, PRICE_CELL = 3, 0.06
+#: Rows of a frequent key in a time cell in which its newest are counted, about, and parts of it that are joined one by one.
+CELL_ROWS, CELL_PARTS = 128, 6
+#: Prices and areas with one type, so that a range is one condition for both.
+_NUMBER = "decimal(24,2)"
+
+
+def _item(name: str, value: Column, *bounds: Column) -> Column:
+    """A key with, for ranges, a stored value or the bounds that a probe sets to it; null where the key is."""
+    none = F.lit(None).cast(_NUMBER)
+    x = [*(b.cast(_NUMBER) for b in bounds), none, none][:2]
+    return F.when(value.isNotNull(), F.struct(F.concat_ws("|", F.lit(name), value).alias("key"), x[0].alias("low"), x[1].alias("high")))
+
+
+def _range_items(probe: bool) -> list[Column]:
+    """Cells of area and price: a row's own, or for a probe those beside it too."""
+    area, monthly = F.col("area").cast(_NUMBER), F.col("monthly").cast(_NUMBER)
+    cells = [F.floor(area / AREA_CELL), F.floor(F.ln(F.when(monthly > 0, monthly).cast("double")) / PRICE_CELL)]
+    kinds = [
+        ("area", lambda k: (cells[0] + k).cast("string"), (area - 3, area + 3) if probe else (area,)),
+        ("price", lambda k: F.when(cells[1].isNotNull() & F.col("price_period").isNotNull() & F.col("price_basis").isNotNull() & F.col("currency").isNotNull(),
+            F.concat_ws("|", (cells[1] + k).cast("string"), "price_period", "price_basis", "currency")), (monthly * 95, monthly * 105) if probe else (monthly * 100,)),
+    ]
+    return [_item(name, key(k), *bounds) for name, key, bounds in kinds for k in ((-1, 0, 1) if probe else (0,))]
+
+
+def candidate_pairs(listings: DataFrame, keys: Mapping[str, Column], scoring: Scoring = Scoring(), ranges: bool = False) -> DataFrame:
     """(incoming, candidate, candidate_at): for each listing the newest earlier ones that share any key.
 
-    The OR over keys is a union of one pass per key, each linear: within a key and a time bucket of the
-    look-back's length, the preceding rows of a sorted window are the newest candidates, so no pair is made
-    that the limit would drop. A row is a candidate in its own bucket and the next; a frequent key is spread
-    over its buckets. Ties in time are in order of id.
+    With ``ranges`` also those with close area or price or a common image hash (``listings`` are then ``prepared``). The OR is one
+    equi-join on keys. A key of more rows than ``scoring.candidates`` is cut into time cells of about CELL_ROWS rows,
+    so it is many tasks, and a listing looks back no farther than its newest candidates can lie: where one of its equal
+    keys has that many earlier rows in a cell and the one before, the last of these is the bound for all keys. Where
+    a key thins out there is no such bound but the look-back, which costs pairs, not results. Ties in time are in order of id.
     """
-    n, days = scoring.candidates, scoring.lookback_days
-    span = days * 86_400
-    keyed = [listings.where(key.isNotNull()).select(F.concat_ws("|", F.lit(name), key).alias("key"), "announcement_id", "created_at") for name, key in keys.items()]
-    rows = reduce(DataFrame.unionByName, keyed)
+    n, reach = scoring.candidates, scoring.lookback_days * 86_400
     second = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    bucket = F.floor(second / span)
-    placed = rows.select("key", "announcement_id", "created_at", second.alias("second"), bucket.alias("own"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    before = Window.partitionBy("key", "bucket").orderBy("created_at", "announcement_id").rowsBetween(-n, -1)
-    earlier = F.collect_list(F.struct(F.col("created_at").alias("candidate_at"), F.col("announcement_id").alias("candidate"), F.col("second").alias("s"))).over(before)
-    probes = placed.withColumn("earlier", earlier).where("bucket = own")
-    pairs = probes.select(F.col("announcement_id").alias("incoming"), "second", F.explode("earlier").alias("c"))
-    near = pairs.where((F.col("second") - F.col("c.s") <= span)).select("incoming", "c.candidate", "c.candidate_at").distinct()
+    extra = ["area", "monthly", "price_period", "price_basis", "currency", "hashes"] if ranges else []
+    rows = listings.select("announcement_id", "created_at", second.alias("second"), *(key.cast("string").alias(f"_{name}") for name, key in keys.items()), *extra)
+    equal = [_item(name, F.col(f"_{name}")) for name in keys]
+    images = [F.transform("hashes", lambda h: _item("hash", h.cast("string")))] if ranges else []
+
+    def keyed(probe: bool) -> DataFrame:
+        items = F.concat(F.array_compact(F.array(*equal, *(_range_items(probe) if ranges else []))), *images)
+        return rows.select("announcement_id", "created_at", "second", F.explode(items).alias("k")).select("announcement_id", "created_at", "second", "k.*")
+
+    stored = keyed(False).select("announcement_id", "created_at", "second", "key", F.col("low").alias("x"))
+    frequent = stored.groupBy("key").agg(F.count("*").alias("rows"), F.min("second").alias("first"), F.max("second").alias("last")).where(F.col("rows") > n)
+    width = F.greatest(F.lit(1), F.least(F.lit(reach), F.floor((F.col("last") - F.col("first") + 1) * CELL_ROWS / F.col("rows")))).alias("width")
+    widths = checkpointed(frequent.select("key", width))
+
+    def cell(at: str, parts: int = CELL_PARTS) -> Column:
+        return F.when(F.col("width").isNull(), F.lit(0).cast("bigint")).otherwise(F.floor(F.col(at) * parts / F.col("width")))
+
+    stored = checkpointed(stored.join(widths, "key", "left").withColumn("cell", cell("second")))
+    own = cell("second", 1)
+    twice = stored.where(F.col("width").isNotNull() & F.col("x").isNull() & ~F.col("key").startswith("hash|")).withColumn("own", own).withColumn("in", F.explode(F.array(own, own + 1)))
+    order = Window.partitionBy("key", "in").orderBy("created_at", "announcement_id")
+    bounds = twice.withColumn("from", F.lag(F.struct("created_at", "announcement_id", "second"), n).over(order)).where("in = own and from is not null").groupBy("announcement_id").agg(F.max("from").alias("from"))
+    probes = keyed(True).join(bounds, "announcement_id", "left").join(widths, "key", "left")
+    probes = probes.withColumn("since", F.greatest(F.coalesce("from.second", F.col("second") - reach), F.col("second") - reach)).withColumn("cell", F.explode(F.sequence(cell("since"), cell("second"))))
+    me, it = F.struct("l.created_at", "l.announcement_id"), F.struct("r.created_at", "r.announcement_id")
+    newer = F.col("l.from").isNull() | (it >= F.struct("l.from.created_at", "l.from.announcement_id"))
+    close = F.col("l.low").isNull() | F.col("r.x").between(F.col("l.low"), F.col("l.high"))
+    in_time = F.col("r.second").between(F.col("l.since"), F.col("l.second"))
+    met = (F.col("l.key") == F.col("r.key")) & (F.col("l.cell") == F.col("r.cell")) & in_time & close & (it < me) & newer
+    pairs = probes.alias("l").join(stored.alias("r"), met).select(F.col("l.announcement_id").alias("incoming"), F.col("r.announcement_id").alias("candidate"), F.col("r.created_at").alias("candidate_at"))
     newest = Window.partitionBy("incoming").orderBy(F.col("candidate_at").desc(), F.col("candidate").desc())
-    return near.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).drop("place")
+    once = pairs.repartition("incoming").distinct()
+    return once.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).drop("place")
 
 
 def listing_keys() -> dict[str, Column]:
-    """Three of the blocking keys, to which the SQL of the scored queries holds; ``all_candidates`` has all."""
+    """Source, phone and place: keys for feeds without prices, areas or images; ``all_candidates`` has those of the scoring contract."""
     return {"url": F.col("source_url"), "phone": F.col("phone"), "place": F.concat_ws("/", "district", F.col("rooms").cast("string"))}
 
 
-#: Width of an area cell and of a cell of ln(price), each at least the reach of its range; seconds of a time cell.
-AREA_CELL, PRICE_CELL, TIME_CELL = 3, 0.06, 86_400
-
-
-def _range_pairs(rows: DataFrame, floors: DataFrame, scoring: Scoring) -> DataFrame:
-    """(incoming, candidate, candidate_at) with close area or price, not before the incoming's floor (``since``).
-
-    Both ranges are refined exactly before any limit. A pair is met in one cell of time only, and in the
-    cells of the range that lie at the incoming's or beside it.
-    """
-    second = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    told = rows.select("announcement_id", "created_at", second.alias("second"), "area", "monthly", "price_period", "price_basis", "currency")
-    kinds = {
-        "area": (F.floor(F.col("area") / AREA_CELL), F.col("c_area").between(F.col("area") - 3, F.col("area") + 3), []),
-        "price": (
-            F.floor(F.ln(F.when(F.col("monthly") > 0, F.col("monthly")).cast("double")) / PRICE_CELL),
-            (F.col("c_monthly") * 100).between(F.col("monthly") * 95, F.col("monthly") * 105), ["price_period", "price_basis", "currency"],
-        ),
-    }
-    found = []
-    for cell, close, same in kinds.values():
-        placed = told.withColumn("cell", cell).where(F.col("cell").isNotNull())
-        stored = placed.select(
-            "cell", F.floor(F.col("second") / TIME_CELL).alias("day"), *same, F.col("announcement_id").alias("candidate"), F.col("created_at").alias("candidate_at"),
-            F.col("second").alias("c_second"), F.col("area").alias("c_area"), F.col("monthly").alias("c_monthly"),
-        )
-        days = F.sequence(F.floor(F.col("since") / TIME_CELL), F.floor(F.col("second") / TIME_CELL))
-        probes = placed.join(floors, "announcement_id").withColumn("cell", F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1))))).withColumn("day", F.explode(days))
-        earlier = (F.col("candidate_at") < F.col("created_at")) | ((F.col("candidate_at") == F.col("created_at")) & (F.col("candidate") < F.col("announcement_id")))
-        met = probes.join(stored, ["cell", "day", *same]).where(close & earlier & (F.col("c_second") >= F.col("since")))
-        found.append(met.select(F.col("announcement_id").alias("incoming"), "candidate", "candidate_at"))
-    return reduce(DataFrame.unionByName, found)
-
-
 def all_candidates(rows: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
-    """(incoming, candidate, candidate_at) by url, forward origin, district, rooms, image hash, area range or price range.
+    """(incoming, candidate, candidate_at) by url, forward origin, district, rooms, area range, price range or image hash.
 
-    ``rows`` are ``prepared``. Of the earlier listings that meet any of them, the newest ``scoring.candidates``
-    within the look-back stay. Where the equal keys alone fill that number, a range match older than the
-    last of theirs can't be among them, so ranges are searched back to there only.
+    ``rows`` are ``prepared``. Of the earlier listings that meet any of them, the newest ``scoring.candidates`` within the look-back stay.
     """
-    names = ["source_url", "forward_key", "district", "rooms"]
-    keys = {k: F.col(k).cast("string") for k in names if k in rows.columns}
-    hashed = rows.select("announcement_id", "created_at", F.explode("hashes").alias("hash"))
-    plain = rows.select("announcement_id", "created_at", F.lit(None).cast("string").alias("hash"), *keys.values())
-    both = plain.unionByName(hashed, allowMissingColumns=True)
-    equal = checkpointed(candidate_pairs(both, {**keys, "hash": F.col("hash")}, scoring))
-    n, reach = scoring.candidates, scoring.lookback_days * 86_400
-    full = equal.groupBy("incoming").agg(F.count("*").alias("n"), F.min("candidate_at").alias("last")).where(F.col("n") >= n)
-    second = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    last = F.unix_seconds(F.col("last").cast("timestamp"))
-    floors = rows.join(full, F.col("announcement_id") == F.col("incoming"), "left").select("announcement_id", F.coalesce(last, second - reach).alias("since"))
-    near = equal.unionByName(_range_pairs(rows, floors, scoring)).distinct()
-    newest = Window.partitionBy("incoming").orderBy(F.col("candidate_at").desc(), F.col("candidate").desc())
-    return near.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).drop("place")
+    names = [k for k in ("source_url", "forward_key", "district", "rooms") if k in rows.columns]
+    return candidate_pairs(rows, {k: F.col(k) for k in names}, scoring, ranges=True)
 
 
 def score(pairs: DataFrame, rows: DataFrame, scoring: Scoring = Scoring(), matchers: Mapping[str, Matcher] | None = None) -> DataFrame:
@@ -223,13 +224,10 @@ def best_candidates(scored: DataFrame) -> DataFrame:
 def evaluate(listings: DataFrame, media: DataFrame | None = None, scoring: Scoring = Scoring(), keys: Mapping[str, Column] | None = None) -> DataFrame:
     """(incoming, candidate, score, decision, matched) for every active parent; no candidate means new with score 0.
 
-    Candidates are ``all_candidates`` and the newest of the same phone, or those of ``keys`` where given.
+    Candidates are ``all_candidates``, or those of ``keys`` where given.
     """
     rows = ready(listings.where(user_facing()), media)
-    if keys is None:
-        pairs = all_candidates(rows, scoring).unionByName(candidate_pairs(rows, {"phone": F.col("phone")}, scoring)).distinct()
-    else:
-        pairs = candidate_pairs(rows, keys, scoring)
+    pairs = all_candidates(rows, scoring) if keys is None else candidate_pairs(rows, keys, scoring)
     scored = score(pairs, rows, scoring)
     signals = [c for c in scored.columns if c in scoring.weights]
     best = best_candidates(scored).withColumn("decision", decision(set(signals), scoring))

@@ -10,19 +10,19 @@ from listingloom.operators import dedup, linking
 from listingloom.plans.registry import query
 from listingloom.sources import tables as t
 
-#: Parents, blocking pairs within the look-back capped at the newest fifty, and all signals, in SQL.
+#: Parents, pairs that share any blocking key within the look-back, the newest fifty of them, and all signals, in SQL.
 SCORED = """with p as (
   select *, list_distinct(list_filter(regexp_split_to_array(lower(address), '[^a-z0-9$+]+'), lambda x: x <> '')) as at,
     list_distinct(list_filter(regexp_split_to_array(lower(description), '[^a-z0-9$+]+'), lambda x: x <> '')) as dt,
     coalesce((select list(distinct phash) from media m where m.announcement_id = l.announcement_id), []) as h
   from listings l where status = 'active' and parent_id is null
-), keyed as (
-  select 'u' || source_url as key, announcement_id, created_at from p where source_url is not null
-  union all select 'p' || phone, announcement_id, created_at from p union all select 'd' || district || '/' || rooms, announcement_id, created_at from p
 ), near as (
-  select distinct a.announcement_id as incoming, b.announcement_id as candidate, b.created_at as candidate_at from keyed a join keyed b on a.key = b.key
-    and (b.created_at < a.created_at or b.created_at = a.created_at and b.announcement_id < a.announcement_id)
+  select a.announcement_id as incoming, b.announcement_id as candidate, b.created_at as candidate_at from p a join p b
+    on (b.created_at < a.created_at or b.created_at = a.created_at and b.announcement_id < a.announcement_id)
     and floor(epoch(a.created_at)) - floor(epoch(b.created_at)) <= 90 * 86400
+    and (a.source_url = b.source_url or a.district = b.district or a.rooms = b.rooms or b.area between a.area - 3 and a.area + 3
+      or a.price_period = b.price_period and a.price_basis = b.price_basis and a.currency = b.currency and b.monthly * 100 between a.monthly * 95 and a.monthly * 105
+      or exists (select 1 from media x join media y on x.phash = y.phash where x.announcement_id = a.announcement_id and y.announcement_id = b.announcement_id))
 ), pairs as (
   select * from (select *, row_number() over (partition by incoming order by candidate_at desc, candidate desc) as place from near) where place <= 50
 ), signals as (
@@ -55,25 +55,25 @@ SCORED = """with p as (
 
 def _scored(spark, d):
     rows = dedup.ready(t.listings(spark, d).where("status = 'active' and parent_id is null"), t.media(spark, d))
-    return dedup.score(dedup.candidate_pairs(rows, dedup.listing_keys()), rows)
+    return dedup.score(dedup.all_candidates(rows), rows)
 
 
-@query("join02_blocking_pairs", SCORED + "select incoming, count(*) as n, sum(candidate)::bigint as checksum from pairs group by 1")
+@query("join02_blocking_pairs", """with p as (select * from listings where status = 'active' and parent_id is null), keyed as (
+  select 'u' || source_url as key, announcement_id, created_at from p where source_url is not null
+  union all select 'p' || phone, announcement_id, created_at from p union all select 'd' || district || '/' || rooms, announcement_id, created_at from p
+), near as (
+  select distinct a.announcement_id as incoming, b.announcement_id as candidate, b.created_at as candidate_at from keyed a join keyed b on a.key = b.key
+    and (b.created_at < a.created_at or b.created_at = a.created_at and b.announcement_id < a.announcement_id)
+    and floor(epoch(a.created_at)) - floor(epoch(b.created_at)) <= 90 * 86400
+), pairs as (select *, row_number() over (partition by incoming order by candidate_at desc, candidate desc) as place from near)
+select incoming, count(*) as n, sum(candidate)::bigint as checksum from pairs where place <= 50 group by 1""")
 def join02(spark, d):
     rows = t.listings(spark, d).where("status = 'active' and parent_id is null")
     pairs = dedup.candidate_pairs(rows, dedup.listing_keys())
     return pairs.groupBy("incoming").agg(F.count("*").alias("n"), F.sum("candidate").alias("checksum"))
 
 
-@query("join02_all_keys", """with p as (select * from listings where status = 'active' and parent_id is null), near as (
-  select a.announcement_id as incoming, b.announcement_id as candidate, b.created_at as candidate_at from p a join p b
-    on (b.created_at < a.created_at or b.created_at = a.created_at and b.announcement_id < a.announcement_id)
-    and floor(epoch(a.created_at)) - floor(epoch(b.created_at)) <= 90 * 86400
-    and (a.source_url = b.source_url or a.district = b.district or a.rooms = b.rooms or b.area between a.area - 3 and a.area + 3
-      or a.price_period = b.price_period and a.price_basis = b.price_basis and a.currency = b.currency and b.monthly * 100 between a.monthly * 95 and a.monthly * 105
-      or exists (select 1 from media x join media y on x.phash = y.phash where x.announcement_id = a.announcement_id and y.announcement_id = b.announcement_id))
-), pairs as (select *, row_number() over (partition by incoming order by candidate_at desc, candidate desc) as place from near)
-select incoming, count(*) as n, sum(candidate)::bigint as checksum from pairs where place <= 50 group by 1""")
+@query("join02_all_keys", SCORED + "select incoming, count(*) as n, sum(candidate)::bigint as checksum from pairs group by 1")
 def join02_all(spark, d):
     rows = dedup.ready(t.listings(spark, d).where("status = 'active' and parent_id is null"), t.media(spark, d))
     return dedup.all_candidates(rows).groupBy("incoming").agg(F.count("*").alias("n"), F.sum("candidate").alias("checksum"))
@@ -92,7 +92,7 @@ def ded03(spark, d):
   coalesce(array_to_string(list_filter([""" + ", ".join(f"case when b.{s} then '{s}' end" for s in SIGNALS) + """], lambda x: x is not null), ','), '') as matched
   from p left join decided b on b.incoming = p.announcement_id""")
 def ded14(spark, d):
-    return dedup.evaluate(t.listings(spark, d), t.media(spark, d), keys=dedup.listing_keys())
+    return dedup.evaluate(t.listings(spark, d), t.media(spark, d))
 
 
 @query("win03_best_candidate", SCORED + "select incoming, candidate, score from best")
