@@ -14,14 +14,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def alike(a: Column, b: Column, least: float) -> Column:
+def signature(a: Column) -> Column:
+    """64 bits of an array's values, one a value, values may share one: what ``alike`` rules pairs out by."""
+    bit = lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int")))
+    return F.aggregate(a, F.lit(0).cast("bigint"), bit)
+
+
+def alike(a: Column, b: Column, least: float, bits: tuple[Column, Column] | None = None) -> Column:
     """Whether two arrays of distinct values have a Jaccard of ``least`` or more; empty ones never do.
 
-    Where the sizes alone rule it out the arrays aren't compared, and the union follows from sizes and intersection.
+    Where the sizes alone rule it out the arrays aren't compared, and the union follows from sizes and intersection. With
+    the ``signature`` of both, a bit that only one has is a value that only that one has, which rules out most others.
     """
     m, n = F.size(a), F.size(b)
     both = F.size(F.array_intersect(a, b))
     able = (m > 0) & (n > 0) & (F.least(m, n) >= F.greatest(m, n) * F.lit(least) - F.lit(1e-9))
+    if bits is not None:
+        x, y = bits
+        most = F.least(m - F.bit_count(x.bitwiseAND(F.bitwise_not(y))), n - F.bit_count(y.bitwiseAND(F.bitwise_not(x))))
+        able &= most >= (m + n - most) * F.lit(least) - F.lit(1e-9)
     return F.when(able, both / (m + n - both) >= least).otherwise(False)
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listingloom.functions.similarity import alike, apart, bits64
+from listingloom.functions.similarity import alike, apart, bits64, signature
 from listingloom.operators.predicates import area_close, price_close, user_facing
 from listingloom.sources.tables import checkpointed
 
@@ -45,6 +45,7 @@ def text_tokens(name: str) -> Column:
 def prepared(listings: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """listings with token arrays and image hashes as numbers, ready to be matched."""
     rows = listings.withColumn("address_tokens", text_tokens("address")).withColumn("description_tokens", text_tokens("description"))
+    rows = rows.withColumns({f"{c}_bits": signature(F.col(f"{c}_tokens")) for c in ("address", "description")})
     if media is None:
         return rows.withColumn("hashes", F.array().cast("array<bigint>"))
     lists = media.groupBy("announcement_id").agg(F.array_sort(F.collect_set(bits64(F.col("phash")))).alias("hashes"))
@@ -57,7 +58,7 @@ def _same(name: str) -> Column:
 
 
 def _alike(name: str, least: float) -> Column:
-    return alike(F.col(f"l.{name}"), F.col(f"r.{name}"), least)
+    return alike(F.col(f"l.{name}_tokens"), F.col(f"r.{name}_tokens"), least, (F.col(f"l.{name}_bits"), F.col(f"r.{name}_bits")))
 
 
 Matcher = Callable[[Scoring], Column]
@@ -71,8 +72,8 @@ MATCHERS: dict[str, Matcher] = {
     "area": lambda s: area_close(),
     "price": lambda s: price_close(),
     "floor": lambda s: _same("floor"),
-    "similar_address": lambda s: _alike("address_tokens", s.address),
-    "similar_description": lambda s: _alike("description_tokens", s.description),
+    "similar_address": lambda s: _alike("address", s.address),
+    "similar_description": lambda s: _alike("description", s.description),
     "phone": lambda s: _same("phone"),
 }
 
@@ -182,7 +183,7 @@ def score(pairs: DataFrame, rows: DataFrame, scoring: Scoring = Scoring(), match
 #: Columns that the matchers read.
 MATCHED = (
     "announcement_id", "created_at", "source_url", "forward_key", "district", "rooms", "area", "floor", "monthly", "price_period", "price_basis", "currency", "phone",
-    "hashes", "address_tokens", "description_tokens",
+    "hashes", "address_tokens", "description_tokens", "address_bits", "description_bits",
 )
 
 
