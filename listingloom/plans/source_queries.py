@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from listingloom.functions import similarity
 from listingloom.operators import content, prededup
+from listingloom.operators import suppression as alerting
 from listingloom.plans.registry import query
 from listingloom.sources import messages, web
 from listingloom.sources import tables as t
@@ -203,13 +204,38 @@ def rate_limit(spark, d):
 @query("win08_alert_suppression", passed_sql("event_type", 3_600))
 def suppression(spark, d):
     rows = t.table(spark, d, "events").select("event_id", "event_type", "ts")
-    return jobs.suppressed(rows, "event_type", ["ts", "event_id"], "ts", seconds=3_600)
+    return alerting.suppressed(rows, ["event_type"], ["ts", "event_id"], "ts", seconds=3_600).drop("suppressed_before")
+
+
+#: Alerts one by one with the state of every key, the count of held ones and the rest that a refusal asks for.
+ALERT_SQL = """with recursive o as (
+  select event_id, event_type, user_id % 3 as severity, ts, case when event_id % 2503 = 0 then (event_id % 5) * 1800 end as retry_after, row_number() over (order by ts, event_id) as n from events
+), r as (
+  select 0::bigint as n, null::bigint as event_id, null::varchar as outcome, null::bigint as suppressed_before, timestamp '1900-01-01' as blocked_until, map([]::varchar[], []::struct(since timestamp, held bigint)[]) as state
+  union all
+  select n, event_id, case when rests then 'blocked' when waits then 'suppressed' when retry_after is not null then 'refused' else 'sent' end,
+    case when not rests and not waits then coalesce(b.held, 0) end,
+    case when not rests and not waits and retry_after is not null then ts + to_seconds(greatest(case when retry_after = 0 then 60 else retry_after end, 1)) else blocked_until end,
+    case when rests then state when waits then map_concat(state, map([k], [{'since': b.since, 'held': b.held + 1}])) else map_concat(state, map([k], [{'since': ts, 'held': 0::bigint}])) end
+  from (
+    select *, ts < blocked_until as rests, b is not null and ts < b.since + interval 3600 seconds as waits
+    from (select o.*, r.blocked_until, r.state, o.severity || ':' || o.event_type as k, r.state[o.severity || ':' || o.event_type] as b from r join o on o.n = r.n + 1)
+  )
+) select event_id, outcome, suppressed_before from r where n > 0"""
+
+
+@query("win08_alert_outcomes", ALERT_SQL)
+def alert_outcomes(spark, d):
+    retry_after = F.when(c("event_id") % 2503 == 0, (c("event_id") % 5) * 1800)
+    rows = t.table(spark, d, "events").select("event_id", "event_type", (c("user_id") % 3).alias("severity"), "ts", retry_after.alias("retry_after"))
+    told = alerting.alerts(rows, ["severity", "event_type"], ["event_id"], "ts", "retry_after", seconds=3_600)
+    return told.select("event_id", "outcome", "suppressed_before")
 
 
 @query("win09_send_interval", passed_sql("user_id", 600))
 def send_interval(spark, d):
     rows = t.table(spark, d, "events").select("event_id", "user_id", "ts")
-    return jobs.suppressed(rows, "user_id", ["ts", "event_id"], "ts", seconds=600)
+    return alerting.suppressed(rows, ["user_id"], ["ts", "event_id"], "ts", seconds=600).drop("suppressed_before")
 
 
 @query("stm13_bulk_failures", "select user_id % 40 as batch, count(*) as failures from events where event_type in ('error', 'click') group by 1 having count(*) >= 5")

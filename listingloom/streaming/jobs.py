@@ -104,23 +104,6 @@ def rate_limited(rows: DataFrame, key: str, order: list[str], at: str, most: int
     return _folded(rows, key, order, at, new_state)
 
 
-def suppressed(rows: DataFrame, key: str, order: list[str], at: str, seconds: float = 300) -> DataFrame:
-    """rows with ``allowed``: a row passes if ``seconds`` went by since the last one of its key that passed."""
-
-    def new_state():
-        last: list[int] = []
-
-        def step(now: int) -> bool:
-            if last and now - last[0] < seconds * 1_000_000:
-                return False
-            last[:] = [now]
-            return True
-
-        return step
-
-    return _folded(rows, key, order, at, new_state)
-
-
 def bulk_failures(attempts: DataFrame, batch: str, least: int = 5) -> DataFrame:
     """Batches with at least ``least`` failed deliveries."""
     return attempts.where("result in ('error', 'rate_limited')").groupBy(batch).agg(F.count("*").alias("failures")).where(F.col("failures") >= least)

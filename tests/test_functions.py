@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingloom.functions import similarity, text
-from listingloom.operators import envelopes, joins, matching, referrals, reviews, settings, topology
+from listingloom.operators import envelopes, joins, matching, referrals, reviews, settings, suppression, topology
 from listingloom.operators.parsing import RECIPES, Recipe
 from listingloom.sources import web
 from listingloom.streaming import jobs
@@ -89,7 +89,7 @@ def test_folds_treat_null_keys_as_one_and_keep_large_ids(spark):
         state.append(at)
         return True
 
-    for got, step in ((jobs.suppressed(df, "key", ["at", "i"], "at"), passes), (jobs.rate_limited(df, "key", ["at", "i"], "at", most=3, seconds=600), limited)):
+    for got, step in ((suppression.suppressed(df, ["key"], ["at", "i"], "at"), passes), (jobs.rate_limited(df, "key", ["at", "i"], "at", most=3, seconds=600), limited)):
         found = got.collect()
         assert {r["i"]: r["allowed"] for r in found} == brute_fold(rows, step)
         assert sorted((str(r["key"]), r["i"]) for r in found) == sorted((str(k), i) for k, _, i in rows)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listingloom.functions import text
-from listingloom.operators import dedup, joins, lifecycle, matching, metrics, parsing, prededup, referrals, topology
+from listingloom.operators import dedup, joins, lifecycle, matching, metrics, parsing, prededup, referrals, suppression, topology
 from listingloom.operators.predicates import Criteria
 from listingloom.operators.search import search
 from listingloom.sources import messages, web
@@ -282,7 +282,7 @@ def test_rate_limit_does_not_count_refusals(spark):
     got = {r["n"]: r["allowed"] for r in jobs.rate_limited(rows, "k", ["at", "n"], "at").collect()}
     assert all(got[i] for i in range(20)) and not got[20] and not got[21] and got[99]
     gaps = spark.createDataFrame([(0, "u", AT), (1, "u", AT + dt.timedelta(seconds=200)), (2, "u", AT + dt.timedelta(seconds=301))], "n int, k string, at timestamp_ntz")
-    assert [r["allowed"] for r in jobs.suppressed(gaps, "k", ["at"], "at").orderBy("n").collect()] == [True, False, True]
+    assert [r["allowed"] for r in suppression.suppressed(gaps, ["k"], ["at"], "at").orderBy("n").collect()] == [True, False, True]
 
 
 def test_page_text_and_image_headers(spark):
