@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingloom.functions import similarity
-from listingloom.operators import content, prededup
+from listingloom.operators import content, distinct, prededup
 from listingloom.operators import suppression as alerting
 from listingloom.plans.registry import query
 from listingloom.sources import messages, web
@@ -137,11 +137,28 @@ def sequential_history(spark, d):
     return prededup.kept_in_order(rows)
 
 
-@query("win06_greedy_images", "select announcement_id, count(distinct phash) as kept from media group by 1")
+#: Hashes with twenty free bits, so that many lie within eight bits of each other.
+NEAR_HASH_SQL = "((l_partkey * 2654435761) & 1048575) * 4096 + (l_suppkey & 3)"
+
+@query("win06_greedy_images", f"""with recursive o as (
+  select l_suppkey as supplier, l_orderkey, l_linenumber, {NEAR_HASH_SQL} as h, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as n from lineitem
+), r as (
+  select supplier, l_orderkey, l_linenumber, n, true as kept, [h] as hashes from o where n = 1
+  union all
+  select supplier, l_orderkey, l_linenumber, n, free, case when free then list_append(hashes, h) else hashes end
+  from (select o.*, r.hashes, len(list_filter(r.hashes, lambda x: bit_count(xor(x, o.h)) <= 8)) = 0 as free from r join o on o.supplier = r.supplier and o.n = r.n + 1)
+) select supplier, l_orderkey, l_linenumber, kept from r""")
 def greedy(spark, d):
-    lists = t.media(spark, d).groupBy("announcement_id").agg(F.array_sort(F.collect_list(F.struct("media_id", "phash"))).alias("m"))
-    kept = F.aggregate("m", F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda k: similarity.hamming(k, x["phash"]) <= 8), a).otherwise(F.array_append(a, x["phash"])))
-    return lists.select("announcement_id", F.size(kept).cast("bigint").alias("kept"))
+    """The pictures of each supplier in order: one near a kept one is left out."""
+    rows = t.table(spark, d, "lineitem").select(c("l_suppkey").alias("supplier"), "l_orderkey", "l_linenumber", "l_partkey", F.expr(NEAR_HASH_SQL).alias("h"))
+    return distinct.greedy_distinct(rows, "supplier", ["l_orderkey", "l_linenumber", "l_partkey"], "h").select("supplier", "l_orderkey", "l_linenumber", "kept")
+
+
+@query("win06_images_per_listing", "select announcement_id, count(distinct phash) as kept from media group by 1")
+def kept_images(spark, d):
+    """The supplied hashes are never near each other unless equal."""
+    rows = t.media(spark, d).withColumn("h", similarity.bits64(c("phash")))
+    return distinct.greedy_distinct(rows, "announcement_id", ["media_id", "phash"], "h").groupBy("announcement_id").agg(F.count_if("kept").alias("kept"))
 
 
 def album_events(spark, d):
