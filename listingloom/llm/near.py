@@ -31,7 +31,8 @@ WORDS, BANDS, ROWS = 5, 24, 5
 #: Least similarity as a fraction.
 SHARE, OF = 4, 5
 #: Bits of 128 that a pair may differ in. A pair of similarity s differs in about 128 * acos(2 s / (1 + s)) / pi:
-#: 19 (standard deviation 4) at 0.8, so 38 leaves out fewer than one pair in 100,000.
+#: 19 (standard deviation 4) at 0.8, so 38 leaves out fewer than one pair in 100,000. Sets of four or five
+#: shingles differ by 24 bits on average; of their pairs one in a thousand or so is left out.
 RADIUS = 38
 #: Texts and shingles of a cell; expected values, as texts are dealt to cells by hash.
 CELL, CELL_SHINGLES = 192, 1 << 19
@@ -179,11 +180,21 @@ def node_of(id_: Column, text: Column) -> Column:
     return F.xxhash64(id_, text_or_empty(text))
 
 
+def _once(rows: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """rows, but of those of ``nodes`` one for each ``key``; the others are not shuffled."""
+    same = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes, "node", "left_semi").dropDuplicates(key)
+    return without(rows, [F.col("node")], nodes).unionByName(same)
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, id, component), written: the rows linked with another, and the name of their component."""
     narrow = docs.select(node_of(quoted(id_col), quoted(text_col)).alias("node"), quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("text is not null")
     keys = written(narrow.select("node", "text").mapInArrow(_keys, "key bigint, node bigint, size bigint"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    again = written(keys.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BANDS).select("node"))
+    if not again.isEmpty():  # equal rows are one text: else a bucket would count them twice and look like another
+        keys = written(_once(keys, again, ["key", "node"]))
+        narrow = _once(narrow, again, ["node"])
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.struct(F.bit_xor(F.xxhash64("node")), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)"))).alias("members")).where("n > 1")
     chosen = buckets.groupBy("n", "members").agg(F.min(F.struct("key", "total")).alias("k")).select("k.key", F.ceil(F.greatest(F.col("n") / CELL, F.col("k.total") / CELL_SHINGLES)).cast("int").alias("cells"))
     kept = written(keys.join(written(chosen), "key").select("key", "node", "cells"))
     nodes = written(kept.select("node").distinct())

@@ -89,7 +89,7 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum("size")).first()[0] or 1
     ranges = shards * RANGES_PER_SHARD
     rate = ranges * SAMPLE_PER_RANGE / total
-    drawn = F.pmod(F.xxhash64(F.lit(7), "h", "id"), F.lit(1 << 30)) < F.col("size") * F.lit(rate * (1 << 30))
+    drawn = F.pmod(F.xxhash64(F.lit(7), "h", "id", "seq"), F.lit(1 << 30)) < F.col("size") * F.lit(rate * (1 << 30))
     splitters = _choose_splitters(rows.where(drawn).select("h", "id", "seq", F.col("size").alias("weight")).collect(), ranges, 1 / rate)
     ranged, inside = _pieces(rows.withColumn("range", _range_of(splitters, kind)), f"h:bigint,id:{kind},seq:bigint")
 
