@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
@@ -10,7 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 #: Phone numbers: nine digits, or twelve with the country code (fixed pattern).
 PHONE = r"(?<!\d)(?:\+?998)?[\s()-]*(?:\d[\s()-]*){9,12}(?!\d)"
@@ -188,14 +187,3 @@ def parsed_callback(text: Column) -> Column:
     return F.when(good, F.struct(parts[2].alias("action"), parts[3].alias("id")))
 
 
-@F.pandas_udf(StructType([StructField("name", StringType()), StructField("ratio", DoubleType())]))
-def closest_name(text: pd.Series, names: pd.Series) -> pd.DataFrame:
-    """The name most alike by matching blocks, and how alike; the first of equals."""
-    out = []
-    for value, options in zip(text, names):
-        best = (None, 0.0)
-        for option in options if options is not None and value is not None else ():
-            ratio = difflib.SequenceMatcher(None, value, option).ratio()
-            best = (option, ratio) if ratio > best[1] else best
-        out.append(best)
-    return pd.DataFrame(out, columns=["name", "ratio"])

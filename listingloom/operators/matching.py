@@ -2,25 +2,59 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingloom.operators.predicates import rentable, user_facing
 
 
+#: Price buckets: one for no price, one for each step of a fifth from 1 up, the last for all above.
+PRICE_STEP, PRICE_BUCKETS = 1.2, 96
+_ANY = "\0"
+
+
+def price_bucket(price: Column) -> Column:
+    """0 without a price, then ascending with it."""
+    step = F.floor(F.ln(F.greatest(price.cast("double"), F.lit(1.0))) / F.lit(log(PRICE_STEP)))
+    return F.when(price.isNull(), 0).otherwise(F.least(step + 1, F.lit(PRICE_BUCKETS))).cast("int")
+
+
+def _key(*parts: Column) -> Column:
+    return F.concat_ws("|", *parts)
+
+
+def _wanted_values() -> tuple[Column, Column]:
+    return F.coalesce(F.lower("district"), F.lit(_ANY)), F.coalesce(F.col("rooms").cast("string"), F.lit(_ANY))
+
+
+def listing_looks(listings: DataFrame) -> DataFrame:
+    """(announcement_id, monthly, price_basis, key): the keys under which a user-facing listing looks for filters."""
+    (district, rooms), any_, bucket = _wanted_values(), F.lit(_ANY), price_bucket(F.col("monthly")).cast("string")
+    looks = F.array_distinct(F.array(_key(district, rooms), _key(district, any_, bucket), _key(any_, rooms, bucket), _key(any_, any_, bucket)))
+    return listings.where(user_facing() & rentable()).select("announcement_id", "monthly", "price_basis", F.explode(looks).alias("key"))
+
+
+def filter_keys(filters: DataFrame) -> DataFrame:
+    """(filter_id, user_id, max_price, include_per_person, key): enabled filters under their values, or under every price bucket that can match."""
+    district, rooms = _wanted_values()
+    low, high = F.when(F.col("max_price").isNull(), 0).otherwise(1), F.coalesce(F.nullif(price_bucket(F.col("max_price")), F.lit(0)), F.lit(PRICE_BUCKETS))
+    buckets = F.transform(F.sequence(low, high), lambda b: _key(district, rooms, b.cast("string")))
+    keys = F.when((district == _ANY) | (rooms == _ANY), buckets).otherwise(F.array(_key(district, rooms)))
+    return filters.where("enabled").select("filter_id", "user_id", "max_price", "include_per_person", F.explode(keys).alias("key"))
+
+
 def match_filters(listings: DataFrame, filters: DataFrame, users: DataFrame) -> DataFrame:
     """(announcement_id, filter_id, user_id, outcome) for every match of an enabled filter with a user-facing listing.
 
     A filter is joined on its district and rooms, or on a mark where it wants any; a listing looks under its own
-    values and under the marks. So every pair that meets already agrees on both, and only price and basis are left
+    values and under the marks. Where a filter wants any, many listings share its key, so such keys have the price bucket in them: the
+    filter stands under every bucket that can match, its listings in one each, and no bucket above the filter's price
+    is met. So every pair that meets agrees on both, and only basis and the price within the last bucket are left
     to check. Outcome: matched, no_user or inactive_user.
     """
-    key = lambda district, rooms: F.concat_ws("|", district, rooms)
-    any_ = F.lit("\0")
-    district, rooms = F.coalesce(F.lower("district"), any_), F.coalesce(F.col("rooms").cast("string"), any_)
-    looks = F.array_distinct(F.array(key(district, rooms), key(district, any_), key(any_, rooms), key(any_, any_)))
-    wanted = listings.where(user_facing() & rentable()).select("announcement_id", "monthly", "price_basis", F.explode(looks).alias("key"))
-    on = filters.where("enabled").select("filter_id", "user_id", "max_price", "include_per_person", key(district, rooms).alias("key"))
+    wanted, on = listing_looks(listings), filter_keys(filters)
     price = F.col("max_price").isNull() | (F.col("monthly") <= F.col("max_price"))
     basis = F.col("include_per_person") | (F.col("price_basis") != "per_person")
     seen = wanted.join(on, "key").where(price & basis).select("announcement_id", "filter_id", "user_id").join(users.select("user_id", "status", "notifications_enabled"), "user_id", "left")

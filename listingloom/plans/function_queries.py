@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listingloom.functions import labels, text
-from listingloom.operators import extraction
+from listingloom.operators import extraction, fuzzy
 from listingloom.plans.registry import query
 from listingloom.sources import tables as t
 
@@ -57,7 +57,6 @@ projection("str03_phone_numbers", "documents", "doc_id", "phones", lambda: F.arr
 projection("str04_word_tokens", "documents", "doc_id", "n", lambda: F.size(text.word_tokens(F.lower("text"))).cast("bigint"), "len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_$]+')))")
 projection("str16_redacted", "documents", "doc_id", "hash", lambda: F.sha2(text.redacted(c("text")), 256), None)
 projection("str32_label_normalised", "nation", "n_nationkey", "value", lambda: text.normalise_label("n_name"), "lower(n_name)")
-projection("str12_fuzzy_tag", "part", "p_partkey", "value", lambda: F.when(text.closest_name(F.concat(F.lower("p_type"), F.lit("s")), F.array(*map(F.lit, ("economy", "promo", "standard", "large", "small", "medium"))))["ratio"] >= 0.82, text.closest_name(F.concat(F.lower("p_type"), F.lit("s")), F.array(*map(F.lit, ("economy", "promo", "standard", "large", "small", "medium"))))["name"]), "lower(p_type)")
 projection("mat06_half_even", "part", "p_partkey", "value", lambda: F.bround(c("p_size").cast("decimal(12,4)") / 2, 0).cast("int"), "cast(case when p_size % 2 = 0 then p_size // 2 when (p_size // 2) % 2 = 0 then p_size // 2 else p_size // 2 + 1 end as integer)")
 projection("fil18_marker_matches", "documents", "doc_id", "value", lambda: F.size(F.filter(F.array(*map(F.lit, ("(?i)(?:^|\\P{L})the(?:$|\\P{L})", "(?i)(?:^|\\P{L})der(?:$|\\P{L})", "(?i)(?:^|\\P{L})que(?:$|\\P{L})"))), lambda p: F.rlike("text", p))).cast("bigint"), "cast(regexp_matches(text, '(?i)(?:^|\\P{L})the(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})der(?:$|\\P{L})')::int + regexp_matches(text, '(?i)(?:^|\\P{L})que(?:$|\\P{L})')::int as bigint)")
 projection("fil20_required_fields", "listings", "announcement_id", "missing", lambda: F.array_join(F.array_compact(F.array(*(F.when(c(x).isNull(), F.lit(x)) for x in ("price", "renovation", "source_url")))), ","), "array_to_string(list_filter([case when price is null then 'price' end, case when renovation is null then 'renovation' end, case when source_url is null then 'source_url' end], lambda x: x is not null), ',')")
@@ -114,3 +113,21 @@ def strict_answers(spark, d):
     payload = F.when(k % 5 == 0, F.lit("{broken")).when(k % 5 == 1, F.lit('{"rooms":1,"mood":"good"}')).otherwise(good)
     rows = extraction.parsed(t.listings(spark, d).select("announcement_id", payload.alias("payload")))
     return rows.select("announcement_id", "valid", F.when(c("valid"), c("rooms")).alias("rooms"))
+
+
+@query("str12_fuzzy_tag", "select p_partkey, lower(p_type) as value from part")
+def fuzzy_tag(spark, d):
+    """Tags written with a letter too many, against the table of tags in use."""
+    part = t.table(spark, d, "part").select("p_partkey", F.concat(F.lower("p_type"), F.lit("s")).alias("text"), F.lower("p_type").alias("name"))
+    names = part.groupBy("name").agg(F.min("p_partkey").alias("place"))
+    return part.select("p_partkey", "text").join(fuzzy.fuzzy_matches(part, names), "text", "left").select("p_partkey", F.col("name").alias("value"))
+
+
+#: Twice the longest common prefix and suffix over all letters: what the ratio is for two names with one letter changed in the middle.
+@query("str12_fuzzy_part_names", """with n as (select distinct split_part(p_name, ' ', 1) as name from part), x as (select name, name[1:1] || '#' || name[2:] as text from n)
+  select text, name, 2.0::double * length(name) / (2 * length(name) + 1) as ratio from x""")
+def fuzzy_part_names(spark, d):
+    """First words of part names with a mark put in, against all first words: the word itself is the most alike."""
+    names = t.table(spark, d, "part").select(F.element_at(F.split("p_name", " "), 1).alias("name")).groupBy("name").agg(F.lit(0).alias("place"))
+    texts = names.select(F.concat(F.substring("name", 1, 1), F.lit("#"), F.expr("substring(name, 2)")).alias("text"))
+    return fuzzy.fuzzy_matches(texts, names)

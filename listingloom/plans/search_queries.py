@@ -225,7 +225,11 @@ def set07(spark, d):
 
 @query("agg22_median_and_max", "select event_type, median(value) as p50, max(value) as greatest from events group by 1")
 def agg22(spark, d):
-    return t.table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("p50"), F.max("value").alias("greatest"))
+    from listingloom.operators.selection import exact_medians
+
+    rows = t.table(spark, d, "events").select("event_type", "value")
+    most = rows.groupBy(F.col("event_type").alias("_t")).agg(F.max("value").alias("greatest"))
+    return exact_medians(rows, "event_type", "value").join(most, F.col("event_type").eqNullSafe(F.col("_t"))).select("event_type", F.col("median").alias("p50"), "greatest")
 
 
 @query("mat01_monthly_normalised", "select announcement_id, cast(monthly as double) as monthly from listings")
