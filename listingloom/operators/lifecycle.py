@@ -45,6 +45,25 @@ def remapped(values: Column, old: str, new: str) -> Column:
     return F.array_distinct(F.transform(values, lambda x: F.when(x == old, F.lit(new)).otherwise(x)))
 
 
+def remap_tag(listings: DataFrame, filters: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Listings and filters with one tag in place of another, and a row of counts (announcements_updated, filters_updated).
+
+    ``listings`` have the arrays tags and excluded_tags, ``filters`` a JSON text ``filters`` whose ``criteria.audience_tag`` is replaced
+    where it is the old one; the rest of the text stays as it is, in its order of keys. Null arrays stay null.
+    """
+    has = lambda c: F.coalesce(F.array_contains(c, old), F.lit(False))
+    touched = has(F.col("tags")) | has(F.col("excluded_tags"))
+    lists = listings.withColumn("_touched", touched).withColumns({c: F.when(F.col("_touched"), remapped(F.col(c), old, new)).otherwise(F.col(c)) for c in ("tags", "excluded_tags")})
+    # The criteria object runs to its own closing brace: it holds no objects.
+    asked = F.coalesce(F.get_json_object("filters", "$.criteria.audience_tag") == old, F.lit(False))
+    value = lambda tag: F.to_json(F.struct(F.lit(tag).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.lit(tag).alias("v")))) - 6)
+    pattern = F.concat(F.lit('("criteria"\\s*:\\s*\\{[^{}]*"audience_tag"\\s*:\\s*)\\Q'), value(old), F.lit("\\E"))
+    swapped = F.call_function("regexp_replace", F.col("filters"), pattern, F.concat(F.lit("$1"), value(new)))
+    stored = filters.withColumn("_asked", asked).withColumn("filters", F.when(F.col("_asked"), swapped).otherwise(F.col("filters")))
+    counts = lists.agg(F.count_if("_touched").alias("announcements_updated")).crossJoin(stored.agg(F.count_if("_asked").alias("filters_updated")))
+    return lists.drop("_touched"), stored.drop("_asked"), counts
+
+
 def compare_and_set(flags: DataFrame, requests: DataFrame) -> DataFrame:
     """(flag_name, version, enabled, applied) after requests (flag_name, expected_version, enabled, seq).
 

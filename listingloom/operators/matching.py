@@ -70,6 +70,77 @@ def match_metrics(matched: DataFrame) -> DataFrame:
     )
 
 
+MATCH_COUNTERS = (
+    "matched_filters", "jobs_created", "duplicate_jobs", "skipped_disabled_filters", "skipped_non_canonical", "skipped_inactive_user", "skipped_notifications_disabled",
+    "skipped_no_match", "matching_errors",
+)
+
+
+def announcement_metrics(listings: DataFrame, filters: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
+    """(announcement_id, MATCH_COUNTERS) for every listing, as if it were matched with all filters one by one.
+
+    Listings that are not active parents count once as skipped_non_canonical and meet no filter. Filters that fail to match are never listed: their
+    number is that of the enabled ones less those that match. A filter whose price limit is negative can't be judged
+    and counts as an error. ``existing`` are the jobs (user_id, announcement_id, filter_id) there before; a match with one is a duplicate.
+    """
+    wrong = F.coalesce(F.col("max_price") < 0, F.lit(False))
+    totals = filters.agg(F.count_if(~F.coalesce("enabled", F.lit(False))).alias("disabled"), F.count_if(F.col("enabled") & ~wrong).alias("able"), F.count_if(F.col("enabled") & wrong).alias("wrong"))
+    matched = match_filters(listings, filters.where(~wrong), users)
+    old = existing.select("user_id", "announcement_id", "filter_id").distinct().withColumn("_old", F.lit(True))
+    told = matched.join(old, ["user_id", "announcement_id", "filter_id"], "left").join(users.select("user_id", "status"), "user_id", "left")
+    kind = (
+        F.when(F.coalesce(F.col("status") != "active", F.lit(True)), "inactive").when(F.col("outcome") != "matched", "muted").when(F.col("_old"), "duplicate").otherwise("created")
+    )
+    counts = told.groupBy("announcement_id").agg(F.count("*").alias("met"), *(F.count_if(kind == k).alias(k) for k in ("inactive", "muted", "duplicate", "created")))
+    rows = listings.select("announcement_id", user_facing().alias("canonical")).join(counts, "announcement_id", "left").na.fill(0).crossJoin(F.broadcast(totals))
+    values = {
+        "matched_filters": F.col("created") + F.col("duplicate"), "jobs_created": F.col("created"), "duplicate_jobs": F.col("duplicate"), "skipped_disabled_filters": F.col("disabled"),
+        "skipped_inactive_user": F.col("inactive"), "skipped_notifications_disabled": F.col("muted"), "skipped_no_match": F.col("able") - F.col("met"), "matching_errors": F.col("wrong"),
+    }
+    on = {name: F.when(F.col("canonical"), v).otherwise(0).cast("bigint") for name, v in values.items()}
+    on["skipped_non_canonical"] = F.when(F.col("canonical"), 0).otherwise(1).cast("bigint")
+    return rows.select("announcement_id", *(on[name].alias(name) for name in MATCH_COUNTERS))
+
+
+#: What each error of a delivery comes to: the log's result, the job's status, whether it is tried again, and its counter (fixed values).
+FAILURES = {
+    "local_rate_limited": ("rate_limited", "pending", True, "rate_limited"),
+    "missing_delivery_context": ("permanent_failure", "failed", False, "permanent_failures"),
+    "telegram_rate_limited": ("rate_limited", "pending", True, "retryable_failures"),
+    "telegram_user_blocked": ("permanent_failure", "suppressed", False, "permanent_failures"),
+    "telegram_permanent_error": ("permanent_failure", "failed", False, "permanent_failures"),
+    "telegram_transient_error": ("retryable_failure", "pending", True, "retryable_failures"),
+}
+DELIVERY_COUNTERS = ("sent", "retryable_failures", "permanent_failures", "rate_limited", "skipped")
+#: Seconds until a transient error is tried again.
+RETRY_SECONDS = 300
+
+
+def deliver(jobs: DataFrame, attempts: DataFrame, backoff: int = RETRY_SECONDS) -> DataFrame:
+    """The log of a batch, a row for each attempt: (notification_id, attempt_no, result, error_type, retryable, status, next_attempt_at, counter).
+
+    ``jobs`` have notification_id, status and attempts; ``attempts`` notification_id, at, error_type (null: sent) and retry_after (seconds). status and
+    next_attempt_at are the job's afterwards. A job that isn't pending is skipped and keeps its number; an unknown error is permanent.
+    """
+    rows = attempts.join(jobs.select("notification_id", F.col("status").alias("before"), "attempts"), "notification_id")
+    told = F.create_map(*(F.lit(x) if isinstance(x, str) else F.struct(*(F.lit(v).alias(n) for v, n in zip(x, ("result", "status", "again", "counter")))) for pair in FAILURES.items() for x in pair))
+    unknown = F.struct(*(F.lit(v).alias(n) for v, n in zip(FAILURES["telegram_permanent_error"], ("result", "status", "again", "counter"))))
+    rows = rows.withColumn("f", F.when(F.col("error_type").isNotNull(), F.coalesce(F.try_element_at(told, F.col("error_type")), unknown)))
+    taken, failed = F.col("before") == "pending", F.col("error_type").isNotNull()
+    wait = F.when(F.col("error_type").contains("rate_limited"), F.coalesce("retry_after", F.lit(backoff))).otherwise(F.lit(backoff))
+    pick = lambda name, sent, skipped: F.when(~taken, skipped).when(failed, F.col(f"f.{name}")).otherwise(sent)
+    return rows.select(
+        "notification_id", (F.col("attempts") + F.when(taken, 1).otherwise(0)).cast("bigint").alias("attempt_no"), pick("result", F.lit("sent"), F.lit("skipped")).alias("result"),
+        F.when(taken, F.col("error_type")).alias("error_type"), F.coalesce(pick("again", F.lit(False), F.lit(False)), F.lit(False)).alias("retryable"), pick("status", F.lit("sent"), F.col("before")).alias("status"),
+        F.when(taken & F.col("f.again"), F.col("at") + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))).alias("next_attempt_at"), pick("counter", F.lit("sent"), F.lit("skipped")).alias("counter"),
+    )
+
+
+def delivery_metrics(log: DataFrame) -> DataFrame:
+    """One row of counters over the log of ``deliver``: picked, and DELIVERY_COUNTERS."""
+    return log.agg(F.count("*").alias("picked"), *(F.count_if(F.col("counter") == name).alias(name) for name in DELIVERY_COUNTERS))
+
+
 def priority(premium_until: Column, now: Column) -> Column:
     return F.when(F.coalesce(premium_until > now, F.lit(False)), 10).otherwise(0)
 

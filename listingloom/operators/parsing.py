@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.functions.text import PHONE, candidate_id, compatibility_form
+from listingloom.functions.text import PHONE, candidate_id, compatibility_form, normalise_label
 from listingloom.operators.settings import check_pattern
 
 #: Default splits of a digest: before numbered items and at ruled lines (fixed values).
@@ -184,6 +184,47 @@ def evaluate(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return sums.select("tp", "fp", "fn", F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")).alias("precision"), F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")).alias("recall"))
 
 
+#: Metrics of a replay and the floor of each (fixed values).
+FLOORS = {"precision": 0.95, "recall": 0.95, "decision_accuracy": 0.95, "drop_accuracy": 0.95, "candidate_count_accuracy": 0.95}
+
+
+def evaluate_cases(cases: DataFrame, decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row a labelled case: decisions and candidate counts, expected and actual, and true and false positives and misses.
+
+    ``cases`` have case_id, decision, texts (array, empty or null without labels) and n (null: unknown); ``decisions`` case_id and decision of the
+    parser, ``candidates`` (case_id, text) what it emitted. Texts are compared as multisets in normal form. A case without texts
+    counts by number only: its candidates prove neither precision nor recall. Without a number one is expected of an emit.
+    """
+    labelled = F.coalesce(F.size("texts"), F.lit(-1)) > 0
+    stated = cases.select("case_id", F.col("decision").alias("expected_decision"), labelled.alias("labelled"), F.coalesce("texts", F.array().cast("array<string>")).alias("texts"), "n")
+    e = stated.where("labelled").select("case_id", F.explode("texts").alias("text")).select("case_id", normalise_label(F.coalesce("text", F.lit(""))).alias("text")).groupBy("case_id", "text").agg(F.count("*").alias("e"))
+    a = candidates.select("case_id", normalise_label(F.coalesce("text", F.lit(""))).alias("text")).groupBy("case_id", "text").agg(F.count("*").alias("a"))
+    shared = e.join(a, ["case_id", "text"]).groupBy("case_id").agg(F.sum(F.least("e", "a")).alias("tp"))
+    found = a.groupBy("case_id").agg(F.sum("a").alias("actual"))
+    rows = stated.join(decisions.select("case_id", F.col("decision").alias("actual_decision")), "case_id", "left").join(shared, "case_id", "left").join(found, "case_id", "left")
+    expected = F.when(F.col("labelled"), F.size("texts")).otherwise(F.coalesce("n", F.when(F.col("expected_decision") == "emit", 1).otherwise(0))).cast("bigint")
+    rows = rows.withColumns({"expected": expected, "actual": F.coalesce("actual", F.lit(0)), "tp": F.when(F.col("labelled"), F.coalesce("tp", F.lit(0))).otherwise(0)})
+    over = lambda total: F.when(F.col("labelled"), F.greatest(F.lit(0), F.col(total) - F.col("tp"))).otherwise(0)
+    right = F.coalesce(F.col("actual_decision") == F.col("expected_decision"), F.lit(False))
+    return rows.select("case_id", "expected_decision", "actual_decision", right.alias("decision_correct"), "labelled", "expected", "actual", "tp", over("actual").alias("fp"), over("expected").alias("fn"))
+
+
+def report(evaluated: DataFrame) -> DataFrame:
+    """One row over ``evaluate_cases``: sums, and the five metrics, null where nothing is to be measured."""
+    ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    negative = F.col("expected_decision") != "emit"
+    sums = evaluated.agg(
+        F.count("*").alias("cases"), F.count_if("labelled").alias("labelled_cases"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expected", "actual", "tp", "fp", "fn")),
+        F.count_if("decision_correct").alias("right"), F.count_if(negative).alias("negative"), F.count_if(negative & F.col("decision_correct")).alias("dropped"),
+        F.count_if(F.col("expected") == F.col("actual")).alias("counted"),
+    )
+    c = F.col
+    return sums.select(
+        "cases", "labelled_cases", "expected", "actual", "tp", "fp", "fn", ratio(c("tp"), c("tp") + c("fp")).alias("precision"), ratio(c("tp"), c("tp") + c("fn")).alias("recall"),
+        ratio(c("right"), c("cases")).alias("decision_accuracy"), ratio(c("dropped"), c("negative")).alias("drop_accuracy"), ratio(c("counted"), c("cases")).alias("candidate_count_accuracy"),
+    )
+
+
 def failed_gates(metrics: DataFrame, floors: Mapping[str, float]) -> DataFrame:
     """(metric, value, floor) of the metrics that are unknown or below their floor."""
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value"), F.lit(v).alias("floor")) for k, v in floors.items())))

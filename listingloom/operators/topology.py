@@ -83,6 +83,32 @@ def reconciled(assignments: DataFrame, sources: DataFrame, accounts: DataFrame)
     return rows.select("source_id", "account_key", reason.alias("reason"))
 
 
+#: Sources that accounts listen to, and health of accounts that can be given any (fixed values).
+LISTENED, ASSIGNABLE = ("telegram_channel", "telegram_group"), ("online",)
+
+
+def reconcile(sources: DataFrame, accounts: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assignments as they should be, and the audit of what changed: (source_id, account_key) and (source_id, previous, new, reason).
+
+    ``sources`` have source_id, enabled and source_type, ``accounts`` account_key, enabled and health, ``assignments`` source_id, account_key and active. Active assignments
+    of sources that are gone, disabled or of another type are released (source_disabled), then those of missing or unassignable
+    accounts (failover). Every enabled source without one goes to the least loaded assignable account, in order of source_id.
+    Without such an account sources stay unassigned.
+    """
+    wanted = sources.where(F.col("enabled") & F.col("source_type").isin(*LISTENED)).select("source_id").distinct()
+    able = accounts.where(F.col("enabled") & F.col("health").isin(*ASSIGNABLE)).select("account_key").distinct()
+    mine = assignments.where("active").select("source_id", "account_key")
+    told = mine.join(wanted.withColumn("wanted", F.lit(True)), "source_id", "left").join(able.withColumn("able", F.lit(True)), "account_key", "left")
+    told = checkpointed(told.select("source_id", "account_key", F.when(F.col("wanted").isNull(), "source_disabled").when(F.col("able").isNull(), "failover").alias("reason")))
+    kept = told.where("reason is null").select("source_id", "account_key")
+    open_ = wanted.join(kept.select("source_id"), "source_id", "left_anti").withColumn("adapter", F.lit("all"))
+    free = able.join(loads(kept.withColumn("active", F.lit(True))), "account_key", "left").select("account_key", F.coalesce("n", F.lit(0)).alias("load"), F.lit("all").alias("adapter"))
+    given = checkpointed(assign_least_loaded(open_, free))
+    released = told.where("reason is not null").select("source_id", F.col("account_key").alias("previous"), F.lit(None).cast("string").alias("new"), "reason")
+    fresh = given.select("source_id", F.lit(None).cast("string").alias("previous"), F.col("account_key").alias("new"), F.lit("initial").alias("reason"))
+    return kept.unionByName(given), released.unionByName(fresh)
+
+
 def transition_allowed(before, after):
     pairs = [f"{a}>{b}" for a, bs in TRANSITIONS.items() for b in bs]
     return F.concat(before, F.lit(">"), after).isin(pairs)

@@ -97,6 +97,44 @@ def delivery_metrics(spark, d):
     return attempted(spark, d).groupBy(F.coalesce("result", F.lit("skipped")).alias("result")).agg(F.count("*").alias("n"))
 
 
+@query("agg16_match_counters", f"""with {MATCHED}, f as (select count(*) filter (not enabled) as disabled, count(*) filter (enabled) as able from saved_filters),
+  o as (select m.announcement_id, count(*) as met, count(*) filter (coalesce(u.status, '') <> 'active') as inactive, count(*) filter (u.status = 'active' and not u.notifications_enabled) as muted,
+    count(*) filter (outcome = 'matched' and m.announcement_id % 5 = 0 and m.filter_id % 2 = 0) as dup, count(*) filter (outcome = 'matched' and not (m.announcement_id % 5 = 0 and m.filter_id % 2 = 0)) as made
+    from matched m left join users u using (user_id) group by 1)
+  select announcement_id, coalesce(dup + made, 0) as matched_filters, coalesce(made, 0) as jobs_created, coalesce(dup, 0) as duplicate_jobs, case when canonical then disabled else 0 end as skipped_disabled_filters, (not canonical)::bigint as skipped_non_canonical,
+    coalesce(inactive, 0) as skipped_inactive_user, coalesce(muted, 0) as skipped_notifications_disabled, case when canonical then able - coalesce(met, 0) else 0 end as skipped_no_match, 0::bigint as matching_errors
+  from (select announcement_id, status = 'active' and parent_id is null as canonical from listings) l left join o using (announcement_id) cross join f""")
+def match_counters(spark, d):
+    there = _matched(spark, d).where("announcement_id % 5 = 0 and filter_id % 2 = 0")
+    return matching.announcement_metrics(t.listings(spark, d), t.saved_filters(spark, d), t.users(spark, d), there)
+
+
+#: One attempt of every third job; every kind of outcome.
+DELIVERED = """log as (select notification_id, attempts + case when status = 'pending' then 1 else 0 end as attempt_no, case when status <> 'pending' then 'skipped' when e is null then 'sent' when e like '%rate_limited' then 'rate_limited' when e like '%transient%' then 'retryable_failure' else 'permanent_failure' end as result,
+    case when status = 'pending' then e end as error_type, status = 'pending' and coalesce(e like '%rate_limited' or e like '%transient%', false) as retryable,
+    case when status <> 'pending' then status when e is null then 'sent' when e like '%rate_limited' or e like '%transient%' then 'pending' when e like '%blocked' then 'suppressed' else 'failed' end as status,
+    case when status = 'pending' and e like '%rate_limited' then timestamp '2024-06-01' + interval 17 seconds when status = 'pending' and e like '%transient%' then timestamp '2024-06-01' + interval 300 seconds end as next_attempt_at,
+    case when status <> 'pending' then 'skipped' when e is null then 'sent' when e = 'local_rate_limited' then 'rate_limited' when e in ('telegram_rate_limited', 'telegram_transient_error') then 'retryable_failures' else 'permanent_failures' end as counter
+  from (select *, [null, 'local_rate_limited', 'missing_delivery_context', 'telegram_rate_limited', 'telegram_user_blocked', 'telegram_permanent_error', 'telegram_transient_error', 'never seen'][notification_id // 3 % 8 + 1] as e from jobs where notification_id % 3 = 0))"""
+
+
+def _delivered(spark, d):
+    kinds = F.array(F.lit(None).cast("string"), *map(F.lit, [*matching.FAILURES, "never seen"]))
+    k = F.col("notification_id")
+    tried = jobs(spark, d).where("notification_id % 3 = 0").select(k, F.lit("2024-06-01").cast("timestamp_ntz").alias("at"), F.get(kinds, (F.floor(k / 3) % 8).cast("int")).alias("error_type"), F.lit(17).alias("retry_after"))
+    return matching.deliver(jobs(spark, d), tried)
+
+
+@query("dml20_attempts_log", f"with {DELIVERED} select notification_id, attempt_no::bigint as attempt_no, result, error_type, retryable, status, next_attempt_at, counter from log")
+def attempts_log(spark, d):
+    return _delivered(spark, d)
+
+
+@query("agg17_delivery_counters", f"with {DELIVERED} select count(*) as picked, " + ", ".join(f"count(*) filter (counter = '{n}') as {n}" for n in matching.DELIVERY_COUNTERS) + " from log")
+def delivery_counters(spark, d):
+    return matching.delivery_metrics(_delivered(spark, d))
+
+
 @query("dml15_premium_extension", "select user_id, greatest(coalesce(premium_until, timestamp '2024-01-10'), timestamp '2024-01-10') + interval 7 days as premium_until from users")
 def premium(spark, d):
     now = F.lit("2024-01-10").cast("timestamp_ntz")
@@ -125,20 +163,70 @@ def milestones(spark, d):
     return referrals.milestones(acts).drop("at")
 
 
-@query("dml17_referral_ladder", """with recursive chain as (select user_id, referrer_id as ancestor from users where referrer_id is not null
-  union all select c.user_id, u.referrer_id from chain c join users u on u.user_id = c.ancestor where u.referrer_id is not null),
-  asked as (select user_id, user_id * 5 % 37 + 1 as wanted from users)
-  select a.user_id, case when r.user_id is null then 'unknown_code' when a.user_id = a.wanted then 'self_referral'
-    when exists (select 1 from chain c where c.user_id = a.wanted and c.ancestor = a.user_id) then 'cycle' when u.referrer_id is not null then 'already_referred' else 'accepted' end as result
-  from asked a join users u using (user_id) left join users r on r.user_id = a.wanted""")
+#: Starts of every user with the code of another, four by one user at once beyond what is looked at.
+STARTS_SQL = """with recursive chain as (select user_id, referrer_id as ancestor from users where referrer_id is not null
+    union all select c.user_id, u.referrer_id from chain c join users u on u.user_id = c.ancestor where u.referrer_id is not null),
+  asked as (select user_id * 10 + k as start_id, user_id, case user_id % 5 when 0 then '' when 1 then 'u000000000x' when 2 then 'u' || lpad((user_id // 2)::varchar, 10, '0') when 3 then 'u' || lpad((user_id * 2)::varchar, 10, '0')
+      else 'u' || lpad((user_id * 5 % 37 + 1)::varchar, 10, '0') end as code, k from users, range(case when user_id % 11 = 0 then 4 else 1 end) t(k))
+  select a.start_id, a.user_id, r.user_id as referrer_id, case when a.k >= 3 then 'rate_limited' when a.code = '' then 'no_referral_code' when r.user_id is null then 'unknown_code' when a.user_id = r.user_id then 'self_referral'
+    when exists (select 1 from chain c where c.user_id = r.user_id and c.ancestor = a.user_id) then 'circular_referral' when u.referrer_id = r.user_id then 'duplicate_referral' when u.referrer_id is not null then 'referrer_immutable' else 'accepted' end as result
+  from asked a join users u using (user_id) left join users r on r.referral_code = a.code"""
+
+
+@query("dml17_referral_ladder", STARTS_SQL)
 def ladder(spark, d):
-    u = t.users(spark, d)
-    asked = u.select("user_id", (F.col("user_id") * 5 % 37 + 1).alias("referrer_id"))
-    told = referrals.makes_cycle(asked, referrals.ancestors(u)).withColumnRenamed("referrer_id", "wanted")
-    known = u.select(F.col("user_id").alias("wanted"), F.lit(True).alias("known"))
-    rows = told.join(known, "wanted", "left").join(u.select("user_id", "referrer_id"), "user_id")
-    result = referrals.start_result(F.coalesce("known", F.lit(False)), F.col("user_id") == F.col("wanted"), F.col("cycle"), F.col("referrer_id").isNotNull())
-    return rows.select("user_id", result.alias("result"))
+    k = F.col("user_id")
+    code = lambda n: F.format_string("u%010d", n.cast("bigint"))
+    asked_code = F.when(k % 5 == 0, "").when(k % 5 == 1, "u000000000x").when(k % 5 == 2, code(F.floor(k / 2))).when(k % 5 == 3, code(k * 2)).otherwise(code(k * 5 % 37 + 1))
+    times = F.explode(F.sequence(F.lit(0), F.when(k % 11 == 0, 3).otherwise(0)))
+    asked = t.users(spark, d).select("user_id", asked_code.alias("code"), times.alias("k")).select((k * 10 + F.col("k")).alias("start_id"), "user_id", "code", F.timestamp_seconds(F.col("k")).alias("at"))
+    return referrals.starts(asked, t.users(spark, d), most=3)
+
+
+@query("join21_tour_labels", """with recursive chain as (select user_id, referrer_id as ancestor, 1 as depth from users where referrer_id is not null
+  union all select c.user_id, u.referrer_id, c.depth + 1 from chain c join users u on u.user_id = c.ancestor where u.referrer_id is not null)
+  select u.user_id, coalesce(max_by(c.ancestor, c.depth), u.user_id) as root, coalesce(max(c.depth), 0)::bigint as depth, (select count(*) from chain x where x.ancestor = u.user_id) as below
+  from users u left join chain c using (user_id) group by u.user_id""")
+def tour_labels(spark, d):
+    """Root, depth and number of descendants of every user: an inner user's interval holds both walks of each user below."""
+    known = referrals.labels(t.users(spark, d).select("user_id", "referrer_id"))
+    sizes = known.groupBy("root").agg(F.count("*").alias("all"))
+    below = F.when(F.col("user_id") == F.col("root"), F.col("all") - 1).otherwise(F.floor((F.col("leave") - F.col("enter")) / 2))
+    return known.join(sizes, "root").select("user_id", "root", "depth", below.alias("below"))
+
+
+#: Events of every customer with a referrer, and two actions of each; some are active before, some awards given.
+ACTIVATION_SQL = """with events_ as (select c_custkey as referred_id, c_custkey % 30 as referrer_id, case c_custkey % 7 when 0 then 'active' when 1 then 'cancelled' else 'pending' end as status from customer where c_custkey % 9 <> 0),
+  actions as (select c_custkey * 2 + k as action_id, c_custkey as user_id, timestamp '2024-01-01' + to_hours((c_custkey * 7 % 1000 + k * 5)::bigint) as moment from customer, range(2) t(k)),
+  told as (select a.*, e.referrer_id, e.status, row_number() over (partition by user_id order by moment, action_id) as turn from actions a left join events_ e on e.referred_id = a.user_id),
+  turned as (select *, referrer_id % 4 + row_number() over (partition by referrer_id order by moment, action_id) as active from told where status = 'pending' and turn = 1)"""
+
+
+def _activations(spark, d):
+    k = F.col("c_custkey")
+    customer = t.table(spark, d, "customer")
+    events = customer.where(k % 9 != 0).select(k.alias("referred_id"), (k % 30).alias("referrer_id"), F.when(k % 7 == 0, "active").when(k % 7 == 1, "cancelled").otherwise("pending").alias("status"))
+    each = customer.select(k.alias("user_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("user_id") * 7 % 1000 + F.col("k") * 5).cast("int"))
+    actions = each.select((F.col("user_id") * 2 + F.col("k")).alias("action_id"), "user_id", at.alias("at"))
+    referrers = events.select("referrer_id").distinct()
+    until = F.when(F.col("referrer_id") % 2 == 0, F.lit("2024-03-01").cast("timestamp_ntz"))
+    users = referrers.select(F.col("referrer_id").alias("user_id"), (F.col("referrer_id") % 4).alias("active"), until.alias("premium_until"))
+    awarded = referrers.where("referrer_id % 6 = 0").select("referrer_id", F.lit(5).alias("milestone"))
+    return referrals.activations(events, actions, users, awarded)
+
+
+@query("dml16_activation_results", ACTIVATION_SQL + """ select t.action_id, coalesce(t.status = 'pending' and t.turn = 1, false) as activated,
+  case when t.status is null then 'no_referral_event' when t.status = 'active' or t.status = 'pending' and t.turn > 1 then 'already_active' when t.status <> 'pending' then 'event_' || t.status end as reason, n.active
+  from told t left join turned n using (action_id)""")
+def activation_results(spark, d):
+    return _activations(spark, d)[0]
+
+
+@query("dml16_premium_awards", ACTIVATION_SQL + """ select referrer_id, min(moment) as "at", greatest(min(moment), case when referrer_id % 2 = 0 then timestamp '2024-03-01' else min(moment) end) + interval 7 days as premium_until
+  from turned where active >= 5 and referrer_id % 6 <> 0 group by referrer_id""")
+def premium_awards(spark, d):
+    return _activations(spark, d)[1]
 
 
 SOURCES_SQL = """srcs as (select 'src' || s_suppkey as source_id, s_suppkey % 7 <> 0 as enabled, case when s_suppkey % 10 = 9 then 1 end as deleted_at, 'ad' || (s_suppkey % 2) as adapter, 'ses' || (s_suppkey % 3) as session, 'p' || (s_suppkey % 4) as parser_key, 'pr' || (s_suppkey % 2) as profile from supplier),
@@ -199,6 +287,31 @@ def reconcile(spark, d):
     return topology.reconciled(_assigned(spark, d), _sources(spark, d), _accounts(spark, d))
 
 
+#: Assignments as they should be: kept ones, then open sources in order to the least loaded account, ties by key.
+RECONCILED = f"""{SOURCES_SQL}, wanted as (select source_id from srcs where enabled and profile = 'pr1' or enabled and parser_key = 'p2'), able as (select account_key from accounts where health = 'online' and load < 2),
+  told as (select a.source_id, a.account_key, case when w.source_id is null then 'source_disabled' when b.account_key is null then 'failover' end as reason from assigned a left join wanted w using (source_id) left join able b using (account_key) where a.active),
+  kept as (select source_id, account_key from told where reason is null), l as (select able.account_key, count(kept.account_key) as load from able left join kept using (account_key) group by 1),
+  places as (select account_key, row_number() over (order by load + g, account_key) as n from l, range((select count(*) from wanted)) t(g)),
+  open as (select source_id, row_number() over (order by source_id) as n from wanted where source_id not in (select source_id from kept)), given as (select source_id, account_key from open join places using (n))"""
+
+
+def _reconciled(spark, d):
+    kind = F.when((F.col("profile") == "pr1"), "telegram_channel").when(F.col("parser_key") == "p2", "telegram_group").otherwise("website")
+    sources = _sources(spark, d).withColumn("source_type", kind)
+    accounts = _accounts(spark, d).withColumn("enabled", F.col("load") < 2)
+    return topology.reconcile(sources, accounts, _assigned(spark, d))
+
+
+@query("dml23_assignments", f"with {RECONCILED} select * from kept union all select * from given")
+def assignments(spark, d):
+    return _reconciled(spark, d)[0]
+
+
+@query("dml23_assignment_audit", f"with {RECONCILED} select source_id, account_key as previous, null::varchar as new, reason from told where reason is not null union all select source_id, null, account_key, 'initial' from given")
+def assignment_audit(spark, d):
+    return _reconciled(spark, d)[1]
+
+
 @query("top09_least_loaded", f"""with {SOURCES_SQL}, a as (select * from accounts where health = 'online' or adapter = 'ad1'),
   places as (select adapter, account_key, row_number() over (partition by adapter order by load + g, account_key) as n from a, range((select count(*) from srcs)) t(g)),
   s as (select *, row_number() over (partition by adapter order by source_id) as n from srcs) select source_id, account_key from s join places using (adapter, n)""")
@@ -255,6 +368,33 @@ def remap(spark, d):
     return t.listings(spark, d).where("tag in ('1', '2')").select("announcement_id", F.array_join(lifecycle.remapped(tags, "1", "2"), ",").alias("tags"))
 
 
+REMAPPED = """l as (select announcement_id, case when tag = '1' or excluded_tag = '1' then list_distinct_kept else tags end as tags, excluded, tag = '1' or coalesce(excluded_tag = '1', false) as touched
+    from (select announcement_id, tag, excluded_tag, [tag, '2', tag] as tags, case when tag = '1' or tag = '2' then ['2'] else [tag, '2'] end as list_distinct_kept, case when excluded_tag = '1' then '2' else excluded_tag end as excluded from listings)),
+  f as (select filter_id, district = 'CHINA' as asked, '{"name":"1","criteria":{"rooms":' || filter_id % 4 || ',"audience_tag":"' || case district when 'CHINA' then '2' else coalesce(district, '') end || '"},"note":"audience_tag"}' as filters from saved_filters)"""
+
+
+def _remapped(spark, d):
+    rows = t.listings(spark, d).select("announcement_id", F.array("tag", F.lit("2"), "tag").alias("tags"), F.when(F.col("excluded_tag").isNotNull(), F.array("excluded_tag")).alias("excluded_tags"))
+    k, tag = F.col("filter_id"), F.when(F.col("district") == "CHINA", "1").otherwise(F.coalesce("district", F.lit("")))
+    stored = t.saved_filters(spark, d).select(k, F.concat(F.lit('{"name":"1","criteria":{"rooms":'), (k % 4).cast("string"), F.lit(',"audience_tag":"'), tag, F.lit('"},"note":"audience_tag"}')).alias("filters"))
+    return lifecycle.remap_tag(rows, stored, "1", "2")
+
+
+@query("dml13_remapped_listings", f"with {REMAPPED} select announcement_id, array_to_string(tags, ',') as tags, excluded from l")
+def remapped_listings(spark, d):
+    return _remapped(spark, d)[0].select("announcement_id", F.array_join("tags", ",").alias("tags"), F.get("excluded_tags", F.lit(0)).alias("excluded"))
+
+
+@query("dml13_remapped_filters", f"with {REMAPPED} select filter_id, filters from f")
+def remapped_filters(spark, d):
+    return _remapped(spark, d)[1]
+
+
+@query("dml13_remap_counts", f"with {REMAPPED} select (select count(*) from l where touched) as announcements_updated, (select count(*) from f where asked) as filters_updated")
+def remap_counts(spark, d):
+    return _remapped(spark, d)[2]
+
+
 @query("dml22_filter_cap", """with f as (select *, filter_id // 16 as owner from saved_filters), s as (select owner, count(*) as have from f where rooms is not null group by 1)
   select filter_id from (select *, row_number() over (partition by owner order by filter_id) as n from f where rooms is null) b left join s using (owner) where n + coalesce(have, 0) <= 10""")
 def filter_cap(spark, d):

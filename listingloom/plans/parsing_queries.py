@@ -136,6 +136,46 @@ def gate(spark, d):
     return parsing.failed_gates(evaluation(spark, d), {"precision": 0.95, "recall": 0.95})
 
 
+#: Labelled posts: a quarter has no texts (half of these a number), a sixth is expected to be dropped; the stricter parser answers.
+CASES = f"""{SEGMENTS}, t as (select *, policy = 'emit' as e, policy = 'emit' and score >= 60 or policy <> 'emit' and post_id % 5 = 0 as a, trim(regexp_replace(lower(segment), '\\s+', ' ', 'g')) as x from told),
+  c as (select post_id as case_id, case when post_id % 6 = 0 then 'drop' when count(*) filter (e) > 0 then 'emit' else 'quarantine' end as expected_decision, case when count(*) filter (a) > 0 then 'emit' else 'drop' end as actual_decision,
+    post_id % 4 <> 0 and count(*) filter (e) > 0 as labelled, count(*) filter (e) as ne, count(*) filter (a) as actual from t group by 1),
+  m as (select post_id as case_id, sum(k) as k from (select post_id, x, least(count(*) filter (e), count(*) filter (a)) as k from t group by 1, 2) group by 1),
+  cases as (select c.*, case when labelled then ne when case_id % 8 = 0 then ne when expected_decision = 'emit' then 1 else 0 end::bigint as expected, case when labelled then k else 0 end::bigint as tp from c join m using (case_id)),
+  told_cases as (select case_id, expected_decision, actual_decision, expected_decision = actual_decision as decision_correct, labelled, expected, actual, tp,
+    case when labelled then greatest(0, actual - tp) else 0 end::bigint as fp, case when labelled then greatest(0, expected - tp) else 0 end::bigint as fn from cases)"""
+REPORT = f"""{CASES}, report as (select count(*) as cases, count(*) filter (labelled) as labelled_cases, sum(expected)::bigint as expected, sum(actual)::bigint as actual, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn,
+    sum(tp)::double / (sum(tp) + sum(fp)) as precision, sum(tp)::double / (sum(tp) + sum(fn)) as recall, count(*) filter (decision_correct)::double / count(*) as decision_accuracy,
+    count(*) filter (decision_correct and expected_decision <> 'emit')::double / count(*) filter (expected_decision <> 'emit') as drop_accuracy, count(*) filter (expected = actual)::double / count(*) as candidate_count_accuracy from told_cases)"""
+
+
+def _cases(spark, d):
+    rows = parsing.parse(digests(spark, d), parsing.RECIPES["generic.digest_blocks"])
+    k = F.col("case_id")
+    strict = rows.where("policy = 'emit' and score >= 60 or policy <> 'emit' and post_id % 5 = 0").select(F.col("post_id").alias("case_id"), F.col("segment").alias("text"))
+    every = rows.groupBy(F.col("post_id").alias("case_id")).agg(F.collect_list(F.when(F.col("policy") == "emit", F.col("segment"))).alias("all"))
+    decision = F.when(k % 6 == 0, "drop").when(F.size("all") > 0, "emit").otherwise("quarantine")
+    cases = every.select("case_id", decision.alias("decision"), F.when(k % 4 != 0, F.col("all")).alias("texts"), F.when(k % 8 == 0, F.size("all")).alias("n"))
+    found = strict.select("case_id").distinct().withColumn("emits", F.lit(True))
+    decisions = every.select("case_id").join(found, "case_id", "left").select("case_id", F.when(F.col("emits"), "emit").otherwise("drop").alias("decision"))
+    return parsing.evaluate_cases(cases, decisions, strict)
+
+
+@query("par20_case_evaluations", f"with {CASES} select * from told_cases")
+def case_evaluations(spark, d):
+    return _cases(spark, d)
+
+
+@query("agg12_evaluation_report", f"with {REPORT} select * from report")
+def evaluation_report(spark, d):
+    return parsing.report(_cases(spark, d))
+
+
+@query("par21_five_gates", f"with {REPORT} select metric, value, 0.95::double as floor from (" + " union all ".join(f"select '{m}' as metric, {m} as value from report" for m in parsing.FLOORS) + ") where value is null or value < 0.95")
+def five_gates(spark, d):
+    return parsing.failed_gates(parsing.report(_cases(spark, d)), parsing.FLOORS)
+
+
 @query("par22_binding_merge", "select event_id, case when event_id % 3 = 0 then 'b' else 'a' end as key, case when event_id % 4 = 0 then 'new' when event_id % 3 <> 0 then 'old' end as config from events")
 def binding(spark, d):
     k = F.col("event_id")

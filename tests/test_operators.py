@@ -258,7 +258,7 @@ def test_referral_chains_cycles_and_milestones(spark):
     chains = referrals.ancestors(edges)
     assert {(r["user_id"], r["ancestor"]): r["depth"] for r in chains.collect()} == {(u, a): u - a for u in range(2, 6) for a in range(1, u)}
     asked = spark.createDataFrame([(1, 5), (6, 1), (2, 2)], "user_id bigint, referrer_id bigint")
-    assert {(r["user_id"], r["cycle"]) for r in referrals.makes_cycle(asked, chains).collect()} == {(1, True), (6, False), (2, True)}
+    assert {(r["user_id"], r["cycle"]) for r in referrals.makes_cycle(asked, referrals.labels(edges)).collect()} == {(1, True), (6, False), (2, True)}
     acts = spark.createDataFrame([(1, u, u) for u in range(7)], "referrer_id int, user_id int, at int")
     assert [r["completed_by"] for r in referrals.milestones(acts).collect()] == [4]
 
