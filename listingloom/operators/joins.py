@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingloom.functions.similarity import apart, bits64, block_keys
@@ -48,27 +50,87 @@ def token_join(rows: DataFrame, id_col: str, tokens_col: str, least: float) -> D
     return verified.select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= least)
 
 
+#: Rows of a bucket of hashes that are compared with one another in one place.
+BUCKET_ROWS = 2048
+#: Times that crowded buckets are cut by further blocks.
+DEPTH = 3
+
+
+def _cost(n: float, bits: int, blocks: int, most: int) -> float:
+    """Rows made and pairs met when ``n`` values of ``bits`` free bits are keyed by ``blocks - most`` of ``blocks`` blocks."""
+    keys = comb(blocks, most)
+    return n * keys + n * n * keys / 2 ** (1 + bits * (blocks - most) / blocks)
+
+
 def _blocks(n: int, most: int) -> int:
     """Blocks that make the fewest rows and pairs for ``n`` evenly spread hashes: more blocks are more keys, each of more bits."""
+    return min(range(most + 1, most + 4), key=lambda blocks: _cost(n, 64, blocks, most))
+
 
-    def cost(blocks: int) -> float:
-        keys = comb(blocks, most)
-        return n * keys + n * n * keys / 2 ** (1 + 64 * (blocks - most) / blocks)
+def _masks(spark: SparkSession, most: int) -> DataFrame:
+    """(bits, choice, mask): for values of that many bits, the bits of each choice of blocks. Fixed and small."""
+    rows = []
+    for bits in range(2, 65):
+        blocks = min(most + 2, bits)
+        edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+        block = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+        for k, chosen in enumerate(combinations(block, blocks - most) if blocks > most else [()]):
+            mask = sum(chosen)
+            rows.append((bits, k, mask - (1 << 64) if mask >> 63 else mask))
+    return spark.createDataFrame(rows, "bits int, choice int, mask bigint")
 
-    return min(range(most + 1, most + 4), key=cost)
+
+def _packed(h: Column, free: Column) -> Column:
+    """The bits of ``h`` that are set in ``free``, moved together at the low end."""
+    one = lambda i: F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("bigint"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", free, i).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(one(i)))
+
+
+def _cut(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h, key) of small buckets, and those of crowded ones under finer keys.
+
+    The hashes of a bucket agree on some bits; two within reach differ in at most ``most`` of the others, so of these bits, cut
+    into ``most + 2`` blocks, they agree on two blocks at least. That holds whatever bits a bucket has in common.
+    """
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_or(h) & ~bit_and(h)").alias("free")).where(F.col("n") > BUCKET_ROWS)
+    crowd = checkpointed(crowd.select("key", "free", F.bit_count("free").cast("int").alias("bits")).where("bits > 1"))
+    if crowd.isEmpty():
+        return keyed, keyed.limit(0)
+    rows = keyed.join(crowd, "key").withColumn("packed", _packed(F.col("h"), F.col("free")))
+    finer = rows.join(F.broadcast(_masks(keyed.sparkSession, most)), "bits")
+    key = F.xxhash64("key", "choice", F.col("packed").bitwiseAND(F.col("mask")))
+    return keyed.join(crowd.select("key"), "key", "left_anti"), finer.select("id", "h", key.alias("key"))
 
 
 def hash_join(rows: DataFrame, id_col: str, hash_col: str, most: int = 8) -> DataFrame:
     """(a, b, distance) with a < b: distinct 64-bit hashes at most ``most`` (up to eight) bits apart.
 
-    Candidates share a key of several blocks of bits. The number of blocks grows with the rows, so that keys stay
-    rare: pairs grow far slower than with one block a key. No candidate is dropped.
+    Candidates share a key of several blocks of bits. The number of blocks grows with the rows, so that keys stay rare: pairs grow
+    far slower than with one block a key. Where hashes aren't evenly spread some buckets are crowded: these are cut by further
+    blocks of the bits in which their own hashes differ, up to DEPTH times, and what is crowded still is compared
+    in cells of BUCKET_ROWS rows a side, so no task has a bucket's square. No candidate is dropped.
     """
     hashed = rows.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), bits64(F.col(hash_col)).alias("h"))
-    keyed = checkpointed(hashed.select("id", "h", F.explode(block_keys(F.col("h"), _blocks(hashed.count(), most), most)).alias("key")))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    told = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart(F.col("a.h"), F.col("b.h")).alias("distance"))
-    return told.where(F.col("distance") <= most).distinct()
+    crowded = checkpointed(hashed.select("id", "h", F.explode(block_keys(F.col("h"), _blocks(hashed.count(), most), most)).alias("key")))
+    parts = []
+    for _ in range(DEPTH):
+        small, finer = _cut(crowded, most)
+        parts.append(small)
+        crowded = checkpointed(finer)
+        if crowded.isEmpty():
+            break
+    parts.append(crowded)
+    keyed = checkpointed(reduce(DataFrame.unionByName, parts))
+    # Row and column cells: a row of a bucket of k cells stands in k of them, with each other row in one.
+    cells = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    big = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("key", cells.alias("cells"))
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("cells", F.lit(1))).cast("int")
+    placed = keyed.join(big, "key", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
+    placed = placed.select("id", "h", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.id") < F.col("b.id")) & (apart(F.col("a.h"), F.col("b.h")) <= most)
+    pairs = placed.alias("a").join(placed.alias("b"), same)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart(F.col("a.h"), F.col("b.h")).alias("distance")).distinct()
 
 
 def latest(rows: DataFrame, keys: list[str], order: Column, *values: str) -> DataFrame:

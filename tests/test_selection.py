@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from listingloom.operators import fuzzy, matching, selection
+from listingloom.operators import fuzzy, joins, matching, selection
 
 
 @pytest.mark.parametrize("ranked", [1, 40, 1 << 16])
@@ -98,3 +98,23 @@ def test_wildcard_filters_meet_only_buckets_that_can_match(spark):
     above = wild.where(F.coalesce(F.col("monthly") > F.col("max_price"), F.lit(False)))
     assert wild.count() > 500 and above.where(matching.price_bucket(F.col("monthly")) != matching.price_bucket(F.col("max_price"))).count() == 0
     assert above.count() < wild.count() / 5
+
+
+@pytest.mark.parametrize("rows", [16, 100])
+def test_crowded_buckets_of_hashes_are_cut(spark, monkeypatch, rows):
+    """Hashes that share a long prefix, and some that hardly differ: cut by the bits that vary, then by cells; all pairs are found."""
+    monkeypatch.setattr(joins, "BUCKET_ROWS", rows)
+    rng = random.Random(3)
+    values = list({0xABCDEF0123 << 24 | rng.getrandbits(24) for _ in range(400)} | {0xFF << 56 | 1 << rng.randrange(40) for _ in range(60)} | {rng.getrandbits(64) for _ in range(100)})
+    df = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(values)], "id bigint, h string")
+    want = {(a, b, d) for b in range(len(values)) for a in range(b) if (d := (values[a] ^ values[b]).bit_count()) <= 8}
+    assert {tuple(r) for r in joins.hash_join(df, "id", "h").collect()} == want and len(want) > 3000
+
+
+def test_a_crowded_bucket_meets_fewer_pairs(spark):
+    """Of a hundred thousand hashes with forty bits in common, no bucket of the finer keys has a hundredth."""
+    shape = F.lit(0x0ABCDEF012 << 24).bitwiseOR(F.pmod(F.xxhash64("id"), F.lit(1 << 24)))
+    keyed = spark.range(100_000).select("id", shape.alias("h"), F.lit(1).cast("bigint").alias("key"))
+    small, finer = joins._cut(keyed, 8)
+    assert small.count() == 0
+    assert finer.groupBy("key").count().agg(F.max("count")).first()[0] < 10_000
