@@ -40,6 +40,60 @@ def extended(until: Column, now: Column, days: int) -> Column:
     return F.greatest(F.coalesce(until, now), now) + F.make_dt_interval(F.lit(days))
 
 
+def touched_users(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """(user_id, referral_code, status, created_at, updated_at) after the users of ``seen`` (user_id, at) came by.
+
+    New ones are active, with a code made of their id; known ones keep everything but updated_at, which is their last visit if that is later.
+    """
+    visits = seen.groupBy("user_id").agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    rows = stored.join(visits, "user_id", "full_outer")
+    return rows.select(
+        "user_id", F.coalesce("referral_code", F.format_string("u%010d", F.col("user_id").cast("bigint"))).alias("referral_code"), F.coalesce("status", F.lit("active")).alias("status"),
+        F.coalesce("created_at", "_first").alias("created_at"), F.greatest("updated_at", "_last").alias("updated_at"),
+    )
+
+
+def create_or_enable(stored: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Sources after requests to have them, and what came of each: created, enabled again, or unchanged.
+
+    ``stored`` has the key, enabled and deleted_at; deleted ones come back. A key asked for twice is one request.
+    """
+    wanted = asked.select(key).distinct().withColumn("_asked", F.lit(True))
+    rows = stored.select(key, "enabled", "deleted_at", F.lit(True).alias("_there")).join(wanted, key, "full_outer")
+    on = F.coalesce(F.col("enabled") & F.col("deleted_at").isNull(), F.lit(False))
+    result = F.when(F.col("_there").isNull(), "created").when(~on, "enabled").otherwise("unchanged")
+    told = rows.where("_asked").select(key, result.alias("result"))
+    return rows.select(key, F.when(F.col("_asked"), True).otherwise(F.col("enabled")).alias("enabled"), F.when(F.col("_asked").isNull(), F.col("deleted_at")).alias("deleted_at")), told
+
+
+def replay_guard(events: DataFrame, processed: DataFrame, key: str) -> DataFrame:
+    """events with ``action``: what was processed and published before is returned, what was only processed is published, the rest is processed.
+
+    ``processed`` has rows (key, status, published) of all runs; a run that didn't succeed counts for nothing.
+    """
+    done = processed.where(F.col("status") == "succeeded").groupBy(key).agg(F.max(F.coalesce("published", F.lit(False))).alias("_published"))
+    action = F.when(F.col("_published"), "return").when(~F.col("_published"), "publish_only").otherwise("process")
+    return events.join(done, key, "left").withColumn("action", action).drop("_published")
+
+
+def tag_changes(stored: DataFrame, asked: DataFrame, audited: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags after requests (tag, action, seq, request_key), and the new audit lines, one a request_key.
+
+    ``stored`` has tag and status, ``audited`` the request_keys seen before, whose requests are void. Of a key's requests the first counts. In order of seq:
+    upsert_pending adds a tag that isn't there as pending and leaves others; approve and reject set the status of a tag that is there.
+    A tag's status is that of its last approve or reject behind its first upsert, so no request has to wait for another.
+    """
+    first = asked.groupBy("request_key").agg(F.min_by(F.struct("tag", "action", "seq"), "seq").alias("r")).join(audited.select("request_key"), "request_key", "left_anti").select("request_key", "r.*")
+    born = first.where("action = 'upsert_pending'").groupBy("tag").agg(F.min("seq").alias("_born"))
+    rows = first.join(born, "tag", "left").join(stored.select("tag", "status"), "tag", "left")
+    counts = F.col("action").isin("approve", "reject") & (F.col("status").isNotNull() | (F.col("seq") > F.col("_born")))
+    last = rows.where(counts).groupBy("tag").agg(F.max_by(F.when(F.col("action") == "approve", "approved").otherwise("rejected"), "seq").alias("_last"))
+    every = stored.select("tag").union(born.select("tag")).distinct()
+    tags = every.join(stored, "tag", "left").join(last, "tag", "left").select("tag", F.coalesce("_last", "status", F.lit("pending")).alias("status"))
+    done = counts | ((F.col("action") == "upsert_pending") & F.col("status").isNull() & (F.col("seq") == F.col("_born")))
+    return tags, rows.select("request_key", "tag", "action", F.coalesce(done, F.lit(False)).alias("changed"))
+
+
 def remapped(values: Column, old: str, new: str) -> Column:
     """An array with a tag replaced and the result made distinct, order kept."""
     return F.array_distinct(F.transform(values, lambda x: F.when(x == old, F.lit(new)).otherwise(x)))

@@ -65,6 +65,31 @@ def review_items(routed_: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(existing.select("announcement_id", "reason"), ["announcement_id", "reason"], "left_anti")
 
 
+def queued_reviews(routed_: DataFrame, existing: DataFrame) -> DataFrame:
+    """(review_id, announcement_id, reason, status): ``review_items`` as pending items, with an id made of announcement and reason.
+
+    The id is the same each time, so an item that is queued by two runs at once is one item.
+    """
+    from listingloom.operators.envelopes import name_based_id
+
+    items = review_items(routed_, existing)
+    key = F.concat(F.lit("review:"), F.col("announcement_id").cast("string"), F.lit(":"), F.col("reason"))
+    return items.select(name_based_id(key).alias("review_id"), "announcement_id", "reason", F.lit("pending").alias("status"))
+
+
+def decision_log(best: DataFrame, weights: Mapping[str, int]) -> DataFrame:
+    """(incoming, candidate, score, decision, breakdown): a line to append for each decision, with all its signals as stored beside it.
+
+    ``best`` has a boolean for each signal; those that it lacks are left out of the breakdown.
+    """
+    from listingloom.operators.envelopes import breakdown_json
+
+    names = [n for n in weights if n in best.columns]
+    reason = lambda n: F.when(F.col(n), f"{n}_matched").otherwise(f"{n}_differs")
+    signals = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(weights[n]).alias("weight"), F.coalesce(n, F.lit(False)).alias("matched"), reason(n).alias("reason")) for n in names))
+    return best.select("incoming", "candidate", "score", "decision", breakdown_json(signals).alias("breakdown"))
+
+
 def linked(parents: DataFrame, children: DataFrame) -> DataFrame:
     """(announcement_id, source_count, latest_source_id) of every parent after its children are linked."""
     every = parents.select("announcement_id", "source_id", "created_at").unionByName(children.select(F.col("parent_id").alias("announcement_id"), "source_id", "created_at"))
