@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listingloom.operators import dedup, hints, lifecycle, reviews
+from listingloom.operators import dedup, filters, hints, lifecycle, reviews
 from listingloom.plans.dedup_queries import SCORED, SIGNALS, _scored
 from listingloom.plans.registry import query
 from listingloom.sources import messages
@@ -61,7 +61,7 @@ def queue_metadata(spark, d):
     return rows.select("o_orderkey", F.to_json(told, {"ignoreNullFields": "false"}).alias("metadata"))
 
 
-@query("prj03_candidate_events", """select o_orderkey, 'post:' || o_orderkey || ':candidate:' || o_orderkey as idempotency_key, o_orderstatus as text, case when iso then o_orderkey || '::candidate::' || o_orderkey % 4 else o_orderkey::varchar end as source_message_id, o_orderkey || ',x' as message_ids,
+@query("prj03_events_with_provenance", """select o_orderkey, 'post:' || o_orderkey || ':candidate:' || o_orderkey as idempotency_key, o_orderstatus as text, case when iso then o_orderkey || '::candidate::' || o_orderkey % 4 else o_orderkey::varchar end as source_message_id, o_orderkey || ',x' as message_ids,
   case when o_orderkey % 5 = 0 then 0 else 1 end::bigint as media, 'generic.digest_blocks' as parser_key, 'post:' || o_orderkey as raw_event_id, o_orderkey::varchar as raw_message_id, iso as reorder_sensitive, case when o_orderkey % 2 = 0 then o_custkey::varchar end as forwarded
   from (select *, o_orderkey % 3 = 1 as iso from orders)""")
 def candidate_events(spark, d):
@@ -163,3 +163,36 @@ def tags_after(spark, d):
 @query("dml14_tag_audit", TAG_SQL + " select k as request_key, tag, action, changed from r where i > 0")
 def tag_audit(spark, d):
     return _tags(spark, d)[1]
+
+
+#: Events as actions on their user's filters; four filters an user at most, so that the limit is met.
+FILTER_SQL = """with recursive a as (select user_id, event_id as seq, case event_type when 'click' then 'update' when 'error' then 'delete' else 'create' end as action, 'f' || event_id % 7 as f, case when event_id % 9 = 0 then ' ' else ' n' || event_id || ' ' end as name,
+    case when event_id % 2 = 0 then 'c' || event_id end as criteria, case when event_id % 3 = 0 then false end as enabled, row_number() over (partition by user_id order by event_id) as n from events),
+  r as (select user_id, 0::bigint as n, null::bigint as seq, null::varchar as action, null::varchar as result, map([]::varchar[], []::struct(name varchar, criteria varchar, enabled boolean, seq bigint)[]) as m from (select distinct user_id from events)
+    union all select user_id, n, seq, action, result, case result when 'created' then map_concat(m, map([f], [{'name': trim(name), 'criteria': criteria, 'enabled': true, 'seq': seq}]))
+      when 'updated' then map_concat(m, map([f], [{'name': trim(name), 'criteria': coalesce(criteria, b.criteria), 'enabled': coalesce(enabled, b.enabled), 'seq': seq}])) when 'deleted' then map_from_entries(list_filter(map_entries(m), lambda e: e.key <> f)) else m end
+    from (select *, case when action = 'create' then case when trim(name) = '' then 'invalid_name' when b is not null then 'exists' when cardinality(m) >= 4 then 'limit_reached' else 'created' end
+        when b is null then 'not_found' when action = 'delete' then 'deleted' when trim(name) = '' then 'invalid_name' else 'updated' end as result
+      from (select a.*, r.m, r.m[a.f] as b from r join a on a.user_id = r.user_id and a.n = r.n + 1)))"""
+
+
+def _changed(spark, d):
+    k = c("event_id")
+    action = F.when(c("event_type") == "click", "update").when(c("event_type") == "error", "delete").otherwise("create")
+    asked = t.table(spark, d, "events").select(
+        "user_id", k.alias("seq"), action.alias("action"), F.concat(F.lit("f"), (k % 7).cast("string")).alias("filter_id"), F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit(" n"), k.cast("string"), F.lit(" "))).alias("name"),
+        F.when(k % 2 == 0, F.concat(F.lit("c"), k.cast("string"))).alias("criteria"), F.when(k % 3 == 0, F.lit(False)).alias("enabled"),
+    )
+    none = spark.createDataFrame([], f"user_id bigint, {filters.FILTER}")
+    return filters.changed_filters(none, asked, most=4)
+
+
+@query("dml22_filter_results", FILTER_SQL + " select user_id, seq, action, result from r where n > 0")
+def filter_results(spark, d):
+    return _changed(spark, d)[1]
+
+
+@query("dml22_filters_after", FILTER_SQL + """, z as (select user_id, max_by(m, n) as m from r group by 1)
+  select user_id, e.key as filter_id, e.value.name as name, e.value.criteria as criteria, e.value.enabled as enabled, e.value.seq as updated_seq from (select user_id, unnest(map_entries(m)) as e from z)""")
+def filters_after(spark, d):
+    return _changed(spark, d)[0].drop("created_seq")
