@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from listingloom.operators import dedup, filters, hints, lifecycle, reviews
 from listingloom.plans.dedup_queries import SCORED, SIGNALS, _scored
 from listingloom.plans.registry import query
-from listingloom.sources import messages
+from listingloom.sources import messages, models
 from listingloom.sources import tables as t
 
 c = F.col
@@ -196,3 +196,35 @@ def filter_results(spark, d):
   select user_id, e.key as filter_id, e.value.name as name, e.value.criteria as criteria, e.value.enabled as enabled, e.value.seq as updated_seq from (select user_id, unnest(map_entries(m)) as e from z)""")
 def filters_after(spark, d):
     return _changed(spark, d)[0].drop("created_seq")
+
+
+def staged_call(model: str, text: str) -> str:
+    """Stands in for a model: what it does depends on the length of the text and the model's number."""
+    k = (len(text) + int(model[1:])) % 5
+    if k == 0:
+        raise models.TransportError("busy", retryable=len(text) % 7 != 0)
+    if k == 1:
+        raise models.MalformedAnswer("no object")
+    return f"{model}:{k}"
+
+
+def staged_verdict(response: str) -> models.Verdict:
+    k = int(response[-1])
+    return models.Verdict("low_quality", "missing_fields", True, True, (k % 2,)) if k < 4 else models.by_confidence(0.9, 0.5)
+
+
+#: The calls of three models by the length of the text, one after the other.
+COMPLETED_SQL = """with x as (select p_partkey, length(p_name) as n from part), s as (select p_partkey, n, m, (n + m) % 5 as k from x, range(1, 4) t(m)),
+  ends as (select p_partkey, min(m) as stop from s where k = 4 or k = 0 and n % 7 = 0 group by 1),
+  made as (select s.*, coalesce(stop, 3) as stop from s left join ends using (p_partkey) where m <= coalesce(stop, 3)),
+  best as (select p_partkey, coalesce(max(case when k = 4 then m end), max_by(m, (k % 2, -m)) filter (k in (2, 3))) as chosen from made group by 1)
+  select p_partkey, chosen, string_agg(case when k = 0 and n % 7 = 0 then 'non_retryable_transport_error' when k = 0 then 'retryable_transport_error' when k = 1 then 'malformed_response' when k = 4 then 'confidence_threshold_met' else 'missing_fields' end, ',' order by m) as reasons,
+    coalesce(max(case when m = chosen then 'm' || m || ':' || k end), '') as response from made join best using (p_partkey) group by 1, 2"""
+
+
+@query("ext05_fallback_models", "select p_partkey, 'm' || chosen as model, reasons, response from (" + COMPLETED_SQL + ")")
+def fallback_models(spark, d):
+    """Good answers, busy models that may and may not be asked again, answers that can't be read, and the best of poor ones."""
+    rows = t.table(spark, d, "part").select("p_partkey", c("p_name").alias("text"))
+    told = models.complete(rows, ["m1", "m2", "m3"], staged_call, staged_verdict)
+    return told.select("p_partkey", "model", F.array_join(F.transform("attempts", lambda a: a["reason"]), ",").alias("reasons"), F.coalesce("response", F.lit("")).alias("response"))
