@@ -1,8 +1,10 @@
 """Repeated rows: near copies whose rows stand there twice or more, and samples that stay bounded."""
 
 import random
+import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from listingloom.llm import html, near, shards
@@ -48,3 +50,30 @@ def test_names_of_other_parts_with_words_beside_them():
         assert html.page_lines(f'<article><p>kept</p><div class="{name}"><p>gone</p></div></article>')[1][0] == html.OTHER
     for name in ("social-science", "noticeboard", "commentary", "adventure"):
         assert not html._is_away(name), name
+
+
+def layout(rows, n):
+    """Law ``bytes`` by brute force: rows in order of their text's hash and id, cut at equal bytes; small groups of equal texts stay whole."""
+    sized = [(i, t or "", len((t or "").encode()) + 8) for i, t in rows]
+    order = sorted(sized, key=lambda r: (((h := xxhash.xxh64_intdigest(r[1].encode(), 42)) ^ 1 << 63), r[0] is not None, r[0] or 0))
+    total, at, first, sizes = sum(s for _, _, s in sized), 0, {}, {}
+    for _, t, s in order:
+        first.setdefault(t, at)
+        sizes[t], at = sizes.get(t, 0) + s, at + s
+    out, at, ranks = [], 0, {}
+    for rank, (i, t, s) in enumerate(order):
+        begin = first[t] if sizes[t] <= int(total / n * shards.WHOLE_GROUP) else at
+        shard = min(begin * n // total, n - 1)
+        out.append((i, s, zlib.crc32(t.encode()), shard, rank - ranks.setdefault(shard, rank)))
+        at += s
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("n", [3, 24])
+def test_layout_equals_brute_force(spark, n):
+    """Many small groups, one large group that is cut, repeated rows, nulls and long texts."""
+    rng = random.Random(n)
+    rows = [(rng.choice([None, i, i % 50]), rng.choice([None, "", "x" * rng.randrange(300), f"text {i % 400}", "one text of a large group", "long " * 400 if i % 97 == 0 else "short"])) for i in range(3000)]
+    placed = shards.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), shards=n)
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in placed.collect()]
+    assert sorted(got, key=str) == layout(rows, n)
