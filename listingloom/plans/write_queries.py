@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listingloom.operators import dedup, filters, hints, lifecycle, reviews
+from listingloom.operators import dedup, filters, hints, lifecycle, reviews, sending
 from listingloom.plans.dedup_queries import SCORED, SIGNALS, _scored
 from listingloom.plans.registry import query
 from listingloom.sources import messages, models
@@ -228,3 +228,14 @@ def fallback_models(spark, d):
     rows = t.table(spark, d, "part").select("p_partkey", c("p_name").alias("text"))
     told = models.complete(rows, ["m1", "m2", "m3"], staged_call, staged_verdict)
     return told.select("p_partkey", "model", F.array_join(F.transform("attempts", lambda a: a["reason"]), ",").alias("reasons"), F.coalesce("response", F.lit("")).alias("response"))
+
+
+@query("win09_send_limits", """with recursive o as (select event_id, user_id % 20 as u, ts, row_number() over (order by ts, event_id) as n from events),
+  r as (select 0::bigint as n, null::bigint as event_id, null::boolean as allowed, null::double as retry_after, null::timestamp as last, map([]::bigint[], []::timestamp[]) as users
+    union all select n, event_id, wait <= 0, case when wait > 0 then wait end, case when wait <= 0 then ts else last end, case when wait <= 0 then map_concat(users, map([u], [ts])) else users end
+    from (select o.*, r.last, r.users, greatest(coalesce(epoch_us(r.last) + 30000000 - epoch_us(o.ts), 0), coalesce(epoch_us(r.users[o.u]) + 3600000000 - epoch_us(o.ts), 0)) / 1000000.0::double as wait from r join o on o.n = r.n + 1))
+  select event_id, allowed, retry_after from r where n > 0""")
+def send_limits(spark, d):
+    """An hour between sends to one of twenty users, half a minute between any two."""
+    rows = t.table(spark, d, "events").select("event_id", (c("user_id") % 20).alias("u"), "ts")
+    return sending.send_limited(rows, "u", ["event_id"], "ts", per_user=3_600, overall=30).select("event_id", "allowed", "retry_after")
