@@ -222,13 +222,15 @@ def best_candidates(scored: DataFrame) -> DataFrame:
     return best.select("incoming", "b.*")
 
 
-def evaluate(listings: DataFrame, media: DataFrame | None = None, scoring: Scoring = Scoring(), keys: Mapping[str, Column] | None = None) -> DataFrame:
+def evaluate(listings: DataFrame, media: DataFrame | None = None, scoring: Scoring = Scoring(), keys: Mapping[str, Column] | None = None, phones: bool = True) -> DataFrame:
     """(incoming, candidate, score, decision, matched) for every active parent; no candidate means new with score 0.
 
-    Candidates are ``all_candidates``, or those of ``keys`` where given.
+    Candidates are ``all_candidates``, with ``phones`` the newest of the same phone too, or those of ``keys`` where given.
     """
     rows = ready(listings.where(user_facing()), media)
     pairs = all_candidates(rows, scoring) if keys is None else candidate_pairs(rows, keys, scoring)
+    if keys is None and phones:
+        pairs = pairs.unionByName(candidate_pairs(rows, {"phone": F.col("phone")}, scoring)).distinct()
     scored = score(pairs, rows, scoring)
     signals = [c for c in scored.columns if c in scoring.weights]
     best = best_candidates(scored).withColumn("decision", decision(set(signals), scoring))

@@ -92,7 +92,7 @@ def ded03(spark, d):
   coalesce(array_to_string(list_filter([""" + ", ".join(f"case when b.{s} then '{s}' end" for s in SIGNALS) + """], lambda x: x is not null), ','), '') as matched
   from p left join decided b on b.incoming = p.announcement_id""")
 def ded14(spark, d):
-    return dedup.evaluate(t.listings(spark, d), t.media(spark, d))
+    return dedup.evaluate(t.listings(spark, d), t.media(spark, d), phones=False)
 
 
 @query("win03_best_candidate", SCORED + "select incoming, candidate, score from best")

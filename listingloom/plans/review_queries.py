@@ -56,7 +56,7 @@ def anchors(spark, d):
 @query("ded16_routes", SCORED + """select p.announcement_id as incoming, case when coalesce(b.decision, 'new') in ('exact_duplicate', 'high_confidence_duplicate') then 'merge'
   when b.decision = 'possible_duplicate' then 'review' else 'new_parent' end as route from p left join decided b on b.incoming = p.announcement_id""")
 def routes(spark, d):
-    decided = dedup.evaluate(t.listings(spark, d), t.media(spark, d)).withColumn("status", F.lit("active"))
+    decided = dedup.evaluate(t.listings(spark, d), t.media(spark, d), phones=False).withColumn("status", F.lit("active"))
     return reviews.routed(decided).select("incoming", "route")
 
 
@@ -167,7 +167,7 @@ def media_insert(spark, d):
 
 @query("dml06_decision_log", SCORED + "select incoming, '{\"score\":' || score || ',\"decision\":\"' || decision || '\"}' as entry from decided")
 def decision_log(spark, d):
-    told = dedup.evaluate(t.listings(spark, d), t.media(spark, d)).where("candidate is not null")
+    told = dedup.evaluate(t.listings(spark, d), t.media(spark, d), phones=False).where("candidate is not null")
     return told.select("incoming", F.to_json(F.struct("score", "decision")).alias("entry"))
 
 
