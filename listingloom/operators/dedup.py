@@ -117,7 +117,7 @@ def candidate_pairs(listings: DataFrame, keys: Mapping[str, Column], scoring: Sc
     n, reach = scoring.candidates, scoring.lookback_days * 86_400
     second = F.unix_seconds(F.col("created_at").cast("timestamp"))
     extra = ["area", "monthly", "price_period", "price_basis", "currency", "hashes"] if ranges else []
-    rows = listings.select("announcement_id", "created_at", second.alias("second"), *(key.cast("string").alias(f"_{name}") for name, key in keys.items()), *extra)
+    rows = checkpointed(listings.select("announcement_id", "created_at", second.alias("second"), *(key.cast("string").alias(f"_{name}") for name, key in keys.items()), *extra))
     equal = [_item(name, F.col(f"_{name}")) for name in keys]
     images = [F.transform("hashes", lambda h: _item("hash", h.cast("string")))] if ranges else []
 
