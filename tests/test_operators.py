@@ -319,3 +319,60 @@ def test_long_albums_merge_whole(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["album"]: (r["n"], r["text"]) for r in QUERIES["stm02_album_merge"](spark, str(tmp_path)).collect()}
     assert got == {k: (130, "\n\n".join(f"r{i}" for i in range(130))) for k in (1, 2)}
+
+
+@pytest.mark.parametrize("blocks", [(256, 4096), (4, 16), (2,)])
+def test_scored_blocks_equal_the_join_over_keys(spark, monkeypatch, blocks):
+    """Candidates found in blocks of time, in larger ones, and by keys, with ties in time, nulls and a look-back; no pair is shuffled on the way."""
+    monkeypatch.setattr(dedup, "BLOCKS", blocks)
+    rows = [
+        listing(
+            i, district=f"d{i * 7 % 11}", rooms=None if i % 5 == 0 else i * 13 % 17, area=Decimal(30 + i * 29 % 97), monthly=None if i % 4 == 0 else Decimal(100 + i * 37 % 900),
+            source_url=f"u{i // 9}" if i % 3 == 0 else None, created_at=AT + dt.timedelta(days=i * 5 // 8), phone=f"+{i % 6}",
+        )
+        for i in range(240)
+    ]
+    media = spark.createDataFrame([(i, 1, f"{i % 20:016x}") for i in range(0, 240, 3)], "announcement_id bigint, media_id int, phash string")
+    scoring = dedup.Scoring(candidates=6)
+    ready = dedup.ready(spark.createDataFrame(rows, LISTING), media)
+    pairs = dedup.candidate_pairs(ready, {k: F.col(k) for k in ("source_url", "district", "rooms")}, scoring, ranges=True)
+    told = dedup.scored_candidates(ready, scoring)
+    expected = dedup.score(pairs, ready, scoring).select(*told.columns)
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, expected.collect()))
+    if blocks == (256, 4096):
+        plan = dedup.scored_candidates(ready, scoring)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(") == plan.count("hashpartitioning(block") == 2
+
+
+def test_least_loaded_with_many_accounts(spark):
+    import heapq
+
+    accounts = [(f"a{i:04d}", "x", i * 37 % 11) for i in range(900)]
+    sources = [(f"s{i:05d}", "x") for i in range(3000)]
+    heap, want = [(load, key) for key, _, load in accounts], {}
+    heapq.heapify(heap)
+    for source, _ in sources:
+        load, want[source] = heap[0]
+        heapq.heapreplace(heap, (load + 1, want[source]))
+    told = topology.assign_least_loaded(spark.createDataFrame(sources, "source_id string, adapter string"), spark.createDataFrame(accounts, "account_key string, adapter string, load bigint"))
+    assert {r["source_id"]: r["account_key"] for r in told.collect()} == want
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" not in plan
+
+
+def test_hints_are_parsed_once(spark):
+    from listingloom.operators import hints
+
+    df = spark.createDataFrame([('{"parser_hints":{"language":" uz ","price_period":3}}',), (None,)], "p string")
+    told = df.select(hints.parser_hints(F.col("p")).alias("h"))
+    assert [r["h"] for r in told.collect()] == ['{"language":"uz","price_period":3}', "{}"]
+    assert told._jdf.queryExecution().analyzed().toString().lower().count("parse_json") <= 4
+
+
+def test_image_matches_of_the_query_are_equal_images(spark, monkeypatch):
+    """By chance two of very many hashes lie within eight bits of each other."""
+    from listingloom.plans import source_queries
+
+    posts = spark.createDataFrame([(1, "00000000000000ff"), (2, "00000000000000fe"), (3, "00000000000000fe"), (4, None)], "post_id bigint, phash string")
+    monkeypatch.setattr(source_queries.t, "posts", lambda *_: posts)
+    assert [tuple(r) for r in source_queries.image_hash(spark, "").collect()] == [(3, 2, 0)]
