@@ -23,6 +23,11 @@ def _quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substr(whole, F.lit(6), F.length(whole) - 6))
 
 
+def _once(value: Column, told) -> Column:
+    """``told(value)`` with the value computed once, however often ``told`` names it."""
+    return F.get(F.transform(F.array(value), told), F.lit(0))
+
+
 def safe_value(value: Column) -> Column:
     """A variant as the JSON of a hint: numbers and booleans as they are, cut texts, lists of cut texts; null for anything else and for what is empty."""
     kind = F.schema_of_variant(value)
@@ -41,10 +46,10 @@ def parser_hints(payload: Column, *own: Column) -> Column:
     Where none is there, the defaults, required_fields and prompt_hints (as recipe_hints) of its ``source_parsing``. What is no object gives no hints.
     """
     given = F.coalesce(*own, *(F.get_json_object(payload, p) for p in HINT_PATHS))
-    stated = F.try_parse_json(given)
-    recipe = F.try_parse_json(F.when(given.isNull(), F.get_json_object(payload, "$.source_parsing")))
+    texts = F.struct(given.alias("given"), F.get_json_object(payload, "$.source_parsing").alias("recipe"))
+    parsed = lambda x: F.struct(F.try_parse_json(x["given"]).alias("stated"), F.try_parse_json(F.when(x["given"].isNull(), x["recipe"])).alias("recipe"))
 
-    def found(key: str) -> Column:
+    def found(stated: Column, recipe: Column, key: str) -> Column:
         default = F.try_variant_get(recipe, f"$.defaults.{key}", "variant")
         lists = {"required_fields": "$.required_fields", "recipe_hints": "$.prompt_hints"}
         if key in lists:
@@ -52,8 +57,11 @@ def parser_hints(payload: Column, *own: Column) -> Column:
             default = F.coalesce(F.when(F.schema_of_variant(listed).startswith("ARRAY"), listed), default)
         return F.coalesce(F.try_variant_get(stated, f"$.{key}", "variant"), default)
 
-    parts = (F.concat(F.lit(f'"{key}":'), safe_value(found(key))) for key in HINT_KEYS)
-    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+    def told(x: Column) -> Column:
+        parts = (F.concat(F.lit(f'"{key}":'), _once(found(x["stated"], x["recipe"], key), safe_value)) for key in HINT_KEYS)
+        return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))
+
+    return _once(_once(texts, parsed), told)
 
 
 def provenance(raw: Column) -> Column:
