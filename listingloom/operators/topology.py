@@ -59,20 +59,18 @@ def assign_least_loaded(sources: DataFrame, accounts: DataFrame) -> DataFrame:
     """(source_id, account_key): unassigned sources in order to the least loaded account, ties by key, per adapter.
 
     Filling the least loaded account again and again fills places in the order (load, key), so the n-th source has
-    the n-th place. Loads end at the least level that has as many places as sources; an account's places up to it are
-    its rows, and their number follows from the other accounts' loads. Accounts of an adapter are one list (they
-    are few); sources are spread. A source whose adapter has no account is left out.
+    the n-th place. Loads end at the least level that has as many places as sources, found from the numbers of accounts of
+    each load; an account's places up to it are its rows, numbered in parallel as the sources are. A source whose
+    adapter has no account is left out.
     """
     wanted = sources.groupBy("adapter").agg(F.count("*").alias("wanted"))
-    lists = accounts.groupBy("adapter").agg(F.array_sort(F.collect_list(F.struct(F.col("load").cast("bigint").alias("load"), "account_key"))).alias("a")).join(wanted, "adapter")
-    sums = F.aggregate("a", F.array(F.lit(0).cast("bigint")), lambda s, x: F.array_append(s, F.element_at(s, -1) + x["load"]))
-    levels = F.transform(F.sequence(F.lit(1), F.size("a")), lambda k: F.ceil((F.col("wanted") + F.get(F.col("sums"), k)) / k))
-    full = lists.withColumn("sums", sums).withColumn("level", F.array_min(levels))
-    each = full.select("adapter", "a", "level", "wanted", F.explode("a").alias("x")).where("x.load < level")
-    place = each.select("adapter", "a", "wanted", "x", F.explode(F.sequence(F.col("x.load"), F.col("level") - 1)).alias("l"))
-    below = F.aggregate(F.transform("a", lambda y: F.greatest(F.lit(0).cast("bigint"), F.col("l") - y["load"])), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    beside = F.size(F.filter("a", lambda y: (y["load"] <= F.col("l")) & (y["account_key"] < F.col("x.account_key"))))
-    places = place.select("adapter", (below + beside).alias("n"), F.col("x.account_key").alias("account_key"), "wanted").where("n < wanted")
+    load = F.col("load").cast("bigint")
+    given = accounts.select("adapter", "account_key", load.alias("load")).where("load is not null")
+    upto = Window.partitionBy("adapter").orderBy("load").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = given.groupBy("adapter", "load").agg(F.count("*").alias("n")).select("adapter", F.sum("n").over(upto).alias("k"), F.sum(F.col("n") * F.col("load")).over(upto).alias("held"))
+    levels = sums.join(wanted, "adapter").groupBy("adapter").agg(F.min(F.ceil((F.col("wanted") + F.col("held")) / F.col("k"))).alias("level"))
+    each = given.join(levels, "adapter").where("load < level").select("adapter", "account_key", F.explode(F.sequence("load", F.col("level") - 1)).alias("l"))
+    places = numbered(each.select("adapter", F.struct("l", "account_key").alias("place")), "adapter", "place").select("adapter", "n", "place.account_key")
     return numbered(sources.select("adapter", "source_id"), "adapter", "source_id").join(places, ["adapter", "n"]).select("source_id", "account_key")
 
 
