@@ -43,8 +43,11 @@ def _entries(times: DataFrame, interval: int) -> DataFrame:
     after = Window.partitionBy("key").orderBy("bucket")
     ahead = buckets.select("key", "bucket", F.when(F.lead("bucket").over(after) == F.col("bucket") + 1, F.lead("first", 2).over(after)).otherwise(F.lead("first").over(after)).alias("beyond"))
     twice = placed.withColumn("group", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)))
-    later = Window.partitionBy("key", "group").orderBy("us").rangeBetween(interval, Window.unboundedFollowing)
-    found = twice.withColumn("then", F.min("us").over(later)).where("group = bucket")
+    # Each time asks for the first one an interval later. Sorted with the latest first, the questions among the times, that is the last time seen.
+    there = twice.select("key", "group", "bucket", "us", F.col("us").alias("at"), F.lit(False).alias("asks"))
+    asked = placed.select("key", F.col("bucket").alias("group"), "bucket", "us", (F.col("us") + interval).alias("at"), F.lit(True).alias("asks"))
+    seen = Window.partitionBy("key", "group").orderBy(F.col("at").desc(), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = there.unionByName(asked).withColumn("then", F.min(F.when(~F.col("asks"), F.col("us"))).over(seen)).where("asks")
     linked = found.join(ahead, ["key", "bucket"]).select("key", "bucket", "us", F.coalesce("then", "beyond").alias("next"))
     shape = StructType([placed.schema["key"], StructField("bucket", LongType()), StructField("us", LongType()), StructField("out", LongType())])
     chains = linked.repartition("key", "bucket").sortWithinPartitions("key", "bucket", F.col("us").desc()).mapInArrow(_chains, shape)

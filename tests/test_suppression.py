@@ -68,3 +68,23 @@ def test_no_alerts(spark):
     none = spark.createDataFrame([], SHAPE)
     assert suppression.suppressed(none, ["severity"], ["i"], "at").count() == 0
     assert suppression.alerts(none, ["severity"], ["i"], "at", "retry_after").count() == 0
+
+
+def test_many_times_in_one_bucket(spark):
+    """No window looks at all later times of a bucket again for each of its times."""
+    start, n = dt.datetime(2024, 1, 1), 4000
+    rows = spark.createDataFrame([("k", i, start + dt.timedelta(seconds=i * 3 + i % 2)) for i in range(n)], "k string, id int, at timestamp")
+    due, want = start, set()
+    for i in range(n):
+        at = start + dt.timedelta(seconds=i * 3 + i % 2)
+        if at >= due:
+            want.add(i)
+            due = at + dt.timedelta(seconds=300)
+    plans, keep = [], suppression.checkpointed
+    try:
+        suppression.checkpointed = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+        got = suppression.suppressed(rows, ["k"], ["id"], "at")
+        assert {r["id"] for r in got.where("allowed").collect()} == want
+    finally:
+        suppression.checkpointed = keep
+    assert plans and not any("UnboundedFollowing" in p.replace(" ", "").replace("unboundedfollowing", "UnboundedFollowing") for p in plans)
