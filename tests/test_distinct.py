@@ -39,3 +39,12 @@ def test_a_dense_cluster_makes_no_pairs(spark):
 
 def test_no_images(spark):
     assert distinct.greedy_distinct(spark.createDataFrame([], SHAPE), "g", ["n"], "h").count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 160])
+def test_rounds_and_folds_choose_alike(spark, monkeypatch, small):
+    monkeypatch.setattr(distinct, "SMALL_GROUP", small)
+    rng = random.Random(small)
+    rows = [(g, n, rng.getrandbits(20), "x") for n, g in enumerate([None] * 40 + [1] * 250)]
+    got = distinct.greedy_distinct(spark.createDataFrame(rows, SHAPE), "g", ["n"], "h").collect()
+    assert {r["n"]: r["kept"] for r in got} == folded(rows)
