@@ -100,6 +100,12 @@ def test_wildcard_filters_meet_only_buckets_that_can_match(spark):
     assert above.count() < wild.count() / 5
 
 
+def test_matches_are_not_shuffled(spark):
+    """Once a listing has met a filter, its row goes nowhere: the outermost join is the one that makes it."""
+    plan = matching.match_filters(*frames(spark, *some_filters(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "key#" in next(line for line in plan.splitlines() if "Join " in line) and "Aggregate" not in plan.split("Join ", 1)[0]
+
+
 @pytest.mark.parametrize("rows", [16, 100])
 def test_crowded_buckets_of_hashes_are_cut(spark, monkeypatch, rows):
     """Hashes that share a long prefix, and some that hardly differ: cut by the bits that vary, then by cells; all pairs are found."""
