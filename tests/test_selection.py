@@ -131,10 +131,15 @@ def test_counters_equal_those_of_the_matches_and_make_none(spark, monkeypatch, m
     assert sum(v["duplicate_jobs"] for v in want.values()) > 100 and sum(v["skipped_inactive_user"] for v in want.values()) > 100
 
 
-def test_matches_are_not_shuffled(spark):
+def test_new_jobs_and_matches_are_not_shuffled(spark):
     """Once a listing has met a filter, its row goes nowhere: the outermost join is the one that makes it."""
-    plan = matching.match_filters(*frames(spark, *some_filters(spark)))._jdf.queryExecution().optimizedPlan().toString()
-    assert "key#" in next(line for line in plan.splitlines() if "Join " in line) and "Aggregate" not in plan.split("Join ", 1)[0]
+    listings, filters, users = frames(spark, *some_filters(spark))
+    matched, done = matching.match_filters(listings, filters, users), F.col("announcement_id") % 5 == 0
+    new = matching.jobs_after_run(listings, filters, users, done)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, matching.unique_jobs(matched, matched.where(done)).collect())) and new.count() > 100
+    for df in (matched, new):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "key#" in next(line for line in plan.splitlines() if "Join " in line) and "Aggregate" not in plan.split("Join ", 1)[0]
 
 
 @pytest.mark.parametrize("rows", [16, 100])
