@@ -1,7 +1,8 @@
 """HTML main text by differencing pages with their nearest URLs.
 
-A page becomes lines: one for each block, with the part of the page it stands in. Pages are grouped by host (large
-hosts by directory, large directories by a hash) and sorted by URL path, so neighbours of a group are nearest by path.
+A page becomes lines: one for each block, with the part of the page it stands in. Pages of a host are in order of URL
+path, so neighbours are nearest by path. That order is cut into parts of some pages for the tasks; pages beyond a cut that pages
+before it may be compared with stand in both, so cuts don't show in the result.
 Each page is aligned by longest common subsequence of lines with the nearest page before and after it that has other
 lines, and lines that it shares with both are template text and deleted. Copies and quoted passages share article
 lines too, so a line that the markup places in the article stays; lines in parts marked as something else always go.
@@ -11,21 +12,24 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from listingloom.llm.common import BROADCAST_ROWS, written
+from listingloom.llm.common import forget, written
 
 #: Parts of a page.
 PLAIN, ARTICLE, OTHER = 0, 1, 2
-#: Pages of a group that are compared with one another (expected; groups up to twice as large aren't cut).
-GROUP_PAGES = 256
+#: Pages between two cuts at least, and parts at most: their cuts are known to every task.
+GROUP_PAGES, MOST_PARTS = 256, 2048
 #: Runs of equal pages looked back and ahead for one that differs.
 REACH = 3
 #: HTML elements that never have content, that never show any, and whose ends break a line (fixed by HTML).
@@ -197,64 +201,137 @@ def main_text(lines: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -
     return "\n".join(kept), len(shared)
 
 
-def nearest(pages: list[list]) -> list[list[list]]:
-    """For pages in order, the nearest one before and the nearest one after each that has other lines; two of one side at an end."""
-    runs = [[0]]
-    for i in range(1, len(pages)):
-        if pages[i] == pages[i - 1]:
-            runs[-1].append(i)
-        else:
-            runs.append([i])
-    out: list[list[list]] = [[] for _ in pages]
-    for k, run in enumerate(runs):
-        here = pages[run[0]]
-        ahead = [pages[r[0]] for r in reversed(runs[max(0, k - REACH) : k]) if pages[r[0]] != here]
-        behind = [pages[r[0]] for r in runs[k + 1 : k + 1 + REACH] if pages[r[0]] != here]
-        one = ahead[:1] + behind[:1] if ahead and behind else ahead[:2] + behind[:2]
-        for i in run:
-            out[i] = one
-    return out
+def nearest(before: list[list], here: list, after: list[list]) -> list[list]:
+    """The nearest page on either side that has other lines, the sides given from ``here`` on; two of one side at an end."""
+    before, after = [x for x in before if x != here], [x for x in after if x != here]
+    return before[:1] + after[:1] if before and after else before[:2] + after[:2]
 
 
-def _grouped(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, host, path, part): pages of one (host, part) are compared with one another, about GROUP_PAGES at most."""
+def compared(runs: Iterator[tuple[list, list]]) -> Iterator[tuple[list, str, int]]:
+    """(members, main text, shared lines) for runs (lines, members) of a host in order, but for runs without members; REACH runs a side are held."""
+    held: deque = deque(maxlen=2 * REACH + 1)
+
+    def told(at: int) -> Iterator[tuple[list, str, int]]:
+        around = [lines for lines, _ in held]
+        if members := held[at][1]:
+            yield members, *main_text(around[at], nearest(around[max(0, at - REACH) : at][::-1], around[at], around[at + 1 :]))
+
+    for run in runs:
+        held.append(run)
+        if len(held) > REACH:
+            yield from told(len(held) - 1 - REACH)
+    for at in range(max(0, len(held) - REACH), len(held)):
+        yield from told(at)
+
+
+Key = tuple[str, str, bool, object, int]
+
+
+def _place(host: str, path: str, page_id: object, look: int) -> Key:
+    """A page's place in the order, as Spark sorts it: by host, path, id (nulls first) and lines."""
+    return host, path, page_id is not None, 0 if page_id is None else page_id, look
+
+
+def _look(lines: list[tuple[int, str]]) -> int:
+    return int.from_bytes(blake2b(repr(lines).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+#: Pages that are lines in one place at a time.
+_CHUNK = 256
+
+
+def _lined(pages: DataFrame, cuts: tuple[list[Key], dict[Key, list[int]]] | None) -> DataFrame:
+    """(page_id, host, path, look) of every page; with ``cuts`` url, part, beside and the lines too, and a row more for each other part it is beside."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*", "")
-    folder = F.regexp_extract(path, r"^([^?#]*/)", 1)
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), folder.alias("folder"))
-    folders = written(keyed.groupBy("host", "folder").agg(F.count("*").alias("n")))
-    hosts = folders.groupBy("host").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * GROUP_PAGES).select("host", F.ceil(F.col("n") / GROUP_PAGES).alias("cuts"))
-    wide = folders.where(F.col("n") > 2 * GROUP_PAGES).select("host", "folder", F.ceil(F.col("n") / GROUP_PAGES).alias("pieces"))
-    for side, by in ((written(hosts), ["host"]), (written(wide), ["host", "folder"])):
-        keyed = keyed.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, by, "left")
-    cut = F.coalesce(F.pmod(F.xxhash64("folder"), F.col("cuts")), F.lit(0))
-    piece = F.coalesce(F.pmod(F.xxhash64("path", "page_id"), F.col("pieces")) + 1, F.lit(0))
-    return keyed.select("page_id", "url", "html", "host", "path", F.when(piece > 0, F.xxhash64("folder", piece)).otherwise(cut).alias("part"))
+    id_type, kind = to_arrow_type(pages.schema["page_id"].dataType), pages.schema["page_id"].dataType.simpleString()
+    names = ["page_id", "host", "path", "look", "url", "part", "beside", "parts", "lines"]
+    types = [id_type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int8()), pa.list_(pa.string())]
+
+    def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set = set()
+        for b in (whole.slice(k, _CHUNK) for whole in batches for k in range(0, whole.num_rows, _CHUNK)):
+            rows = []
+            for page_id, url, source, at_host, at_path in zip(*(c.to_pylist() for c in b.columns)):
+                lines = page_lines(source or "")
+                row = page_id, at_host, at_path, _look(lines)
+                if cuts is None:
+                    rows.append(row)
+                    continue
+                borders, beside = cuts
+                key = _place(at_host, at_path, page_id, row[3])
+                part = bisect_right(borders, key)
+                others = [p for p in beside.get(key, ()) if p != part and (key, p) not in sent]
+                sent.update((key, p) for p in others)
+                texts = [p for p, _ in lines], [t for _, t in lines]
+                rows += [(*row, url, p, p != part, *texts) for p in (part, *others)]
+            n = 4 if cuts is None else len(names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(n)], names[:n])
+
+    shape = f"page_id {kind}, host string, path string, look bigint"
+    if cuts is not None:
+        shape += ", url string, part bigint, beside boolean, parts array<tinyint>, lines array<string>"
+    return pages.select("page_id", "url", "html", host.alias("host"), path.alias("path")).mapInArrow(to_lines, shape)
+
+
+def _cuts(pages: DataFrame) -> tuple[list[Key], dict[Key, list[int]]]:
+    """The first page of every part but the first, and the pages beside each cut with the parts across it that they are compared with.
+
+    Pages of a part need the last REACH + 1 runs of equal pages that begin before it (the last may go on in it) and the first REACH
+    that begin after it, wherever these are; of a run its first page stands for it. Both are bounded by the number of parts.
+    """
+    order = ["host", "path", "page_id", "look"]
+    keys = _lined(pages, None).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = written(keys.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    run, within, whole = F.struct("host", "look"), Window.partitionBy("_p").orderBy("_i"), Window.orderBy("_p")
+    ends = keys.groupBy("_p").agg(F.count("*").alias("n"), F.max_by(run, F.col("_i")).alias("end"))
+    ends = ends.select("_p", (F.sum("n").over(whole) - F.col("n")).alias("start"), F.lag("end").over(whole).alias("end"))
+    rows = keys.join(F.broadcast(ends), "_p").withColumn("position", F.col("start") + F.row_number().over(within) - 1)
+    begins = ~F.coalesce(F.lag(run).over(within), F.col("end")).eqNullSafe(run)
+    rows = written(rows.select(*order, "_p", "position", begins.alias("begins")))
+    count, size = rows.count(), GROUP_PAGES
+    size = max(size, -(-count // MOST_PARTS))
+    before = rows.groupBy("_p").agg(F.count_if("begins").alias("n"))
+    before = before.select("_p", (F.sum("n").over(whole) - F.col("n")).alias("runs"))
+    numbered = rows.join(F.broadcast(before), "_p").withColumn("run", F.col("runs") + F.count_if("begins").over(Window.partitionBy("_p").orderBy("position")))
+    numbered = written(numbered.select(*order, "position", "begins", "run"))
+    borders = numbered.where((F.col("position") % size == 0) & (F.col("position") > 0))
+    # Runs are numbered from 1; the run of a border that begins with it is the first one after it.
+    last, part = F.col("run") - F.when(F.col("begins"), 1).otherwise(0), (F.col("position") / size).cast("bigint")
+    wanted = borders.select(part.alias("part"), last.alias("last"), F.explode(F.sequence(F.lit(-REACH), F.lit(REACH))).alias("k"))
+    wanted = wanted.select((F.col("last") + F.col("k")).alias("run"), F.when(F.col("k") > 0, F.col("part") - 1).otherwise(F.col("part")).alias("part"))
+    beside: dict[Key, list[int]] = defaultdict(list)
+    for r in numbered.where("begins").join(F.broadcast(wanted), "run").select(*order, "part").collect():
+        beside[_place(*r[:4])].append(r["part"])
+    firsts = sorted(_place(*r) for r in borders.select(*order).collect())
+    forget(keys, rows, numbered)
+    return firsts, dict(beside)
+
+
+def _grouped(pages: DataFrame) -> DataFrame:
+    """(page_id, host, path, look, url, part, beside, parts, lines): pages as lines in parts of the order; ``beside`` are those of other parts."""
+    return _lined(pages, _cuts(pages))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, shared_lines) for every row of (page_id, url, html).
 
-    Null and empty html give an empty text; a null url counts as empty and pairs within its own group. Repeated
+    Null and empty html give an empty text; a null url counts as empty and pairs within its own host. Repeated
     rows stay and get the same text: a page is compared only with pages of other lines, so copies delete nothing
-    from each other. With one other page in its group, a page is compared with that one; with none it loses no
-    line. Other columns are not read; an empty table gives no rows. The result doesn't depend on partitions.
+    from each other. With one other page of its host, a page is compared with that one; with none it loses no
+    line. Other columns are not read; an empty table gives no rows. The result doesn't depend on partitions, cuts or the size of
+    the input: a page's neighbours are those of its host's whole order.
     """
 
-    def to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lines = [page_lines(t.as_py() or "") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in (0, 1, 3, 4, 5)), pa.array([[p for p, _ in x] for x in lines], pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in lines], pa.list_(pa.string()))],
-                ["page_id", "url", "host", "path", "part", "parts", "lines"],
-            )
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    page_id, url, host, part, parts, lines = (b.column(k)[i] for k in (0, 1, 2, 4, 5, 6))
-                    yield page_id, url.as_py(), (host.as_py(), part.as_py()), list(zip(parts.as_py(), lines.as_py()))
+            for b in (whole.slice(k, _CHUNK) for whole in batches for k in range(0, whole.num_rows, _CHUNK)):
+                for page_id, url, host, part, beside, parts, lines in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "host", "part", "beside", "parts", "lines"))):
+                    yield (part, host), list(zip(parts, lines)), (page_id, url, beside)
+
+        def runs(group: Iterator[tuple]) -> Iterator[tuple[list, list]]:
+            for lines, same in groupby(group, key=lambda r: r[1]):
+                yield lines, [(page_id, url) for _, _, (page_id, url, beside) in same if not beside]
 
         def told(done: list) -> pa.RecordBatch:
             ids, urls, texts, shared = zip(*done)
@@ -262,18 +339,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in columns], ["page_id", "url", "text", "n_chars", "shared_lines"])
 
         done: list = []
-        for _, each in groupby(rows(), key=lambda r: r[2]):
-            group = list(each)
-            for (page_id, url, _, lines), near in zip(group, nearest([r[3] for r in group])):
-                done.append((page_id.as_py(), url, *main_text(lines, near)))
-                if len(done) >= 500:
-                    yield told(done)
-                    done = []
+        for _, each in groupby(rows(), key=lambda r: r[0]):
+            for members, text, shared in compared(runs(each)):
+                for page_id, url in members:
+                    done.append((page_id, url, text, shared))
+                    if len(done) >= _CHUNK:
+                        yield told(done)
+                        done = []
         if done:
             yield told(done)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     id_type = to_arrow_type(pages.schema["page_id"].dataType)
-    lined = _grouped(pages).mapInArrow(to_lines, f"page_id {kind}, url string, host string, path string, part bigint, parts array<tinyint>, lines array<string>")
-    dealt = lined.repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id")
+    dealt = _grouped(pages).repartition("part").sortWithinPartitions("part", "host", "path", "page_id", "look")
     return dealt.mapInArrow(compare, f"page_id {kind}, url string, text string, n_chars bigint, shared_lines bigint")

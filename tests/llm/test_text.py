@@ -286,6 +286,23 @@ def test_large_hosts_and_folders_are_cut(spark, monkeypatch):
     assert len(got) == 300 and sum(got[k] == f"body {k}" for k in got) > 285
 
 
+def test_cuts_of_large_hosts_do_not_show(spark, monkeypatch):
+    """Hosts of many folders and pages, with runs of equal pages longer than a part, repeated rows and ids: the text of one part each."""
+    rng, rows = random.Random(4), []
+    for k in range(240):
+        body = "same" if k % 60 > 30 else f"body {rng.randrange(k // 4 + 1)}"
+        rows.append((k // 2 if k < 20 else k, f"http://big.x/{k // 80}/{k:03}", plain_page("top", f"menu {k // 7}", body, *(["near"] if k % 2 else []), "end")))
+    rows += [(300 + k, f"http://b{k % 5}.x/{k}", plain_page("top", f"body {k}", "end")) for k in range(30)] + rows[35:38] * 3 + [(None, None, None), (None, "", plain_page("a"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = []
+    for pages in (1, 3, 8, 50, 10_000):
+        monkeypatch.setattr(html, "GROUP_PAGES", pages)
+        got.append(sorted(map(tuple, html.extract_pages(df).collect()), key=str))
+    assert all(g == got[-1] for g in got) and len(got[0]) == len(rows)
+    monkeypatch.setattr(html, "MOST_PARTS", 2)
+    assert sorted(map(tuple, html.extract_pages(df).collect()), key=str) == got[0]
+
+
 def toy_documents(spark):
     rng, rows = random.Random(3), []
     parts = {"aa": ["ba", "na", "ka"], "bb": ["xu", "zö", "qué"], "cc": ["мир", "да", "нет"]}
