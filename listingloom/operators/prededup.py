@@ -109,13 +109,13 @@ def _classes(rows: DataFrame, key: str) -> DataFrame:
 def near_text_matches(rows: DataFrame, least: float = NEAR_TEXT) -> DataFrame:
     """(post_id, near_ref, similarity): the most similar earlier post, the first of equals.
 
-    Posts with one token set are one class; classes are joined, then posts look up their class.
+    Posts with one token set are one class, told by the set's SHA-256; classes are joined, then posts look up their class.
     """
-    keyed = checkpointed(rows.where(F.size("tokens") > 0).select("post_id", F.array_sort("tokens").alias("tokens")))
-    classes = checkpointed(_classes(keyed, "tokens"))
-    pairs = token_join(classes.withColumnRenamed("tokens", "t"), "rep", "t", least)
+    keyed = checkpointed(rows.where(F.size("tokens") > 0).select("post_id", F.array_sort("tokens").alias("tokens")).withColumn("set", F.sha2(F.array_join("tokens", " "), 256)))
+    classes = checkpointed(_classes(keyed, "set"))
+    pairs = token_join(keyed.join(classes.select("rep"), F.col("post_id") == F.col("rep"), "left_semi"), "post_id", "tokens", least)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    members = keyed.join(classes, "tokens").select("post_id", "rep")
+    members = keyed.select("post_id", "set").join(classes, "set").select("post_id", "rep")
     own = members.where("rep < post_id").select("post_id", F.col("rep").alias("ref"), F.lit(1.0).alias("similarity"))
     other = members.join(both, F.col("rep") == F.col("a")).where("b < post_id").select("post_id", F.col("b").alias("ref"), "similarity")
     best = own.unionByName(other).groupBy("post_id").agg(F.max(F.struct("similarity", (-F.col("ref")).alias("r"))).alias("m"))

@@ -135,6 +135,21 @@ def test_token_join_equals_brute_force(spark):
         assert {(r["a"], r["b"]) for r in joins.token_join(df, "id", "t", least).collect()} == want
 
 
+def test_sets_of_common_tokens_that_are_not_alike_part_where_they_meet(spark, monkeypatch):
+    """Every token is frequent, so nearly all sets meet; few pairs but those alike are left to be verified, and none of these is lost."""
+    import random
+
+    rng = random.Random(7)
+    sets = [frozenset(rng.sample(range(80), rng.randrange(40, 60))) for _ in range(300)]
+    sets = list({s: 0 for s in [*sets, *(s - {min(s)} | {100 + i} for i, s in enumerate(sets[:40]))]})
+    met, keep = [], joins.checkpointed
+    monkeypatch.setattr(joins, "checkpointed", lambda df: met.append(keep(df)) or met[-1])
+    df = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "id bigint, t array<string>")
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.88 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in joins.token_join(df, "id", "t", 0.88).collect()} == want and len(want) >= 40
+    assert met[0].count() < 5 * len(want) < len(sets) ** 2 / 100
+
+
 def test_hash_join_equals_brute_force(spark):
     import random
 
