@@ -145,7 +145,7 @@ def decide(posts: DataFrame) -> DataFrame:
     """(post_id, decision, reasons, reference) for every post, as if they came one by one."""
     rows = checkpointed(signals(posts))
     exact = checkpointed(kept_in_order(rows))
-    open_ = checkpointed(rows.join(exact.where("kept").select("post_id"), "post_id", "left_semi"))
+    open_ = rows.join(exact.where("kept").select("post_id"), "post_id", "left_semi")
     told = exact
     for found in (near_text_matches(open_), image_matches(open_), phone_matches(open_)):
         told = told.join(found, "post_id", "left")

@@ -150,6 +150,19 @@ def test_sets_of_common_tokens_that_are_not_alike_part_where_they_meet(spark, mo
     assert met[0].count() < 5 * len(want) < len(sets) ** 2 / 100
 
 
+def test_keys_of_hashes_are_not_written_where_no_bucket_is_crowded(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    values = list({0xF0F0 << 48 | rng.getrandbits(20) << 8 for _ in range(200)})
+    sizes, keep = [], joins.checkpointed
+    monkeypatch.setattr(joins, "checkpointed", lambda df: sizes.append((kept := keep(df)).count()) or kept)
+    df = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(values)], "id bigint, h string")
+    want = {(a, b, d) for b in range(len(values)) for a in range(b) if (d := (values[a] ^ values[b]).bit_count()) <= 8}
+    assert {tuple(r) for r in joins.hash_join(df, "id", "h").collect()} == want and len(want) > 1000
+    assert max(sizes) <= len(values)
+
+
 def test_hash_join_equals_brute_force(spark):
     import random
 
