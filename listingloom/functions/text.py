@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -29,15 +31,25 @@ def normalised_text(text: str | None) -> str:
     return " ".join(_OTHER.sub(" ", folded).split())
 
 
-@F.pandas_udf(StringType())
-def normalise_listing_text(text: pd.Series) -> pd.Series:
-    return text.map(normalised_text)
+#: Values of an Arrow batch that are Python objects at a time.
+SLICE = 256
 
 
-@F.pandas_udf(StringType())
-def normalise_label(text: pd.Series) -> pd.Series:
+def in_slices(one: Callable[[str | None], object], values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """``one`` of every value. Batches have thousands of long texts; only a slice of them is held as Python objects."""
+    done = [pa.array([one(x) for x in values.slice(k, SLICE).to_pylist()], kind) for k in range(0, len(values), SLICE)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
+@F.arrow_udf(StringType())
+def normalise_listing_text(text: pa.Array) -> pa.Array:
+    return in_slices(normalised_text, text, pa.string())
+
+
+@F.arrow_udf(StringType())
+def normalise_label(text: pa.Array) -> pa.Array:
     """Compatibility form, case-folded, white space collapsed."""
-    return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    return in_slices(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()), text, pa.string())
 
 
 @F.pandas_udf(StringType())

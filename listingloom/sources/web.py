@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from listingloom.functions.text import in_slices
+
 
 class _Text(HTMLParser):
     """All text nodes, and the first one inside a title."""
@@ -33,16 +36,20 @@ class _Text(HTMLParser):
         self.parts.append(data)
 
 
-@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
-def page_text(html: pd.Series) -> pd.DataFrame:
+_PAGE = pa.struct([("title", pa.string()), ("text", pa.string())])
+
+
+def _page(source: str | None) -> dict[str, str | None]:
+    p = _Text()
+    p.feed(source or "")
+    p.close()
+    return {"title": " ".join(p.title.split()) if p.title else None, "text": " ".join(" ".join(p.parts).split())}
+
+
+@F.arrow_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
+def page_text(html: pa.Array) -> pa.Array:
     """Title and all text of a page, white space collapsed; scripts and styles count as text."""
-    out = []
-    for source in html:
-        p = _Text()
-        p.feed(source or "")
-        p.close()
-        out.append((" ".join(p.title.split()) if p.title else None, " ".join(" ".join(p.parts).split())))
-    return pd.DataFrame(out, columns=["title", "text"])
+    return in_slices(_page, html, _PAGE)
 
 
 def replay_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -203,3 +203,34 @@ def test_name_based_ids_and_normalised_text(spark):
         folded = text._HASHTAG.sub(" ", text._PHONE.sub(text._phone, text.unicodedata.normalize("NFKC", t).casefold()))
         assert text.normalised_text(t) == " ".join("".join(x if x.isalnum() or x in "$+" else " " for x in folded).split())
     assert set(RECIPES)
+
+
+def test_texts_are_python_objects_a_slice_at_a_time(spark, monkeypatch):
+    """A batch of long texts is never held whole as Python objects: no slice is larger than SLICE; an empty batch gives no values."""
+    import pyarrow as pa
+
+    from listingloom.functions import text as texts
+    from listingloom.sources import web
+
+    held = []
+
+    class Watched:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, n):
+            held.append(len(part := self.values.slice(at, n)))
+            return part
+
+    values = pa.array([f"<title>T {k}</title><p>Ab&amp;  c {k}</p>" if k % 5 else None for k in range(1000)])
+    assert texts.normalise_label.func(Watched(values)).to_pylist() == [x and " ".join(x.casefold().split()) for x in values.to_pylist()]
+    assert texts.normalise_listing_text.func(Watched(values)).to_pylist() == [texts.normalised_text(x) for x in values.to_pylist()]
+    pages = web.page_text.func(Watched(values)).to_pylist()
+    assert pages[0] == {"title": None, "text": ""} and pages[999] == {"title": "T 999", "text": "T 999 Ab& c 999"}
+    assert max(held) <= texts.SLICE < len(values) and len(texts.normalise_label.func(values[:0])) == 0
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(values.to_pylist())], "k int, html string")
+    got = df.select("k", web.page_text("html").alias("p"), texts.normalise_label("html").alias("n")).orderBy("k").collect()
+    assert [r["p"].asDict() for r in got] == pages and got[0]["n"] is None
