@@ -421,3 +421,45 @@ def test_counts_of_matches_equal_the_matches(spark):
     want = matching.match_metrics(matching.match_filters(df, filters, users)).first()
     got = matching.match_counts(df, filters, users).first()
     assert got == want and want["pairs"] > 0 and want["no_user"] > 0
+
+
+def test_only_candidates_are_judged(spark):
+    """Keys are compared before pairs are made: the join of the blocks knows the newest candidates by bits, also where a condition on the result follows."""
+    ready = dedup.ready(spark.createDataFrame([listing(i, created_at=AT + dt.timedelta(hours=i)) for i in range(90)], LISTING))
+    told = dedup.scored_candidates(ready, matchers={"similar_description": dedup.MATCHERS["similar_description"]}).where("similar_description")
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    (join,) = (line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert not any(name in join for name in ("district", "decimal", "tokens")) and "row_number" not in plan
+
+
+@pytest.mark.parametrize("blocks", [(256, 4096), (8, 32)])
+def test_newest_places_equal_every_pair(spark, monkeypatch, blocks):
+    """Nulls, repeated rows and ties in time; one image that many share."""
+    monkeypatch.setattr(dedup, "BLOCKS", blocks)
+    monkeypatch.setattr(dedup, "TASK_ROWS", 64)
+    some = [
+        listing(
+            i // 2 * 2 if i % 10 == 1 else i, district=None if i % 6 == 0 else f"d{i * 7 % 31}", rooms=None if i % 5 else i % 3, area=None if i % 8 == 0 else Decimal(30 + i * 29 % 397),
+            monthly=[None, Decimal(0), Decimal(100 + i * 37 % 900)][i % 3], currency=None if i % 7 == 0 else "USD", created_at=None if i < 4 else AT + dt.timedelta(days=i // 10 * 10 // 4),
+        )
+        for i in range(200)
+    ]
+    media = spark.createDataFrame([(i, 1, f"{i % 50 if i % 4 else 7:016x}") for i in range(0, 200, 2)], "announcement_id bigint, media_id int, phash string")
+    scoring = dedup.Scoring(candidates=4, lookback_days=30)
+    rows = dedup.ready(spark.createDataFrame(some, LISTING), media)
+    by = {r["position"]: r for r in rows.collect()}
+
+    def met(l, r):
+        same = any(l[k] is not None and l[k] == r[k] for k in ("source_url", "district", "rooms")) or bool(set(l["hashes"]) & set(r["hashes"]))
+        area = None not in (l["area"], r["area"]) and abs(l["area"] - r["area"]) <= 3
+        kind = [(x["price_period"], x["price_basis"], x["currency"]) for x in (l, r)]
+        price = kind[0] == kind[1] and None not in kind[0] and all(x["monthly"] for x in (l, r)) and l["monthly"] * 95 <= r["monthly"] * 100 <= l["monthly"] * 105
+        late = None not in (l["second"], r["second"]) and r["second"] >= l["second"] - 30 * 86_400
+        return late and (l["announcement_id"], l["created_at"]) != (r["announcement_id"], r["created_at"]) and (same or area or price)
+
+    told = {r["position"]: r for r in dedup.newest_places(rows, scoring).collect()}
+    assert sorted(told) == sorted(by) == list(range(200)) and {blocks[0], blocks[-1]} >= {r["size"] for r in told.values()} - {0}
+    for p, r in told.items():
+        if r["size"]:
+            got = [p - 1 - 64 * w - k for w, word in enumerate(r["newest"]) for k in range(64) if word >> k & 1]
+            assert got == [q for q in range(p - 1, -1, -1) if met(by[p], by[q])][:4]
