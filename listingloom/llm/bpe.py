@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -79,8 +80,16 @@ class PairTable:
         self.symbols = list(dict.fromkeys([*rank, *(c for p in rank for c in p)]))
         number = {s: i for i, s in enumerate(self.symbols)}
         order = {r: i for i, r in enumerate(sorted(set(rank.values())))}
-        pairs = sorted((number[a] * len(self.symbols) + number[b], order[r], number[p]) for p, r in rank.items() for i in range(1, len(p)) if (a := p[:i]) in number and (b := p[i:]) in number)
-        self.keys, self.order, self.joined = (np.array(x, t) for x, t in zip(zip(*pairs) if pairs else ((), (), ()), (np.int64, np.int32, np.int32)))
+        keys, ranks, joined = array("q"), array("i"), array("i")
+        for p, r in rank.items():
+            for i in range(1, len(p)):
+                a, b = number.get(p[:i]), number.get(p[i:])
+                if a is not None and b is not None:
+                    keys.append(a * len(self.symbols) + b)
+                    ranks.append(order[r])
+                    joined.append(number[p])
+        at = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.order, self.joined = np.array(keys, np.int64)[at], np.array(ranks, np.int32)[at], np.array(joined, np.int32)[at]
         single = {c: number[c] for c in self.symbols if len(c) == 1}
         self.known = np.array(sorted(map(ord, single)), np.uint32)
         self.of_known = np.array([single[chr(c)] for c in self.known.tolist()], np.int32)

@@ -26,6 +26,8 @@ from listingloom.llm.common import quoted, whole_row
 MARK = "▁"
 #: Tokens of one output batch.
 BATCH_TOKENS = 1 << 18
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 256
 #: Characters of texts whose fragments are resolved together, and fragments merged together.
 CHARS_AT_ONCE, MERGED_AT_ONCE = 1 << 21, 1 << 12
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -328,7 +330,8 @@ def _fields_of(fields: list, number: int) -> Iterator[list]:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
-    """The model of a file, once per worker."""
+    """The model of a file, once per worker; what Arrow holds back of a worker's earlier stages goes first."""
+    pa.default_memory_pool().release_unused()
     return PieceModel(path)
 
 
@@ -337,17 +340,11 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.int32)))
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """(id_col, ids, begins, ends array<int>) for every row, with ``decoded`` also the text that the ids decode to.
-
-    Spans are UTF-8 byte offsets of the source text. No begin or end ids. A null or empty text has empty arrays and
-    decodes to an empty text; rows stay one to one, repeated and null ids too; other columns are not read; an empty
-    table gives no rows.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
-        for b in batches:
+def _encoded(batches: Iterator[pa.RecordBatch], model: PieceModel, decoded: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``encode_documents`` for batches of (id, text); SLICE texts at a time are Python objects."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
             held, tokens, first = [], 0, 0
             for i, found in enumerate(model.encode_all([t.as_py() or "" for t in b.column(1)])):
                 held.append(found)
@@ -357,10 +354,19 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), *map(_lists, zip(*held)), *text], names)
                     held, tokens, first = [], 0, i + 1
 
+
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, ids, begins, ends array<int>) for every row, with ``decoded`` also the text that the ids decode to.
+
+    Spans are UTF-8 byte offsets of the source text. No begin or end ids. A null or empty text has empty arrays and
+    decodes to an empty text; rows stay one to one, repeated and null ids too; other columns are not read; an empty
+    table gives no rows.
+    """
+
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     names = ["id", "ids", "begins", "ends", *["decoded"] * decoded]
-    out = narrow.mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
+    out = narrow.mapInArrow(lambda batches: _encoded(batches, load(model_path), decoded, names), f"id {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -425,3 +425,22 @@ def test_operators_pass_by_other_columns(spark):
         counted = rows.withColumn("n", tokencounts.count_under_edits(F.col("text"), no_edits, path)["n_tokens"])
         assert counted.columns == [*rows.columns, "n"] and counted.count() == n
     assert tokencounts.gathered_edits(spark.createDataFrame([], "doc_id bigint, seq int, pos bigint, deleted bigint, inserted string")).count() == 0
+
+
+def test_pieces_hold_a_slice_of_a_batch():
+    import pyarrow as pa
+
+    model, most = pieces.PieceModel(piece_model_path()), []
+
+    class Spy:
+        decode = model.decode
+
+        def encode_all(self, texts):
+            most.append(len(texts))
+            return model.encode_all(texts)
+
+    texts = [None, "", *(f"some text {i}" for i in range(700))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(702)), pa.array(texts, pa.string())], ["id", "text"])
+    out = pa.Table.from_batches(list(pieces._encoded(iter([batch]), Spy(), True, ["id", "ids", "begins", "ends", "decoded"])))
+    assert max(most) <= 256 and sum(most) == 702
+    assert out["id"].to_pylist() == list(range(702)) and out["decoded"].to_pylist() == ["", "", *texts[2:]]
