@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from listingloom.functions.text import normalise_listing_text, phone_numbers, word_tokens
 from listingloom.operators.joins import hash_join, token_join
-from listingloom.sources.tables import checkpointed
+from listingloom.sources.tables import checkpointed, stored
 
 NEAR_TEXT, HAMMING = 0.88, 8
 
@@ -95,10 +95,10 @@ def kept_in_order(posts: DataFrame) -> DataFrame:
 
 
 def hash_matches(signals_: DataFrame) -> DataFrame:
-    """(post_id, hash_ref): the first post with the same normalised text."""
-    known = signals_.where("text_hash is not null")
+    """(post_id, hash_ref): the first post with the same normalised text. Texts are normalised once, for both sides of the join."""
+    known = stored(signals_.select("post_id", "text_hash").where("text_hash is not null"))
     first = known.groupBy("text_hash").agg(F.min("post_id").alias("hash_ref"))
-    return known.select("post_id", "text_hash").join(first, "text_hash").where("hash_ref < post_id").select("post_id", "hash_ref")
+    return known.join(first, "text_hash").where("hash_ref < post_id").select("post_id", "hash_ref")
 
 
 def _classes(rows: DataFrame, key: str) -> DataFrame:

@@ -463,3 +463,13 @@ def test_newest_places_equal_every_pair(spark, monkeypatch, blocks):
         if r["size"]:
             got = [p - 1 - 64 * w - k for w, word in enumerate(r["newest"]) for k in range(64) if word >> k & 1]
             assert got == [q for q in range(p - 1, -1, -1) if met(by[p], by[q])][:4]
+
+
+def test_text_hashes_are_computed_once(spark):
+    from listingloom.operators import prededup
+
+    posts = spark.createDataFrame([(1, "One  two"), (2, None), (3, "one TWO"), (4, ""), (5, "three")], "post_id bigint, text string")
+    posts = posts.selectExpr("*", "cast(null as string) as forward_key", "cast(null as bigint) as parent_ref", "cast(null as string) as phash")
+    told = prededup.hash_matches(prededup.signals(posts))
+    assert [tuple(r) for r in told.collect()] == [(3, 1)]
+    assert "EvalPython" not in told._jdf.queryExecution().executedPlan().toString()
