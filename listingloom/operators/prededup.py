@@ -95,8 +95,8 @@ def kept_in_order(posts: DataFrame) -> DataFrame:
 
 
 def hash_matches(signals_: DataFrame) -> DataFrame:
-    """(post_id, hash_ref): the first post with the same normalised text. Texts are normalised once, for both sides of the join."""
-    known = stored(signals_.select("post_id", "text_hash").where("text_hash is not null"))
+    """(post_id, hash_ref): the first post with the same normalised text. Texts are normalised once, for both sides of the join and for the condition."""
+    known = stored(signals_.select("post_id", "text_hash")).where("text_hash is not null")
     first = known.groupBy("text_hash").agg(F.min("post_id").alias("hash_ref"))
     return known.join(first, "text_hash").where("hash_ref < post_id").select("post_id", "hash_ref")
 
