@@ -473,3 +473,41 @@ def test_text_hashes_are_computed_once(spark):
     told = prededup.hash_matches(prededup.signals(posts))
     assert [tuple(r) for r in told.collect()] == [(3, 1)]
     assert "EvalPython" not in told._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("run_rows", [1 << 16, 16])
+def test_newest_candidates_equal_every_pair(spark, monkeypatch, run_rows):
+    """Ties in time, missing keys and times, ids of several rows, and newest candidates many runs back."""
+    monkeypatch.setattr(dedup, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(dedup, "LISTED_ROWS", 5)
+    some = [
+        listing(
+            i // 3 * 3 if i % 10 == 1 else i, district=None if i % 6 == 0 else f"d{i * 7 % 5}", rooms=i % 3, phone=None if i % 5 == 0 else "+0" if i % 3 else f"+{i % 41}",
+            source_url=f"u{i % 90}" if i % 4 == 0 else None, created_at=None if i < 3 else AT + dt.timedelta(hours=i // 7 * 9),
+        )
+        for i in range(300)
+    ]
+    some += some[40:44] + some[140:150]
+    df, scoring = spark.createDataFrame(some, LISTING), dedup.Scoring(candidates=4, lookback_days=12)
+    keys = {"url": F.col("source_url"), "phone": F.col("phone"), "place": F.concat("district", F.lit("/"), F.col("rooms").cast("string"))}
+    rows, met = df.select("announcement_id", "created_at", *(k.alias(n) for n, k in keys.items())).collect(), {}
+    for l in rows:
+        for r in rows:
+            if None not in (l[1], r[1]) and (r[1], r[0]) < (l[1], l[0]) and l[1] - r[1] <= dt.timedelta(days=12) and any(l[n] is not None and l[n] == r[n] for n in keys):
+                met.setdefault(l[0], set()).add((r[1], r[0]))
+    want = {k: sorted(v, reverse=True)[:4] for k, v in met.items()}
+    told = dedup.newest_candidates(df, keys, scoring).collect()
+    assert len(told) == len(want) and {r["incoming"]: [(c["candidate_at"], c["candidate"]) for c in r["candidates"]] for r in told} == want
+    pairs = dedup.candidate_pairs(df.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), keys, scoring).collect()
+    assert sorted((r["incoming"], r["candidate_at"], r["candidate"]) for r in pairs) == sorted((k, *c) for k, v in want.items() for c in v)
+    assert dedup.newest_candidates(df.where("announcement_id < 0"), keys, scoring).collect() == []
+
+
+def test_pairs_by_equal_keys_are_not_shuffled(spark, monkeypatch):
+    """What a task holds doesn't grow with the listings: no pair is shuffled, and there are more tasks for more rows, not a fixed number."""
+    monkeypatch.setattr(dedup, "RUN_ROWS", 16, raising=False)
+    df = spark.createDataFrame([listing(i, phone="+1", created_at=AT + dt.timedelta(hours=i)) for i in range(320)], LISTING)
+    plan = dedup.candidate_pairs(df, dedup.listing_keys())._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert shuffles and not any("hashpartitioning(incoming" in line for line in shuffles)
+    assert all(", 20)" in line for line in shuffles) and "Window" not in plan and "Join" not in plan.replace("BroadcastHashJoin", "")
