@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingloom.functions.text import normalise_listing_text, phone_numbers, word_tokens
-from listingloom.operators.joins import hash_join, token_join
+from listingloom.operators.joins import among, hash_join, token_join
 from listingloom.sources.tables import checkpointed, stored
 
 NEAR_TEXT, HAMMING = 0.88, 8
@@ -109,15 +109,14 @@ def _classes(rows: DataFrame, key: str) -> DataFrame:
 def near_text_matches(rows: DataFrame, least: float = NEAR_TEXT) -> DataFrame:
     """(post_id, near_ref, similarity): the most similar earlier post, the first of equals.
 
-    Posts with one token set are one class, told by the set's SHA-256; classes are joined, then posts look up their class.
+    Posts with one token set are one class, told by the set's SHA-256, and only the first of a class meets other classes: to the
+    others the first is the nearest, as different sets are less alike than equal ones.
     """
-    keyed = checkpointed(rows.where(F.size("tokens") > 0).select("post_id", F.array_sort("tokens").alias("tokens")).withColumn("set", F.sha2(F.array_join("tokens", " "), 256)))
-    classes = checkpointed(_classes(keyed, "set"))
-    pairs = token_join(keyed.join(classes.select("rep"), F.col("post_id") == F.col("rep"), "left_semi"), "post_id", "tokens", least)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    members = keyed.select("post_id", "set").join(classes, "set").select("post_id", "rep")
-    own = members.where("rep < post_id").select("post_id", F.col("rep").alias("ref"), F.lit(1.0).alias("similarity"))
-    other = members.join(both, F.col("rep") == F.col("a")).where("b < post_id").select("post_id", F.col("b").alias("ref"), "similarity")
+    keyed = stored(rows.where(F.size("tokens") > 0).select("post_id", F.array_sort("tokens").alias("tokens")).withColumn("set", F.sha2(F.array_join("tokens", " "), 256)))
+    members = keyed.select("post_id", "set").join(_classes(keyed, "set"), "set")
+    own = checkpointed(members.where("rep < post_id").select("post_id", F.col("rep").alias("ref"), F.lit(1.0).alias("similarity")))
+    pairs = token_join(among(keyed, own, "post_id", "left_anti"), "post_id", "tokens", least)
+    other = pairs.select(F.col("b").alias("post_id"), F.col("a").alias("ref"), "similarity")
     best = own.unionByName(other).groupBy("post_id").agg(F.max(F.struct("similarity", (-F.col("ref")).alias("r"))).alias("m"))
     return best.select("post_id", (-F.col("m.r")).alias("near_ref"), F.col("m.similarity").alias("similarity"))
 

@@ -150,6 +150,40 @@ def test_sets_of_common_tokens_that_are_not_alike_part_where_they_meet(spark, mo
     assert met[0].count() < 5 * len(want) < len(sets) ** 2 / 100
 
 
+def test_large_sets_that_share_one_rare_token_part_where_they_meet(spark, monkeypatch):
+    """Large unlike sets that share a rare token part where they meet, whatever widths their sketches have; alike ones of two widths don't."""
+    import random
+
+    rng = random.Random(3)
+    sets = [frozenset(rng.sample(range(6000), rng.randrange(1000, 1600))) | {-1} for _ in range(40)]
+    sets += [s - set(rng.sample(sorted(s), len(s) // 20)) for s in sets[:15]] + [frozenset(range(10000, 10000 + n)) for n in (1000, 1024, 1025, 1100, 2047, 2049)]
+    met, keep = [], joins.checkpointed
+    monkeypatch.setattr(joins, "checkpointed", lambda df: met.append(keep(df)) or met[-1])
+    df = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "id bigint, t array<string>")
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.88 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in joins.token_join(df, "id", "t", 0.88).collect()} == want and len(want) >= 20
+    assert met[0].count() < 5 * len(want)
+
+
+def test_a_crowd_of_alike_sets_is_verified_in_cells_and_no_pair_carries_a_set(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    base = [*(f"w{i}" for i in range(60)), "a\\nb", "a\nb", "a", "b", "", "\\0"]
+    sets = [[w for w in base if rng.random() > 0.02] + [f"x{i}"] for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id bigint, t array<string>")
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(a, b): v for b in range(120) for a in range(b) if (v := jaccard(sets[a], sets[b])) >= 0.88}
+    sent, among = [], joins.among
+    for most in (2048, 16):
+        monkeypatch.setattr(joins, "CELL_SETS", most)
+        monkeypatch.setattr(joins, "among", lambda rows, keys, *a: sent.append(keys) or among(rows, keys, *a))
+        got = joins.token_join(df, "id", "t", 0.88)
+        assert {(r["a"], r["b"]): r["similarity"] for r in got.collect()} == want and len(want) > 2000
+        # Sets sent for verification: each to the cells it has pairs in, far fewer than the pairs.
+        assert sent[-1].selectExpr("sum(size(at))").first()[0] < len(want) / 2
+
+
 def test_keys_of_hashes_are_not_written_where_no_bucket_is_crowded(spark, monkeypatch):
     import random
 
