@@ -142,7 +142,7 @@ def phone_matches(rows: DataFrame) -> DataFrame:
 
 def decide(posts: DataFrame) -> DataFrame:
     """(post_id, decision, reasons, reference) for every post, as if they came one by one."""
-    rows = checkpointed(signals(posts))
+    rows = stored(signals(posts))
     exact = checkpointed(kept_in_order(rows))
     open_ = rows.join(exact.where("kept").select("post_id"), "post_id", "left_semi")
     told = exact

@@ -236,6 +236,15 @@ def test_forward_matches_skip_siblings(spark):
     assert {tuple(r) for r in prededup.forward_matches(df).collect()} == {(3, 1), (4, 1), (5, 3)}
 
 
+def test_post_decisions_keep_no_signals_but_as_parquet(spark, monkeypatch):
+    """The signals hold every text's tokens: they are written as Parquet, not as rows of a checkpoint."""
+    kept, keep = [], prededup.checkpointed
+    monkeypatch.setattr(prededup, "checkpointed", lambda df: kept.append(df.columns) or keep(df))
+    posts = spark.createDataFrame([(1, "one two three", None, None, None), (2, "one two three", None, None, None)], "post_id bigint, text string, forward_key string, parent_ref bigint, phash string")
+    got = {r["post_id"]: (r["decision"], r["reference"]) for r in prededup.decide(posts).collect()}
+    assert got == {1: ("proceed_to_ai", None), 2: ("high_confidence_duplicate", 1)} and not any("tokens" in c for c in kept)
+
+
 def test_near_text_picks_best_earlier(spark):
     words = [f"w{i}" for i in range(30)]
     rows = [(1, words), (2, words[:29] + ["x"]), (3, words), (4, words[:28]), (5, ["q"]), (6, [])]
